@@ -1,0 +1,19 @@
+"""Broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dictionaries (gene symbols, gene sets, task list) are bounded by the number
+# of genes in a genome (tens of thousands per species); a larger side is
+# joined with a shuffle instead.
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
+    unchanged (sort-merge / shuffle-hash join, AQE may still convert it).
+    The check stops reading after ``max_rows + 1`` rows."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
