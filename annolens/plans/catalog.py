@@ -116,3 +116,80 @@ def q_texts_by_gene_list(spark, d):
 @query("distinct_genes")
 def q_distinct_genes(spark, d):
     return lookup.distinct_genes(S.annotations(spark, d), P.HUMAN)
+
+
+# --- M2: text functions ---------------------------------------------------------
+
+from ..functions import prompts as PR  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import literature as LIT  # noqa: E402
+
+
+@query("strip_fences")
+def q_strip_fences(spark, d):
+    return S.model_answers(spark, d).select("answer_id", TX.strip_fences("text").alias("cleaned"))
+
+
+@query("ensure_punct")
+def q_ensure_punct(spark, d):
+    return S.annotations(spark, d).select("row_ord", TX.ensure_terminal_punct("text").alias("text_p"))
+
+
+@query("first_sentence")
+def q_first_sentence(spark, d):
+    return S.model_answers(spark, d).select("answer_id", TX.first_sentence("raw").alias("sentence"))
+
+
+@query("token_count")
+def q_token_count(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", TX.token_count("text").alias("n_tokens"))
+
+
+@query("article_segments")
+def q_article_segments(spark, d):
+    seg = S.articles(spark, d).select("pmcid", TX.article_segments("body").alias("seg"))
+    return seg.select("pmcid", F.size("seg").cast("bigint").alias("n_segments"),
+                      F.array_join("seg", TX.ARTICLE_SEP).alias("article"))
+
+
+# --- M3: literature ----------------------------------------------------------------
+
+@query("article_lookup")
+def q_article_lookup(spark, d):
+    pmids = S.abstracts(spark, d).select("pmid")
+    return LIT.article_lookup(pmids, S.article_links(spark, d), S.articles(spark, d))
+
+
+@query("abstract_by_pmid")
+def q_abstract_by_pmid(spark, d):
+    return LIT.abstracts_by_pmid(S.annotations(spark, d), S.abstracts(spark, d))
+
+
+@query("gene_abstracts_topk")
+def q_gene_abstracts_topk(spark, d):
+    return LIT.gene_abstracts_topk(S.gene_pmids(spark, d), S.abstracts(spark, d), P.TOP_K_ABSTRACTS)
+
+
+@query("gene_abstracts_text")
+def q_gene_abstracts_text(spark, d):
+    return LIT.gene_abstracts_text(S.gene_pmids(spark, d), S.abstracts(spark, d), P.TOP_K_ABSTRACTS)
+
+
+@query("pairs_inputs")
+def q_pairs_inputs(spark, d):
+    return LIT.pairs_inputs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), P.HUMAN)
+
+
+@query("prompt_article")
+def q_prompt_article(spark, d):
+    a = LIT.article_lookup(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d), S.articles(spark, d))
+    a = LIT.article_texts(a.filter(F.col("status") == "ok"), TX.article_segments)
+    return a.select("pmid", PR.article_prompt(F.col("article")).alias("prompt"))
+
+
+@query("prompt_task")
+def q_prompt_task(spark, d):
+    a = LIT.article_lookup(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d), S.articles(spark, d))
+    a = LIT.article_texts(a.filter(F.col("status") == "ok"), TX.article_segments)
+    return a.select("pmid", F.lit(P.TASK).alias("task"),
+                    PR.article_prompt(F.col("article"), PR.task_instruction(P.TASK)).alias("prompt"))

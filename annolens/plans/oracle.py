@@ -114,3 +114,94 @@ ORACLE["texts_by_gene_set"] = q(_texts_for_members("gene_sets", "symbol", ["gene
 ORACLE["texts_by_gene_list"] = q(_texts_for_members("gene_list", "token", []))
 
 ORACLE["distinct_genes"] = q("SELECT DISTINCT gene_id FROM human")
+
+
+# --- M2 / M3 -------------------------------------------------------------------
+
+from ..functions import prompts as PR  # noqa: E402
+
+NL2 = "chr(10) || chr(10)"
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def article_seg_sql(body: str) -> str:
+    b = rf"regexp_replace(regexp_replace({body}, '(?s)<!--.*?-->', '', 'g'), '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g')"
+    dec = strip_sql("s")
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        dec = f"replace({dec}, {lit(ent)}, {lit(ch)})"
+    return rf"list_transform(regexp_extract_all({b}, '<(?:title|p|sec)(?:\s+|\s[^>]*[^/>])?>([^<]+)', 1), lambda s: {dec})"
+
+
+ORACLE["strip_fences"] = q("""SELECT answer_id, array_to_string(list_filter(string_split(text, chr(10)),
+  lambda l: NOT starts_with(l, '```') AND NOT ends_with(l, '```')), chr(10)) AS cleaned FROM model_answers""")
+
+ORACLE["ensure_punct"] = q("""SELECT row_ord, CASE WHEN text IS NULL THEN NULL
+  WHEN right(text, 1) IN ('.', '?', '!') THEN text ELSE text || '.' END AS text_p FROM annotations""")
+
+ORACLE["first_sentence"] = q(f"""SELECT answer_id,
+  {strip_sql("list_filter(string_split(raw, '.'), lambda x: x <> '')[1]")} AS sentence FROM model_answers""")
+
+ORACLE["token_count"] = q(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+\s*|^\s+', 0)) AS BIGINT) AS n_tokens
+  FROM documents""")
+
+ORACLE["article_segments"] = q(f"""SELECT pmcid, CAST(len(seg) AS BIGINT) AS n_segments,
+  array_to_string(seg, {NL2}) AS article FROM (SELECT pmcid, {article_seg_sql('body')} AS seg FROM articles)""")
+
+LOOKUP_SQL = """, lookup AS (
+  SELECT a.pmid, l.pmcid, CASE WHEN l.pmcid IS NULL THEN 'no_link' WHEN ar.body IS NULL THEN 'missing' ELSE 'ok' END AS status,
+         ar.body
+  FROM abstracts a
+  LEFT JOIN (SELECT pmid, pmcid FROM (SELECT pmid, pmcid,
+               row_number() OVER (PARTITION BY pmid ORDER BY link_ord, pmcid) AS rk FROM article_links) WHERE rk = 1) l
+    ON l.pmid = a.pmid
+  LEFT JOIN articles ar ON ar.pmcid = l.pmcid)"""
+
+ORACLE["article_lookup"] = q(LOOKUP_SQL + "\nSELECT pmid, pmcid, status, body FROM lookup")
+
+ORACLE["abstract_by_pmid"] = q(""", ex AS (
+  SELECT row_ord, CAST(i AS BIGINT) AS pos, pmids[i + 1] AS pmid
+  FROM (SELECT row_ord, pmids, unnest(range(len(pmids))) AS i FROM annotations)
+  UNION ALL SELECT row_ord, NULL, NULL FROM annotations WHERE len(pmids) = 0)
+SELECT ex.row_ord, ex.pos, ex.pmid,
+  CASE WHEN ex.pmid IS NULL THEN 'no_pmid' WHEN ab.text IS NULL THEN 'missing' ELSE 'ok' END AS status,
+  ab.text AS abstract
+FROM ex LEFT JOIN abstracts ab ON ab.pmid = ex.pmid""")
+
+TOPK_SQL = f""", top AS (
+  SELECT gene_id, rank, pmid FROM (
+    SELECT gene_id, CAST(row_number() OVER (PARTITION BY gene_id ORDER BY pmid DESC) AS BIGINT) AS rank, pmid
+    FROM gene_pmids) WHERE rank <= {P.TOP_K_ABSTRACTS}),
+topk AS (SELECT t.gene_id, t.rank, t.pmid, ab.text FROM top t JOIN abstracts ab ON ab.pmid = t.pmid),
+gene_abs AS (SELECT gene_id, count(*) AS n_abstracts, string_agg(text, {NL2} ORDER BY rank) AS abstracts
+  FROM topk GROUP BY gene_id)"""
+
+ORACLE["gene_abstracts_topk"] = q(TOPK_SQL + "\nSELECT gene_id, rank, pmid, text FROM topk")
+
+ORACLE["gene_abstracts_text"] = q(TOPK_SQL + "\nSELECT gene_id, n_abstracts, abstracts FROM gene_abs")
+
+PAIRS_SQL = f""", ex AS (
+  SELECT row_ord, gene_id, text AS ground_truth, i AS pos, pmids[i + 1] AS pmid
+  FROM (SELECT *, unnest(range(len(pmids))) AS i FROM human WHERE len(pmids) > 0 AND length(text) > 0)),
+pairs_in AS (
+  SELECT e.row_ord, e.gene_id, g.symbol AS gene_name, e.ground_truth,
+         string_agg(ab.text, {NL2} ORDER BY e.pos) AS abstracts
+  FROM ex e JOIN abstracts ab ON ab.pmid = e.pmid JOIN genes g ON g.gene_id = e.gene_id
+  WHERE g.symbol IS NOT NULL
+  GROUP BY e.row_ord, e.gene_id, g.symbol, e.ground_truth)"""
+
+ORACLE["pairs_inputs"] = q(PAIRS_SQL + "\nSELECT row_ord, gene_id, gene_name, ground_truth, abstracts FROM pairs_in")
+
+ART_OK_SQL = LOOKUP_SQL + f""", art AS (
+  SELECT pmid, array_to_string({article_seg_sql('body')}, {NL2}) AS article FROM lookup WHERE status = 'ok')"""
+
+ORACLE["prompt_article"] = q(ART_OK_SQL + f"\nSELECT pmid, {lit(PR.ARTICLE_INSTRUCTION)} || {NL2} || article AS prompt FROM art")
+
+ORACLE["prompt_task"] = q(ART_OK_SQL + f"""
+SELECT pmid, {lit(P.TASK)} AS task, {lit(PR.TASKS[P.TASK])} || {NL2} || article AS prompt FROM art""")
