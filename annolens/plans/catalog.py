@@ -193,3 +193,35 @@ def q_prompt_task(spark, d):
     a = LIT.article_texts(a.filter(F.col("status") == "ok"), TX.article_segments)
     return a.select("pmid", F.lit(P.TASK).alias("task"),
                     PR.article_prompt(F.col("article"), PR.task_instruction(P.TASK)).alias("prompt"))
+
+
+# --- M4: tokens and chunking -----------------------------------------------------
+
+from ..operators import chunking as CH  # noqa: E402
+
+PREFIX = CH.prefix_tokens()
+
+
+def gene_texts(spark, d):
+    """Human, non-empty annotation texts with terminal punctuation ensured."""
+    a = lookup.filter_has_text(lookup.filter_species(S.annotations(spark, d), P.HUMAN))
+    return a.select("gene_id", "row_ord", TX.ensure_terminal_punct("text").alias("text"))
+
+
+@query("chunk_text")
+def q_chunk_text(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    return CH.chunk_rows(docs, "text", P.ROW_MAX_TOKENS, P.ROW_CHUNK_TOKENS, PREFIX).select(
+        "doc_id", "chunk_idx", "n_chunks", "kind", "n_tokens", "chunk_text")
+
+
+@query("distill_plan")
+def q_distill_plan(spark, d):
+    mx, ck = CH.budget_for_model(P.MODEL)
+    return CH.budget_plan(gene_texts(spark, d), ["gene_id"], "text", mx, ck, PREFIX)
+
+
+@query("chunk_gene")
+def q_chunk_gene(spark, d):
+    mx, ck = CH.budget_for_model(P.MODEL)
+    return CH.chunk_by_key(gene_texts(spark, d), ["gene_id"], "row_ord", "text", mx, ck, PREFIX)

@@ -205,3 +205,46 @@ ORACLE["prompt_article"] = q(ART_OK_SQL + f"\nSELECT pmid, {lit(PR.ARTICLE_INSTR
 
 ORACLE["prompt_task"] = q(ART_OK_SQL + f"""
 SELECT pmid, {lit(P.TASK)} AS task, {lit(PR.TASKS[P.TASK])} || {NL2} || article AS prompt FROM art""")
+
+
+# --- M4 ------------------------------------------------------------------------
+
+from ..operators import chunking as CH  # noqa: E402
+
+PREFIX = CH.prefix_tokens()
+MAXT, CHUNKT = CH.budget_for_model(P.MODEL)
+TOKRE = r"'\S+\s*|^\s+'"
+
+
+def punct_sql(t: str) -> str:
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN right({t}, 1) IN ('.', '?', '!') THEN {t} ELSE {t} || '.' END"
+
+
+def chunks_sql(src: str, key: str, joined: str, mx: int, size: int) -> str:
+    """Naive form: tokenize the whole joined text, then cut."""
+    return f"""(
+  SELECT {key}, CAST(0 AS BIGINT) AS chunk_idx, CAST(1 AS BIGINT) AS n_chunks, 'pass' AS kind,
+         CAST(len(k) AS BIGINT) AS n_tokens, {joined} AS chunk_text
+  FROM (SELECT *, regexp_extract_all({joined}, {TOKRE}, 0) AS k FROM {src}) WHERE len(k) <= {mx}
+  UNION ALL
+  SELECT {key}, CAST(i AS BIGINT), CAST(ceil(len(k) / {size}) AS BIGINT), 'chunk', CAST(len(k) AS BIGINT),
+         array_to_string(k[i * {size} + 1 : i * {size} + {size}], '')
+  FROM (SELECT *, unnest(range(CAST(ceil(len(k) / {size}) AS BIGINT))) AS i
+        FROM (SELECT *, regexp_extract_all({joined}, {TOKRE}, 0) AS k FROM {src}) WHERE len(k) > {mx}))"""
+
+
+GENE_TEXT_SQL = f""", gene_text AS (
+  SELECT gene_id, row_ord, {punct_sql('text')} AS text FROM human WHERE length(text) > 0),
+gene_joined AS (SELECT gene_id, string_agg(text, ' ' ORDER BY row_ord) AS joined FROM gene_text GROUP BY gene_id)"""
+
+ORACLE["chunk_text"] = q(f"""SELECT doc_id, chunk_idx, n_chunks, kind, n_tokens, chunk_text FROM
+  {chunks_sql('(SELECT doc_id, text FROM documents)', 'doc_id', 'text', P.ROW_MAX_TOKENS, P.ROW_CHUNK_TOKENS - PREFIX)}""")
+
+ORACLE["distill_plan"] = q(GENE_TEXT_SQL + f"""
+SELECT gene_id, n_tokens, CASE WHEN n_tokens <= {MAXT} THEN 'pass' ELSE 'chunk' END AS kind,
+  CAST(CASE WHEN n_tokens <= {MAXT} THEN 1 ELSE ceil(n_tokens / {CHUNKT - PREFIX}) END AS BIGINT) AS n_chunks
+FROM (SELECT gene_id, CAST(len(regexp_extract_all(joined, {TOKRE}, 0)) AS BIGINT) AS n_tokens FROM gene_joined)""")
+
+ORACLE["chunk_gene"] = q(GENE_TEXT_SQL + f"""
+SELECT gene_id, chunk_idx, n_chunks, kind, n_tokens, chunk_text FROM
+  {chunks_sql('gene_joined', 'gene_id', 'joined', MAXT, CHUNKT - PREFIX)}""")

@@ -6,10 +6,11 @@ PROCESS = "response to hypoxia"   # biological process of the prompts
 TOP_K_ABSTRACTS = 25            # abstracts per gene (reference default 100; 25 makes the limit bite at sf0.01)
 # Token budgets.  The reference uses 128 000 / 16 000 BPE tokens; the sf0.01
 # texts are short, so the catalogue passes budgets that make both branches occur.
-MAX_TOKENS = 1500
-CHUNK_TOKENS = 400
+
+
 ROW_MAX_TOKENS = 1200
 ROW_CHUNK_TOKENS = 500
 LEAD_SENTENCES = 2
 EMBED_DIM = 384
 TASK = "e3-ligase"
+MODEL = "gpt-3.5-turbo-1106"      # model name: decides the context budget (16 000 tokens)
