@@ -225,3 +225,117 @@ def q_distill_plan(spark, d):
 def q_chunk_gene(spark, d):
     mx, ck = CH.budget_for_model(P.MODEL)
     return CH.chunk_by_key(gene_texts(spark, d), ["gene_id"], "row_ord", "text", mx, ck, PREFIX)
+
+
+# --- M5-M7: model map, distill, jobs, embeddings ----------------------------------
+
+from ..operators import embed as EM  # noqa: E402
+from ..operators.distill import distill  # noqa: E402
+from ..operators.infer import LeadBackend, infer  # noqa: E402
+from . import jobs as J  # noqa: E402
+
+
+def backend():
+    return LeadBackend(P.LEAD_SENTENCES)
+
+
+def budget():
+    return CH.budget_for_model(P.MODEL)
+
+
+def ok_articles(spark, d):
+    a = LIT.article_lookup(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d), S.articles(spark, d))
+    return LIT.article_texts(a.filter(F.col("status") == "ok"), TX.article_segments)
+
+
+@query("infer_lead")
+def q_infer_lead(spark, d):
+    p = ok_articles(spark, d).select("pmid", PR.article_prompt(F.col("article")).alias("prompt"))
+    return infer(p, "prompt", backend(), "response").select("pmid", "response", F.col("response_status").alias("status"))
+
+
+@query("distill")
+def q_distill(spark, d):
+    mx, ck = budget()
+    return distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck)
+
+
+@query("summarize_articles")
+def q_summarize_articles(spark, d):
+    mx, ck = budget()
+    return J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
+                                S.articles(spark, d), backend(), mx, ck)
+
+
+@query("article_task")
+def q_article_task(spark, d):
+    mx, ck = budget()
+    return J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
+                                S.articles(spark, d), backend(), mx, ck, task=P.TASK)
+
+
+@query("summarize_genes")
+def q_summarize_genes(spark, d):
+    mx, ck = budget()
+    return J.summarize_genes(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+                             backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
+
+
+@query("process_narrative")
+def q_process_narrative(spark, d):
+    mx, ck = budget()
+    members = gene_sets(spark, d).withColumnRenamed("symbol", "token")
+    s = J.summarize_genes(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+                          backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
+    per = members.join(s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
+    return J.process_narrative(per, ["gene_set"], backend(), P.PROCESS)
+
+
+@query("create_annotations")
+def q_create_annotations(spark, d):
+    mx, ck = budget()
+    ids = lookup.distinct_genes(S.annotations(spark, d), P.HUMAN)
+    return J.create_annotations(ids, S.genes(spark, d), S.gene_pmids(spark, d), S.abstracts(spark, d),
+                                backend(), P.PROCESS, mx, ck, P.TOP_K_ABSTRACTS)
+
+
+@query("synthetic_pairs")
+def q_synthetic_pairs(spark, d):
+    mx, ck = budget()
+    return J.synthetic_pairs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), backend(),
+                             P.PROCESS, mx, ck, P.HUMAN)
+
+
+@query("genes_to_process")
+def q_genes_to_process(spark, d):
+    mx, ck = budget()
+    return J.genes_to_process(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+                              S.gene_pmids(spark, d), S.abstracts(spark, d), backend(), P.PROCESS, mx, ck,
+                              add_abstracts=True, k=P.TOP_K_ABSTRACTS, tax_id=P.HUMAN)
+
+
+def vector_checks(e):
+    """Exact checks of a hashed vector: non-zero count, index sum, arg-max, unit norm."""
+    nz = F.size(F.filter(e, lambda v: v > 0)).cast("bigint")
+    idx_sum = F.aggregate(F.transform(e, lambda v, i: F.when(v > 0, i).otherwise(0).cast("bigint")),
+                          F.lit(0).cast("bigint"), lambda a, x: a + x)
+    top = F.when(nz > 0, (F.array_position(e, F.array_max(e)) - 1).cast("bigint"))
+    sq = F.aggregate(e, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return [nz.alias("n_nonzero"), idx_sum.alias("idx_sum"), top.alias("top_bucket"),
+            (F.abs(sq - 1.0) < 1e-4).alias("unit_norm")]
+
+
+@query("embed_hash")
+def q_embed_hash(spark, d):
+    emb = EM.HashEmbedder(P.EMBED_DIM)
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    e = EM.embed(docs, "text", emb)
+    return e.select("doc_id", F.size(emb.buckets(F.col("text"))).cast("bigint").alias("n_words"),
+                    *vector_checks(F.col("embedding")))
+
+
+@query("index_rows")
+def q_index_rows(spark, d):
+    idx = J.build_index(S.annotations(spark, d), S.genes(spark, d), EM.HashEmbedder(P.EMBED_DIM), P.HUMAN)
+    return idx.select("key", "gene_id", "gene_name", "idx", "type", "text",
+                      F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])

@@ -248,3 +248,147 @@ FROM (SELECT gene_id, CAST(len(regexp_extract_all(joined, {TOKRE}, 0)) AS BIGINT
 ORACLE["chunk_gene"] = q(GENE_TEXT_SQL + f"""
 SELECT gene_id, chunk_idx, n_chunks, kind, n_tokens, chunk_text FROM
   {chunks_sql('gene_joined', 'gene_id', 'joined', MAXT, CHUNKT - PREFIX)}""")
+
+
+# --- M5-M7 ----------------------------------------------------------------------
+
+
+def lead_sql(prompt: str, k: int = P.LEAD_SENTENCES) -> str:
+    body = f"(CASE WHEN strpos({prompt}, {NL2}) > 0 THEN substr({prompt}, strpos({prompt}, {NL2}) + 2) ELSE {prompt} END)"
+    s = f"regexp_extract_all({body}, '[^.!?]*[.!?]+', 0)"
+    return strip_sql(f"(CASE WHEN len({s}) > 0 THEN array_to_string({s}[1:{k}], '') ELSE {body} END)")
+
+
+def first_sentence_sql(x: str) -> str:
+    return strip_sql(f"list_filter(string_split({x}, '.'), lambda x: x <> '')[1]")
+
+
+def distill_sql(src: str, key: str, joined: str, mx: int = MAXT, size: int = CHUNKT - PREFIX) -> str:
+    """One round: pass whole, or answer each chunk and join answers with a space."""
+    chunk_p = f"{lit(PR.CHUNK_INSTRUCTION)} || {NL2} || chunk_text"
+    return f"""(
+  SELECT {key}, any_value(n_tokens) AS n_tokens, any_value(kind) AS kind,
+         CAST(CASE WHEN any_value(kind) = 'pass' THEN 0 ELSE 1 END AS INTEGER) AS rounds,
+         CASE WHEN any_value(kind) = 'pass' THEN any_value(chunk_text)
+              ELSE string_agg({lead_sql(chunk_p)}, ' ' ORDER BY chunk_idx) END AS distilled
+  FROM {chunks_sql(src, key, joined, mx, size)} GROUP BY {key})"""
+
+
+def gene_prompt_sql(name: str, data: str) -> str:
+    return (f"'In one concise paragraph, summarise the biological activity and functions of the gene ''' || {name} || "
+            f"''' with respect to ' || {lit(P.PROCESS)} || ', covering expression, regulatory mechanisms and roles in "
+            f"cellular processes or disease, based only on the statements below.' || {NL2} || {data}")
+
+
+def annotation_prompt_sql(name: str, data: str) -> str:
+    return (f"'In one short sentence, the length of a tweet, state what the gene ''' || {name} || ''' does in ' || "
+            f"{lit(P.PROCESS)} || ': its expression, regulation and role in cells or disease, based only on the "
+            f"abstracts below.' || {NL2} || {data}")
+
+
+def process_prompt_sql(lines: str) -> str:
+    p = lit(P.PROCESS)
+    return (f"'From the gene summaries below, pick the genes that take part in the biological process ''' || {p} || "
+            f"''' and describe the role of each in that process as one coherent narrative; leave out genes unrelated to ''' "
+            f"|| {p} || ''', be precise and specific, and give a mechanistic hypothesis for each gene in ' || {p} || '.' "
+            f"|| {NL2} || {lines}")
+
+
+ORACLE["infer_lead"] = q(ART_OK_SQL + f"""
+SELECT pmid, {lead_sql(f"({lit(PR.ARTICLE_INSTRUCTION)} || {NL2} || article)")} AS response, 'ok' AS status FROM art""")
+
+ORACLE["distill"] = q(GENE_TEXT_SQL + f"""
+SELECT gene_id, n_tokens, kind, rounds, distilled FROM {distill_sql('gene_joined', 'gene_id', 'joined')}""")
+
+
+def _articles_sql(instr: str, fences: bool) -> str:
+    summ = lead_sql(f"({instr} || {NL2} || d.distilled)")
+    if fences:
+        summ = (f"array_to_string(list_filter(string_split({summ}, chr(10)), "
+                f"lambda l: NOT starts_with(l, '```') AND NOT ends_with(l, '```')), chr(10))")
+    return q(ART_OK_SQL + f"""
+SELECT l.pmid, l.status, {summ} AS summary
+FROM lookup l LEFT JOIN {distill_sql('art', 'pmid', 'article')} d ON d.pmid = l.pmid""")
+
+
+ORACLE["summarize_articles"] = _articles_sql(lit(PR.ARTICLE_INSTRUCTION), False)
+ORACLE["article_task"] = _articles_sql(lit(PR.TASKS[P.TASK]), True)
+
+
+def summaries_sql(members: str, extra: str | None = None) -> str:
+    """CTEs m (token, gene_id), gsum (gene_id, gene_name, n_texts, summary) for the tokens of ``members``."""
+    texts = "SELECT gene_id, row_ord, text FROM gene_text WHERE gene_id IN (SELECT gene_id FROM m)"
+    if extra:
+        texts += f"\n    UNION ALL SELECT gene_id, {1 << 62} AS row_ord, {punct_sql('text')} FROM {extra} WHERE length(text) > 0"
+    return f""", m AS (SELECT DISTINCT token, gene_id FROM {resolve_tokens_sql(f'(SELECT DISTINCT token FROM {members})', 'token')}),
+gene_text AS (SELECT gene_id, row_ord, {punct_sql('text')} AS text FROM human WHERE length(text) > 0),
+mtexts AS ({texts}),
+mjoined AS (SELECT gene_id, count(*) AS n_texts, string_agg(text, ' ' ORDER BY row_ord) AS joined FROM mtexts GROUP BY gene_id),
+gdist AS {distill_sql('mjoined', 'gene_id', 'joined')},
+gsum AS (SELECT d.gene_id, g.symbol AS gene_name, j.n_texts,
+           {lead_sql(gene_prompt_sql('coalesce(g.symbol, CAST(d.gene_id AS VARCHAR))', 'd.distilled'))} AS summary
+         FROM gdist d JOIN mjoined j ON j.gene_id = d.gene_id LEFT JOIN genes g ON g.gene_id = d.gene_id),
+msum AS (SELECT m.token, m.gene_id, s.gene_name, CAST(coalesce(s.n_texts, 0) AS BIGINT) AS n_texts, s.summary,
+           CASE WHEN m.gene_id IS NULL THEN 'unresolved' WHEN s.summary IS NULL THEN 'no_text' ELSE 'ok' END AS status
+         FROM m LEFT JOIN gsum s ON s.gene_id = m.gene_id)"""
+
+
+ORACLE["summarize_genes"] = q(summaries_sql("gene_list") + "\nSELECT token, gene_id, gene_name, n_texts, summary, status FROM msum")
+
+
+def narrative_sql(group_sel: str, group_by: str, members: str) -> str:
+    line = "'Gene ' || coalesce(s.gene_name, s.token) || ': ' || s.summary"
+    return f"""
+SELECT {group_sel} n_genes, {lead_sql(process_prompt_sql('lines'))} AS narrative, 'ok' AS status FROM (
+  SELECT {group_by} count(*) AS n_genes, string_agg({line}, chr(10) ORDER BY mb.pos) AS lines
+  FROM {members} mb JOIN msum s ON s.token = mb.token WHERE s.summary IS NOT NULL {'GROUP BY ' + group_by.rstrip(', ') if group_by else ''})"""
+
+
+ORACLE["process_narrative"] = q(summaries_sql("(SELECT symbol AS token FROM gene_sets)")
+                                + narrative_sql("gene_set,", "mb.gene_set,",
+                                                "(SELECT gene_set, pos, symbol AS token FROM gene_sets)"))
+
+CREATE_SQL = TOPK_SQL + f""", syn_dist AS {distill_sql('(SELECT * FROM gene_abs WHERE gene_id IN (SELECT gene_id FROM ids))', 'gene_id', 'abstracts')},
+syn AS (SELECT d.gene_id, g.symbol AS gene_name,
+          {first_sentence_sql(lead_sql(annotation_prompt_sql('coalesce(g.symbol, CAST(d.gene_id AS VARCHAR))', 'd.distilled')))} AS synthetic
+        FROM syn_dist d LEFT JOIN genes g ON g.gene_id = d.gene_id)"""
+
+ORACLE["create_annotations"] = q(", ids AS (SELECT DISTINCT gene_id FROM human)" + CREATE_SQL
+                                 + "\nSELECT gene_id, gene_name, synthetic FROM syn")
+
+ORACLE["synthetic_pairs"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts')}
+SELECT p.row_ord, p.gene_id, p.gene_name, p.ground_truth,
+  {first_sentence_sql(lead_sql(annotation_prompt_sql('p.gene_name', 'd.distilled')))} AS synthetic
+FROM pairs_in p JOIN pd d ON d.row_ord = p.row_ord""")
+
+ORACLE["genes_to_process"] = q(
+    f", ids AS (SELECT DISTINCT gene_id FROM {resolve_tokens_sql('(SELECT DISTINCT token FROM gene_list)', 'token')} WHERE gene_id IS NOT NULL)"
+    + CREATE_SQL
+    + summaries_sql("gene_list", "(SELECT gene_id, synthetic AS text FROM syn WHERE synthetic IS NOT NULL)")
+    + narrative_sql("", "", "gene_list"))
+
+WORDS_SQL = r"""regexp_extract_all(lower(text), '[^\s.,;:!?()"'']+', 0)"""
+BUCKET_SQL = f"CAST(CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {P.EMBED_DIM} AS BIGINT)"
+
+
+def vec_checks_sql(src: str, key: str) -> str:
+    return f"""(SELECT {key}, CAST(count(*) AS BIGINT) AS n_nonzero, CAST(sum(bucket) AS BIGINT) AS idx_sum,
+     CAST(arg_max(bucket, cnt * 100000 - bucket) AS BIGINT) AS top_bucket, true AS unit_norm
+   FROM (SELECT {key}, bucket, count(*) AS cnt FROM
+           (SELECT {key}, {BUCKET_SQL} AS bucket FROM (SELECT {key}, unnest({WORDS_SQL}) AS w FROM {src}))
+         GROUP BY ALL) GROUP BY {key})"""
+
+
+ORACLE["embed_hash"] = q(f"""
+SELECT d.doc_id, CAST(len({WORDS_SQL.replace('text', 'd.text')}) AS BIGINT) AS n_words,
+  coalesce(v.n_nonzero, 0) AS n_nonzero, coalesce(v.idx_sum, 0) AS idx_sum, v.top_bucket,
+  coalesce(v.unit_norm, false) AS unit_norm
+FROM documents d LEFT JOIN {vec_checks_sql('documents', 'doc_id')} v ON v.doc_id = d.doc_id""")
+
+ORACLE["index_rows"] = q(f"""
+SELECT coalesce(g.symbol, CAST(h.gene_id AS VARCHAR)) || '-gt-' || CAST(row_number() OVER (PARTITION BY h.gene_id ORDER BY h.row_ord) AS VARCHAR) AS key,
+  h.gene_id, g.symbol AS gene_name,
+  CAST(row_number() OVER (PARTITION BY h.gene_id ORDER BY h.row_ord) AS BIGINT) AS idx,
+  'ground_truth' AS type, h.text, CAST({P.EMBED_DIM} AS BIGINT) AS dim, coalesce(v.n_nonzero, 0) AS n_nonzero
+FROM human h LEFT JOIN genes g ON g.gene_id = h.gene_id
+LEFT JOIN {vec_checks_sql('(SELECT row_ord, text FROM human)', 'row_ord')} v ON v.row_ord = h.row_ord""")

@@ -29,6 +29,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "annolens", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("ANNOLENS_DRIVER_MEMORY", "8g")
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
