@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prompts import chunk_prompt
 from ..session import ensure_checkpoint_dir
@@ -65,3 +66,59 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
     # One row per key, bounded by the budget: cheap to keep, and later
     # stages (prompt, model) then start from a short plan.
     return res.checkpoint(eager=True)
+
+
+def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,
+                 max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
+                 responses_path: str | None = None, out_col: str = "distilled") -> DataFrame:
+    """Distill for inputs with one text per key (an article, the abstracts
+    of one annotation row).  Returns ``df`` with n_tokens, kind, rounds and
+    ``out_col`` added; every input column passes through.
+
+    Rows within budget (and NULL texts) pass as they are: a per-row
+    expression, no shuffle.  Only over-budget rows are cut (per-row), their
+    chunks answered and regrouped per key (bounded by the chunks of one
+    text), repeated until they fit, and joined back to the over-budget rows
+    alone.
+    """
+    from .chunking import chunk_rows, token_count_fast
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    prefix = prefix_tokens()
+    d = df.withColumn("n_tokens", token_count_fast(F.col(text_col)))
+    fits = F.col("n_tokens").isNull() | (F.col("n_tokens") <= F.lit(max_tokens))
+    passed = (d.filter(fits).withColumn("kind", F.lit("pass")).withColumn("rounds", F.lit(0))
+               .withColumn(out_col, F.col(text_col)))
+    over = d.filter(~fits)
+    cur = over.select(*keys, F.col(text_col).alias("_text"))
+    done = []
+    rnd = 0
+    while True:
+        c = chunk_rows(cur, "_text", max_tokens, chunk_tokens, prefix)
+        if rnd > 0:
+            done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("_text").alias("_dist"),
+                                                                 F.lit(rnd).alias("rounds")))
+        if max_rounds is not None and rnd >= max_rounds:
+            done.append(c.filter(F.col("kind") == "chunk").filter(F.col("chunk_idx") == 0)
+                         .select(*keys, F.col("_text").alias("_dist"), F.lit(rnd).alias("rounds")))
+            break
+        todo = c.filter(F.col("kind") == "chunk").withColumn("_prompt", chunk_prompt(F.col("chunk_text")))
+        answered = infer(todo, "_prompt", backend, "_resp", responses_path)
+        joined = answered.groupBy(*keys).agg(F.expr(
+            f"listagg(coalesce(_resp, ''), '{sep}') WITHIN GROUP (ORDER BY chunk_idx)").alias("_text"))
+        joined = joined.checkpoint(eager=True)
+        rnd += 1
+        if joined.limit(1).count() == 0:
+            break
+        cur = joined
+    res = None
+    for x in done:
+        res = x if res is None else res.unionByName(x)
+    if res is None:
+        res = spark.createDataFrame([], over.select(*keys).schema.add("_dist", T.StringType()).add("rounds", T.IntegerType()))
+    chunked = (over.join(res, keys).withColumn("kind", F.lit("chunk"))
+                   .withColumn(out_col, F.col("_dist")).drop("_dist"))
+    return passed.unionByName(chunked.withColumn("rounds", F.col("rounds").cast("int")),
+                              allowMissingColumns=False) \
+        .withColumn("rounds", F.col("rounds").cast("int"))

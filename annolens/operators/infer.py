@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import payload_of
-from ..functions.text import sentences, strip
+from ..functions.text import strip
 from ..schemas import RESPONSES
 from ..session import ensure_checkpoint_dir
 
@@ -49,8 +49,10 @@ class LeadBackend(Backend):
 
     def native(self, prompt: Column) -> Column:
         body = payload_of(prompt)
-        s = sentences(body)
-        return strip(F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, self.k), "")).otherwise(body))
+        # The first k sentence pieces, matched once from the start (the same
+        # text as joining the first k pieces of ``functions.text.sentences``).
+        head = F.regexp_extract(body, r"^(?:[^.!?]*[.!?]+){1,%d}" % self.k, 0)
+        return strip(F.when(head != "", head).otherwise(body))
 
 
 class CallableBackend(Backend):
@@ -134,18 +136,28 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
 
 def infer(df: DataFrame, prompt_col: str, backend: Backend, out_col: str = "response",
           responses_path: str | None = None, parallelism: int | None = None,
-          skip_empty: bool = True) -> DataFrame:
+          skip_empty: bool = True, keep_prompt: bool = False) -> DataFrame:
     """Adds ``out_col`` (the answer) and ``<out_col>_status`` to ``df``.
 
     NULL (and, with ``skip_empty``, empty) prompts are not sent; their status
-    is 'skipped'.  Equal prompts are answered once and joined back.
+    is 'skipped'.  A native backend is a projection (deterministic, cheap:
+    no dedupe, no join).  Otherwise equal prompts are answered once, the
+    answers are materialised, and they are joined back on the prompt hash;
+    the prompt text itself is dropped before that join unless ``keep_prompt``.
     """
     p = F.col(prompt_col)
     send = p.isNotNull() & (F.length(p) > 0) if skip_empty else p.isNotNull()
+    expr = backend.native(p)
+    if expr is not None and responses_path is None:
+        out = df.withColumn(out_col, F.when(send, expr)).withColumn(
+            f"{out_col}_status", F.when(send, F.lit("ok")).otherwise(F.lit("skipped")))
+        return out if keep_prompt else out.drop(prompt_col)
     d = df.withColumn("_pid", F.when(send, prompt_id(p)))
     prompts = d.filter(F.col("_pid").isNotNull()).select(F.col("_pid").alias("prompt_id"), p.alias("prompt"))
     r = answer(prompts, backend, responses_path, parallelism).select(
         F.col("prompt_id").alias("_pid"), F.col("response").alias(out_col), F.col("status").alias("_st"))
+    if not keep_prompt:
+        d = d.drop(prompt_col)
     j = d.join(r, "_pid", "left")
     status = F.when(F.col("_pid").isNull(), F.lit("skipped")).otherwise(F.coalesce(F.col("_st"), F.lit("error")))
     return j.withColumn(f"{out_col}_status", status).drop("_pid", "_st")

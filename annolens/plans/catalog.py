@@ -329,9 +329,9 @@ def vector_checks(e):
 def q_embed_hash(spark, d):
     emb = EM.HashEmbedder(P.EMBED_DIM)
     docs = S.table(spark, d, "documents").select("doc_id", "text")
-    e = EM.embed(docs, "text", emb)
-    return e.select("doc_id", F.size(emb.buckets(F.col("text"))).cast("bigint").alias("n_words"),
-                    *vector_checks(F.col("embedding")))
+    b = docs.select("doc_id", emb.buckets(F.col("text")).alias("b"))
+    e = b.select("doc_id", F.size("b").cast("bigint").alias("n_words"), emb.vector(F.col("b")).alias("embedding"))
+    return e.select("doc_id", "n_words", *vector_checks(F.col("embedding")))
 
 
 @query("index_rows")

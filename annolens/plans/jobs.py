@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as PR
 from ..functions.text import ARTICLE_SEP, article_segments, ensure_terminal_punct, first_sentence, strip_fences
 from ..operators.broadcast import sized_broadcast
-from ..operators.distill import distill
+from ..operators.distill import distill, distill_rows
 from ..operators.embed import HashEmbedder, embed
 from ..operators.infer import Backend, infer
 from ..operators.literature import article_lookup, gene_abstracts_text, pairs_inputs
@@ -30,15 +30,15 @@ def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame,
     """PMID -> article -> text -> distill -> summary (or task answer with
     code fences removed).  Output: pmid, status, summary (NULL unless ok)."""
     a = article_lookup(pmids, links, articles)
-    ok = (a.filter(F.col("status") == "ok")
-           .select("pmid", F.lit(0).alias("_o"), F.array_join(extract(F.col("body")), ARTICLE_SEP).alias("article")))
-    d = distill(ok, ["pmid"], "_o", "article", backend, max_tokens, chunk_tokens, responses_path=responses_path)
+    ok = F.col("status") == "ok"
+    a = a.select("pmid", "status", F.when(ok, F.array_join(extract(F.col("body")), ARTICLE_SEP)).alias("article"))
+    d = distill_rows(a, ["pmid"], "article", backend, max_tokens, chunk_tokens, responses_path=responses_path)
     instr = PR.task_instruction(task) if task else None
-    p = d.withColumn("_prompt", PR.article_prompt(F.col("distilled"), instr))
-    s = infer(p, "_prompt", backend, "summary", responses_path)
+    p = d.withColumn("_prompt", F.when(ok, PR.article_prompt(F.col("distilled"), instr)))
+    s = infer(p, "_prompt", backend, "summary", responses_path, skip_empty=True)
     if task:
         s = s.withColumn("summary", strip_fences("summary"))
-    return a.select("pmid", "status").join(s.select("pmid", "summary"), "pmid", "left")
+    return s.select("pmid", "status", "summary")
 
 
 def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFrame, abstracts: DataFrame,
@@ -48,8 +48,8 @@ def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFr
     annotation.  Output: gene_id, gene_name, synthetic."""
     ids = sized_broadcast(gene_ids.select("gene_id").distinct())
     gp = gene_pmids.join(ids, "gene_id")
-    abs_ = gene_abstracts_text(gp, abstracts, k).select("gene_id", F.lit(0).alias("_o"), "abstracts")
-    d = distill(abs_, ["gene_id"], "_o", "abstracts", backend, max_tokens, chunk_tokens, responses_path=responses_path)
+    abs_ = gene_abstracts_text(gp, abstracts, k).select("gene_id", "abstracts")
+    d = distill_rows(abs_, ["gene_id"], "abstracts", backend, max_tokens, chunk_tokens, responses_path=responses_path)
     named = resolve_ids(d, "gene_id", genes, "gene_name")
     p = named.withColumn("_prompt", PR.annotation_prompt(
         F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled")))
@@ -63,9 +63,8 @@ def synthetic_pairs(annotations: DataFrame, abstracts: DataFrame, genes: DataFra
     """Ground-truth annotation paired with a synthetic one written from
     the abstracts it cites.  Output: gene_id, gene_name, ground_truth, synthetic."""
     pin = pairs_inputs(annotations, abstracts, genes, tax_id, gene_id)
-    d = distill(pin.select("row_ord", F.lit(0).alias("_o"), "abstracts"), ["row_ord"], "_o", "abstracts",
-                backend, max_tokens, chunk_tokens, responses_path=responses_path)
-    j = pin.drop("abstracts").join(d.select("row_ord", "distilled"), "row_ord")
+    j = distill_rows(pin, ["row_ord"], "abstracts", backend, max_tokens, chunk_tokens,
+                     responses_path=responses_path)
     p = j.withColumn("_prompt", PR.annotation_prompt(F.col("gene_name"), F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "_answer", responses_path)
     return s.select("row_ord", "gene_id", "gene_name", "ground_truth", first_sentence("_answer").alias("synthetic"))
