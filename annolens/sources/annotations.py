@@ -30,6 +30,7 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     )
     ordered = keyed.orderBy("_f", "_b", "_m")
     return (ordered.withColumn("row_ord", F.monotonically_increasing_id())
+            .withColumn("pmid_list", F.coalesce(F.col("pmid_list"), F.lit("")))
             .withColumn("pmids", parse_pmid_list("pmid_list"))
             .select("tax_id", "gene_id", "pmid_list", "pmids", "updated_at", "text", "row_ord"))
 
