@@ -76,13 +76,14 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     the result to the token budget, without ever building the joined text
     of a key that is over budget.
 
-    Every text gets ``sep`` appended; its token count and its running token
-    offset inside the key come from the block prefix sum (no task holds a
-    whole key).  A key with at most ``max_tokens`` tokens is joined whole
-    (bounded by the budget).  Otherwise each text is sliced into the chunks
-    of ``chunk_tokens - prefix`` tokens it overlaps, and each chunk is
-    regrouped from its slices (bounded by the chunk size).  The extra
-    ``sep`` is removed from the key's last chunk.
+    Every text gets ``sep`` appended.  Pass 1 counts its tokens (a regex
+    count, no arrays) for the block prefix sum, which gives each text its
+    token offset inside the key and the key's total (no task holds a whole
+    key).  Pass 2 tokenises and sends each text to the chunks it overlaps:
+    a key within ``max_tokens`` has one chunk (the whole text, bounded by the
+    budget); otherwise chunks of ``chunk_tokens - prefix`` tokens, each
+    regrouped from its slices (bounded by the chunk size).  The extra ``sep``
+    is removed from the key's last chunk.
 
     Output: keys, chunk_idx, n_chunks, kind, n_tokens, chunk_text.
     Texts must be non-empty and should not begin with whitespace (a leading
@@ -92,42 +93,37 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
     d = df.select(*keys, order_col, F.concat(F.col(text_col), F.lit(sep)).alias("_piece"))
-    d = d.withColumn("_tok", word_tokens("_piece")).withColumn("_n", F.size("_tok").cast("bigint"))
+    d = d.withColumn("_n", token_count_fast(F.col("_piece")))
     d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens")
-
-    lsep = len(sep)
-
-    def drop_final_sep(c: Column, is_last: Column) -> Column:
-        return F.when(is_last & F.lit(lsep > 0), c.substr(F.lit(1), F.length(c) - F.lit(lsep))).otherwise(c)
-
-    whole = (d.filter(F.col("n_tokens") <= F.lit(max_tokens))
-              .groupBy(*keys).agg(
-                  F.first("n_tokens").alias("n_tokens"),
-                  F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{order_col}`)").alias("_t"))
-              .select(*keys, F.lit(0).cast("bigint").alias("chunk_idx"), F.lit(1).cast("bigint").alias("n_chunks"),
-                      F.lit("pass").alias("kind"), "n_tokens",
-                      drop_final_sep(F.col("_t"), F.lit(True)).alias("chunk_text")))
+    d = d.filter(F.col("_n") > 0).withColumn(
+        "_tok", F.when(F.col("n_tokens") > F.lit(max_tokens), word_tokens("_piece")))
 
     L = F.lit(size).cast("bigint")
-    over = d.filter((F.col("n_tokens") > F.lit(max_tokens)) & (F.col("_n") > 0))
-    first_c = F.floor(F.col("_st") / L)
-    last_c = F.floor((F.col("_st") + F.col("_n") - 1) / L)
+    fits = F.col("n_tokens") <= F.lit(max_tokens)
+    first_c = F.when(fits, F.lit(0)).otherwise(F.floor(F.col("_st") / L)).cast("bigint")
+    last_c = F.when(fits, F.lit(0)).otherwise(F.floor((F.col("_st") + F.col("_n") - 1) / L)).cast("bigint")
 
     def part(c):
         a = F.greatest(c * L - F.col("_st"), F.lit(0).cast("bigint"))
         b = F.least((c + 1) * L - F.col("_st"), F.col("_n"))
-        return F.struct(c.alias("c"), F.array_join(F.slice(F.col("_tok"), (a + 1).cast("int"), (b - a).cast("int")), "").alias("t"))
+        sl = F.array_join(F.slice(F.col("_tok"), (a + 1).cast("int"), (b - a).cast("int")), "")
+        return F.struct(c.alias("c"), F.when(fits, F.col("_piece")).otherwise(sl).alias("t"))
 
-    parts = over.select(*keys, order_col, "n_tokens",
-                        F.explode(F.transform(F.sequence(first_c, last_c), part)).alias("_p"))
+    parts = d.select(*keys, order_col, "n_tokens",
+                     F.explode(F.transform(F.sequence(first_c, last_c), part)).alias("_p"))
     chunks = (parts.groupBy(*keys, F.col("_p.c").alias("chunk_idx")).agg(
                   F.first("n_tokens").alias("n_tokens"),
-                  F.expr(f"listagg(_p.t, '') WITHIN GROUP (ORDER BY `{order_col}`)").alias("_t"))
-              .withColumn("n_chunks", F.ceil(F.col("n_tokens") / L).cast("bigint")))
+                  F.expr(f"listagg(_p.t, '') WITHIN GROUP (ORDER BY `{order_col}`)").alias("_t")))
+    fits2 = F.col("n_tokens") <= F.lit(max_tokens)
+    n_chunks = F.when(fits2, F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / L)).cast("bigint")
+    chunks = chunks.withColumn("n_chunks", n_chunks)
     is_last = F.col("chunk_idx") == F.col("n_chunks") - 1
-    chunks = chunks.select(*keys, F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "n_chunks",
-                           F.lit("chunk").alias("kind"), "n_tokens", drop_final_sep(F.col("_t"), is_last).alias("chunk_text"))
-    return whole.unionByName(chunks)
+    lsep = len(sep)
+    text = F.when(is_last & F.lit(lsep > 0), F.col("_t").substr(F.lit(1), F.length("_t") - F.lit(lsep))) \
+        .otherwise(F.col("_t"))
+    return chunks.select(*keys, F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "n_chunks",
+                         F.when(fits2, F.lit("pass")).otherwise(F.lit("chunk")).alias("kind"), "n_tokens",
+                         text.alias("chunk_text"))
 
 
 def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int, chunk_tokens: int,

@@ -5,16 +5,54 @@ that holds a third of all rows would make that one task a third of the job.
 Here the order column is cut into blocks of ``block_rows``: block totals
 are a partial aggregate, the offsets of blocks are a window over the small
 per-key block table, and only rows of one (key, block) share a task.
+
+Keys may be NULL (a NULL key is a group of its own).  The join back and
+the in-block window use the same materialised, null-free key columns, so
+the large side is shuffled once (or not at all when AQE broadcasts the
+block table).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 
 
+def _sentinel(dt: T.DataType):
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                       T.DecimalType)):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, T.DateType):
+        return F.lit("1970-01-01").cast(dt)
+    if isinstance(dt, T.TimestampType):
+        return F.lit(0).cast("timestamp")
+    return None
+
+
+def _null_free_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Adds (value-or-sentinel, is-null) columns for each nullable key."""
+    cols, added = [], []
+    schema = {f.name: f for f in df.schema.fields}
+    for i, k in enumerate(keys):
+        f = schema[k]
+        s = _sentinel(f.dataType)
+        if not f.nullable or s is None:
+            cols.append(k)
+            continue
+        v, n = f"_kv{i}", f"_kn{i}"
+        df = df.withColumn(v, F.coalesce(F.col(k), s)).withColumn(n, F.col(k).isNull())
+        cols += [v, n]
+        added += [v, n]
+    return df, cols, added
+
+
 def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_col: str,
                          out_col: str, block_rows: int = DEFAULT_BLOCK_ROWS,
                          total_col: str | None = None) -> DataFrame:
@@ -22,20 +60,20 @@ def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_c
     (ordered by ``order_col``, which must be unique within a key).  With
     ``total_col`` also adds the key's grand total."""
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)).cast("bigint"))
-    blocks = d.groupBy(*keys, "_blk").agg(F.sum(value_col).alias("_bsum"))
-    wk = Window.partitionBy(*keys).orderBy("_blk")
+    d, kc, added = _null_free_keys(d, keys)
+    blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"))
+    wk = Window.partitionBy(*kc).orderBy("_blk")
     offs = blocks.withColumn("_boff", F.coalesce(
         F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total_col:
         offs = offs.withColumn(total_col, F.sum("_bsum").over(wk.rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)))
     offs = offs.drop("_bsum")
-    kb = keys + ["_blk"]
-    o = offs.withColumnsRenamed({k: f"_o_{k}" for k in kb})
-    j = d.join(o, F.expr(" AND ".join(f"`{k}` <=> `_o_{k}`" for k in kb))).drop(*[f"_o_{k}" for k in kb])
+    kb = kc + ["_blk"]
+    j = d.join(offs, kb)
     wb = Window.partitionBy(*kb).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = j.withColumn(out_col, (F.col("_boff") + F.coalesce(F.sum(value_col).over(wb), F.lit(0))))
-    return out.drop("_blk", "_boff")
+    return out.drop("_blk", "_boff", *added)
 
 
 def ordinal(df: DataFrame, keys: list[str], order_col: str, out_col: str = "idx",
