@@ -1,0 +1,44 @@
+"""Incremental summaries: two arrivals, touched genes only, no repeated model calls."""
+
+import os
+
+from annolens.streaming.incremental import latest_summaries, run_incremental_summaries
+
+from test_infer_distill import calls, counting_backend
+
+HEADER = "#Tax ID\tGene ID\tPubMed ID (PMID) list\tlast update timestamp\tGeneRIF text\n"
+
+
+def drop(folder, name, rows):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(HEADER)
+        for r in rows:
+            f.write("\t".join(str(x) for x in r) + "\n")
+
+
+def test_incremental_summaries(spark, tmp_path):
+    inc, ann, summ, resp, ck = (str(tmp_path / x) for x in ("in", "ann", "summ", "resp", "ck"))
+    log = str(tmp_path / "calls.log")
+    aliases = spark.createDataFrame([("G1", 1, True), ("G2", 2, True)], "symbol string, gene_id bigint, is_official boolean")
+    genes = spark.createDataFrame([(1, 9606, "G1"), (2, 9606, "G2")], "gene_id bigint, tax_id int, symbol string")
+
+    def run():
+        run_incremental_summaries(spark, inc, ann, summ, resp, ck, aliases, genes, counting_backend(log),
+                                  "test process", 1000, 1000)
+
+    drop(inc, "a.tsv", [(9606, 1, "1", "t", "G1 does A."), (9606, 2, "2", "t", "G2 does B."),
+                        (10090, 1, "3", "t", "mouse row.")])
+    run()
+    first = {r.gene_id: r for r in latest_summaries(spark, summ).collect()}
+    assert set(first) == {1, 2} and first[1].n_texts == 1 and first[1].status == "ok"
+    n1 = calls(log)
+    assert n1 == 2
+
+    drop(inc, "b.tsv", [(9606, 1, "4", "t", "G1 also does C.")])
+    run()
+    latest = {r.gene_id: r for r in latest_summaries(spark, summ).collect()}
+    assert latest[1].n_texts == 2 and latest[1].epoch > first[1].epoch
+    assert latest[2].epoch == first[2].epoch          # untouched gene keeps its summary
+    assert calls(log) == n1 + 1                        # only the changed gene was sent
+    assert spark.read.parquet(ann).count() == 4
