@@ -37,3 +37,15 @@ def resolve_tokens(df: DataFrame, token_col: str, aliases: DataFrame, out_col: s
     r = resolve_symbols(d, "_tok", aliases, "_by_symbol")
     numeric = F.when(is_numeric_token(F.col("_tok")), F.col("_tok").try_cast("bigint"))
     return r.withColumn(out_col, F.coalesce(numeric, F.col("_by_symbol"))).drop("_tok", "_by_symbol")
+
+
+def resolve_token_value(aliases: DataFrame, token: str) -> int | None:
+    """Resolve one token given on the command line / as a parameter.
+
+    A numeric token is its own ID (no job); a symbol is one filtered read
+    of the dictionary."""
+    t = str(token).strip()
+    if t.isascii() and t.isdigit():
+        return int(t)
+    r = best_aliases(aliases.filter(F.col("symbol") == t)).first()
+    return None if r is None else r["_sym_gene_id"]

@@ -36,9 +36,7 @@ def gene_list(spark, d) -> DataFrame:
 
 def resolve_one(spark, d, token: str) -> int | None:
     """Resolve a single gene token on the driver (one dictionary row)."""
-    t = spark.createDataFrame([(token,)], "token string")
-    r = resolve.resolve_tokens(t, "token", S.aliases(spark, d)).first()
-    return None if r is None else r["gene_id"]
+    return resolve.resolve_token_value(S.aliases(spark, d), token)
 
 
 # --- M1: scans, filters, resolution, lookups ---------------------------------
@@ -288,7 +286,7 @@ def q_process_narrative(spark, d):
     s = J.summarize_genes(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
                           backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
     per = members.join(s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
-    return J.process_narrative(per, ["gene_set"], backend(), P.PROCESS)
+    return J.process_narrative(per, ["gene_set"], backend(), P.PROCESS, mx, ck)
 
 
 @query("create_annotations")

@@ -111,20 +111,25 @@ def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFra
 
 
 def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Backend, process: str,
+                      max_tokens: int | None = None, chunk_tokens: int | None = None,
                       responses_path: str | None = None) -> DataFrame:
     """One narrative per group from its genes' summaries.
 
     ``summaries`` has group_cols, pos, gene, summary.  Lines "Gene g: summary"
-    in member order, newline-joined (the group is one gene set or list) ->
-    process prompt -> model.  Members without a summary are left out.
-    Output: group_cols, n_genes, narrative, status.
+    in member order are newline-joined through ``distill`` (identical to a
+    plain join when the group fits the budget; a huge set is summarised in
+    bounded chunks first) -> process prompt -> model.  Members without a
+    summary are left out.  Output: group_cols, n_genes, narrative, status.
     """
-    lines = summaries.filter(F.col("summary").isNotNull()).withColumn(
-        "_line", PR.gene_line(F.col("gene"), F.col("summary")))
-    g = lines.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_genes"),
-        F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY pos)").alias("_lines"))
-    p = g.withColumn("_prompt", PR.process_prompt(F.lit(process), F.col("_lines")))
+    from ..operators.chunking import budget_for_model
+    if max_tokens is None or chunk_tokens is None:
+        max_tokens, chunk_tokens = budget_for_model("")
+    lines = summaries.filter(F.col("summary").isNotNull()).select(
+        *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
+    n = lines.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_genes"))
+    d = distill(lines, group_cols, "pos", "_line", backend, max_tokens, chunk_tokens, sep="\n",
+                responses_path=responses_path)
+    p = d.join(n, group_cols).withColumn("_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "narrative", responses_path)
     return s.select(*group_cols, "n_genes", "narrative", F.col("narrative_status").alias("status"))
 
@@ -154,7 +159,7 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
     per_member = members.select("pos", "token").join(
         s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
     return process_narrative(per_member.withColumn("_list", F.lit("genes")), ["_list"], backend, process,
-                             responses_path).drop("_list")
+                             max_tokens, chunk_tokens, responses_path).drop("_list")
 
 
 def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
