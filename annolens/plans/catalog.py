@@ -337,3 +337,56 @@ def q_index_rows(spark, d):
     idx = J.build_index(S.annotations(spark, d), S.genes(spark, d), EM.HashEmbedder(P.EMBED_DIM), P.HUMAN)
     return idx.select("key", "gene_id", "gene_name", "idx", "type", "text",
                       F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
+
+
+# --- sinks and the checkpointed ("dry run") path ---------------------------------
+
+from ..functions.xml_strict import article_segments_strict  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+@query("pairs_tsv")
+def q_pairs_tsv(spark, d):
+    """O49 -> O09: paired rows written as TSV and read back."""
+    mx, ck = budget()
+    pairs = J.synthetic_pairs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), backend(),
+                              P.PROCESS, mx, ck, P.HUMAN)
+    path = scratch_path(spark, "pairs-tsv")
+    SK.write_pairs_tsv(pairs, path)
+    return SK.read_pairs_tsv(spark, path)
+
+
+@query("summaries_checkpoint")
+def q_summaries_checkpoint(spark, d):
+    """O50 with just_summaries -> O10 write; O11 read -> O46 narrative."""
+    mx, ck = budget()
+    members = gene_list(spark, d)
+    s = J.genes_to_process(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+                           S.gene_pmids(spark, d), S.abstracts(spark, d), backend(), P.PROCESS, mx, ck,
+                           add_abstracts=True, just_summaries=True, k=P.TOP_K_ABSTRACTS, tax_id=P.HUMAN)
+    path = scratch_path(spark, "summaries")
+    SK.write_summaries(s.withColumn("gene", F.coalesce("gene_name", "token")), path)
+    loaded = SK.read_summaries(spark, path)
+    per = members.join(loaded.select("token", "gene", "summary"), "token").withColumn("_list", F.lit("genes"))
+    return J.process_narrative(per, ["_list"], backend(), P.PROCESS, mx, ck).drop("_list")
+
+
+@query("index_table")
+def q_index_table(spark, d):
+    """O52 -> O12: the index written as a Parquet table and read back."""
+    idx = J.build_index(S.annotations(spark, d), S.genes(spark, d), EM.HashEmbedder(P.EMBED_DIM), P.HUMAN)
+    path = scratch_path(spark, "index")
+    SK.write_index(idx, path)
+    t = spark.read.parquet(path)
+    return t.select("key", "gene_id", "gene_name", "idx", "type", "text",
+                    F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
+
+
+@query("article_segments_strict")
+def q_article_segments_strict(spark, d):
+    """O36 strict mode (stdlib XML parser in an Arrow-batched UDF); web pages
+    are not well-formed XML, so most rows report ``parse_error``."""
+    r = S.articles(spark, d).select("pmcid", article_segments_strict("body").alias("r"))
+    return r.select("pmcid", F.col("r.status").alias("status"),
+                    F.size("r.segments").cast("bigint").alias("n_segments"))

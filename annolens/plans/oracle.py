@@ -392,3 +392,20 @@ SELECT coalesce(g.symbol, CAST(h.gene_id AS VARCHAR)) || '-gt-' || CAST(row_numb
   'ground_truth' AS type, h.text, CAST({P.EMBED_DIM} AS BIGINT) AS dim, coalesce(v.n_nonzero, 0) AS n_nonzero
 FROM human h LEFT JOIN genes g ON g.gene_id = h.gene_id
 LEFT JOIN {vec_checks_sql('(SELECT row_ord, text FROM human)', 'row_ord')} v ON v.row_ord = h.row_ord""")
+
+
+# --- sinks -------------------------------------------------------------------------
+
+ORACLE["pairs_tsv"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts')}
+SELECT p.gene_id,
+  regexp_replace(p.gene_name, '[\\t\\r\\n]+', ' ', 'g') AS gene_name,
+  regexp_replace(p.ground_truth, '[\\t\\r\\n]+', ' ', 'g') AS ground_truth,
+  regexp_replace({first_sentence_sql(lead_sql(annotation_prompt_sql('p.gene_name', 'd.distilled')))}, '[\\t\\r\\n]+', ' ', 'g') AS synthetic
+FROM pairs_in p JOIN pd d ON d.row_ord = p.row_ord""")
+
+ORACLE["summaries_checkpoint"] = ORACLE["genes_to_process"]
+
+ORACLE["index_table"] = ORACLE["index_rows"]
+
+# No oracle: DuckDB has no XML parser; checked by tests/test_text_functions.py.
+NO_ORACLE = {"article_segments_strict"}
