@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_pmid_list
+from ..operators.broadcast import sized_broadcast
 from ..schemas import ANNOTATION_TSV
 
 
@@ -14,9 +15,14 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Scan the published tab-separated file (gzip or plain).
 
     Explicit schema, header row skipped, quotes are literal characters
-    (annotation text is prose), lines end with ``\\n``.  ``row_ord`` keeps
-    file order: rows are ordered by (file, split offset, position inside the
-    split), then numbered by a distributed range sort.
+    (annotation text is prose), lines end with ``\\n``.
+
+    ``row_ord`` keeps file order without sorting the rows: every input split
+    is a (file, byte offset) pair and rows inside a split keep their reading
+    order (``monotonically_increasing_id`` increases within a task).  The
+    small table of splits (one row per split, ~800k for 100 TB) is ranked in
+    (file, offset) order and broadcast back; ``row_ord = split_rank * 2^32 +
+    position inside the split``.
     """
     raw = (spark.read.schema(ANNOTATION_TSV)
            .option("sep", "\t").option("header", True).option("quote", "")
@@ -28,8 +34,12 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"),
     )
-    ordered = keyed.orderBy("_f", "_b", "_m")
-    return (ordered.withColumn("row_ord", F.monotonically_increasing_id())
+    splits = keyed.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"))
+    w = Window.orderBy("_f", "_b")   # one row per input split: a small table
+    splits = splits.withColumn("_rank", F.row_number().over(w).cast("bigint") - 1)
+    j = keyed.join(sized_broadcast(splits, 5_000_000), ["_f", "_b"])
+    ordered = j.withColumn("row_ord", F.col("_rank") * F.lit(1 << 32) + (F.col("_m") - F.col("_m0")))
+    return (ordered
             .withColumn("pmid_list", F.coalesce(F.col("pmid_list"), F.lit("")))
             .withColumn("pmids", parse_pmid_list("pmid_list"))
             .select("tax_id", "gene_id", "pmid_list", "pmids", "updated_at", "text", "row_ord"))

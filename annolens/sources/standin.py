@@ -42,7 +42,7 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     return doc.select(
         _tax(F.col("lang")).alias("tax_id"),
-        F.substring(F.col("source"), 4, 1 << 20).cast("bigint").alias("gene_id"),
+        F.substring(F.col("source"), 4, 1 << 20).try_cast("bigint").alias("gene_id"),
         pmid_list_of(F.col("doc_id")).alias("pmid_list"),
         F.col("text"),
         F.col("doc_id").alias("row_ord"),
