@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -55,19 +56,35 @@ class LeadBackend(Backend):
         return strip(F.when(head != "", head).otherwise(body))
 
 
+# Fixed value: a rate-limit message advertises its wait like "Please try again in 20s.";
+# the retry waits that long plus RATE_LIMIT_EXTRA_S.
+RATE_LIMIT_RE = re.compile(r"Please try again in (\d+)s\.")
+RATE_LIMIT_EXTRA_S = 5.0
+
+
 class CallableBackend(Backend):
     """Wraps ``fn(list_of_prompts) -> list_of_answers`` (an HTTP client, a local
-    model).  Each batch is retried up to ``max_attempts`` times with
-    exponential backoff; rows of a batch that still fails get
-    ``status='error'`` and the message."""
+    model).  Each batch is retried up to ``max_attempts`` times: after a
+    rate-limit error that advertises a wait, that wait plus
+    ``rate_limit_extra_s`` (capped by ``max_wait_s``); otherwise exponential
+    backoff.  Rows of a batch that still fails get ``status='error'`` and the
+    message."""
 
     def __init__(self, name: str, fn: Callable[[list[str]], list[str]], max_attempts: int = 3,
-                 backoff_s: float = 5.0, batch_size: int = 16):
+                 backoff_s: float = 5.0, batch_size: int = 16, rate_limit_extra_s: float = RATE_LIMIT_EXTRA_S,
+                 max_wait_s: float = 300.0):
         self.name = name
         self.fn = fn
         self.max_attempts = max_attempts
         self.backoff_s = backoff_s
         self.batch_size = batch_size
+        self.rate_limit_extra_s = rate_limit_extra_s
+        self.max_wait_s = max_wait_s
+
+    def wait_seconds(self, exc: Exception, attempt: int) -> float:
+        m = RATE_LIMIT_RE.search(str(exc))
+        w = int(m.group(1)) + self.rate_limit_extra_s if m else self.backoff_s * (2 ** (attempt - 1))
+        return min(w, self.max_wait_s)
 
     def run_batches(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -84,7 +101,7 @@ class CallableBackend(Backend):
                     except Exception as exc:  # noqa: BLE001 - reported per row
                         error = f"{type(exc).__name__}: {exc}"[:2000]
                         if attempts < self.max_attempts:
-                            time.sleep(self.backoff_s * (2 ** (attempts - 1)))
+                            time.sleep(self.wait_seconds(exc, attempts))
                 yield pd.DataFrame({
                     "prompt_id": part["prompt_id"].values,
                     "backend": self.name,

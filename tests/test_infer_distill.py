@@ -69,3 +69,10 @@ def test_distill_rows_matches_distill(spark):
     b = {r.k: r.distilled for r in distill(df.filter("t is not null").withColumn("o", F.lit(0)),
                                            ["k"], "o", "t", LeadBackend(1), 12, size).collect()}
     assert a[1] == b[1] and a[2] == b[2] == "tiny." and a[3] is None
+
+
+def test_rate_limit_wait():
+    b = CallableBackend("x", lambda p: p, backoff_s=1.0, rate_limit_extra_s=5.0, max_wait_s=100.0)
+    assert b.wait_seconds(RuntimeError("Rate limit. Please try again in 20s. Thanks"), 1) == 25.0
+    assert b.wait_seconds(RuntimeError("boom"), 3) == 4.0
+    assert b.wait_seconds(RuntimeError("Please try again in 999s."), 1) == 100.0
