@@ -94,9 +94,18 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
         raise ValueError("chunk budget must exceed the prompt prefix")
     d = df.select(*keys, order_col, F.concat(F.col(text_col), F.lit(sep)).alias("_piece"))
     d = d.withColumn("_n", token_count_fast(F.col("_piece")))
-    d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens")
-    d = d.filter(F.col("_n") > 0).withColumn(
-        "_tok", F.when(F.col("n_tokens") > F.lit(max_tokens), word_tokens("_piece")))
+    over_budget = F.col("n_tokens") > F.lit(max_tokens)
+
+    def second_pass(j: DataFrame) -> DataFrame:
+        # Keys within budget need no offsets: only over-budget rows are
+        # counted again (before the in-block shuffle, so it carries counts,
+        # not token arrays).
+        return j.withColumn("_n", F.when(over_budget, token_count_fast(F.col("_piece"))).otherwise(F.lit(0)))
+
+    d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens",
+                             after_join=second_pass)
+    d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn(
+        "_tok", F.when(over_budget, word_tokens("_piece")))
 
     L = F.lit(size).cast("bigint")
     fits = F.col("n_tokens") <= F.lit(max_tokens)

@@ -55,10 +55,14 @@ def _null_free_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str
 
 def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_col: str,
                          out_col: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                         total_col: str | None = None) -> DataFrame:
+                         total_col: str | None = None, after_join=None) -> DataFrame:
     """Adds ``out_col`` = sum of ``value_col`` over earlier rows of the same key
     (ordered by ``order_col``, which must be unique within a key).  With
-    ``total_col`` also adds the key's grand total."""
+    ``total_col`` also adds the key's grand total.
+
+    ``after_join(df) -> df`` may re-derive ``value_col`` on the second pass
+    (it then sees ``total_col``); the first pass's value is not recomputed.
+    Only rows whose re-derived value matters need it (others may use 0)."""
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)).cast("bigint"))
     d, kc, added = _null_free_keys(d, keys)
     blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"))
@@ -70,7 +74,9 @@ def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_c
             Window.unboundedPreceding, Window.unboundedFollowing)))
     offs = offs.drop("_bsum")
     kb = kc + ["_blk"]
-    j = d.join(offs, kb)
+    j = (d if after_join is None else d.drop(value_col)).join(offs, kb)
+    if after_join is not None:
+        j = after_join(j)
     wb = Window.partitionBy(*kb).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = j.withColumn(out_col, (F.col("_boff") + F.coalesce(F.sum(value_col).over(wb), F.lit(0))))
     return out.drop("_blk", "_boff", *added)
