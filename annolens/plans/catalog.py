@@ -390,3 +390,25 @@ def q_article_segments_strict(spark, d):
     r = S.articles(spark, d).select("pmcid", article_segments_strict("body").alias("r"))
     return r.select("pmcid", F.col("r.status").alias("status"),
                     F.size("r.segments").cast("bigint").alias("n_segments"))
+
+
+@query("annotation_tsv_ingest")
+def q_annotation_tsv_ingest(spark, d):
+    """O01 + O02 + O03 on a real TSV: the stand-in annotations are written in
+    the published layout (gzip, header, tab, one line per row; tabs and
+    newlines inside text become a space; the source row id rides in the
+    timestamp column), scanned back, ingested to partitioned Parquet and read
+    through the cache."""
+    a = S.annotations(spark, d)
+    safe = F.regexp_replace(F.col("text"), r"[\t\r\n]+", " ")
+    tsv = a.orderBy("row_ord").select(
+        F.col("tax_id").cast("string").alias("#Tax ID"), F.col("gene_id").cast("string").alias("Gene ID"),
+        F.col("pmid_list").alias("PubMed ID (PMID) list"), F.col("row_ord").cast("string").alias("last update timestamp"),
+        safe.alias("GeneRIF text"))
+    src = scratch_path(spark, "annotations-tsv")
+    (tsv.write.option("sep", "\t").option("header", True).option("quote", "").option("escape", "")
+        .option("emptyValue", "").option("compression", "gzip").csv(src))
+    from ..sources import annotations as AN
+    t = AN.load_annotations(spark, src, scratch_path(spark, "annotations-parquet"))
+    return t.select("tax_id", "gene_id", "pmid_list", F.size("pmids").cast("bigint").alias("n_pmids"),
+                    F.col("updated_at").alias("source_row"), "text")

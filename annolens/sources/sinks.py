@@ -19,7 +19,7 @@ def write_pairs_tsv(pairs: DataFrame, path: str) -> None:
     out = pairs.select(*[_tsv_safe(c).alias(h) for c, h in
                          zip(["gene_id", "gene_name", "ground_truth", "synthetic"], PAIRS_HEADER)])
     (out.write.mode("overwrite").option("sep", "\t").option("header", True)
-        .option("quote", "").option("escape", "").csv(path))
+        .option("quote", "").option("escape", "").option("emptyValue", "").csv(path))
 
 
 def read_pairs_tsv(spark: SparkSession, path: str) -> DataFrame:
