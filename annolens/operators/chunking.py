@@ -7,13 +7,11 @@ reference's model-dependent defaults are in ``MODEL_BUDGETS``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import CHUNK_INSTRUCTION, PAYLOAD_SEP
-from ..functions.text import WORD_TOKEN, word_tokens
+from ..functions.tokenizers import DEFAULT as DEFAULT_TOKENIZER
 from .scan import DEFAULT_BLOCK_ROWS, exclusive_prefix_sum
 
 # Context budget per model (tokens); any other model gets the
@@ -28,16 +26,14 @@ def budget_for_model(model: str) -> tuple[int, int]:
     return MODEL_BUDGETS.get(model, DEFAULT_MAX_TOKENS), CHUNK_TOKENS
 
 
-def prefix_tokens(prefix: str = CHUNK_INSTRUCTION + PAYLOAD_SEP) -> int:
-    """Token count of a prompt prefix (same pattern as the column tokenizer)."""
-    return len(re.findall(WORD_TOKEN, prefix))
+def prefix_tokens(prefix: str = CHUNK_INSTRUCTION + PAYLOAD_SEP, tokenizer=None) -> int:
+    """Token count of a prompt prefix, with the same tokenizer as the texts."""
+    return (tokenizer or DEFAULT_TOKENIZER).count_text(prefix)
 
 
-def token_count_fast(text: Column) -> Column:
-    """Word-token count without building the token array: non-space runs,
-    plus one for leading whitespace (same count as ``token_count``)."""
-    return (F.regexp_count(text, F.lit(r"\S+")) +
-            F.when(text.rlike(r"^\s"), F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+def token_count_fast(text: Column, tokenizer=None) -> Column:
+    """Token count without keeping the pieces (word tokens: a regex count)."""
+    return (tokenizer or DEFAULT_TOKENIZER).count(text)
 
 
 def _chunk_pieces(tokens: Column, n: Column, size: int) -> Column:
@@ -48,7 +44,7 @@ def _chunk_pieces(tokens: Column, n: Column, size: int) -> Column:
 
 
 def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
-               prefix: int = 0) -> DataFrame:
+               prefix: int = 0, tokenizer=None) -> DataFrame:
     """Per-row budget test and chunking.
 
     A row whose text has at most ``max_tokens`` tokens passes whole
@@ -59,7 +55,8 @@ def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
     size = chunk_tokens - prefix
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
-    d = df.withColumn("_tok", word_tokens(text_col)).withColumn("n_tokens", F.size("_tok").cast("bigint"))
+    tk = tokenizer or DEFAULT_TOKENIZER
+    d = df.withColumn("_tok", tk.pieces(F.col(text_col))).withColumn("n_tokens", F.size("_tok").cast("bigint"))
     passes = F.col("n_tokens") <= F.lit(max_tokens)
     pieces = F.when(passes, F.array(F.col(text_col))).otherwise(_chunk_pieces(F.col("_tok"), F.col("n_tokens"), size))
     d = d.withColumn("kind", F.when(passes, F.lit("pass")).otherwise(F.lit("chunk"))) \
@@ -71,7 +68,7 @@ def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
 
 def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
                  max_tokens: int, chunk_tokens: int, prefix: int = 0, sep: str = " ",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, tokenizer=None) -> DataFrame:
     """Join the texts of each key with ``sep`` (in ``order_col`` order) and cut
     the result to the token budget, without ever building the joined text
     of a key that is over budget.
@@ -93,19 +90,20 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
     d = df.select(*keys, order_col, F.concat(F.col(text_col), F.lit(sep)).alias("_piece"))
-    d = d.withColumn("_n", token_count_fast(F.col("_piece")))
+    tk = tokenizer or DEFAULT_TOKENIZER
+    d = d.withColumn("_n", tk.count(F.col("_piece")))
     over_budget = F.col("n_tokens") > F.lit(max_tokens)
 
     def second_pass(j: DataFrame) -> DataFrame:
         # Keys within budget need no offsets: only over-budget rows are
         # counted again (before the in-block shuffle, so it carries counts,
         # not token arrays).
-        return j.withColumn("_n", F.when(over_budget, token_count_fast(F.col("_piece"))).otherwise(F.lit(0)))
+        return j.withColumn("_n", F.when(over_budget, tk.count(F.col("_piece"))).otherwise(F.lit(0)))
 
     d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens",
                              after_join=second_pass)
     d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn(
-        "_tok", F.when(over_budget, word_tokens("_piece")))
+        "_tok", F.when(over_budget, tk.pieces(F.col("_piece"))))
 
     L = F.lit(size).cast("bigint")
     fits = F.col("n_tokens") <= F.lit(max_tokens)
@@ -136,11 +134,11 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
 
 
 def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int, chunk_tokens: int,
-                prefix: int = 0, sep: str = " ") -> DataFrame:
+                prefix: int = 0, sep: str = " ", tokenizer=None) -> DataFrame:
     """Per key: total tokens of the joined text, pass/chunk decision and the
     number of chunks.  A plain partial + final aggregate."""
     size = chunk_tokens - prefix
-    n = F.size(word_tokens(F.concat(F.col(text_col), F.lit(sep)))).cast("bigint")
+    n = (tokenizer or DEFAULT_TOKENIZER).count(F.concat(F.col(text_col), F.lit(sep)))
     g = df.groupBy(*keys).agg(F.sum(n).alias("n_tokens"))
     passes = F.col("n_tokens") <= F.lit(max_tokens)
     return g.select(*keys, "n_tokens", F.when(passes, F.lit("pass")).otherwise(F.lit("chunk")).alias("kind"),

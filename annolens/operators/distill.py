@@ -22,14 +22,14 @@ from .infer import Backend, infer
 
 def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backend: Backend,
             max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
-            responses_path: str | None = None) -> DataFrame:
+            responses_path: str | None = None, tokenizer=None) -> DataFrame:
     """(keys, order, text) -> (keys, n_tokens, kind, rounds, distilled).
 
     ``n_tokens``/``kind`` describe the first round (input size, pass/chunk);
     ``rounds`` is the number of summarising rounds the key went through.
     """
     spark = df.sparkSession
-    prefix = prefix_tokens()
+    prefix = prefix_tokens(tokenizer=tokenizer)
     cur = df.select(*keys, F.col(order_col).cast("bigint").alias("_ord"), F.col(text_col).alias("_text"))
     first = None
     done = []
@@ -38,7 +38,8 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
     while True:
         # Materialised once per round: read by the pass branch, the chunk
         # branch and the size report, and it cuts the lineage of the loop.
-        c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep).checkpoint(eager=True)
+        c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep,
+                         tokenizer=tokenizer).checkpoint(eager=True)
         last_round = max_rounds is not None and rnd >= max_rounds
         if first is None:
             first = c.select(*keys, "n_tokens", "kind").dropDuplicates(keys)
@@ -70,7 +71,7 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
 
 def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,
                  max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
-                 responses_path: str | None = None, out_col: str = "distilled") -> DataFrame:
+                 responses_path: str | None = None, out_col: str = "distilled", tokenizer=None) -> DataFrame:
     """Distill for inputs with one text per key (an article, the abstracts
     of one annotation row).  Returns ``df`` with n_tokens, kind, rounds and
     ``out_col`` added; every input column passes through.
@@ -85,8 +86,8 @@ def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    prefix = prefix_tokens()
-    d = df.withColumn("n_tokens", token_count_fast(F.col(text_col)))
+    prefix = prefix_tokens(tokenizer=tokenizer)
+    d = df.withColumn("n_tokens", token_count_fast(F.col(text_col), tokenizer))
     fits = F.col("n_tokens").isNull() | (F.col("n_tokens") <= F.lit(max_tokens))
     passed = (d.filter(fits).withColumn("kind", F.lit("pass")).withColumn("rounds", F.lit(0))
                .withColumn(out_col, F.col(text_col)))
@@ -95,7 +96,7 @@ def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend
     done = []
     rnd = 0
     while True:
-        c = chunk_rows(cur, "_text", max_tokens, chunk_tokens, prefix)
+        c = chunk_rows(cur, "_text", max_tokens, chunk_tokens, prefix, tokenizer)
         if rnd > 0:
             done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("_text").alias("_dist"),
                                                                  F.lit(rnd).alias("rounds")))
