@@ -68,3 +68,17 @@ def test_lenient_equals_strict_on_well_formed(spark, kids):
     strict = col_values(spark, docs, article_segments_strict)[0]
     assert strict["status"] == "ok"
     assert list(lenient) == list(strict["segments"])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab .!?\n")), max_size=30), min_size=1, max_size=15),
+       st.integers(1, 3))
+def test_lead_equals_first_sentence_pieces(spark, bodies, k):
+    from annolens.operators.infer import LeadBackend
+    df = spark.createDataFrame([(i, "Do it.\n\n" + b) for i, b in enumerate(bodies)], "i int, p string")
+    from annolens.functions.prompts import payload_of
+    body = payload_of(F.col("p"))
+    s = TX.sentences(body)
+    expected = TX.strip(F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, k), "")).otherwise(body))
+    rows = df.select(LeadBackend(k).native(F.col("p")).alias("a"), expected.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
