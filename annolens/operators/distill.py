@@ -25,6 +25,9 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
             responses_path: str | None = None, tokenizer=None) -> DataFrame:
     """(keys, order, text) -> (keys, n_tokens, kind, rounds, distilled).
 
+    ``backend`` answers the chunk prompts; jobs may pass a cheaper model
+    here than the one used for their final prompt (the reference does).
+
     ``n_tokens``/``kind`` describe the first round (input size, pass/chunk);
     ``rounds`` is the number of summarising rounds the key went through.
     """

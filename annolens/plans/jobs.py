@@ -26,13 +26,15 @@ LAST_ORD = 1 << 62
 
 def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame, backend: Backend,
                        max_tokens: int, chunk_tokens: int, task: str | None = None,
-                       extract=article_segments, responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                       extract=article_segments, responses_path: str | None = None,
+                       tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """PMID -> article -> text -> distill -> summary (or task answer with
     code fences removed).  Output: pmid, status, summary (NULL unless ok)."""
     a = article_lookup(pmids, links, articles)
     ok = F.col("status") == "ok"
     a = a.select("pmid", "status", F.when(ok, F.array_join(extract(F.col("body")), ARTICLE_SEP)).alias("article"))
-    d = distill_rows(a, ["pmid"], "article", backend, max_tokens, chunk_tokens, responses_path=responses_path,
+    d = distill_rows(a, ["pmid"], "article", chunk_backend or backend, max_tokens, chunk_tokens,
+                     responses_path=responses_path,
                      tokenizer=tokenizer)
     instr = PR.task_instruction(task) if task else None
     p = d.withColumn("_prompt", F.when(ok, PR.article_prompt(F.col("distilled"), instr)))
@@ -44,13 +46,15 @@ def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame,
 
 def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFrame, abstracts: DataFrame,
                        backend: Backend, process: str, max_tokens: int, chunk_tokens: int, k: int = 100,
-                       responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                       responses_path: str | None = None,
+                       tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """Per gene, its top-k abstracts -> distill -> one-sentence
     annotation.  Output: gene_id, gene_name, synthetic."""
     ids = sized_broadcast(gene_ids.select("gene_id").distinct())
     gp = gene_pmids.join(ids, "gene_id")
     abs_ = gene_abstracts_text(gp, abstracts, k).select("gene_id", "abstracts")
-    d = distill_rows(abs_, ["gene_id"], "abstracts", backend, max_tokens, chunk_tokens, responses_path=responses_path,
+    d = distill_rows(abs_, ["gene_id"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
+                     responses_path=responses_path,
                      tokenizer=tokenizer)
     named = resolve_ids(d, "gene_id", genes, "gene_name")
     p = named.withColumn("_prompt", PR.annotation_prompt(
@@ -61,11 +65,12 @@ def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFr
 
 def synthetic_pairs(annotations: DataFrame, abstracts: DataFrame, genes: DataFrame, backend: Backend,
                     process: str, max_tokens: int, chunk_tokens: int, tax_id: int = 9606,
-                    gene_id: int | None = None, responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                    gene_id: int | None = None, responses_path: str | None = None,
+                    tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """Ground-truth annotation paired with a synthetic one written from
     the abstracts it cites.  Output: gene_id, gene_name, ground_truth, synthetic."""
     pin = pairs_inputs(annotations, abstracts, genes, tax_id, gene_id)
-    j = distill_rows(pin, ["row_ord"], "abstracts", backend, max_tokens, chunk_tokens,
+    j = distill_rows(pin, ["row_ord"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
                      responses_path=responses_path, tokenizer=tokenizer)
     p = j.withColumn("_prompt", PR.annotation_prompt(F.col("gene_name"), F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "_answer", responses_path)
@@ -82,7 +87,8 @@ def gene_texts(annotations: DataFrame, gene_ids: DataFrame, tax_id: int = 9606)
 def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFrame, genes: DataFrame,
                     backend: Backend, process: str, max_tokens: int, chunk_tokens: int,
                     extra_texts: DataFrame | None = None, tax_id: int = 9606,
-                    responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                    responses_path: str | None = None,
+                    tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """One summary per distinct gene of ``members`` (column ``token``).
 
     Texts of a gene (file order, punctuation ensured, joined with a space)
@@ -99,7 +105,7 @@ def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFra
             "gene_id", F.lit(LAST_ORD).alias("row_ord"), ensure_terminal_punct("text").alias("text"))
         texts = texts.unionByName(extra)
     n = texts.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_texts"))
-    d = distill(texts, ["gene_id"], "row_ord", "text", backend, max_tokens, chunk_tokens,
+    d = distill(texts, ["gene_id"], "row_ord", "text", chunk_backend or backend, max_tokens, chunk_tokens,
                 responses_path=responses_path, tokenizer=tokenizer)
     named = resolve_ids(d, "gene_id", genes, "gene_name")
     p = named.withColumn("_prompt", PR.gene_summary_prompt(
@@ -114,7 +120,8 @@ def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFra
 
 def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Backend, process: str,
                       max_tokens: int | None = None, chunk_tokens: int | None = None,
-                      responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                      responses_path: str | None = None,
+                      tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """One narrative per group from its genes' summaries.
 
     ``summaries`` has group_cols, pos, gene, summary.  Lines "Gene g: summary"
@@ -129,7 +136,7 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
     lines = summaries.filter(F.col("summary").isNotNull()).select(
         *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
     n = lines.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_genes"))
-    d = distill(lines, group_cols, "pos", "_line", backend, max_tokens, chunk_tokens, sep="\n",
+    d = distill(lines, group_cols, "pos", "_line", chunk_backend or backend, max_tokens, chunk_tokens, sep="\n",
                 responses_path=responses_path, tokenizer=tokenizer)
     p = d.join(n, group_cols).withColumn("_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "narrative", responses_path)
@@ -140,7 +147,8 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
                      gene_pmids: DataFrame, abstracts: DataFrame, backend: Backend, process: str,
                      max_tokens: int, chunk_tokens: int, add_abstracts: bool = False,
                      just_summaries: bool = False, k: int = 100, tax_id: int = 9606,
-                     responses_path: str | None = None, tokenizer=None) -> DataFrame:
+                     responses_path: str | None = None,
+                     tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
     """Gene list (pos, token) -> per-gene summaries [-> narrative].
 
     With ``add_abstracts`` each gene also gets one synthetic annotation
@@ -151,17 +159,17 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
         ids = resolve_tokens(members.select("token").distinct(), "token", aliases, "gene_id") \
             .filter(F.col("gene_id").isNotNull())
         syn = create_annotations(ids, genes, gene_pmids, abstracts, backend, process, max_tokens, chunk_tokens,
-                                 k, responses_path, tokenizer)
+                                 k, responses_path, tokenizer, chunk_backend)
         # Model output: materialised once, never re-evaluated.
         extra = syn.select("gene_id", F.col("synthetic").alias("text")).checkpoint(eager=True)
     s = summarize_genes(members, annotations, aliases, genes, backend, process, max_tokens, chunk_tokens,
-                        extra, tax_id, responses_path, tokenizer)
+                        extra, tax_id, responses_path, tokenizer, chunk_backend)
     if just_summaries:
         return s
     per_member = members.select("pos", "token").join(
         s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
     return process_narrative(per_member.withColumn("_list", F.lit("genes")), ["_list"], backend, process,
-                             max_tokens, chunk_tokens, responses_path, tokenizer).drop("_list")
+                             max_tokens, chunk_tokens, responses_path, tokenizer, chunk_backend).drop("_list")
 
 
 def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
