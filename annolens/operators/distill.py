@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.prompts import chunk_prompt
 from ..session import ensure_checkpoint_dir
-from .chunking import chunk_by_key, prefix_tokens
+from .chunking import budget_plan, chunk_by_key, prefix_tokens
 from .infer import Backend, infer
 
 
@@ -38,25 +38,35 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
     done = []
     rnd = 0
     ensure_checkpoint_dir(spark)
+
+    def joined(d: DataFrame, r: int) -> DataFrame:
+        return d.groupBy(*keys).agg(F.expr(
+            f"listagg(_text, '{sep}') WITHIN GROUP (ORDER BY _ord)").alias("distilled")).withColumn("rounds", F.lit(r))
+
     while True:
+        last_round = max_rounds is not None and rnd >= max_rounds
+        if rnd > 0:
+            # Answers of the last round (small).  When every key fits now --
+            # the usual case -- join them without cutting again.
+            plan = budget_plan(cur, keys, "_text", max_tokens, chunk_tokens, prefix, sep, tokenizer)
+            if last_round or plan.filter(F.col("kind") == "chunk").limit(1).count() == 0:
+                done.append(joined(cur, rnd))
+                break
         # Materialised once per round: read by the pass branch, the chunk
         # branch and the size report, and it cuts the lineage of the loop.
         c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep,
                          tokenizer=tokenizer).checkpoint(eager=True)
-        last_round = max_rounds is not None and rnd >= max_rounds
         if first is None:
             first = c.select(*keys, "n_tokens", "kind").dropDuplicates(keys)
         if last_round:
-            # Budget no longer enforced: join whatever is left.
-            left = cur.groupBy(*keys).agg(
-                F.expr(f"listagg(_text, '{sep}') WITHIN GROUP (ORDER BY _ord)").alias("distilled"))
-            done.append(left.withColumn("rounds", F.lit(rnd)))
+            done.append(joined(cur, rnd))
             break
         done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("chunk_text").alias("distilled"))
                      .withColumn("rounds", F.lit(rnd)))
         over = c.filter(F.col("kind") == "chunk").withColumn("_prompt", chunk_prompt(F.col("chunk_text")))
         answered = infer(over, "_prompt", backend, "_resp", responses_path)
-        nxt = answered.select(*keys, F.col("chunk_idx").alias("_ord"), F.coalesce(F.col("_resp"), F.lit("")).alias("_text"))
+        nxt = answered.select(*keys, F.col("chunk_idx").alias("_ord"),
+                              F.coalesce(F.col("_resp"), F.lit("")).alias("_text"))
         nxt = nxt.checkpoint(eager=True)
         rnd += 1
         if nxt.limit(1).count() == 0:
@@ -65,11 +75,9 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    res = first.join(out, keys).select(*keys, "n_tokens", "kind", F.col("rounds").cast("int").alias("rounds"),
-                                       "distilled")
-    # One row per key, bounded by the budget: cheap to keep, and later
-    # stages (prompt, model) then start from a short plan.
-    return res.checkpoint(eager=True)
+    # Every input of this plan is a checkpoint, so the plan stays short.
+    return first.join(out, keys).select(*keys, "n_tokens", "kind", F.col("rounds").cast("int").alias("rounds"),
+                                        "distilled")
 
 
 def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,
@@ -99,14 +107,18 @@ def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend
     done = []
     rnd = 0
     while True:
+        last_round = max_rounds is not None and rnd >= max_rounds
+        if rnd > 0 or last_round:
+            # Texts of this round (answers after round 0, small): when all
+            # fit -- the usual case -- they are the result.
+            big = token_count_fast(F.col("_text"), tokenizer) > F.lit(max_tokens)
+            if last_round or cur.filter(big).limit(1).count() == 0:
+                done.append(cur.select(*keys, F.col("_text").alias("_dist"), F.lit(rnd).alias("rounds")))
+                break
         c = chunk_rows(cur, "_text", max_tokens, chunk_tokens, prefix, tokenizer)
         if rnd > 0:
             done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("_text").alias("_dist"),
                                                                  F.lit(rnd).alias("rounds")))
-        if max_rounds is not None and rnd >= max_rounds:
-            done.append(c.filter(F.col("kind") == "chunk").filter(F.col("chunk_idx") == 0)
-                         .select(*keys, F.col("_text").alias("_dist"), F.lit(rnd).alias("rounds")))
-            break
         todo = c.filter(F.col("kind") == "chunk").withColumn("_prompt", chunk_prompt(F.col("chunk_text")))
         answered = infer(todo, "_prompt", backend, "_resp", responses_path)
         joined = answered.groupBy(*keys).agg(F.expr(
