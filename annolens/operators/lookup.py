@@ -10,6 +10,7 @@ from .broadcast import sized_broadcast
 from .resolve import resolve_tokens
 from .scan import ordinal
 
+# Fixed value: taxonomy ID of the species the reference restricts to (human).
 HUMAN = 9606
 
 

@@ -23,6 +23,11 @@ from ..operators.scan import ordinal
 # Sorts after every real row position: an added text goes last in its gene.
 LAST_ORD = 1 << 62
 
+# Fixed values of the embedding index: key = <gene name> + INDEX_KEY_INFIX + <n>,
+# and the type tag of rows built from existing annotations.
+INDEX_KEY_INFIX = "-gt-"
+INDEX_TYPE = "ground_truth"
+
 
 def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame, backend: Backend,
                        max_tokens: int, chunk_tokens: int, task: str | None = None,
@@ -184,6 +189,6 @@ def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id:
     a = ordinal(a, ["gene_id"], "row_ord", "idx")
     a = resolve_ids(a, "gene_id", genes, "gene_name")
     a = a.withColumn("key", F.concat(F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")),
-                                     F.lit("-gt-"), F.col("idx").cast("string")))
-    a = a.withColumn("type", F.lit("ground_truth"))
+                                     F.lit(INDEX_KEY_INFIX), F.col("idx").cast("string")))
+    a = a.withColumn("type", F.lit(INDEX_TYPE))
     return embed(a, "text", embedder).select("key", "gene_id", "gene_name", "idx", "type", "text", "embedding")
