@@ -178,3 +178,21 @@ def infer(df: DataFrame, prompt_col: str, backend: Backend, out_col: str = "resp
     j = d.join(r, "_pid", "left")
     status = F.when(F.col("_pid").isNull(), F.lit("skipped")).otherwise(F.coalesce(F.col("_st"), F.lit("error")))
     return j.withColumn(f"{out_col}_status", status).drop("_pid", "_st")
+
+
+def python_lead(k: int = 2) -> CallableBackend:
+    """The ``LeadBackend`` rule run through the Python path (dedupe, Arrow
+    batches, responses table); used to check that path against SQL."""
+    head_re = re.compile(r"^(?:[^.!?]*[.!?]+){1,%d}" % k)
+    ws = " \t\n\r\f\v"
+
+    def answer_all(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            i = p.find("\n\n")
+            body = p[i + 2:] if i >= 0 else p
+            m = head_re.match(body)
+            out.append((m.group(0) if m and m.group(0) else body).strip(ws))
+        return out
+
+    return CallableBackend(f"pylead{k}", answer_all, max_attempts=1, backoff_s=0.0, batch_size=256)

@@ -412,3 +412,16 @@ def q_annotation_tsv_ingest(spark, d):
     t = AN.load_annotations(spark, src, scratch_path(spark, "annotations-parquet"))
     return t.select("tax_id", "gene_id", "pmid_list", F.size("pmids").cast("bigint").alias("n_pmids"),
                     F.col("updated_at").alias("source_row"), "text")
+
+
+@query("infer_resumable")
+def q_infer_resumable(spark, d):
+    """O43 through the Python path: distinct prompts -> mapInPandas batches ->
+    appended to a responses table; a second run finds every prompt answered
+    (anti join) and only joins the stored answers back."""
+    from ..operators.infer import python_lead
+    p = ok_articles(spark, d).select("pmid", PR.article_prompt(F.col("article")).alias("prompt"))
+    store = scratch_path(spark, "responses")
+    infer(p, "prompt", python_lead(P.LEAD_SENTENCES), "response", responses_path=store)
+    again = infer(p, "prompt", python_lead(P.LEAD_SENTENCES), "response", responses_path=store)
+    return again.select("pmid", "response", F.col("response_status").alias("status"))

@@ -412,3 +412,5 @@ NO_ORACLE = {"article_segments_strict"}
 
 ORACLE["annotation_tsv_ingest"] = q("""SELECT tax_id, gene_id, pmid_list, CAST(len(pmids) AS BIGINT) AS n_pmids,
   CAST(row_ord AS VARCHAR) AS source_row, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text FROM annotations""")
+
+ORACLE["infer_resumable"] = ORACLE["infer_lead"]
