@@ -112,6 +112,9 @@ class CallableBackend(Backend):
                 })
 
 
+PROMPT_BATCH_ROWS = 256
+
+
 def prompt_id(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 
@@ -142,13 +145,26 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
     else:
         n = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
         new = todo.repartition(n, "prompt_id").mapInPandas(backend.run_batches, RESPONSES)
-    if responses_path:
-        new.write.mode("append").partitionBy("backend").parquet(responses_path)
-        return read_responses(spark, responses_path, backend.name)
+    # Prompts can be ~100 KB each: keep Arrow batches to the Python worker
+    # small while this stage is materialised (the setting is read at run time).
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, None)
     if expr is None:
-        ensure_checkpoint_dir(spark)
-        new = new.checkpoint(eager=True)
-    return new
+        spark.conf.set(key, str(PROMPT_BATCH_ROWS))
+    try:
+        if responses_path:
+            new.write.mode("append").partitionBy("backend").parquet(responses_path)
+            return read_responses(spark, responses_path, backend.name)
+        if expr is None:
+            ensure_checkpoint_dir(spark)
+            new = new.checkpoint(eager=True)
+        return new
+    finally:
+        if expr is None:
+            if old is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, old)
 
 
 def infer(df: DataFrame, prompt_col: str, backend: Backend, out_col: str = "response",

@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Text rows are large (whole documents): smaller Arrow batches for UDFs.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # A model stage must not run twice for the same rows.
     "spark.speculation": "false",
     # Checkpoint files of distill rounds are removed once unreferenced.
