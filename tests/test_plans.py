@@ -69,3 +69,15 @@ def test_native_model_is_a_projection(spark):
     df = spark.range(10).select(F.concat(F.lit("Do.\n\nA. B. C."), F.col("id").cast("string")).alias("p"))
     p = plan(infer(df, "p", LeadBackend(1)))
     assert "Exchange" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key with all rows: the in-block window runs in several tasks and
+    still numbers the key 1..n."""
+    n = 4000
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("o"))
+    with conf(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}):
+        out = ordinal(df, ["k"], "o", "idx", block_rows=100).select("idx", F.spark_partition_id().alias("p"))
+        rows = out.collect()
+    assert sorted(r.idx for r in rows) == list(range(1, n + 1))
+    assert len({r.p for r in rows}) >= 4
