@@ -53,10 +53,11 @@ def ingest_annotations(spark: SparkSession, src: str, dst: str, files_per_range:
     gives Parquet row-group statistics on gene_id for filter pushdown.
     """
     df = read_annotation_tsv(spark, src)
-    n = files_per_range or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "tax_id", "gene_id", "row_ord")
-       .sortWithinPartitions("tax_id", "gene_id", "row_ord")
-       .write.mode("overwrite").partitionBy("tax_id").parquet(dst))
+    keys = ("tax_id", "gene_id", "row_ord")
+    # Without an explicit count AQE sizes the ranges from the data.
+    ranged = df.repartitionByRange(files_per_range, *keys) if files_per_range else df.repartitionByRange(*keys)
+    (ranged.sortWithinPartitions(*keys)
+           .write.mode("overwrite").partitionBy("tax_id").parquet(dst))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
