@@ -68,7 +68,7 @@ def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
 
 def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
                  max_tokens: int, chunk_tokens: int, prefix: int = 0, sep: str = " ",
-                 block_rows: int = DEFAULT_BLOCK_ROWS, tokenizer=None) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, tokenizer=None, with_counts: bool = False) -> DataFrame:
     """Join the texts of each key with ``sep`` (in ``order_col`` order) and cut
     the result to the token budget, without ever building the joined text
     of a key that is over budget.
@@ -82,7 +82,8 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     regrouped from its slices (bounded by the chunk size).  The extra ``sep``
     is removed from the key's last chunk.
 
-    Output: keys, chunk_idx, n_chunks, kind, n_tokens, chunk_text.
+    Output: keys, chunk_idx, n_chunks, kind, n_tokens, chunk_text (and
+    ``with_counts``: n_texts, the number of input texts of the key).
     Texts must be non-empty and should not begin with whitespace (a leading
     space would merge into the previous text's last token in the joined form).
     """
@@ -101,7 +102,7 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
         return j.withColumn("_n", F.when(over_budget, tk.count(F.col("_piece"))).otherwise(F.lit(0)))
 
     d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens",
-                             after_join=second_pass)
+                             after_join=second_pass, count_col="n_texts")
     d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn(
         "_tok", F.when(over_budget, tk.pieces(F.col("_piece"))))
 
@@ -116,10 +117,10 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
         sl = F.array_join(F.slice(F.col("_tok"), (a + 1).cast("int"), (b - a).cast("int")), "")
         return F.struct(c.alias("c"), F.when(fits, F.col("_piece")).otherwise(sl).alias("t"))
 
-    parts = d.select(*keys, order_col, "n_tokens",
+    parts = d.select(*keys, order_col, "n_tokens", "n_texts",
                      F.explode(F.transform(F.sequence(first_c, last_c), part)).alias("_p"))
     chunks = (parts.groupBy(*keys, F.col("_p.c").alias("chunk_idx")).agg(
-                  F.first("n_tokens").alias("n_tokens"),
+                  F.first("n_tokens").alias("n_tokens"), F.first("n_texts").alias("n_texts"),
                   F.expr(f"listagg(_p.t, '') WITHIN GROUP (ORDER BY `{order_col}`)").alias("_t")))
     fits2 = F.col("n_tokens") <= F.lit(max_tokens)
     n_chunks = F.when(fits2, F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / L)).cast("bigint")
@@ -128,9 +129,10 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     lsep = len(sep)
     text = F.when(is_last & F.lit(lsep > 0), F.col("_t").substr(F.lit(1), F.length("_t") - F.lit(lsep))) \
         .otherwise(F.col("_t"))
+    extra = [F.col("n_texts").cast("bigint").alias("n_texts")] if with_counts else []
     return chunks.select(*keys, F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "n_chunks",
                          F.when(fits2, F.lit("pass")).otherwise(F.lit("chunk")).alias("kind"), "n_tokens",
-                         text.alias("chunk_text"))
+                         text.alias("chunk_text"), *extra)
 
 
 def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int, chunk_tokens: int,

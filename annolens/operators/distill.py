@@ -23,7 +23,7 @@ from .infer import Backend, infer
 def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backend: Backend,
             max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
             responses_path: str | None = None, tokenizer=None) -> DataFrame:
-    """(keys, order, text) -> (keys, n_tokens, kind, rounds, distilled).
+    """(keys, order, text) -> (keys, n_tokens, n_texts, kind, rounds, distilled).
 
     ``backend`` answers the chunk prompts; jobs may pass a cheaper model
     here than the one used for their final prompt (the reference does).
@@ -55,9 +55,9 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
         # Materialised once per round: read by the pass branch, the chunk
         # branch and the size report, and it cuts the lineage of the loop.
         c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep,
-                         tokenizer=tokenizer).checkpoint(eager=True)
+                         tokenizer=tokenizer, with_counts=True).checkpoint(eager=True)
         if first is None:
-            first = c.select(*keys, "n_tokens", "kind").dropDuplicates(keys)
+            first = c.select(*keys, "n_tokens", "n_texts", "kind").dropDuplicates(keys)
         if last_round:
             done.append(joined(cur, rnd))
             break
@@ -76,8 +76,8 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
     for x in done[1:]:
         out = out.unionByName(x)
     # Every input of this plan is a checkpoint, so the plan stays short.
-    return first.join(out, keys).select(*keys, "n_tokens", "kind", F.col("rounds").cast("int").alias("rounds"),
-                                        "distilled")
+    return first.join(out, keys).select(*keys, "n_tokens", "n_texts", "kind",
+                                        F.col("rounds").cast("int").alias("rounds"), "distilled")
 
 
 def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,

@@ -55,24 +55,29 @@ def _null_free_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str
 
 def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_col: str,
                          out_col: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                         total_col: str | None = None, after_join=None) -> DataFrame:
+                         total_col: str | None = None, after_join=None,
+                         count_col: str | None = None) -> DataFrame:
     """Adds ``out_col`` = sum of ``value_col`` over earlier rows of the same key
     (ordered by ``order_col``, which must be unique within a key).  With
     ``total_col`` also adds the key's grand total.
 
     ``after_join(df) -> df`` may re-derive ``value_col`` on the second pass
     (it then sees ``total_col``); the first pass's value is not recomputed.
-    Only rows whose re-derived value matters need it (others may use 0)."""
+    Only rows whose re-derived value matters need it (others may use 0).
+    ``count_col`` adds the number of rows of the key (from the same block table)."""
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)).cast("bigint"))
     d, kc, added = _null_free_keys(d, keys)
-    blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"))
+    blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"), F.count(F.lit(1)).alias("_bcnt"))
     wk = Window.partitionBy(*kc).orderBy("_blk")
     offs = blocks.withColumn("_boff", F.coalesce(
         F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total_col:
         offs = offs.withColumn(total_col, F.sum("_bsum").over(wk.rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)))
-    offs = offs.drop("_bsum")
+    if count_col:
+        offs = offs.withColumn(count_col, F.sum("_bcnt").over(wk.rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)))
+    offs = offs.drop("_bsum", "_bcnt")
     kb = kc + ["_blk"]
     j = (d if after_join is None else d.drop(value_col)).join(offs, kb)
     if after_join is not None:

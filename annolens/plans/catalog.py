@@ -255,7 +255,7 @@ def q_infer_lead(spark, d):
 @query("distill")
 def q_distill(spark, d):
     mx, ck = budget()
-    return distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck)
+    return distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck).drop("n_texts")
 
 
 @query("summarize_articles")

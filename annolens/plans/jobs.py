@@ -109,14 +109,14 @@ def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFra
         extra = extra_texts.filter(F.col("text").isNotNull() & (F.length("text") > 0)).select(
             "gene_id", F.lit(LAST_ORD).alias("row_ord"), ensure_terminal_punct("text").alias("text"))
         texts = texts.unionByName(extra)
-    n = texts.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_texts"))
     d = distill(texts, ["gene_id"], "row_ord", "text", chunk_backend or backend, max_tokens, chunk_tokens,
                 responses_path=responses_path, tokenizer=tokenizer)
     named = resolve_ids(d, "gene_id", genes, "gene_name")
     p = named.withColumn("_prompt", PR.gene_summary_prompt(
         F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled")))
-    s = infer(p, "_prompt", backend, "summary", responses_path).select("gene_id", "gene_name", "summary", "summary_status")
-    out = m.join(n, "gene_id", "left").join(s, "gene_id", "left")
+    s = infer(p, "_prompt", backend, "summary", responses_path).select(
+        "gene_id", "gene_name", "n_texts", "summary", "summary_status")
+    out = m.join(s, "gene_id", "left")
     status = (F.when(F.col("gene_id").isNull(), F.lit("unresolved"))
                .when(F.col("summary_status").isNull(), F.lit("no_text")).otherwise(F.col("summary_status")))
     return out.select("token", "gene_id", "gene_name", F.coalesce("n_texts", F.lit(0)).cast("bigint").alias("n_texts"),
@@ -140,10 +140,10 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
         max_tokens, chunk_tokens = budget_for_model("")
     lines = summaries.filter(F.col("summary").isNotNull()).select(
         *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
-    n = lines.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_genes"))
     d = distill(lines, group_cols, "pos", "_line", chunk_backend or backend, max_tokens, chunk_tokens, sep="\n",
                 responses_path=responses_path, tokenizer=tokenizer)
-    p = d.join(n, group_cols).withColumn("_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
+    p = d.withColumnRenamed("n_texts", "n_genes").withColumn(
+        "_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "narrative", responses_path)
     return s.select(*group_cols, "n_genes", "narrative", F.col("narrative_status").alias("status"))
 
