@@ -82,7 +82,8 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
 
 def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,
                  max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
-                 responses_path: str | None = None, out_col: str = "distilled", tokenizer=None) -> DataFrame:
+                 responses_path: str | None = None, out_col: str = "distilled", tokenizer=None,
+                 materialize_input: bool = False) -> DataFrame:
     """Distill for inputs with one text per key (an article, the abstracts
     of one annotation row).  Returns ``df`` with n_tokens, kind, rounds and
     ``out_col`` added; every input column passes through.
@@ -92,6 +93,10 @@ def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend
     chunks answered and regrouped per key (bounded by the chunks of one
     text), repeated until they fit, and joined back to the over-budget rows
     alone.
+
+    The input is read twice (over-budget rows for the model rounds, then the
+    final union).  ``materialize_input`` checkpoints it first: use it when the
+    input is an expensive derived table (joins, shuffles), not a plain scan.
     """
     from .chunking import chunk_rows, token_count_fast
 
@@ -99,6 +104,8 @@ def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend
     ensure_checkpoint_dir(spark)
     prefix = prefix_tokens(tokenizer=tokenizer)
     d = df.withColumn("n_tokens", token_count_fast(F.col(text_col), tokenizer))
+    if materialize_input:
+        d = d.checkpoint(eager=True)
     fits = F.col("n_tokens").isNull() | (F.col("n_tokens") <= F.lit(max_tokens))
     passed = (d.filter(fits).withColumn("kind", F.lit("pass")).withColumn("rounds", F.lit(0))
                .withColumn(out_col, F.col(text_col)))

@@ -39,8 +39,7 @@ def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame,
     ok = F.col("status") == "ok"
     a = a.select("pmid", "status", F.when(ok, F.array_join(extract(F.col("body")), ARTICLE_SEP)).alias("article"))
     d = distill_rows(a, ["pmid"], "article", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path,
-                     tokenizer=tokenizer)
+                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
     instr = PR.task_instruction(task) if task else None
     p = d.withColumn("_prompt", F.when(ok, PR.article_prompt(F.col("distilled"), instr)))
     s = infer(p, "_prompt", backend, "summary", responses_path, skip_empty=True)
@@ -59,8 +58,7 @@ def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFr
     gp = gene_pmids.join(ids, "gene_id")
     abs_ = gene_abstracts_text(gp, abstracts, k).select("gene_id", "abstracts")
     d = distill_rows(abs_, ["gene_id"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path,
-                     tokenizer=tokenizer)
+                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
     named = resolve_ids(d, "gene_id", genes, "gene_name")
     p = named.withColumn("_prompt", PR.annotation_prompt(
         F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled")))
@@ -76,7 +74,7 @@ def synthetic_pairs(annotations: DataFrame, abstracts: DataFrame, genes: DataFra
     the abstracts it cites.  Output: gene_id, gene_name, ground_truth, synthetic."""
     pin = pairs_inputs(annotations, abstracts, genes, tax_id, gene_id)
     j = distill_rows(pin, ["row_ord"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path, tokenizer=tokenizer)
+                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
     p = j.withColumn("_prompt", PR.annotation_prompt(F.col("gene_name"), F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "_answer", responses_path)
     return s.select("row_ord", "gene_id", "gene_name", "ground_truth", first_sentence("_answer").alias("synthetic"))
