@@ -136,12 +136,14 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
 
 
 def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int, chunk_tokens: int,
-                prefix: int = 0, sep: str = " ", tokenizer=None) -> DataFrame:
+                prefix: int = 0, sep: str = " ", tokenizer=None, with_counts: bool = False) -> DataFrame:
     """Per key: total tokens of the joined text, pass/chunk decision and the
     number of chunks.  A plain partial + final aggregate."""
     size = chunk_tokens - prefix
     n = (tokenizer or DEFAULT_TOKENIZER).count(F.concat(F.col(text_col), F.lit(sep)))
-    g = df.groupBy(*keys).agg(F.sum(n).alias("n_tokens"))
+    g = df.groupBy(*keys).agg(F.sum(n).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     passes = F.col("n_tokens") <= F.lit(max_tokens)
+    extra = ["n_texts"] if with_counts else []
     return g.select(*keys, "n_tokens", F.when(passes, F.lit("pass")).otherwise(F.lit("chunk")).alias("kind"),
-                    F.when(passes, F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / F.lit(size))).cast("bigint").alias("n_chunks"))
+                    F.when(passes, F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / F.lit(size))).cast("bigint").alias("n_chunks"),
+                    *extra)

@@ -22,9 +22,13 @@ from .infer import Backend, infer
 
 def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backend: Backend,
             max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
-            responses_path: str | None = None, tokenizer=None) -> DataFrame:
+            responses_path: str | None = None, tokenizer=None, precheck: bool = False) -> DataFrame:
     """(keys, order, text) -> (keys, n_tokens, n_texts, kind, rounds, distilled).
 
+    ``precheck`` (for small inputs such as the summary lines of gene sets)
+    first runs one budget aggregate; when every key fits, the texts are
+    joined directly and the chunker is skipped.
+
     ``backend`` answers the chunk prompts; jobs may pass a cheaper model
     here than the one used for their final prompt (the reference does).
 
@@ -43,6 +47,11 @@ def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backe
         return d.groupBy(*keys).agg(F.expr(
             f"listagg(_text, '{sep}') WITHIN GROUP (ORDER BY _ord)").alias("distilled")).withColumn("rounds", F.lit(r))
 
+    if precheck:
+        plan = budget_plan(cur, keys, "_text", max_tokens, chunk_tokens, prefix, sep, tokenizer, with_counts=True)
+        if plan.filter(F.col("kind") == "chunk").limit(1).count() == 0:
+            return plan.select(*keys, "n_tokens", "n_texts", "kind").join(joined(cur, 0), keys).select(
+                *keys, "n_tokens", "n_texts", "kind", F.col("rounds").cast("int").alias("rounds"), "distilled")
     while True:
         last_round = max_rounds is not None and rnd >= max_rounds
         if rnd > 0:

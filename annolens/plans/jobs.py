@@ -139,7 +139,7 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
     lines = summaries.filter(F.col("summary").isNotNull()).select(
         *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
     d = distill(lines, group_cols, "pos", "_line", chunk_backend or backend, max_tokens, chunk_tokens, sep="\n",
-                responses_path=responses_path, tokenizer=tokenizer)
+                responses_path=responses_path, tokenizer=tokenizer, precheck=True)
     p = d.withColumnRenamed("n_texts", "n_genes").withColumn(
         "_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
     s = infer(p, "_prompt", backend, "narrative", responses_path)
