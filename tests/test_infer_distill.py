@@ -76,3 +76,21 @@ def test_rate_limit_wait():
     assert b.wait_seconds(RuntimeError("Rate limit. Please try again in 20s. Thanks"), 1) == 25.0
     assert b.wait_seconds(RuntimeError("boom"), 3) == 4.0
     assert b.wait_seconds(RuntimeError("Please try again in 999s."), 1) == 100.0
+
+
+def test_distill_one_round_like_the_reference(spark):
+    """max_rounds=1: chunk answers are joined with a space even when the result
+    is still over budget (the reference's one-level distill)."""
+    from annolens.functions.prompts import chunk_prompt
+    from annolens.operators.chunking import chunk_by_key, prefix_tokens
+    size = 4 + prefix_tokens()
+    rows = [(1, i, f"S{i}a. S{i}b. S{i}c.") for i in range(10)]
+    df = spark.createDataFrame(rows, "g int, o bigint, t string")
+    one = distill(df, ["g"], "o", "t", LeadBackend(2), 8, size, max_rounds=1).first()
+    chunks = chunk_by_key(df, ["g"], "o", "t", 8, size, prefix_tokens()).withColumn("p", chunk_prompt(F.col("chunk_text")))
+    answers = infer(chunks, "p", LeadBackend(2), "a").orderBy("chunk_idx").collect()
+    assert one.rounds == 1 and one.kind == "chunk"
+    assert one.distilled == " ".join(r.a for r in answers)
+    assert len(one.distilled.split()) > 8          # still over budget, as the reference allows
+    many = distill(df, ["g"], "o", "t", LeadBackend(2), 8, size).first()
+    assert len(many.distilled.split()) <= 8 and many.rounds >= 2

@@ -81,3 +81,14 @@ def test_hot_key_is_spread_over_tasks(spark):
         rows = out.collect()
     assert sorted(r.idx for r in rows) == list(range(1, n + 1))
     assert len({r.p for r in rows}) >= 4
+
+
+def test_sized_broadcast_falls_back_above_limit(spark):
+    from annolens.operators.broadcast import sized_broadcast
+    big = spark.range(1000).select(F.col("id").alias("k"))
+    left = spark.range(5000).select((F.col("id") % 1000).alias("k"))
+    with conf(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        p_small = plan(left.join(sized_broadcast(big, max_rows=5000), "k"))
+        p_big = plan(left.join(sized_broadcast(big, max_rows=10), "k"))
+    assert "BroadcastHashJoin" in p_small
+    assert "BroadcastHashJoin" not in p_big and "SortMergeJoin" in p_big
