@@ -66,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--articles")
     p.add_argument("--species", type=int, default=9606)
     p.add_argument("--backend", default="lead:2")
+    p.add_argument("--chunk-backend", help="backend for chunk summaries during distill (default: --backend)")
     p.add_argument("--responses", help="responses table for resumable model calls")
     p.add_argument("--out", help="write the result as Parquet here instead of printing it")
     p.add_argument("--master", default=os.environ.get("ANNOLENS_MASTER", "local[*]"))
@@ -131,6 +132,7 @@ def emit(df: DataFrame, out: str | None) -> DataFrame:
 def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
     t = Tables(spark, a)
     backend = make_backend(a.backend)
+    chunk_backend = make_backend(a.chunk_backend) if a.chunk_backend else None
     mx, ck = budget_for_model(a.llm)
     sp = a.species
 
@@ -139,7 +141,8 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
             loaded = K.read_summaries(spark, a.load_dry_run)
             per = loaded.select(F.monotonically_increasing_id().alias("pos"), "gene", "summary")
             return emit(J.process_narrative(per.withColumn("_list", F.lit("genes")), ["_list"], backend,
-                                            a.process, mx, ck, a.responses).drop("_list"), a.out)
+                                            a.process, mx, ck, a.responses,
+                                            chunk_backend=chunk_backend).drop("_list"), a.out)
         toks = t.tokens()
         if toks is None:
             raise SystemExit("-p needs -s, -g or -f")
@@ -149,7 +152,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
             _read(spark, a.gene_pmids, "gene-pmids") if need_abs else None,
             _read(spark, a.abstracts, "abstracts") if need_abs else None,
             backend, a.process, mx, ck, add_abstracts=need_abs, just_summaries=bool(a.create_dry_run),
-            tax_id=sp, responses_path=a.responses)
+            tax_id=sp, responses_path=a.responses, chunk_backend=chunk_backend)
         if a.create_dry_run:
             K.write_summaries(res.withColumn("gene", F.coalesce("gene_name", "token")), a.create_dry_run)
             return res
@@ -158,7 +161,8 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
     if a.synthetic_generifs:
         gid = resolve.resolve_token_value(t.aliases(), a.gene) if a.gene else None
         pairs = J.synthetic_pairs(t.annotations(), _read(spark, a.abstracts, "abstracts"), t.genes(), backend,
-                                  "its biological process", mx, ck, sp, gid, a.responses)
+                                  "its biological process", mx, ck, sp, gid, a.responses,
+                                  chunk_backend=chunk_backend)
         K.write_pairs_tsv(pairs, a.synthetic_generifs)
         return pairs
 
@@ -177,7 +181,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         pm = spark.createDataFrame([(int(a.article),)], "pmid bigint")
         result = emit(J.summarize_articles(pm, _read(spark, a.article_links, "article-links"),
                                            _read(spark, a.articles, "articles"), backend, mx, ck, task=a.tasks,
-                                           responses_path=a.responses), a.out)
+                                           responses_path=a.responses, chunk_backend=chunk_backend), a.out)
     if a.build_index:
         idx = J.build_index(t.annotations(), t.genes(), tax_id=sp)
         K.write_index(idx, a.build_index)

@@ -50,7 +50,7 @@ def test_cli_modes(spark, tmp_path):
     n = cli.main(base + ["-p", "hypoxia", "-r", summ, "--out", os.path.join(tmp, "n")], spark).first()
     assert n.n_genes == 2 and n.narrative.startswith("Gene G")
     y = os.path.join(tmp, "pairs")
-    cli.main(base + ["-y", y], spark)
+    cli.main(base + ["-y", y, "--chunk-backend", "lead:1"], spark)
     assert sorted(r.gene_name for r in spark.read.option("sep", "\t").option("header", True).csv(y)
                   .withColumnRenamed("gene name", "gene_name").collect()) == ["G1", "G1", "G2"]
     m = cli.main(base + ["-m", "10", "-t", "e3-ligase", "--out", os.path.join(tmp, "m")], spark).first()
