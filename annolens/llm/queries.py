@@ -7,19 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolens.llm import bpe
+from annolens.llm import bpe, simhash
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and its group of near-duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
 }
 
