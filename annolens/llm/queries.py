@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolens.llm import bpe, simhash
+from annolens.llm import bpe, decontam, simhash
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -24,9 +24,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a ten-word window of the benchmark."""
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
+    "op6_decontam": op6_decontam,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
