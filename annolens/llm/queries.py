@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annolens.llm import bpe, decontam, simhash
+from annolens.llm import bpe, decontam, quality, simhash
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -29,10 +30,23 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+#: Least quality score of a document that is kept.
+QUALITY_LEAST = 0.7
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a network fitted outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", folds=4, fold=2)
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
     "op6_decontam": op6_decontam,
+    "op9_quality": op9_quality,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
