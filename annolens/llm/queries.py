@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, decontam, quality, simhash
+from annolens.llm import bpe, decontam, quality, simhash, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -25,6 +25,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by weights learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=5, fold=0)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a ten-word window of the benchmark."""
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -45,6 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_decontam": op6_decontam,
     "op9_quality": op9_quality,
 }
