@@ -2,4 +2,28 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+# The chat template in SQL: a text is escaped if it holds a control string or does not read back as it is.
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '<\/turn>'), '### ', '##\# ')"
+_READ = r"replace(replace(replace({0}, '##\# ', '### '), '<\/turn>', '</turn>'), '\\', '\')"
+
+OP3_CHAT = f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+drawn AS (
+  SELECT *, replace({_ESCAPED.format("role")}, ':', '<\\.>') AS shown,
+         CASE WHEN contains(text, '</turn>') OR contains(text, '### ') OR {_READ.format("text")} <> text
+              THEN {_ESCAPED.format("text")} ELSE text END AS body
+  FROM every)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || shown || ': ' || body || '</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM drawn GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_chat": OP3_CHAT,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, decontam, quality, simhash, toxicity
+from annolens.llm import bpe, chat, decontam, quality, simhash, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -20,6 +20,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+#: A conversation whose texts hold the template's own control strings.
+AWKWARD_ID, AWKWARD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and the awkward one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(AWKWARD_ID).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(AWKWARD_TEXT))
+    return chat.digest(chat.format_conversations(rows.union(more)))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
@@ -52,6 +63,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_decontam": op6_decontam,
