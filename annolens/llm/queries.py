@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, chat, decontam, quality, simhash, toxicity
+from annolens.llm import bpe, chat, decontam, html, quality, simhash, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -20,6 +20,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    texts = html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 AWKWARD_ID, AWKWARD_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -63,6 +69,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
