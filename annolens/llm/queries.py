@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, chat, decontam, html, quality, simhash, toxicity
+from annolens.llm import bpe, chat, decontam, html, quality, simhash, topk, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -55,6 +55,11 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 #: Least quality score of a document that is kept.
 QUALITY_LEAST = 0.7
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_decontam": op6_decontam,
+    "op7_topk": op7_topk,
     "op9_quality": op9_quality,
 }
 
