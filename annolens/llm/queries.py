@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, chat, decontam, html, quality, simhash, topk, toxicity
+from annolens.llm import bpe, chat, decontam, html, linededup, quality, simhash, topk, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -60,6 +60,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that every document loses to an equal or similar earlier line."""
+    return linededup.decisions(table(spark, sf_dir, "documents"))
+
+
 #: Least quality score of a document that is kept.
 QUALITY_LEAST = 0.7
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontam": op6_decontam,
     "op7_topk": op7_topk,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
 }
 
