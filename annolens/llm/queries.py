@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, chat, decontam, html, linededup, quality, simhash, topk, toxicity
+from annolens.llm import bpe, chat, decontam, html, linededup, lpf, quality, simhash, topk, toxicity
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -77,6 +77,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings of documents with smaller ids."""
+    out = lpf.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
+    "op10_lpf": op10_lpf,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
