@@ -20,8 +20,8 @@ size, and the steps are:
 2. each part tells the segments with shared anchors (by a 128-bit hash of the
    segment's bytes) and the smallest document of each; the smallest document
    of all owns the segment, and in all others every window of it goes;
-3. the owners send the bytes of their segments; all segments of one anchor
-   meet, their windows are sorted as suffixes, and windows that start in a
+3. where an anchor has several different segments, their owners send the
+   bytes; all segments of one anchor meet, their windows are sorted as suffixes, and windows that start in a
    smaller document, too, are reported to the owner;
 4. each part removes what was reported.
 
@@ -179,7 +179,8 @@ def _message(part_or_bucket: list, other: list, data: list[bytes], names: tuple[
 
 
 _ANCHOR = np.dtype([("rest", "<u4"), ("docs", "<u2")])
-_OWNED = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
+_OWNED = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("rest", "<u4"), ("hot", "u1")])
+_ASKED = np.dtype([("a", "<u8"), ("b", "<u8"), ("hot", "u1")])
 _FLAG = np.dtype([("a", "<u8"), ("b", "<u8"), ("bits", "<u8")])
 _ALL, _OWN, _BITS = 1, 2, 3
 
@@ -244,32 +245,48 @@ def _segments(rows: pa.Table, told: pa.Table, length: int, parts: int) -> pa.Tab
     if not rows.num_rows:
         return _message([], [], [], ("bucket", "part"))
     part = Part(rows, length)
-    pick, _ = _candidates(part, told, parts)
-    key, doc = part.seg.key[pick], part.doc[pick]
-    first, _ = _first_by_key(key, doc)
+    pick, hot = _candidates(part, told, parts)
+    first, _ = _first_by_key(part.seg.key[pick], part.doc[pick])
+    pick, hot = pick[first], hot[first]
+    bucket, rest = part.slots(parts)
     rec = np.empty(len(first), _OWNED)
-    rec["a"], rec["b"], rec["doc"] = key["a"][first], key["b"][first], doc[first]
-    out = [(b, _bytes(x)) for b, x in _split((rec["b"] % np.uint64(parts)).astype(np.int64), rec)]
+    rec["a"], rec["b"], rec["doc"], rec["rest"], rec["hot"] = part.seg.key["a"][pick], part.seg.key["b"][pick], part.doc[pick], rest[pick], hot
+    # the segments of an anchor meet, but for those of a hot one
+    to = np.where(hot, (rec["b"] % np.uint64(parts)).astype(np.int64), bucket[pick])
+    out = [(b, _bytes(x)) for b, x in _split(to, rec)]
     me = rows.column("part")[0].as_py()
     return _message([b for b, _ in out], [me] * len(out), [x for _, x in out], ("bucket", "part"))
 
 
 def _owners(rows: pa.Table) -> pa.Table:
-    """Step 2, of a bucket: who owns each segment, and who has it from a smaller document."""
+    """Step 2, of a bucket: who has a segment from a smaller document, and which owners are asked for its bytes.
+
+    An anchor with one segment only has nothing to compare; that of a hot anchor
+    cannot be told here.
+    """
     recs = [np.frombuffer(x.as_py(), _OWNED) for x in rows.column("data")]
     every = np.concatenate(recs)
     key = np.empty(len(every), _KEY)
     key["a"], key["b"] = every["a"], every["b"]
     _, least = _first_by_key(key, every["doc"])
     own = every["doc"] == least
+    order = np.lexsort((every["b"], every["a"], every["rest"]))
+    rest, k = every["rest"][order], key[order]
+    new = np.append(True, rest[1:] != rest[:-1])
+    other = np.append(False, (k[1:] != k[:-1]) & ~new[1:])
+    ask = np.empty(len(every), bool)
+    ask[order] = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+    ask |= every["hot"] > 0
+    asked = np.empty(len(every), _ASKED)
+    asked["a"], asked["b"], asked["hot"] = every["a"], every["b"], every["hot"]
     parts, kinds, data, at = [], [], [], 0
     for part, rec in zip(rows.column("part").to_pylist(), recs, strict=True):
-        mine = own[at : at + len(rec)]
-        for kind, pick in ((_ALL, ~mine), (_OWN, mine)):
+        here = slice(at, at + len(rec))
+        for kind, what, pick in ((_ALL, key, ~own[here]), (_OWN, asked, own[here] & ask[here])):
             if pick.any():
                 parts.append(part)
                 kinds.append(kind)
-                data.append(_bytes(key[at : at + len(rec)][pick]))
+                data.append(_bytes(what[here][pick]))
         at += len(rec)
     return _message(parts, kinds, data, ("part", "kind"))
 
@@ -282,19 +299,20 @@ def _keys_of(told: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
 _BODY = "anchor long, doc long, part int, a long, b long, hot boolean, body binary"
 
 
-def _bodies(rows: pa.Table, told: pa.Table, length: int, parts: int) -> pa.Table:
-    """Step 3, of a part: the bytes of the segments that it owns.  ``told`` has the shared anchors, too."""
+def _bodies(rows: pa.Table, told: pa.Table, length: int) -> pa.Table:
+    """Step 3, of a part: the bytes that it is asked for."""
     out: dict[str, list] = {c: [] for c in ("anchor", "doc", "part", "a", "b", "hot", "body")}
     if rows.num_rows:
         part = Part(rows, length)
         seg = part.seg
-        shared = told.filter(pa.compute.greater_equal(told.column("kind"), 10))
-        shared = pa.table({"bucket": pa.compute.subtract(shared.column("kind"), 10), "data": shared.column("data")})
-        pick, hot = _candidates(part, shared, parts)
+        asked = _keys_of(told, _OWN, _ASKED)
+        known = np.empty(len(asked), _KEY)
+        known["a"], known["b"] = asked["a"], asked["b"]
+        at = _in(seg.key, known)
+        pick = np.flatnonzero(at >= 0)
         first, _ = _first_by_key(seg.key[pick], part.doc[pick])
-        pick, hot = pick[first], hot[first]
-        mine = _in(seg.key[pick], _keys_of(told, _OWN, _KEY)) >= 0
-        pick, hot = pick[mine], hot[mine]
+        pick = pick[first]
+        hot = asked["hot"][at[pick]] > 0
         data = part.buf.tobytes()
         ends = (seg.at + seg.n + length - 1)[pick].tolist()
         out = {
@@ -437,8 +455,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     shared = anchors.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "part int, bucket int, data binary")
     told = own.cogroup(shared.groupBy("part")).applyInArrow(lambda t, s: _segments(t, s, length, parts), message)
     owners = told.groupBy("bucket").applyInArrow(_owners, answer)
-    both = owners.union(shared.select("part", (F.col("bucket") + 10).alias("kind"), "data"))
-    bodies = own.cogroup(both.groupBy("part")).applyInArrow(lambda t, s: _bodies(t, s, length, parts), _BODY)
+    asked, late_parts = owners.where(F.col("kind") == _OWN), owners.where(F.col("kind") == _ALL)
+    bodies = own.cogroup(asked.groupBy("part")).applyInArrow(lambda t, s: _bodies(t, s, length), _BODY)
     # the part decides by ``hot`` alone; both branches read one shuffle
     met = bodies.repartition(parts, F.when(F.col("hot"), F.xxhash64("a", "b")).otherwise(F.col("anchor")))
     usual = met.where(~F.col("hot")).sortWithinPartitions("anchor").mapInArrow(lambda it: _compare(it, length), answer)
@@ -446,7 +464,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
     late = windows.join(least, ["w1", "w2"]).where("doc > least")
     flags = late.groupBy("part", "a", "b").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("bits"))
-    reported = owners.union(usual).union(flags.mapInArrow(_packed, answer))
+    reported = late_parts.union(usual).union(flags.mapInArrow(_packed, answer))
     result = own.cogroup(reported.groupBy("part")).applyInArrow(lambda t, s: _removed(t, s, length), _RESULT)
 
     alone = source.where("doc is null").select(
