@@ -7,7 +7,6 @@ Layout:
   operators/  DataFrame -> DataFrame operators (resolve, lookup, chunk,
               model map, distill, embed)
   plans/      composite jobs and the query catalogue
-  streaming/  incremental runs of the model jobs with Structured Streaming
 """
 
 __version__ = "0.1.0"

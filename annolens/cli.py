@@ -69,7 +69,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-backend", help="backend for chunk summaries during distill (default: --backend)")
     p.add_argument("--responses", help="responses table for resumable model calls")
     p.add_argument("--out", help="write the result as Parquet here instead of printing it")
-    p.add_argument("--master", default=os.environ.get("ANNOLENS_MASTER", "local[*]"))
+    p.add_argument("--master", default=os.environ.get("ANNOLENS_MASTER"), help="default: what spark-submit says")
+    p.add_argument("--parallelism", type=int, help="concurrent tasks of the model stage")
     return p
 
 
@@ -121,11 +122,24 @@ class Tables:
         return None
 
 
+    def added(self, backend, mx: int, ck: int) -> DataFrame | None:
+        """With -a: for each gene asked for, one text written from its abstracts."""
+        a = self.a
+        if not a.add_abstracts:
+            return None
+        ids = resolve.resolve_tokens(self.tokens().select("token").distinct(), "token", self.aliases(), "gene_id").filter("gene_id is not null")
+        syn = J.create_annotations(ids, self.genes(), _read(self.spark, a.gene_pmids, "gene-pmids"), _read(self.spark, a.abstracts, "abstracts"),
+                                   backend, a.process or "its biological process", mx, ck, responses_path=a.responses, parallelism=a.parallelism)
+        return syn.select("gene_id", F.col("synthetic").alias("text"))
+
+
 def emit(df: DataFrame, out: str | None) -> DataFrame:
     if out:
         df.write.mode("overwrite").parquet(out)
     else:
-        df.show(n=1000, truncate=False)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():  # every row, a partition at a time
+            print("\t".join("" if v is None else str(v) for v in row))
     return df
 
 
@@ -139,10 +153,10 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
     if a.process:
         if a.load_dry_run:
             loaded = K.read_summaries(spark, a.load_dry_run)
-            per = loaded.select(F.monotonically_increasing_id().alias("pos"), "gene", "summary")
+            per = loaded.select("pos", "gene", "summary")
             return emit(J.process_narrative(per.withColumn("_list", F.lit("genes")), ["_list"], backend,
-                                            a.process, mx, ck, a.responses,
-                                            chunk_backend=chunk_backend).drop("_list"), a.out)
+                                            a.process, mx, ck, a.responses, chunk_backend=chunk_backend,
+                                            parallelism=a.parallelism).drop("_list"), a.out)
         toks = t.tokens()
         if toks is None:
             raise SystemExit("-p needs -s, -g or -f")
@@ -152,7 +166,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
             _read(spark, a.gene_pmids, "gene-pmids") if need_abs else None,
             _read(spark, a.abstracts, "abstracts") if need_abs else None,
             backend, a.process, mx, ck, add_abstracts=need_abs, just_summaries=bool(a.create_dry_run),
-            tax_id=sp, responses_path=a.responses, chunk_backend=chunk_backend)
+            tax_id=sp, responses_path=a.responses, chunk_backend=chunk_backend, parallelism=a.parallelism)
         if a.create_dry_run:
             K.write_summaries(res.withColumn("gene", F.coalesce("gene_name", "token")), a.create_dry_run)
             return res
@@ -160,9 +174,12 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
 
     if a.synthetic_generifs:
         gid = resolve.resolve_token_value(t.aliases(), a.gene) if a.gene else None
-        pairs = J.synthetic_pairs(t.annotations(), _read(spark, a.abstracts, "abstracts"), t.genes(), backend,
+        rows = t.annotations()
+        if a.gene and gid is None:  # an unknown gene has no pairs
+            rows = rows.filter(F.lit(False))
+        pairs = J.synthetic_pairs(rows, _read(spark, a.abstracts, "abstracts"), t.genes(), backend,
                                   "its biological process", mx, ck, sp, gid, a.responses,
-                                  chunk_backend=chunk_backend)
+                                  chunk_backend=chunk_backend, parallelism=a.parallelism)
         K.write_pairs_tsv(pairs, a.synthetic_generifs)
         return pairs
 
@@ -172,16 +189,17 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         result = emit(lookup.texts_for_gene(t.annotations(), gid, sp) if gid is not None else
                       spark.createDataFrame([], "gene_id bigint, idx bigint, row_ord bigint, text string"), a.out)
     if a.geneset_file:
-        result = emit(lookup.texts_by_gene_list(t.tokens(), t.annotations(), t.aliases(), sp), a.out)
+        result = emit(lookup.texts_by_gene_list(t.tokens(), t.annotations(), t.aliases(), sp, t.added(backend, mx, ck)), a.out)
     if a.geneset and not a.gene:
         members = G.gene_set_members(spark, a.gene_sets, a.geneset)
         result = emit(lookup.texts_by_gene_set(members.withColumn("pos", F.col("pos").cast("bigint")),
-                                               t.annotations(), t.aliases(), sp), a.out)
+                                               t.annotations(), t.aliases(), sp, t.added(backend, mx, ck)), a.out)
     if a.article:
         pm = spark.createDataFrame([(int(a.article),)], "pmid bigint")
         result = emit(J.summarize_articles(pm, _read(spark, a.article_links, "article-links"),
                                            _read(spark, a.articles, "articles"), backend, mx, ck, task=a.tasks,
-                                           responses_path=a.responses, chunk_backend=chunk_backend), a.out)
+                                           responses_path=a.responses, chunk_backend=chunk_backend,
+                                           parallelism=a.parallelism), a.out)
     if a.build_index:
         idx = J.build_index(t.annotations(), t.genes(), tax_id=sp)
         K.write_index(idx, a.build_index)

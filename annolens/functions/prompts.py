@@ -2,8 +2,7 @@
 
 Convention for every template: one instruction paragraph (no blank line
 inside), a blank line, then the payload.  Model backends that only look at
-the payload split on the first blank line.  The wording is ours; the slots
-and their order follow the reference.
+the payload split on the first blank line.
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ ARTICLE_INSTRUCTION = "Write a summary of the scientific article below."
 # Task registry: task name -> fixed instruction.  One task, as in the reference.
 TASKS = {
     "e3-ligase": (
-        "Read the text below and list every E3 ligase-substrate pair it reports. "
-        "Answer with JSON only: one object per pair with the keys E3_ligase and substrate, "
-        "using protein identifiers, without prose or markdown."
+        "Which E3 ligase acts on which substrate in the text below? "
+        "JSON only, one object per pair: E3_ligase, substrate (protein identifiers)."
     ),
 }
 
@@ -50,22 +48,19 @@ def article_prompt(article, custom_instruction=None) -> Column:
 
 
 def annotation_prompt(gene, process, abstracts) -> Column:
-    """One-sentence, annotation-style statement about a gene from its abstracts."""
+    """One sentence about a gene, written from its abstracts."""
     instr = F.concat(
-        F.lit("In one short sentence, the length of a tweet, state what the gene '"), _c(gene),
-        F.lit("' does in "), _lit(process),
-        F.lit(": its expression, regulation and role in cells or disease, based only on the abstracts below."),
+        F.lit("The abstracts below mention "), _c(gene), F.lit(". Name its part in "), _lit(process),
+        F.lit(" in a single sentence; add nothing that they do not say."),
     )
     return with_payload(instr, abstracts)
 
 
 def gene_summary_prompt(gene, process, data) -> Column:
-    """One-paragraph summary of a gene in the context of a process."""
+    """One paragraph about a gene and a process, from the statements about the gene."""
     instr = F.concat(
-        F.lit("In one concise paragraph, summarise the biological activity and functions of the gene '"),
-        _c(gene), F.lit("' with respect to "), _lit(process),
-        F.lit(", covering expression, regulatory mechanisms and roles in cellular processes or disease, "
-              "based only on the statements below."),
+        F.lit("Each statement below is a curated finding. Merge the findings on "), _c(gene),
+        F.lit(" that bear on "), _lit(process), F.lit(" into one paragraph."),
     )
     return with_payload(instr, data)
 
@@ -75,12 +70,10 @@ def gene_line(gene, summary) -> Column:
 
 
 def process_prompt(process, gene_lines) -> Column:
-    """Narrative over all genes of a set; ``gene_lines`` is the newline-joined list."""
-    p = _lit(process)
+    """A text on a process over all genes of a set; ``gene_lines`` is the newline-joined list."""
     instr = F.concat(
-        F.lit("From the gene summaries below, pick the genes that take part in the biological process '"), p,
-        F.lit("' and describe the role of each in that process as one coherent narrative; leave out genes unrelated to '"),
-        p, F.lit("', be precise and specific, and give a mechanistic hypothesis for each gene in "), p, F.lit("."),
+        F.lit("Topic: "), _lit(process),
+        F.lit(". Every line below sums up one gene. Tell how the genes that matter to the topic work together, and say how each might act."),
     )
     return with_payload(instr, gene_lines)
 

@@ -86,7 +86,7 @@ def article_segments(c) -> Column:
     the text up to the next tag, stripped and entity-decoded, in document order.
 
     Comments are removed and CDATA sections unwrapped first.  This never
-    fails on malformed input; see ``functions.xml_strict`` for the strict form.
+    fails on malformed input.
     """
     body = F.regexp_replace(_c(c), r"(?s)<!--.*?-->", "")
     body = F.regexp_replace(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
@@ -94,10 +94,6 @@ def article_segments(c) -> Column:
     return F.transform(raw, lambda s: decode_basic_entities(strip(s)))
 
 
-def article_text(c) -> Column:
-    return F.array_join(article_segments(c), ARTICLE_SEP)
-
-
 def sentences(c) -> Column:
     """Sentence pieces ending in . ! or ? (the trailing fragment is dropped)."""
     return F.regexp_extract_all(_c(c), F.lit(r"[^.!?]*[.!?]+"), 0)

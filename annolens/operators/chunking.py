@@ -26,6 +26,11 @@ def budget_for_model(model: str) -> tuple[int, int]:
     return MODEL_BUDGETS.get(model, DEFAULT_MAX_TOKENS), CHUNK_TOKENS
 
 
+def without_lead(text: Column) -> Column:
+    """The text without leading white space."""
+    return F.regexp_replace(text, r"^\s+", "")
+
+
 def prefix_tokens(prefix: str = CHUNK_INSTRUCTION + PAYLOAD_SEP, tokenizer=None) -> int:
     """Token count of a prompt prefix, with the same tokenizer as the texts."""
     return (tokenizer or DEFAULT_TOKENIZER).count_text(prefix)
@@ -43,6 +48,15 @@ def _chunk_pieces(tokens: Column, n: Column, size: int) -> Column:
                        lambda i: F.array_join(F.slice(tokens, i * size + 1, F.lit(size)), ""))
 
 
+def chunk_texts(text: Column, chunk_tokens: int, prefix: int = 0, tokenizer=None) -> Column:
+    """The chunks of one text, in order, as an array."""
+    size = chunk_tokens - prefix
+    if size <= 0:
+        raise ValueError("chunk budget must exceed the prompt prefix")
+    tokens = (tokenizer or DEFAULT_TOKENIZER).pieces(text)
+    return _chunk_pieces(tokens, F.size(tokens), size)
+
+
 def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
                prefix: int = 0, tokenizer=None) -> DataFrame:
     """Per-row budget test and chunking.
@@ -84,13 +98,13 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
 
     Output: keys, chunk_idx, n_chunks, kind, n_tokens, chunk_text (and
     ``with_counts``: n_texts, the number of input texts of the key).
-    Texts must be non-empty and should not begin with whitespace (a leading
-    space would merge into the previous text's last token in the joined form).
+    Leading white space of a text is dropped (in the joined form it would merge
+    into the previous text's last token).  Texts must have other characters.
     """
     size = chunk_tokens - prefix
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
-    d = df.select(*keys, order_col, F.concat(F.col(text_col), F.lit(sep)).alias("_piece"))
+    d = df.select(*keys, order_col, F.concat(without_lead(F.col(text_col)), F.lit(sep)).alias("_piece"))
     tk = tokenizer or DEFAULT_TOKENIZER
     d = d.withColumn("_n", tk.count(F.col("_piece")))
     over_budget = F.col("n_tokens") > F.lit(max_tokens)
@@ -140,7 +154,7 @@ def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int,
     """Per key: total tokens of the joined text, pass/chunk decision and the
     number of chunks.  A plain partial + final aggregate."""
     size = chunk_tokens - prefix
-    n = (tokenizer or DEFAULT_TOKENIZER).count(F.concat(F.col(text_col), F.lit(sep)))
+    n = (tokenizer or DEFAULT_TOKENIZER).count(F.concat(without_lead(F.col(text_col)), F.lit(sep)))
     g = df.groupBy(*keys).agg(F.sum(n).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     passes = F.col("n_tokens") <= F.lit(max_tokens)
     extra = ["n_texts"] if with_counts else []

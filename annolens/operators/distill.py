@@ -1,156 +1,138 @@
 """Distill (O44): fit the joined texts of each key into the model budget.
 
-Round: cut each key's joined text to the budget (``chunk_by_key``); keys
-that fit pass unchanged; every chunk of the others is summarised by the
-backend and the answers, in chunk order, become that key's texts for the
-next round.  The reference runs one round; by default rounds repeat until
-every key fits, so no single joined text ever exceeds the budget (equal
-to the reference whenever one round suffices).
+Keys (or rows) within the budget pass unchanged.  The joined text of any
+other is cut into chunks, every chunk is summarised by the backend, and the
+answers, in chunk order, are the distilled text.  One such round is the
+default, as in the reference; with ``max_rounds`` over one, an answer that is
+still over budget goes through further rounds as long as it shrinks.
+
+Status of a key: ``ok``; ``error`` when the call for one of its chunks failed
+(its distilled text is NULL: nothing is answered from a part of the texts);
+``over_budget`` when further rounds were asked for but the text is still over
+budget and did not shrink, or the rounds ran out.
+
+A native backend is an expression: it makes no extra pass, join or
+checkpoint.  For a Python backend only what is over budget is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.prompts import chunk_prompt
 from ..session import ensure_checkpoint_dir
-from .chunking import budget_plan, chunk_by_key, prefix_tokens
+from .chunking import chunk_by_key, chunk_rows, chunk_texts, prefix_tokens, token_count_fast
 from .infer import Backend, infer
 
 
-def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backend: Backend,
-            max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
-            responses_path: str | None = None, tokenizer=None, precheck: bool = False) -> DataFrame:
-    """(keys, order, text) -> (keys, n_tokens, n_texts, kind, rounds, distilled).
+def _ordered(text: Column, order: str, sep: str) -> Column:
+    """Texts of a group in order, joined."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
+    return F.array_join(F.transform(pieces, lambda x: x["t"]), sep)
+
+
+def _answers(answered: DataFrame, keys: list[str], sep: str, *more: Column) -> DataFrame:
+    """Answers of the chunks of each key, joined; one failed chunk makes the key an error."""
+    ok = F.col("_resp").isNotNull() & (F.col("_resp_status") == "ok")
+    g = answered.groupBy(*keys).agg(
+        F.bool_and(ok).alias("_ok"), _ordered(F.col("_resp"), "chunk_idx", sep).alias("_all"),
+        F.min("_resp_error").alias("error"), *more)
+    return (g.withColumn("distilled", F.when(F.col("_ok"), F.col("_all")))
+             .withColumn("status", F.when(F.col("_ok"), F.lit("ok")).otherwise(F.lit("error"))).drop("_ok", "_all"))
 
-    ``precheck`` (for small inputs such as the summary lines of gene sets)
-    first runs one budget aggregate; when every key fits, the texts are
-    joined directly and the chunker is skipped.
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_k_{k}"])
+    return on
+
+
+def distill(df: DataFrame, keys: list[str], order_col: str, text_col: str, backend: Backend,
+            max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int = 1,
+            responses_path: str | None = None, tokenizer=None, parallelism: int | None = None) -> DataFrame:
+    """(keys, order, text) -> (keys, n_tokens, n_texts, kind, rounds, distilled, status, error).
 
     ``backend`` answers the chunk prompts; jobs may pass a cheaper model
     here than the one used for their final prompt (the reference does).
-
     ``n_tokens``/``kind`` describe the first round (input size, pass/chunk);
-    ``rounds`` is the number of summarising rounds the key went through.
+    ``rounds`` is the number of summarising rounds the key went through.  A NULL
+    key is a key.
     """
-    spark = df.sparkSession
     prefix = prefix_tokens(tokenizer=tokenizer)
     cur = df.select(*keys, F.col(order_col).cast("bigint").alias("_ord"), F.col(text_col).alias("_text"))
-    first = None
-    done = []
-    rnd = 0
-    ensure_checkpoint_dir(spark)
-
-    def joined(d: DataFrame, r: int) -> DataFrame:
-        return d.groupBy(*keys).agg(F.expr(
-            f"listagg(_text, '{sep}') WITHIN GROUP (ORDER BY _ord)").alias("distilled")).withColumn("rounds", F.lit(r))
-
-    if precheck:
-        plan = budget_plan(cur, keys, "_text", max_tokens, chunk_tokens, prefix, sep, tokenizer, with_counts=True)
-        if plan.filter(F.col("kind") == "chunk").limit(1).count() == 0:
-            return plan.select(*keys, "n_tokens", "n_texts", "kind").join(joined(cur, 0), keys).select(
-                *keys, "n_tokens", "n_texts", "kind", F.col("rounds").cast("int").alias("rounds"), "distilled")
-    while True:
-        last_round = max_rounds is not None and rnd >= max_rounds
-        if rnd > 0:
-            # Answers of the last round (small).  When every key fits now --
-            # the usual case -- join them without cutting again.
-            plan = budget_plan(cur, keys, "_text", max_tokens, chunk_tokens, prefix, sep, tokenizer)
-            if last_round or plan.filter(F.col("kind") == "chunk").limit(1).count() == 0:
-                done.append(joined(cur, rnd))
-                break
-        # Materialised once per round: read by the pass branch, the chunk
-        # branch and the size report, and it cuts the lineage of the loop.
-        c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep,
-                         tokenizer=tokenizer, with_counts=True).checkpoint(eager=True)
-        if first is None:
-            first = c.select(*keys, "n_tokens", "n_texts", "kind").dropDuplicates(keys)
-        if last_round:
-            done.append(joined(cur, rnd))
-            break
-        done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("chunk_text").alias("distilled"))
-                     .withColumn("rounds", F.lit(rnd)))
-        over = c.filter(F.col("kind") == "chunk").withColumn("_prompt", chunk_prompt(F.col("chunk_text")))
-        answered = infer(over, "_prompt", backend, "_resp", responses_path)
-        nxt = answered.select(*keys, F.col("chunk_idx").alias("_ord"),
-                              F.coalesce(F.col("_resp"), F.lit("")).alias("_text"))
-        nxt = nxt.checkpoint(eager=True)
-        rnd += 1
-        if nxt.limit(1).count() == 0:
+    c = chunk_by_key(cur, keys, "_ord", "_text", max_tokens, chunk_tokens, prefix, sep, tokenizer=tokenizer, with_counts=True)
+    # Texts of keys within budget are not sent: they are their own answer.
+    over = F.col("kind") == "chunk"
+    asked = infer(c.withColumn("_prompt", F.when(over, chunk_prompt(F.col("chunk_text")))), "_prompt", backend, "_resp", responses_path, parallelism)
+    asked = asked.withColumn("_resp", F.when(over, F.col("_resp")).otherwise(F.col("chunk_text"))) \
+        .withColumn("_resp_status", F.when(over, F.col("_resp_status")).otherwise(F.lit("ok")))
+    out = _answers(asked, keys, sep, F.max("n_tokens").alias("n_tokens"), F.max("n_texts").alias("n_texts"), F.max("kind").alias("kind"))
+    out = out.withColumn("rounds", F.when(over, F.lit(1)).otherwise(F.lit(0)))
+    out = _more_rounds(out, keys, backend, max_tokens, chunk_tokens, sep, max_rounds, responses_path, tokenizer, parallelism)
+    return out.select(*keys, "n_tokens", "n_texts", "kind", F.col("rounds").cast("int").alias("rounds"), "distilled", "status", "error")
+
+
+def _more_rounds(out: DataFrame, keys: list[str], backend: Backend, max_tokens: int, chunk_tokens: int, sep: str,
+                 max_rounds: int, responses_path: str | None, tokenizer, parallelism: int | None) -> DataFrame:
+    """Rounds after the first, for keys whose answers are still over budget; a fixed number at most."""
+    if max_rounds <= 1:
+        return out
+    # Model answers: computed once, and the lineage of the loop stays short.
+    ensure_checkpoint_dir(out.sparkSession)
+    size = token_count_fast(F.col("distilled"), tokenizer)
+    out = out.withColumn("_was", F.col("n_tokens")).withColumn("_now", size).checkpoint(eager=True)
+    for rnd in range(2, max_rounds + 1):
+        again = (F.col("status") == "ok") & (F.col("rounds") == rnd - 1) & (F.col("_now") > max_tokens) & (F.col("_now") < F.col("_was"))
+        again = F.coalesce(again, F.lit(False))
+        todo = out.filter(again)
+        if todo.isEmpty():
             break
-        cur = nxt
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    # Every input of this plan is a checkpoint, so the plan stays short.
-    return first.join(out, keys).select(*keys, "n_tokens", "n_texts", "kind",
-                                        F.col("rounds").cast("int").alias("rounds"), "distilled")
+        nxt = distill_rows(todo.select(*keys, F.col("distilled").alias("_text")), keys, "_text", backend, max_tokens, chunk_tokens,
+                           sep, 1, responses_path, "_next", tokenizer, parallelism)
+        nxt = nxt.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_next", F.col("status").alias("_next_status"), F.col("error").alias("_next_error"))
+        moved = todo.join(nxt, _same(todo, nxt, keys)).withColumn("distilled", F.col("_next")).withColumn("status", F.col("_next_status")) \
+            .withColumn("error", F.col("_next_error")).withColumn("rounds", F.lit(rnd)).withColumn("_was", F.col("_now")).withColumn("_now", size)
+        out = out.filter(~again).unionByName(moved.select(*out.columns)).checkpoint(eager=True)
+    stuck = (F.col("status") == "ok") & (F.col("rounds") > 0) & (F.col("_now") > max_tokens)
+    return out.withColumn("status", F.when(stuck, F.lit("over_budget")).otherwise(F.col("status"))).drop("_was", "_now")
 
 
 def distill_rows(df: DataFrame, keys: list[str], text_col: str, backend: Backend,
-                 max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int | None = None,
+                 max_tokens: int, chunk_tokens: int, sep: str = " ", max_rounds: int = 1,
                  responses_path: str | None = None, out_col: str = "distilled", tokenizer=None,
-                 materialize_input: bool = False) -> DataFrame:
+                 parallelism: int | None = None) -> DataFrame:
     """Distill for inputs with one text per key (an article, the abstracts
-    of one annotation row).  Returns ``df`` with n_tokens, kind, rounds and
-    ``out_col`` added; every input column passes through.
-
-    Rows within budget (and NULL texts) pass as they are: a per-row
-    expression, no shuffle.  Only over-budget rows are cut (per-row), their
-    chunks answered and regrouped per key (bounded by the chunks of one
-    text), repeated until they fit, and joined back to the over-budget rows
-    alone.
-
-    The input is read twice (over-budget rows for the model rounds, then the
-    final union).  ``materialize_input`` checkpoints it first: use it when the
-    input is an expensive derived table (joins, shuffles), not a plain scan.
+    of one annotation row).  Returns ``df`` with n_tokens, kind, rounds,
+    ``out_col``, status and error added; every input column passes through.
+
+    Rows within budget (and NULL texts) pass as they are.  With a native
+    backend the chunks are cut and answered inside the row, without a shuffle.
+    With a Python backend the rows over budget are written, their chunks
+    answered and regrouped per key (bounded by the chunks of one text), and
+    joined back to the written rows alone.
     """
-    from .chunking import chunk_rows, token_count_fast
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     prefix = prefix_tokens(tokenizer=tokenizer)
     d = df.withColumn("n_tokens", token_count_fast(F.col(text_col), tokenizer))
-    if materialize_input:
-        d = d.checkpoint(eager=True)
-    fits = F.col("n_tokens").isNull() | (F.col("n_tokens") <= F.lit(max_tokens))
-    passed = (d.filter(fits).withColumn("kind", F.lit("pass")).withColumn("rounds", F.lit(0))
-               .withColumn(out_col, F.col(text_col)))
-    over = d.filter(~fits)
-    cur = over.select(*keys, F.col(text_col).alias("_text"))
-    done = []
-    rnd = 0
-    while True:
-        last_round = max_rounds is not None and rnd >= max_rounds
-        if rnd > 0 or last_round:
-            # Texts of this round (answers after round 0, small): when all
-            # fit -- the usual case -- they are the result.
-            big = token_count_fast(F.col("_text"), tokenizer) > F.lit(max_tokens)
-            if last_round or cur.filter(big).limit(1).count() == 0:
-                done.append(cur.select(*keys, F.col("_text").alias("_dist"), F.lit(rnd).alias("rounds")))
-                break
-        c = chunk_rows(cur, "_text", max_tokens, chunk_tokens, prefix, tokenizer)
-        if rnd > 0:
-            done.append(c.filter(F.col("kind") == "pass").select(*keys, F.col("_text").alias("_dist"),
-                                                                 F.lit(rnd).alias("rounds")))
-        todo = c.filter(F.col("kind") == "chunk").withColumn("_prompt", chunk_prompt(F.col("chunk_text")))
-        answered = infer(todo, "_prompt", backend, "_resp", responses_path)
-        joined = answered.groupBy(*keys).agg(F.expr(
-            f"listagg(coalesce(_resp, ''), '{sep}') WITHIN GROUP (ORDER BY chunk_idx)").alias("_text"))
-        joined = joined.checkpoint(eager=True)
-        rnd += 1
-        if joined.limit(1).count() == 0:
-            break
-        cur = joined
-    res = None
-    for x in done:
-        res = x if res is None else res.unionByName(x)
-    if res is None:
-        res = spark.createDataFrame([], over.select(*keys).schema.add("_dist", T.StringType()).add("rounds", T.IntegerType()))
-    chunked = (over.join(res, keys).withColumn("kind", F.lit("chunk"))
-                   .withColumn(out_col, F.col("_dist")).drop("_dist"))
-    return passed.unionByName(chunked.withColumn("rounds", F.col("rounds").cast("int")),
-                              allowMissingColumns=False) \
-        .withColumn("rounds", F.col("rounds").cast("int"))
+    over = F.coalesce(F.col("n_tokens") > max_tokens, F.lit(False))
+    none = F.lit(None).cast("string")
+    kind = F.when(over, F.lit("chunk")).otherwise(F.lit("pass"))
+    if backend.native(F.lit("")) is not None and responses_path is None:
+        pieces = chunk_texts(F.col(text_col), chunk_tokens, prefix, tokenizer)
+        said = F.array_join(F.transform(pieces, lambda x: backend.native(chunk_prompt(x))), sep)
+        out = d.withColumn("kind", kind).withColumn(out_col, F.when(over, said).otherwise(F.col(text_col))) \
+            .withColumn("rounds", over.cast("int")).withColumn("status", F.lit("ok")).withColumn("error", none)
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        long = d.filter(over).checkpoint(eager=True)
+        c = chunk_rows(long.select(*keys, F.col(text_col).alias("_text")), "_text", max_tokens, chunk_tokens, prefix, tokenizer)
+        asked = infer(c.select(*keys, "chunk_idx", chunk_prompt(F.col("chunk_text")).alias("_prompt")), "_prompt", backend, "_resp", responses_path, parallelism)
+        said = _answers(asked, keys, sep).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("distilled").alias("_said"), "status", "error")
+        chunked = long.join(said, _same(long, said, keys)).withColumn(out_col, F.col("_said")).drop("_said", *(f"_k_{k}" for k in keys))
+        passed = d.filter(~over).withColumn("status", F.lit("ok")).withColumn("error", none).withColumn(out_col, F.col(text_col))
+        out = passed.unionByName(chunked).withColumn("kind", kind).withColumn("rounds", over.cast("int"))
+    if max_rounds > 1:
+        out = _more_rounds(out.withColumnRenamed(out_col, "distilled"), keys, backend, max_tokens, chunk_tokens, sep, max_rounds,
+                           responses_path, tokenizer, parallelism).withColumnRenamed("distilled", out_col)
+    return out

@@ -2,7 +2,9 @@
 
 * identity of a prompt is ``sha2(prompt, 256)``; equal prompts run once;
 * an append-only ``responses`` table (partitioned by backend) makes a job
-  resumable: prompts already answered ``ok`` are removed by an anti join;
+  resumable: prompts already answered ``ok`` are removed by an anti join, and
+  the answers of a Python backend are committed bucket by bucket, so that a
+  job that dies loses the answers of one bucket at most;
 * a backend is either a native Column expression (stays in the JVM) or a
   Python function over a batch of prompts, run with ``mapInPandas`` in
   Arrow batches, with bounded retries and a status per row instead of an
@@ -19,13 +21,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prompts import payload_of
 from ..functions.text import strip
 from ..schemas import RESPONSES
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 
 class Backend:
@@ -64,48 +67,63 @@ RATE_LIMIT_EXTRA_S = 5.0
 
 class CallableBackend(Backend):
     """Wraps ``fn(list_of_prompts) -> list_of_answers`` (an HTTP client, a local
-    model).  Each batch is retried up to ``max_attempts`` times: after a
-    rate-limit error that advertises a wait, that wait plus
-    ``rate_limit_extra_s`` (capped by ``max_wait_s``); otherwise exponential
-    backoff.  Rows of a batch that still fails get ``status='error'`` and the
-    message."""
+    model).  A call is tried up to ``max_attempts`` times: after a rate-limit
+    error that advertises a wait, after that wait plus ``rate_limit_extra_s``;
+    otherwise with exponential backoff.  A batch that fails (or gives another
+    number of answers than prompts) is sent again prompt by prompt, so only the
+    prompts that fail themselves get ``status='error'`` and the message."""
 
     def __init__(self, name: str, fn: Callable[[list[str]], list[str]], max_attempts: int = 3,
-                 backoff_s: float = 5.0, batch_size: int = 16, rate_limit_extra_s: float = RATE_LIMIT_EXTRA_S,
-                 max_wait_s: float = 300.0):
+                 backoff_s: float = 5.0, batch_size: int = 16, rate_limit_extra_s: float = RATE_LIMIT_EXTRA_S):
         self.name = name
         self.fn = fn
         self.max_attempts = max_attempts
         self.backoff_s = backoff_s
         self.batch_size = batch_size
         self.rate_limit_extra_s = rate_limit_extra_s
-        self.max_wait_s = max_wait_s
 
     def wait_seconds(self, exc: Exception, attempt: int) -> float:
         m = RATE_LIMIT_RE.search(str(exc))
-        w = int(m.group(1)) + self.rate_limit_extra_s if m else self.backoff_s * (2 ** (attempt - 1))
-        return min(w, self.max_wait_s)
+        return int(m.group(1)) + self.rate_limit_extra_s if m else self.backoff_s * (2 ** (attempt - 1))
+
+    def call(self, prompts: list[str]) -> tuple[list[str | None] | None, str | None, int]:
+        """(answers or None, error, attempts) of one call with its retries."""
+        error, attempts = None, 0
+        while attempts < self.max_attempts:
+            attempts += 1
+            try:
+                answers = list(self.fn(prompts))
+                if len(answers) != len(prompts):
+                    raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+                return [None if a is None else str(a).strip() for a in answers], None, attempts
+            except Exception as exc:  # noqa: BLE001 - reported per row
+                error = f"{type(exc).__name__}: {exc}"
+                if attempts < self.max_attempts:
+                    time.sleep(self.wait_seconds(exc, attempts))
+        return None, error, attempts
+
+    def rows(self, prompts: list[str]) -> list[tuple[str | None, str, str | None, int]]:
+        """(response, status, error, attempts) of each prompt."""
+        answers, error, attempts = self.call(prompts)
+        if answers is not None:
+            return [(a, "ok", None, attempts) for a in answers]
+        if len(prompts) == 1:
+            return [(None, "error", error, attempts)]
+        out = []
+        for p in prompts:
+            (response, status, error, more), = self.rows([p])
+            out.append((response, status, error, attempts + more))
+        return out
 
     def run_batches(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for start in range(0, len(pdf), self.batch_size):
                 part = pdf.iloc[start:start + self.batch_size]
-                prompts = part["prompt"].tolist()
-                answers, status, error, attempts = None, "error", None, 0
-                while attempts < self.max_attempts:
-                    attempts += 1
-                    try:
-                        answers = [None if a is None else str(a).strip() for a in self.fn(prompts)]
-                        status, error = "ok", None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - reported per row
-                        error = f"{type(exc).__name__}: {exc}"[:2000]
-                        if attempts < self.max_attempts:
-                            time.sleep(self.wait_seconds(exc, attempts))
+                response, status, error, attempts = zip(*self.rows(part["prompt"].tolist()), strict=True)
                 yield pd.DataFrame({
                     "prompt_id": part["prompt_id"].values,
                     "backend": self.name,
-                    "response": answers if answers is not None else [None] * len(part),
+                    "response": response,
                     "status": status,
                     "error": error,
                     "attempts": attempts,
@@ -113,28 +131,41 @@ class CallableBackend(Backend):
 
 
 PROMPT_BATCH_ROWS = 256
+#: Separate commits of one job to a responses table.
+COMMITS = 8
 
 
 def prompt_id(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 
 
-def read_responses(spark: SparkSession, path: str, backend: str) -> DataFrame | None:
+def read_responses(spark: SparkSession, path: str, backend: str, prompts: DataFrame) -> DataFrame | None:
+    """The stored ``ok`` answer of each of the prompts that has one (of several, the
+    one with the fewest attempts, then the smallest text); None if there is no table."""
     try:
         r = spark.read.schema(RESPONSES).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     r = r.filter((F.col("backend") == backend) & (F.col("status") == "ok"))
-    w = Window.partitionBy("prompt_id").orderBy("attempts")
-    return r.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+    r = r.join(prompts.select("prompt_id"), "prompt_id", "left_semi")
+    best = r.groupBy("prompt_id").agg(F.min(F.struct("attempts", "response", "backend", "status", "error")).alias("a"))
+    return best.select("prompt_id", *(F.col(f"a.{c}").alias(c) for c in RESPONSES.fieldNames() if c != "prompt_id"))
 
 
 def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = None,
-           parallelism: int | None = None) -> DataFrame:
-    """Distinct (prompt_id, prompt) -> responses (F10 schema) for every prompt."""
+           parallelism: int | None = None, commits: int = COMMITS) -> DataFrame:
+    """Distinct (prompt_id, prompt) -> responses (F10 schema) for every prompt.
+
+    With a responses table, a Python backend's prompts are written first, by
+    ``commits`` buckets of their hash; each bucket is then answered and appended
+    on its own.  Prompts whose call failed are in the result with their error,
+    and are sent again by the next run.
+    """
     spark = prompts.sparkSession
     todo = prompts.dropDuplicates(["prompt_id"])
-    done = read_responses(spark, responses_path, backend.name) if responses_path else None
+    done = read_responses(spark, responses_path, backend.name, prompts) if responses_path else None
     if done is not None:
         todo = todo.join(done.select("prompt_id"), "prompt_id", "left_anti")
     expr = backend.native(F.col("prompt"))
@@ -142,58 +173,79 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
         new = todo.select("prompt_id", F.lit(backend.name).alias("backend"), expr.alias("response"),
                           F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
                           F.lit(1).alias("attempts"))
-    else:
-        n = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        new = todo.repartition(n, "prompt_id").mapInPandas(backend.run_batches, RESPONSES)
+        if responses_path:
+            new.write.mode("append").partitionBy("backend").parquet(responses_path)
+            return read_responses(spark, responses_path, backend.name, prompts)
+        return new
+    n = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ask(part: DataFrame) -> DataFrame:
+        return part.repartition(n, "prompt_id").mapInPandas(backend.run_batches, RESPONSES)
+
     # Prompts can be ~100 KB each: keep Arrow batches to the Python worker
     # small while this stage is materialised (the setting is read at run time).
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, None)
-    if expr is None:
-        spark.conf.set(key, str(PROMPT_BATCH_ROWS))
+    spark.conf.set(key, str(PROMPT_BATCH_ROWS))
     try:
-        if responses_path:
-            new.write.mode("append").partitionBy("backend").parquet(responses_path)
-            return read_responses(spark, responses_path, backend.name)
-        if expr is None:
+        if not responses_path:
             ensure_checkpoint_dir(spark)
-            new = new.checkpoint(eager=True)
-        return new
+            return ask(todo).checkpoint(eager=True)
+        path = scratch_path(spark, "prompts")
+        bucket = F.pmod(F.crc32("prompt_id"), F.lit(commits)).cast("int")
+        todo.select("prompt_id", "prompt", bucket.alias("bucket")).write.partitionBy("bucket").parquet(path)
+        waiting = spark.read.schema("prompt_id string, prompt string, bucket int").parquet(path)
+        failed = []
+        for b in range(commits):
+            store = scratch_path(spark, "answers")
+            ask(waiting.filter(F.col("bucket") == b).select("prompt_id", "prompt")).write.parquet(store)
+            got = spark.read.schema(RESPONSES).parquet(store)
+            got.write.mode("append").partitionBy("backend").parquet(responses_path)
+            failed.append(got.filter("status != 'ok'"))
+        out = read_responses(spark, responses_path, backend.name, prompts)
+        for f in failed:
+            out = out.unionByName(f)
+        return out
     finally:
-        if expr is None:
-            if old is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, old)
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
 
 
 def infer(df: DataFrame, prompt_col: str, backend: Backend, out_col: str = "response",
           responses_path: str | None = None, parallelism: int | None = None,
           skip_empty: bool = True, keep_prompt: bool = False) -> DataFrame:
-    """Adds ``out_col`` (the answer) and ``<out_col>_status`` to ``df``.
+    """Adds ``out_col`` (the answer), ``<out_col>_status`` and ``<out_col>_error`` to ``df``.
 
     NULL (and, with ``skip_empty``, empty) prompts are not sent; their status
     is 'skipped'.  A native backend is a projection (deterministic, cheap:
     no dedupe, no join).  Otherwise equal prompts are answered once, the
     answers are materialised, and they are joined back on the prompt hash;
     the prompt text itself is dropped before that join unless ``keep_prompt``.
+    Rows that are not sent join on a hash of their other columns, which no
+    prompt has: they spread over the tasks instead of meeting as NULL keys.
     """
     p = F.col(prompt_col)
     send = p.isNotNull() & (F.length(p) > 0) if skip_empty else p.isNotNull()
     expr = backend.native(p)
     if expr is not None and responses_path is None:
         out = df.withColumn(out_col, F.when(send, expr)).withColumn(
-            f"{out_col}_status", F.when(send, F.lit("ok")).otherwise(F.lit("skipped")))
+            f"{out_col}_status", F.when(send, F.lit("ok")).otherwise(F.lit("skipped"))).withColumn(
+            f"{out_col}_error", F.lit(None).cast("string"))
         return out if keep_prompt else out.drop(prompt_col)
-    d = df.withColumn("_pid", F.when(send, prompt_id(p)))
-    prompts = d.filter(F.col("_pid").isNotNull()).select(F.col("_pid").alias("prompt_id"), p.alias("prompt"))
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    spread = F.concat(F.lit("-"), F.xxhash64(*(F.col(f"`{c}`") for c in plain)).cast("string"))
+    d = df.withColumn("_sent", send).withColumn("_pid", F.when(send, prompt_id(p)).otherwise(spread))
+    prompts = d.filter("_sent").select(F.col("_pid").alias("prompt_id"), p.alias("prompt"))
     r = answer(prompts, backend, responses_path, parallelism).select(
-        F.col("prompt_id").alias("_pid"), F.col("response").alias(out_col), F.col("status").alias("_st"))
+        F.col("prompt_id").alias("_pid"), F.col("response").alias(out_col), F.col("status").alias("_st"),
+        F.col("error").alias(f"{out_col}_error"))
     if not keep_prompt:
         d = d.drop(prompt_col)
     j = d.join(r, "_pid", "left")
-    status = F.when(F.col("_pid").isNull(), F.lit("skipped")).otherwise(F.coalesce(F.col("_st"), F.lit("error")))
-    return j.withColumn(f"{out_col}_status", status).drop("_pid", "_st")
+    status = F.when(~F.col("_sent"), F.lit("skipped")).otherwise(F.coalesce(F.col("_st"), F.lit("error")))
+    return j.withColumn(f"{out_col}_status", status).drop("_pid", "_st", "_sent")
 
 
 def python_lead(k: int = 2) -> CallableBackend:

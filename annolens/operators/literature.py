@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ARTICLE_SEP
-from .broadcast import sized_broadcast
+from ..functions.text import ARTICLE_SEP, strip_fences
 from .lookup import filter_has_pmids, filter_has_text, filter_species
 
 ABSTRACT_SEP = "\n\n"
@@ -21,9 +20,16 @@ def first_links(links: DataFrame) -> DataFrame:
 
 
 def article_lookup(pmids: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
-    """PMID -> first PMC id -> XML body.  status: ok / no_link / missing."""
-    j = (pmids.select("pmid").join(first_links(links), "pmid", "left")
-              .join(articles.select("pmcid", "body"), "pmcid", "left"))
+    """PMID -> first PMC id -> XML body.  status: ok / no_link / missing.
+
+    Links and articles are cut to what is asked for before they are ranked or
+    joined; PMIDs without a link skip the article join (no NULL key meets there).
+    """
+    asked = pmids.select("pmid")
+    linked = first_links(links.join(asked, "pmid", "left_semi"))
+    wanted = articles.select("pmcid", "body").join(linked.select("pmcid"), "pmcid", "left_semi")
+    bodies = linked.join(wanted, "pmcid", "left").select("pmid", "pmcid", "body")
+    j = asked.join(bodies, "pmid", "left")
     status = (F.when(F.col("pmcid").isNull(), F.lit("no_link"))
                .when(F.col("body").isNull(), F.lit("missing")).otherwise(F.lit("ok")))
     return j.select("pmid", "pmcid", status.alias("status"), "body")
@@ -33,11 +39,15 @@ def abstracts_by_pmid(rows: DataFrame, abstracts: DataFrame, list_col: str = "pm
                       id_col: str = "row_ord") -> DataFrame:
     """Every PMID of every row with its abstract: (id, pos, pmid, status, abstract).
     A row with an empty list keeps one row, status 'no_pmid'."""
-    ex = rows.select(id_col, F.posexplode_outer(list_col).alias("pos", "pmid"))
+    ex = rows.select(id_col, F.posexplode(list_col).alias("pos", "pmid"))
     j = ex.join(abstracts.select("pmid", F.col("text").alias("abstract")), "pmid", "left")
-    status = (F.when(F.col("pmid").isNull(), F.lit("no_pmid"))
-               .when(F.col("abstract").isNull(), F.lit("missing")).otherwise(F.lit("ok")))
-    return j.select(id_col, F.col("pos").cast("bigint").alias("pos"), "pmid", status.alias("status"), "abstract")
+    status = F.when(F.col("abstract").isNull(), F.lit("missing")).otherwise(F.lit("ok"))
+    found = j.select(id_col, F.col("pos").cast("bigint").alias("pos"), "pmid", status.alias("status"), "abstract")
+    # Rows without a PMID are added, not joined on a NULL key.
+    none = rows.filter(F.coalesce(F.size(list_col), F.lit(0)) < 1).select(
+        id_col, F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast(found.schema["pmid"].dataType).alias("pmid"),
+        F.lit("no_pmid").alias("status"), F.lit(None).cast("string").alias("abstract"))
+    return found.unionByName(none)
 
 
 def top_pmids_per_gene(gene_pmids: DataFrame, k: int = 100) -> DataFrame:
@@ -69,23 +79,36 @@ def pairs_inputs(annotations: DataFrame, abstracts: DataFrame, genes: DataFrame,
     """Ground-truth rows with their abstracts and gene name.
 
     Species, non-empty PMID list and non-empty text filters reach the scan;
-    each row's PMID list is exploded, joined with abstracts (shuffle on pmid)
+    each row's ids alone are exploded, joined with abstracts (shuffle on pmid)
     and regrouped per row in list order (the group is the row's own PMID
-    list).  Rows without any abstract or without a gene name are dropped.
+    list); the annotation text is joined back once.  Rows without any abstract or without a gene name are dropped.
     Output: row_ord, gene_id, gene_name, ground_truth, abstracts.
     """
     a = filter_has_text(filter_has_pmids(filter_species(annotations, tax_id)))
     if gene_id is not None:
         a = a.filter(F.col("gene_id") == F.lit(gene_id))
-    ex = a.select("row_ord", "gene_id", F.col("text").alias("ground_truth"),
-                  F.posexplode("pmids").alias("pos", "pmid"))
+    names = genes.select("gene_id", F.col("symbol").alias("gene_name")).filter(F.col("gene_name").isNotNull())
+    ex = a.select("row_ord", F.posexplode("pmids").alias("pos", "pmid"))
     j = ex.join(abstracts.select("pmid", F.col("text").alias("abstract")), "pmid")
-    g = j.groupBy("row_ord").agg(
-        F.first("gene_id").alias("gene_id"), F.first("ground_truth").alias("ground_truth"),
-        F.expr("listagg(abstract, '\\n\\n') WITHIN GROUP (ORDER BY pos)").alias("abstracts"))
-    names = sized_broadcast(genes.select("gene_id", F.col("symbol").alias("gene_name")))
-    return g.join(names, "gene_id").filter(F.col("gene_name").isNotNull()).select(
-        "row_ord", "gene_id", "gene_name", "ground_truth", "abstracts")
+    g = j.groupBy("row_ord").agg(F.expr("listagg(abstract, '\\n\\n') WITHIN GROUP (ORDER BY pos)").alias("abstracts"))
+    rows = a.select("row_ord", "gene_id", F.col("text").alias("ground_truth")).join(names, "gene_id")
+    return rows.join(g, "row_ord").select("row_ord", "gene_id", "gene_name", "ground_truth", "abstracts")
+
+
+PAIR = "array<struct<E3_ligase:string,substrate:string>>"
+
+
+def parse_pairs(answers: DataFrame, answer_col: str, id_col: str = "answer_id") -> DataFrame:
+    """Task answers -> one row per pair: (id, enzyme, substrate, status).
+
+    Code fences are dropped; a lone object counts as an array of one.  An answer
+    that is not JSON keeps one row with status 'bad_json', one without a pair
+    'no_pair'."""
+    parsed = answers.select(id_col, F.from_json(strip_fences(answer_col), PAIR, {"mode": "PERMISSIVE"}).alias("pairs"))
+    ok = F.col("pairs").isNotNull()
+    found = parsed.select(id_col, F.when(ok, F.when(F.size("pairs") > 0, F.lit("ok")).otherwise(F.lit("no_pair"))).otherwise(F.lit("bad_json")).alias("status"), F.explode_outer("pairs").alias("p"))
+    bad = (F.col("status") == "ok") & F.col("p.E3_ligase").isNull() & F.col("p.substrate").isNull()
+    return found.select(id_col, F.col("p.E3_ligase").alias("enzyme"), F.col("p.substrate").alias("substrate"), F.when(bad, F.lit("bad_json")).otherwise(F.col("status")).alias("status"))
 
 
 def article_texts(article_rows: DataFrame, extract) -> DataFrame:

@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .broadcast import sized_broadcast
 from .resolve import resolve_tokens
 from .scan import ordinal
 
 # Fixed value: taxonomy ID of the species the reference restricts to (human).
 HUMAN = 9606
 
+# Sorts after every real row position: an added text goes last in its gene.
+LAST_ORD = 1 << 62
+
 
 def filter_species(df: DataFrame, tax_id: int = HUMAN) -> DataFrame:
     return df.filter(F.col("tax_id") == tax_id)
@@ -36,42 +38,48 @@ def texts_for_gene(annotations: DataFrame, gene_id: int, tax_id: int = HUMAN) ->
     return ordinal(a.select("gene_id", "row_ord", "text"), ["gene_id"], "row_ord", "idx")
 
 
+def distinct_members(members: DataFrame, group_cols: list[str], token_col: str) -> DataFrame:
+    """One row per distinct token of a group, at its first position."""
+    return members.groupBy(*group_cols, token_col).agg(F.min("pos").alias("pos"))
+
+
 def texts_for_members(members: DataFrame, annotations: DataFrame, aliases: DataFrame,
                       group_cols: list[str], token_col: str = "symbol",
-                      tax_id: int = HUMAN) -> DataFrame:
-    """Texts of every member of every group: one row per (group, member, text).
+                      tax_id: int = HUMAN, extra_texts: DataFrame | None = None) -> DataFrame:
+    """Texts of every distinct member of every group: one row per (group, member, text).
 
-    ``members`` has ``group_cols`` + ``pos`` + ``token_col``.  Tokens resolve
-    with the mixed rule; annotations are filtered to the species and to
-    non-empty text.  The (small, size-checked) member table is broadcast and
-    the annotation scan streams through the join without a shuffle.  Members
+    ``members`` has ``group_cols`` + ``pos`` + ``token_col``; a token given twice
+    counts once, at its first position.  Tokens resolve with the mixed rule;
+    annotations are filtered to the species and to non-empty text.
+    ``extra_texts`` (gene_id, text) come after a gene's own texts.  Members
     whose gene has no text keep one row with ``idx``/``text`` NULL.
     Output: group_cols, pos, token, gene_id, idx, row_ord, text.
     """
-    m = resolve_tokens(members, token_col, aliases, "gene_id")
-    mb = sized_broadcast(m)
-    a = filter_has_text(filter_species(annotations, tax_id)).select(
-        F.col("gene_id").alias("_agid"), "row_ord", "text")
-    hit = a.join(mb, F.col("_agid") == F.col("gene_id")).drop("_agid")
-    keys = group_cols + ["pos"]
-    numbered = ordinal(hit, keys, "row_ord", "idx")
-    present = a.select(F.col("_agid").alias("gene_id")).distinct()
-    empty = (m.join(present, "gene_id", "left_anti")
-              .withColumn("idx", F.lit(None).cast("bigint"))
-              .withColumn("row_ord", F.lit(None).cast("bigint"))
-              .withColumn("text", F.lit(None).cast("string")))
+    m = resolve_tokens(distinct_members(members, group_cols, token_col), token_col, aliases, "gene_id")
+    a = filter_has_text(filter_species(annotations, tax_id)).select("gene_id", "row_ord", "text")
+    if extra_texts is not None:
+        more = extra_texts.filter(F.length("text") > 0).select("gene_id", F.lit(LAST_ORD).alias("row_ord"), "text")
+        a = a.unionByName(more)
+    # Texts of the asked genes, numbered once per gene; then one row per member.
+    asked = a.join(m.select("gene_id").filter("gene_id is not null").distinct(), "gene_id", "left_semi")
+    numbered = ordinal(asked, ["gene_id"], "row_ord", "idx").withColumn(
+        "row_ord", F.when(F.col("row_ord") != LAST_ORD, F.col("row_ord")))
     cols = group_cols + ["pos", token_col, "gene_id", "idx", "row_ord", "text"]
-    return numbered.select(*cols).unionByName(empty.select(*cols))
+    known = m.filter("gene_id is not null").join(numbered, "gene_id", "left").select(*cols)
+    unknown = m.filter("gene_id is null")
+    for c in ("idx", "row_ord", "text"):
+        unknown = unknown.withColumn(c, F.lit(None).cast(known.schema[c].dataType))
+    return known.unionByName(unknown.select(*cols))
 
 
 def texts_by_gene_set(gene_sets: DataFrame, annotations: DataFrame, aliases: DataFrame,
-                      tax_id: int = HUMAN) -> DataFrame:
-    return texts_for_members(gene_sets, annotations, aliases, ["gene_set"], "symbol", tax_id)
+                      tax_id: int = HUMAN, extra_texts: DataFrame | None = None) -> DataFrame:
+    return texts_for_members(gene_sets, annotations, aliases, ["gene_set"], "symbol", tax_id, extra_texts)
 
 
 def texts_by_gene_list(tokens: DataFrame, annotations: DataFrame, aliases: DataFrame,
-                       tax_id: int = HUMAN) -> DataFrame:
-    return texts_for_members(tokens, annotations, aliases, [], "token", tax_id)
+                       tax_id: int = HUMAN, extra_texts: DataFrame | None = None) -> DataFrame:
+    return texts_for_members(tokens, annotations, aliases, [], "token", tax_id, extra_texts)
 
 
 def distinct_genes(annotations: DataFrame, tax_id: int = HUMAN) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_numeric_token, strip
-from .broadcast import sized_broadcast
 
 
 def best_aliases(aliases: DataFrame) -> DataFrame:
@@ -18,14 +17,14 @@ def best_aliases(aliases: DataFrame) -> DataFrame:
 
 def resolve_symbols(df: DataFrame, token_col: str, aliases: DataFrame, out_col: str = "gene_id") -> DataFrame:
     """Symbol -> gene ID; NULL when the symbol is unknown."""
-    best = sized_broadcast(best_aliases(aliases))
+    best = best_aliases(aliases)
     j = df.join(best, F.col(token_col) == F.col("_sym"), "left")
     return j.withColumn(out_col, F.col("_sym_gene_id")).drop("_sym", "_sym_gene_id")
 
 
 def resolve_ids(df: DataFrame, id_col: str, genes: DataFrame, out_col: str = "symbol") -> DataFrame:
     """Gene ID -> symbol; NULL when the ID is unknown."""
-    g = sized_broadcast(genes.select(F.col("gene_id").alias("_gid"), F.col("symbol").alias("_gsym")))
+    g = genes.select(F.col("gene_id").alias("_gid"), F.col("symbol").alias("_gsym"))
     j = df.join(g, F.col(id_col) == F.col("_gid"), "left")
     return j.withColumn(out_col, F.col("_gsym")).drop("_gid", "_gsym")
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import literature as LIT
 from ..operators import lookup, resolve
 from ..sources import genesets, standin as S
 from . import params as P
@@ -111,6 +112,22 @@ def q_texts_by_gene_list(spark, d):
     return lookup.texts_by_gene_list(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), P.HUMAN)
 
 
+def added_texts(spark, d):
+    """The abstracts of each gene as one more text."""
+    g = LIT.gene_abstracts_text(S.gene_pmids(spark, d), S.abstracts(spark, d), P.TOP_K_ABSTRACTS)
+    return g.select("gene_id", F.col("abstracts").alias("text"))
+
+
+@query("texts_by_gene_set_abstracts")
+def q_texts_by_gene_set_abstracts(spark, d):
+    return lookup.texts_by_gene_set(gene_sets(spark, d), S.annotations(spark, d), S.aliases(spark, d), P.HUMAN, added_texts(spark, d))
+
+
+@query("texts_by_gene_list_abstracts")
+def q_texts_by_gene_list_abstracts(spark, d):
+    return lookup.texts_by_gene_list(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), P.HUMAN, added_texts(spark, d))
+
+
 @query("distinct_genes")
 def q_distinct_genes(spark, d):
     return lookup.distinct_genes(S.annotations(spark, d), P.HUMAN)
@@ -120,7 +137,6 @@ def q_distinct_genes(spark, d):
 
 from ..functions import prompts as PR  # noqa: E402
 from ..functions import text as TX  # noqa: E402
-from ..operators import literature as LIT  # noqa: E402
 
 
 @query("strip_fences")
@@ -193,6 +209,45 @@ def q_prompt_task(spark, d):
                     PR.article_prompt(F.col("article"), PR.task_instruction(P.TASK)).alias("prompt"))
 
 
+@query("prompt_chunk")
+def q_prompt_chunk(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", PR.chunk_prompt(F.col("text")).alias("prompt"))
+
+
+def _named_annotations(spark, d):
+    a = resolve.resolve_ids(S.annotations(spark, d), "gene_id", S.genes(spark, d), "gene_name")
+    return a.withColumn("gene", F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")))
+
+
+@query("prompt_annotation")
+def q_prompt_annotation(spark, d):
+    a = _named_annotations(spark, d)
+    return a.select("row_ord", PR.annotation_prompt(F.col("gene"), F.lit(P.PROCESS), F.col("text")).alias("prompt"))
+
+
+@query("prompt_gene_summary")
+def q_prompt_gene_summary(spark, d):
+    a = _named_annotations(spark, d)
+    return a.select("row_ord", PR.gene_summary_prompt(F.col("gene"), F.lit(P.PROCESS), F.col("text")).alias("prompt"))
+
+
+@query("prompt_process")
+def q_prompt_process(spark, d):
+    a = _named_annotations(spark, d)
+    return a.select("row_ord", PR.process_prompt(F.lit(P.PROCESS), PR.gene_line(F.col("gene"), F.col("text"))).alias("prompt"))
+
+
+@query("parse_pairs")
+def q_parse_pairs(spark, d):
+    """Task answers to pairs; of the answers a third is an array, a third one object, the rest prose."""
+    raw = S.model_answers(spark, d)
+    pair = F.struct(F.substring("raw", 1, 7).alias("E3_ligase"), F.substring("raw", 8, 7).alias("substrate"))
+    text = (F.when(F.col("answer_id") % 3 == 0, F.to_json(F.array(pair, pair)))
+             .when(F.col("answer_id") % 3 == 1, F.to_json(pair)).otherwise(F.concat(F.lit("none: "), F.col("raw"))))
+    answers = raw.select("answer_id", F.concat(F.lit("```json\n"), text, F.lit("\n```")).alias("answer"))
+    return LIT.parse_pairs(answers, "answer")
+
+
 # --- M4: tokens and chunking -----------------------------------------------------
 
 from ..operators import chunking as CH  # noqa: E402
@@ -221,8 +276,11 @@ def q_distill_plan(spark, d):
 
 @query("chunk_gene")
 def q_chunk_gene(spark, d):
-    mx, ck = CH.budget_for_model(P.MODEL)
-    return CH.chunk_by_key(gene_texts(spark, d), ["gene_id"], "row_ord", "text", mx, ck, PREFIX)
+    """Some of the texts begin with white space, which does not count."""
+    mx, ck = P.GENE_BUDGET
+    lead = F.when(F.col("row_ord") % 5 == 1, F.lit(" \n  ")).otherwise(F.lit(""))
+    texts = gene_texts(spark, d).withColumn("text", F.concat(lead, F.col("text")))
+    return CH.chunk_by_key(texts, ["gene_id"], "row_ord", "text", mx, ck, PREFIX)
 
 
 # --- M5-M7: model map, distill, jobs, embeddings ----------------------------------
@@ -237,8 +295,9 @@ def backend():
     return LeadBackend(P.LEAD_SENTENCES)
 
 
-def budget():
-    return CH.budget_for_model(P.MODEL)
+def plain(df):
+    """Without the outcome columns that only matter when a model call fails."""
+    return df.drop("error")
 
 
 def ok_articles(spark, d):
@@ -254,62 +313,70 @@ def q_infer_lead(spark, d):
 
 @query("distill")
 def q_distill(spark, d):
-    mx, ck = budget()
-    return distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck).drop("n_texts")
+    mx, ck = P.GENE_BUDGET
+    return plain(distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck).drop("n_texts"))
+
+
+@query("distill_two_rounds")
+def q_distill_two_rounds(spark, d):
+    mx, ck = P.TWO_ROUNDS
+    return plain(distill(gene_texts(spark, d), ["gene_id"], "row_ord", "text", backend(), mx, ck, max_rounds=2).drop("n_texts"))
 
 
 @query("summarize_articles")
 def q_summarize_articles(spark, d):
-    mx, ck = budget()
-    return J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
-                                S.articles(spark, d), backend(), mx, ck)
+    mx, ck = P.ARTICLE_BUDGET
+    return plain(J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
+                                      S.articles(spark, d), backend(), mx, ck))
 
 
 @query("article_task")
 def q_article_task(spark, d):
-    mx, ck = budget()
-    return J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
-                                S.articles(spark, d), backend(), mx, ck, task=P.TASK)
+    mx, ck = P.ARTICLE_BUDGET
+    return plain(J.summarize_articles(S.abstracts(spark, d).select("pmid"), S.article_links(spark, d),
+                                      S.articles(spark, d), backend(), mx, ck, task=P.TASK))
 
 
 @query("summarize_genes")
 def q_summarize_genes(spark, d):
-    mx, ck = budget()
-    return J.summarize_genes(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
-                             backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
+    mx, ck = P.GENE_BUDGET
+    return plain(J.summarize_genes(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+                                   backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN))
 
 
 @query("process_narrative")
 def q_process_narrative(spark, d):
-    mx, ck = budget()
+    mx, ck = P.GENE_BUDGET
     members = gene_sets(spark, d).withColumnRenamed("symbol", "token")
     s = J.summarize_genes(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
                           backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
     per = members.join(s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
-    return J.process_narrative(per, ["gene_set"], backend(), P.PROCESS, mx, ck)
+    return plain(J.process_narrative(per, ["gene_set"], backend(), P.PROCESS, mx, ck))
 
 
 @query("create_annotations")
 def q_create_annotations(spark, d):
-    mx, ck = budget()
+    mx, ck = P.GENE_BUDGET
     ids = lookup.distinct_genes(S.annotations(spark, d), P.HUMAN)
-    return J.create_annotations(ids, S.genes(spark, d), S.gene_pmids(spark, d), S.abstracts(spark, d),
-                                backend(), P.PROCESS, mx, ck, P.TOP_K_ABSTRACTS)
+    # Genes that nothing cites keep a row.
+    ids = ids.unionByName(S.genes(spark, d).filter(F.col("gene_id") > S.SUPPLIER_GENE).select("gene_id"))
+    return plain(J.create_annotations(ids, S.genes(spark, d), S.gene_pmids(spark, d), S.abstracts(spark, d),
+                                      backend(), P.PROCESS, mx, ck, P.TOP_K_ABSTRACTS))
 
 
 @query("synthetic_pairs")
 def q_synthetic_pairs(spark, d):
-    mx, ck = budget()
-    return J.synthetic_pairs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), backend(),
-                             P.PROCESS, mx, ck, P.HUMAN)
+    mx, ck = P.PAIR_BUDGET
+    return plain(J.synthetic_pairs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), backend(),
+                                   P.PROCESS, mx, ck, P.HUMAN))
 
 
 @query("genes_to_process")
 def q_genes_to_process(spark, d):
-    mx, ck = budget()
-    return J.genes_to_process(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
+    mx, ck = P.GENE_BUDGET
+    return plain(J.genes_to_process(gene_list(spark, d), S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
                               S.gene_pmids(spark, d), S.abstracts(spark, d), backend(), P.PROCESS, mx, ck,
-                              add_abstracts=True, k=P.TOP_K_ABSTRACTS, tax_id=P.HUMAN)
+                              add_abstracts=True, k=P.TOP_K_ABSTRACTS, tax_id=P.HUMAN))
 
 
 def vector_checks(e):
@@ -339,9 +406,14 @@ def q_index_rows(spark, d):
                       F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
 
 
+@query("embed_gene")
+def q_embed_gene(spark, d):
+    e = J.embed_gene(P.GENE_ID, S.annotations(spark, d), S.aliases(spark, d), EM.HashEmbedder(P.EMBED_DIM), P.HUMAN)
+    return e.select("gene_id", "idx", "text", *vector_checks(F.col("embedding")))
+
+
 # --- sinks and the checkpointed ("dry run") path ---------------------------------
 
-from ..functions.xml_strict import article_segments_strict  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 
@@ -349,7 +421,7 @@ from ..sources import sinks as SK  # noqa: E402
 @query("pairs_tsv")
 def q_pairs_tsv(spark, d):
     """O49 -> O09: paired rows written as TSV and read back."""
-    mx, ck = budget()
+    mx, ck = P.PAIR_BUDGET
     pairs = J.synthetic_pairs(S.annotations(spark, d), S.abstracts(spark, d), S.genes(spark, d), backend(),
                               P.PROCESS, mx, ck, P.HUMAN)
     path = scratch_path(spark, "pairs-tsv")
@@ -360,16 +432,16 @@ def q_pairs_tsv(spark, d):
 @query("summaries_checkpoint")
 def q_summaries_checkpoint(spark, d):
     """O50 with just_summaries -> O10 write; O11 read -> O46 narrative."""
-    mx, ck = budget()
+    mx, ck = P.GENE_BUDGET
     members = gene_list(spark, d)
     s = J.genes_to_process(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
                            S.gene_pmids(spark, d), S.abstracts(spark, d), backend(), P.PROCESS, mx, ck,
                            add_abstracts=True, just_summaries=True, k=P.TOP_K_ABSTRACTS, tax_id=P.HUMAN)
     path = scratch_path(spark, "summaries")
     SK.write_summaries(s.withColumn("gene", F.coalesce("gene_name", "token")), path)
-    loaded = SK.read_summaries(spark, path)
-    per = members.join(loaded.select("token", "gene", "summary"), "token").withColumn("_list", F.lit("genes"))
-    return J.process_narrative(per, ["_list"], backend(), P.PROCESS, mx, ck).drop("_list")
+    # The order of the narrative is that of the file's own positions.
+    per = SK.read_summaries(spark, path).select("pos", "gene", "summary").withColumn("_list", F.lit("genes"))
+    return plain(J.process_narrative(per, ["_list"], backend(), P.PROCESS, mx, ck).drop("_list"))
 
 
 @query("index_table")
@@ -383,15 +455,6 @@ def q_index_table(spark, d):
                     F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
 
 
-@query("article_segments_strict")
-def q_article_segments_strict(spark, d):
-    """O36 strict mode (stdlib XML parser in an Arrow-batched UDF); web pages
-    are not well-formed XML, so most rows report ``parse_error``."""
-    r = S.articles(spark, d).select("pmcid", article_segments_strict("body").alias("r"))
-    return r.select("pmcid", F.col("r.status").alias("status"),
-                    F.size("r.segments").cast("bigint").alias("n_segments"))
-
-
 @query("annotation_tsv_ingest")
 def q_annotation_tsv_ingest(spark, d):
     """O01 + O02 + O03 on a real TSV: the stand-in annotations are written in
@@ -410,8 +473,10 @@ def q_annotation_tsv_ingest(spark, d):
         .option("emptyValue", "").option("compression", "gzip").csv(src))
     from ..sources import annotations as AN
     t = AN.load_annotations(spark, src, scratch_path(spark, "annotations-parquet"))
+    # The rows were written in the order of their numbers: row_ord has to keep it.
+    w = Window.orderBy("row_ord")
     return t.select("tax_id", "gene_id", "pmid_list", F.size("pmids").cast("bigint").alias("n_pmids"),
-                    F.col("updated_at").alias("source_row"), "text")
+                    F.col("updated_at").alias("source_row"), "text", F.row_number().over(w).cast("bigint").alias("file_row"))
 
 
 @query("infer_resumable")

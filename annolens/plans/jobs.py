@@ -11,87 +11,114 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as PR
 from ..functions.text import ARTICLE_SEP, article_segments, ensure_terminal_punct, first_sentence, strip_fences
-from ..operators.broadcast import sized_broadcast
 from ..operators.distill import distill, distill_rows
 from ..operators.embed import HashEmbedder, embed
 from ..operators.infer import Backend, infer
 from ..operators.literature import article_lookup, gene_abstracts_text, pairs_inputs
-from ..operators.lookup import filter_has_text, filter_species
+from ..operators.lookup import LAST_ORD, distinct_members, filter_has_text, filter_species
 from ..operators.resolve import resolve_ids, resolve_tokens
 from ..operators.scan import ordinal
 
-# Sorts after every real row position: an added text goes last in its gene.
-LAST_ORD = 1 << 62
-
 # Fixed values of the embedding index: key = <gene name> + INDEX_KEY_INFIX + <n>,
 # and the type tag of rows built from existing annotations.
 INDEX_KEY_INFIX = "-gt-"
 INDEX_TYPE = "ground_truth"
 
 
+def _ready():
+    return F.col("_distilled") == "ok"
+
+
+def _after_distill(d: DataFrame) -> DataFrame:
+    """Keep the outcome of distill beside that of the model call that follows."""
+    d = d.withColumnRenamed("status", "_distilled").withColumnRenamed("error", "_distill_error")
+    return d.withColumnRenamed("_found", "status") if "_found" in d.columns else d
+
+
+def _status(out: str):
+    """Status of a job's row: that of distill if it failed, else that of the model call."""
+    return F.when(F.col("_distilled") != "ok", F.col("_distilled")).otherwise(F.col(f"{out}_status"))
+
+
+def _error(out: str):
+    return F.coalesce(F.col("_distill_error"), F.col(f"{out}_error")).alias("error")
+
+
 def summarize_articles(pmids: DataFrame, links: DataFrame, articles: DataFrame, backend: Backend,
                        max_tokens: int, chunk_tokens: int, task: str | None = None,
                        extract=article_segments, responses_path: str | None = None,
-                       tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                       tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """PMID -> article -> text -> distill -> summary (or task answer with
-    code fences removed).  Output: pmid, status, summary (NULL unless ok)."""
+    code fences removed).  Output: pmid, status, summary (NULL unless ok), error.
+
+    status: ok / no_link / missing, or the model's when a call failed."""
     a = article_lookup(pmids, links, articles)
     ok = F.col("status") == "ok"
-    a = a.select("pmid", "status", F.when(ok, F.array_join(extract(F.col("body")), ARTICLE_SEP)).alias("article"))
+    a = a.select("pmid", F.col("status").alias("_found"), F.when(ok, F.array_join(extract(F.col("body")), ARTICLE_SEP)).alias("article"))
     d = distill_rows(a, ["pmid"], "article", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
+                     responses_path=responses_path, tokenizer=tokenizer, parallelism=parallelism)
+    d = _after_distill(d)
     instr = PR.task_instruction(task) if task else None
-    p = d.withColumn("_prompt", F.when(ok, PR.article_prompt(F.col("distilled"), instr)))
-    s = infer(p, "_prompt", backend, "summary", responses_path, skip_empty=True)
+    p = d.withColumn("_prompt", F.when(ok & _ready(), PR.article_prompt(F.col("distilled"), instr)))
+    s = infer(p, "_prompt", backend, "summary", responses_path, parallelism)
     if task:
         s = s.withColumn("summary", strip_fences("summary"))
-    return s.select("pmid", "status", "summary")
+    return s.select("pmid", F.when(ok, _status("summary")).otherwise(F.col("status")).alias("status"), "summary", _error("summary"))
 
 
 def create_annotations(gene_ids: DataFrame, genes: DataFrame, gene_pmids: DataFrame, abstracts: DataFrame,
                        backend: Backend, process: str, max_tokens: int, chunk_tokens: int, k: int = 100,
                        responses_path: str | None = None,
-                       tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                       tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """Per gene, its top-k abstracts -> distill -> one-sentence
-    annotation.  Output: gene_id, gene_name, synthetic."""
-    ids = sized_broadcast(gene_ids.select("gene_id").distinct())
-    gp = gene_pmids.join(ids, "gene_id")
-    abs_ = gene_abstracts_text(gp, abstracts, k).select("gene_id", "abstracts")
+    annotation.  Output: gene_id, gene_name, synthetic, status, error.
+
+    Every gene asked for has a row; status: ok / no_abstracts, or the model's
+    when a call failed."""
+    ids = gene_ids.select("gene_id").distinct()
+    abs_ = gene_abstracts_text(gene_pmids.join(ids, "gene_id", "left_semi"), abstracts, k).select("gene_id", "abstracts")
     d = distill_rows(abs_, ["gene_id"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
-    named = resolve_ids(d, "gene_id", genes, "gene_name")
-    p = named.withColumn("_prompt", PR.annotation_prompt(
-        F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled")))
-    s = infer(p, "_prompt", backend, "_answer", responses_path)
-    return s.select("gene_id", "gene_name", first_sentence("_answer").alias("synthetic"))
+                     responses_path=responses_path, tokenizer=tokenizer, parallelism=parallelism)
+    named = resolve_ids(_after_distill(d), "gene_id", genes, "gene_name")
+    p = named.withColumn("_prompt", F.when(_ready(), PR.annotation_prompt(
+        F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled"))))
+    s = infer(p, "_prompt", backend, "_answer", responses_path, parallelism)
+    done = s.select("gene_id", first_sentence("_answer").alias("synthetic"), _status("_answer").alias("status"), _error("_answer"))
+    out = resolve_ids(ids.join(done, "gene_id", "left"), "gene_id", genes, "gene_name")
+    return out.select("gene_id", "gene_name", "synthetic", F.coalesce("status", F.lit("no_abstracts")).alias("status"), "error")
 
 
 def synthetic_pairs(annotations: DataFrame, abstracts: DataFrame, genes: DataFrame, backend: Backend,
                     process: str, max_tokens: int, chunk_tokens: int, tax_id: int = 9606,
                     gene_id: int | None = None, responses_path: str | None = None,
-                    tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                    tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """Ground-truth annotation paired with a synthetic one written from
-    the abstracts it cites.  Output: gene_id, gene_name, ground_truth, synthetic."""
+    the abstracts it cites.  Output: row_ord, gene_id, gene_name, ground_truth,
+    synthetic, status, error."""
     pin = pairs_inputs(annotations, abstracts, genes, tax_id, gene_id)
     j = distill_rows(pin, ["row_ord"], "abstracts", chunk_backend or backend, max_tokens, chunk_tokens,
-                     responses_path=responses_path, tokenizer=tokenizer, materialize_input=True)
-    p = j.withColumn("_prompt", PR.annotation_prompt(F.col("gene_name"), F.lit(process), F.col("distilled")))
-    s = infer(p, "_prompt", backend, "_answer", responses_path)
-    return s.select("row_ord", "gene_id", "gene_name", "ground_truth", first_sentence("_answer").alias("synthetic"))
+                     responses_path=responses_path, tokenizer=tokenizer, parallelism=parallelism)
+    p = _after_distill(j).withColumn("_prompt", F.when(_ready(), PR.annotation_prompt(F.col("gene_name"), F.lit(process), F.col("distilled"))))
+    s = infer(p, "_prompt", backend, "_answer", responses_path, parallelism)
+    return s.select("row_ord", "gene_id", "gene_name", "ground_truth", first_sentence("_answer").alias("synthetic"),
+                    _status("_answer").alias("status"), _error("_answer"))
 
 
 def gene_texts(annotations: DataFrame, gene_ids: DataFrame, tax_id: int = 9606) -> DataFrame:
     """(gene_id, row_ord, text) of the given genes, non-empty, punctuation ensured."""
-    ids = sized_broadcast(gene_ids.select("gene_id").distinct())
     a = filter_has_text(filter_species(annotations, tax_id)).select("gene_id", "row_ord", "text")
-    return a.join(ids, "gene_id").select("gene_id", "row_ord", ensure_terminal_punct("text").alias("text"))
+    return a.join(gene_ids.select("gene_id").distinct(), "gene_id", "left_semi").select("gene_id", "row_ord", ensure_terminal_punct("text").alias("text"))
 
 
 def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFrame, genes: DataFrame,
                     backend: Backend, process: str, max_tokens: int, chunk_tokens: int,
                     extra_texts: DataFrame | None = None, tax_id: int = 9606,
                     responses_path: str | None = None,
-                    tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                    tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """One summary per distinct gene of ``members`` (column ``token``).
 
     Texts of a gene (file order, punctuation ensured, joined with a space)
@@ -108,42 +135,50 @@ def summarize_genes(members: DataFrame, annotations: DataFrame, aliases: DataFra
             "gene_id", F.lit(LAST_ORD).alias("row_ord"), ensure_terminal_punct("text").alias("text"))
         texts = texts.unionByName(extra)
     d = distill(texts, ["gene_id"], "row_ord", "text", chunk_backend or backend, max_tokens, chunk_tokens,
-                responses_path=responses_path, tokenizer=tokenizer)
-    named = resolve_ids(d, "gene_id", genes, "gene_name")
-    p = named.withColumn("_prompt", PR.gene_summary_prompt(
-        F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled")))
-    s = infer(p, "_prompt", backend, "summary", responses_path).select(
-        "gene_id", "gene_name", "n_texts", "summary", "summary_status")
-    out = m.join(s, "gene_id", "left")
+                responses_path=responses_path, tokenizer=tokenizer, parallelism=parallelism)
+    named = resolve_ids(_after_distill(d), "gene_id", genes, "gene_name")
+    p = named.withColumn("_prompt", F.when(_ready(), PR.gene_summary_prompt(
+        F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")), F.lit(process), F.col("distilled"))))
+    s = infer(p, "_prompt", backend, "summary", responses_path, parallelism)
+    s = s.select("gene_id", "gene_name", "n_texts", "summary", _status("summary").alias("summary_status"), _error("summary"))
+    # Unresolved tokens are added, not joined on a NULL key.
+    out = m.filter("gene_id is not null").join(s, "gene_id", "left")
+    lost = m.filter("gene_id is null")
+    for c in ("gene_name", "n_texts", "summary", "summary_status", "error"):
+        lost = lost.withColumn(c, F.lit(None).cast(out.schema[c].dataType))
+    out = out.unionByName(lost)
     status = (F.when(F.col("gene_id").isNull(), F.lit("unresolved"))
                .when(F.col("summary_status").isNull(), F.lit("no_text")).otherwise(F.col("summary_status")))
     return out.select("token", "gene_id", "gene_name", F.coalesce("n_texts", F.lit(0)).cast("bigint").alias("n_texts"),
-                      "summary", status.alias("status"))
+                      "summary", status.alias("status"), "error")
 
 
 def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Backend, process: str,
                       max_tokens: int | None = None, chunk_tokens: int | None = None,
                       responses_path: str | None = None,
-                      tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                      tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """One narrative per group from its genes' summaries.
 
     ``summaries`` has group_cols, pos, gene, summary.  Lines "Gene g: summary"
     in member order are newline-joined through ``distill`` (identical to a
     plain join when the group fits the budget; a huge set is summarised in
     bounded chunks first) -> process prompt -> model.  Members without a
-    summary are left out.  Output: group_cols, n_genes, narrative, status.
+    summary are left out; a gene given twice counts once.  Output: group_cols,
+    n_genes, narrative, status, error.
     """
     from ..operators.chunking import budget_for_model
     if max_tokens is None or chunk_tokens is None:
         max_tokens, chunk_tokens = budget_for_model("")
-    lines = summaries.filter(F.col("summary").isNotNull()).select(
+    once = summaries.filter(F.col("summary").isNotNull()).groupBy(*group_cols, "gene", "summary").agg(F.min("pos").alias("pos"))
+    lines = once.select(
         *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
     d = distill(lines, group_cols, "pos", "_line", chunk_backend or backend, max_tokens, chunk_tokens, sep="\n",
-                responses_path=responses_path, tokenizer=tokenizer, precheck=True)
-    p = d.withColumnRenamed("n_texts", "n_genes").withColumn(
-        "_prompt", PR.process_prompt(F.lit(process), F.col("distilled")))
-    s = infer(p, "_prompt", backend, "narrative", responses_path)
-    return s.select(*group_cols, "n_genes", "narrative", F.col("narrative_status").alias("status"))
+                responses_path=responses_path, tokenizer=tokenizer, parallelism=parallelism)
+    p = _after_distill(d).withColumnRenamed("n_texts", "n_genes").withColumn(
+        "_prompt", F.when(_ready(), PR.process_prompt(F.lit(process), F.col("distilled"))))
+    s = infer(p, "_prompt", backend, "narrative", responses_path, parallelism)
+    return s.select(*group_cols, "n_genes", "narrative", _status("narrative").alias("status"), _error("narrative"))
 
 
 def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFrame, genes: DataFrame,
@@ -151,7 +186,8 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
                      max_tokens: int, chunk_tokens: int, add_abstracts: bool = False,
                      just_summaries: bool = False, k: int = 100, tax_id: int = 9606,
                      responses_path: str | None = None,
-                     tokenizer=None, chunk_backend: Backend | None = None) -> DataFrame:
+                     tokenizer=None, chunk_backend: Backend | None = None,
+                       parallelism: int | None = None) -> DataFrame:
     """Gene list (pos, token) -> per-gene summaries [-> narrative].
 
     With ``add_abstracts`` each gene also gets one synthetic annotation
@@ -162,25 +198,27 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
         ids = resolve_tokens(members.select("token").distinct(), "token", aliases, "gene_id") \
             .filter(F.col("gene_id").isNotNull())
         syn = create_annotations(ids, genes, gene_pmids, abstracts, backend, process, max_tokens, chunk_tokens,
-                                 k, responses_path, tokenizer, chunk_backend)
+                                 k, responses_path, tokenizer, chunk_backend, parallelism)
         # Model output: materialised once, never re-evaluated.
         extra = syn.select("gene_id", F.col("synthetic").alias("text")).checkpoint(eager=True)
     s = summarize_genes(members, annotations, aliases, genes, backend, process, max_tokens, chunk_tokens,
-                        extra, tax_id, responses_path, tokenizer, chunk_backend)
+                        extra, tax_id, responses_path, tokenizer, chunk_backend, parallelism)
+    # One entry per distinct token, at its first position in the list.
+    s = s.join(distinct_members(members, [], "token"), "token")
     if just_summaries:
-        return s
-    per_member = members.select("pos", "token").join(
-        s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
+        return s.select("pos", *(c for c in s.columns if c != "pos"))
+    per_member = s.select("pos", "token", F.coalesce("gene_name", "token").alias("gene"), "summary")
     return process_narrative(per_member.withColumn("_list", F.lit("genes")), ["_list"], backend, process,
-                             max_tokens, chunk_tokens, responses_path, tokenizer, chunk_backend).drop("_list")
+                             max_tokens, chunk_tokens, responses_path, tokenizer, chunk_backend, parallelism).drop("_list")
 
 
 def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
     """Every annotation text of the species with its gene, 1-based
-    position inside the gene (file order) and vector.
+    position inside the gene (file order) and vector, clustered by gene.
 
     key = '<gene name>-gt-<n>' (the gene ID stands in for a missing name);
-    the identity of a row is (gene_id, idx).
+    the identity of a row is (gene_id, idx).  The embedder runs after the rows
+    have been dealt out and sorted, so each text is embedded once.
     """
     embedder = embedder or HashEmbedder(384)
     a = filter_species(annotations, tax_id).select("gene_id", "row_ord", "text")
@@ -189,4 +227,16 @@ def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id:
     a = a.withColumn("key", F.concat(F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")),
                                      F.lit(INDEX_KEY_INFIX), F.col("idx").cast("string")))
     a = a.withColumn("type", F.lit(INDEX_TYPE))
+    a = a.repartitionByRange("gene_id", "idx").sortWithinPartitions("gene_id", "idx")
     return embed(a, "text", embedder).select("key", "gene_id", "gene_name", "idx", "type", "text", "embedding")
+
+
+def embed_gene(token: str, annotations: DataFrame, aliases: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
+    """The vectors of one gene's texts, by symbol or ID: (gene_id, idx, text, embedding).
+
+    A gene without texts, or an unknown one, has no rows."""
+    embedder = embedder or HashEmbedder(384)
+    gene = resolve_tokens(annotations.sparkSession.createDataFrame([(str(token),)], "token string"), "token", aliases, "gene_id")
+    a = filter_has_text(filter_species(annotations, tax_id)).select("gene_id", "row_ord", "text")
+    a = a.join(gene.select("gene_id"), "gene_id", "left_semi")
+    return embed(ordinal(a, ["gene_id"], "row_ord", "idx"), "text", embedder).select("gene_id", "idx", "text", "embedding")

@@ -22,9 +22,12 @@ annotations AS (
                  ELSE CAST(doc_id AS VARCHAR) END, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x IS NOT NULL) AS pmids,
          text, doc_id AS row_ord
   FROM documents),
-genes AS (SELECT CAST(n_nationkey AS BIGINT) AS gene_id, 9606 AS tax_id, n_name AS symbol FROM nation),
+symbols AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS gene_id, n_name AS symbol, n_regionkey AS region FROM nation
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT) + 1000, s_name, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+genes AS (SELECT gene_id, 9606 AS tax_id, symbol FROM symbols),
 aliases AS (
-  SELECT n_name AS symbol, CAST(n_nationkey AS BIGINT) AS gene_id, true AS is_official FROM nation
+  SELECT symbol, gene_id, true AS is_official FROM symbols
   UNION ALL SELECT lower(n_name), CAST(n_nationkey AS BIGINT), false FROM nation
   UNION ALL SELECT 'NATION_' || CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS BIGINT), false FROM nation),
 best_alias AS (
@@ -32,21 +35,23 @@ best_alias AS (
     SELECT symbol, gene_id, row_number() OVER (PARTITION BY symbol ORDER BY is_official DESC, gene_id) AS rk FROM aliases)
   WHERE rk = 1),
 gene_sets AS (
-  SELECT r_name AS gene_set, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS BIGINT) AS pos,
-         n_name AS symbol
-  FROM region JOIN nation ON n_regionkey = r_regionkey),
+  SELECT r_name AS gene_set, CAST(row_number() OVER (PARTITION BY r_name ORDER BY gene_id) - 1 AS BIGINT) AS pos, symbol
+  FROM region JOIN symbols ON region = r_regionkey),
 gene_list_lines AS (
   SELECT CAST(n_nationkey AS BIGINT) AS line_no,
          CASE n_regionkey WHEN 0 THEN '' WHEN 1 THEN CAST(n_nationkey AS VARCHAR) || chr(10)
               WHEN 2 THEN '  ' || n_name WHEN 3 THEN lower(n_name) ELSE n_name END AS line
   FROM nation
-  UNION ALL SELECT CAST(r_regionkey + 100 AS BIGINT), r_name FROM region),
+  UNION ALL SELECT CAST(r_regionkey + 100 AS BIGINT), r_name FROM region
+  UNION ALL SELECT gene_id, symbol FROM symbols WHERE gene_id > 1000),
 gene_list AS (
   SELECT line_no AS pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS token FROM gene_list_lines
   WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> ''),
 abstracts AS (SELECT doc_id AS pmid, text FROM documents),
 gene_pmids AS (SELECT DISTINCT gene_id, unnest(pmids) AS pmid FROM annotations),
-article_links AS (SELECT doc_id AS pmid, page_id AS pmcid, 1 AS link_ord FROM documents JOIN pages ON page_id = doc_id),
+article_links AS (
+  SELECT doc_id AS pmid, page_id AS pmcid, 1 AS link_ord FROM documents JOIN pages ON page_id = doc_id
+  UNION ALL SELECT doc_id, -doc_id, 2 FROM documents WHERE doc_id % 5 = 4),
 articles AS (SELECT page_id AS pmcid, html AS body FROM pages),
 model_answers AS (
   SELECT conv_id * 1000 + turn AS answer_id,
@@ -98,15 +103,16 @@ ORACLE["texts_for_gene"] = q(f"""SELECT gene_id, CAST(row_number() OVER (ORDER B
   FROM human WHERE gene_id = (SELECT gene_id FROM best_alias WHERE symbol = '{P.GENE}')""")
 
 
-def _texts_for_members(src: str, tok: str, group: list[str]) -> str:
+def _texts_for_members(src: str, tok: str, group: list[str], more: str = "") -> str:
     part = ", ".join([f"m.{g}" for g in group] + ["m.pos"])
     gsel = "".join(f"m.{g}, " for g in group)
+    cols = ", ".join([*group, tok])
     return f"""SELECT {gsel}m.pos, m.{tok}, m.gene_id,
-    CASE WHEN a.row_ord IS NULL THEN NULL
-         ELSE CAST(row_number() OVER (PARTITION BY {part} ORDER BY a.row_ord) AS BIGINT) END AS idx,
+    CASE WHEN a.text IS NULL THEN NULL
+         ELSE CAST(row_number() OVER (PARTITION BY {part} ORDER BY a.row_ord NULLS LAST) AS BIGINT) END AS idx,
     a.row_ord, a.text
-  FROM {resolve_tokens_sql(src, tok)} m
-  LEFT JOIN (SELECT gene_id, row_ord, text FROM human WHERE length(text) > 0) a ON a.gene_id = m.gene_id"""
+  FROM {resolve_tokens_sql(f"(SELECT {cols}, min(pos) AS pos FROM {src} GROUP BY {cols})", tok)} m
+  LEFT JOIN (SELECT gene_id, row_ord, text FROM human WHERE length(text) > 0 {more}) a ON a.gene_id = m.gene_id"""
 
 
 ORACLE["texts_by_gene_set"] = q(_texts_for_members("gene_sets", "symbol", ["gene_set"]))
@@ -118,8 +124,6 @@ ORACLE["distinct_genes"] = q("SELECT DISTINCT gene_id FROM human")
 
 # --- M2 / M3 -------------------------------------------------------------------
 
-from ..functions import prompts as PR  # noqa: E402
-
 NL2 = "chr(10) || chr(10)"
 
 
@@ -182,6 +186,10 @@ topk AS (SELECT t.gene_id, t.rank, t.pmid, ab.text FROM top t JOIN abstracts ab
 gene_abs AS (SELECT gene_id, count(*) AS n_abstracts, string_agg(text, {NL2} ORDER BY rank) AS abstracts
   FROM topk GROUP BY gene_id)"""
 
+_ADDED = "UNION ALL SELECT gene_id, NULL, abstracts FROM gene_abs"
+ORACLE["texts_by_gene_set_abstracts"] = q(TOPK_SQL + "\n" + _texts_for_members("gene_sets", "symbol", ["gene_set"], _ADDED))
+ORACLE["texts_by_gene_list_abstracts"] = q(TOPK_SQL + "\n" + _texts_for_members("gene_list", "token", [], _ADDED))
+
 ORACLE["gene_abstracts_topk"] = q(TOPK_SQL + "\nSELECT gene_id, rank, pmid, text FROM topk")
 
 ORACLE["gene_abstracts_text"] = q(TOPK_SQL + "\nSELECT gene_id, n_abstracts, abstracts FROM gene_abs")
@@ -201,18 +209,25 @@ ORACLE["pairs_inputs"] = q(PAIRS_SQL + "\nSELECT row_ord, gene_id, gene_name, gr
 ART_OK_SQL = LOOKUP_SQL + f""", art AS (
   SELECT pmid, array_to_string({article_seg_sql('body')}, {NL2}) AS article FROM lookup WHERE status = 'ok')"""
 
-ORACLE["prompt_article"] = q(ART_OK_SQL + f"\nSELECT pmid, {lit(PR.ARTICLE_INSTRUCTION)} || {NL2} || article AS prompt FROM art")
+# The instructions, written out here once more: a change of a template has to show.
+CHUNK_SAYS = "Condense the passage below into a short summary that keeps every gene, protein and effect it names."
+ARTICLE_SAYS = "Write a summary of the scientific article below."
+TASK_SAYS = ("Which E3 ligase acts on which substrate in the text below? "
+             "JSON only, one object per pair: E3_ligase, substrate (protein identifiers).")
+PROCESS = "response to hypoxia"
+
+ORACLE["prompt_article"] = q(ART_OK_SQL + f"\nSELECT pmid, {lit(ARTICLE_SAYS)} || {NL2} || article AS prompt FROM art")
 
 ORACLE["prompt_task"] = q(ART_OK_SQL + f"""
-SELECT pmid, {lit(P.TASK)} AS task, {lit(PR.TASKS[P.TASK])} || {NL2} || article AS prompt FROM art""")
+SELECT pmid, 'e3-ligase' AS task, {lit(TASK_SAYS)} || {NL2} || article AS prompt FROM art""")
 
 
 # --- M4 ------------------------------------------------------------------------
 
-from ..operators import chunking as CH  # noqa: E402
-
-PREFIX = CH.prefix_tokens()
-MAXT, CHUNKT = CH.budget_for_model(P.MODEL)
+# Words of the chunk instruction, and the budgets of the jobs less these.
+PREFIX = len(CHUNK_SAYS.split())
+MAXT, CHUNKT = 16000, 16000
+GENE, ARTICLE, PAIR = ((mx, ck - PREFIX) for mx, ck in (P.GENE_BUDGET, P.ARTICLE_BUDGET, P.PAIR_BUDGET))
 TOKRE = r"'\S+\s*|^\s+'"
 
 
@@ -247,7 +262,7 @@ FROM (SELECT gene_id, CAST(len(regexp_extract_all(joined, {TOKRE}, 0)) AS BIGINT
 
 ORACLE["chunk_gene"] = q(GENE_TEXT_SQL + f"""
 SELECT gene_id, chunk_idx, n_chunks, kind, n_tokens, chunk_text FROM
-  {chunks_sql('gene_joined', 'gene_id', 'joined', MAXT, CHUNKT - PREFIX)}""")
+  {chunks_sql('gene_joined', 'gene_id', 'joined', *GENE)}""")
 
 
 # --- M5-M7 ----------------------------------------------------------------------
@@ -263,9 +278,9 @@ def first_sentence_sql(x: str) -> str:
     return strip_sql(f"list_filter(string_split({x}, '.'), lambda x: x <> '')[1]")
 
 
-def distill_sql(src: str, key: str, joined: str, mx: int = MAXT, size: int = CHUNKT - PREFIX) -> str:
+def distill_sql(src: str, key: str, joined: str, mx: int, size: int) -> str:
     """One round: pass whole, or answer each chunk and join answers with a space."""
-    chunk_p = f"{lit(PR.CHUNK_INSTRUCTION)} || {NL2} || chunk_text"
+    chunk_p = f"{lit(CHUNK_SAYS)} || {NL2} || chunk_text"
     return f"""(
   SELECT {key}, any_value(n_tokens) AS n_tokens, any_value(kind) AS kind,
          CAST(CASE WHEN any_value(kind) = 'pass' THEN 0 ELSE 1 END AS INTEGER) AS rounds,
@@ -275,30 +290,49 @@ def distill_sql(src: str, key: str, joined: str, mx: int = MAXT, size: int = CHU
 
 
 def gene_prompt_sql(name: str, data: str) -> str:
-    return (f"'In one concise paragraph, summarise the biological activity and functions of the gene ''' || {name} || "
-            f"''' with respect to ' || {lit(P.PROCESS)} || ', covering expression, regulatory mechanisms and roles in "
-            f"cellular processes or disease, based only on the statements below.' || {NL2} || {data}")
+    return (f"'Each statement below is a curated finding. Merge the findings on ' || {name} || ' that bear on {PROCESS} into one "
+            f"paragraph.' || {NL2} || {data}")
 
 
 def annotation_prompt_sql(name: str, data: str) -> str:
-    return (f"'In one short sentence, the length of a tweet, state what the gene ''' || {name} || ''' does in ' || "
-            f"{lit(P.PROCESS)} || ': its expression, regulation and role in cells or disease, based only on the "
-            f"abstracts below.' || {NL2} || {data}")
+    return (f"'The abstracts below mention ' || {name} || '. Name its part in {PROCESS} in a single sentence; add nothing that "
+            f"they do not say.' || {NL2} || {data}")
 
 
 def process_prompt_sql(lines: str) -> str:
-    p = lit(P.PROCESS)
-    return (f"'From the gene summaries below, pick the genes that take part in the biological process ''' || {p} || "
-            f"''' and describe the role of each in that process as one coherent narrative; leave out genes unrelated to ''' "
-            f"|| {p} || ''', be precise and specific, and give a mechanistic hypothesis for each gene in ' || {p} || '.' "
-            f"|| {NL2} || {lines}")
+    return (f"'Topic: {PROCESS}. Every line below sums up one gene. Tell how the genes that matter to the topic work together, "
+            f"and say how each might act.' || {NL2} || {lines}")
+
+
+ORACLE["prompt_chunk"] = q(f"SELECT doc_id, {lit(CHUNK_SAYS)} || {NL2} || text AS prompt FROM documents")
+_NAMED = """, named AS (SELECT a.row_ord, a.text, coalesce(g.symbol, CAST(a.gene_id AS VARCHAR)) AS gene
+  FROM annotations a LEFT JOIN genes g ON g.gene_id = a.gene_id)"""
+ORACLE["prompt_annotation"] = q(_NAMED + f"\nSELECT row_ord, {annotation_prompt_sql('gene', 'text')} AS prompt FROM named")
+ORACLE["prompt_gene_summary"] = q(_NAMED + f"\nSELECT row_ord, {gene_prompt_sql('gene', 'text')} AS prompt FROM named")
+_LINE = "'Gene ' || gene || ': ' || text"
+ORACLE["prompt_process"] = q(_NAMED + f"\nSELECT row_ord, {process_prompt_sql(_LINE)} AS prompt FROM named")
+
+ORACLE["parse_pairs"] = q("""
+SELECT answer_id, CASE WHEN answer_id % 3 < 2 THEN substr(raw, 1, 7) END AS enzyme, CASE WHEN answer_id % 3 < 2 THEN substr(raw, 8, 7) END AS substrate,
+  CASE WHEN answer_id % 3 < 2 THEN 'ok' ELSE 'bad_json' END AS status FROM model_answers
+UNION ALL SELECT answer_id, substr(raw, 1, 7), substr(raw, 8, 7), 'ok' FROM model_answers WHERE answer_id % 3 = 0""")
 
 
 ORACLE["infer_lead"] = q(ART_OK_SQL + f"""
-SELECT pmid, {lead_sql(f"({lit(PR.ARTICLE_INSTRUCTION)} || {NL2} || article)")} AS response, 'ok' AS status FROM art""")
+SELECT pmid, {lead_sql(f"({lit(ARTICLE_SAYS)} || {NL2} || article)")} AS response, 'ok' AS status FROM art""")
 
 ORACLE["distill"] = q(GENE_TEXT_SQL + f"""
-SELECT gene_id, n_tokens, kind, rounds, distilled FROM {distill_sql('gene_joined', 'gene_id', 'joined')}""")
+SELECT gene_id, n_tokens, kind, rounds, distilled, 'ok' AS status FROM {distill_sql('gene_joined', 'gene_id', 'joined', *GENE)}""")
+
+_MX2, _SIZE2 = P.TWO_ROUNDS[0], P.TWO_ROUNDS[1] - PREFIX
+ORACLE["distill_two_rounds"] = q(GENE_TEXT_SQL + f""", r1 AS {distill_sql('gene_joined', 'gene_id', 'joined', _MX2, _SIZE2)},
+t1 AS (SELECT *, len(regexp_extract_all(distilled, {TOKRE}, 0)) AS now FROM r1),
+again AS (SELECT gene_id, distilled FROM t1 WHERE kind = 'chunk' AND now > {_MX2} AND now < n_tokens),
+r2 AS {distill_sql('again', 'gene_id', 'distilled', _MX2, _SIZE2)},
+t2 AS (SELECT t1.gene_id, t1.n_tokens, t1.kind,
+         CAST(CASE WHEN r2.gene_id IS NULL THEN t1.rounds ELSE 2 END AS INTEGER) AS rounds, coalesce(r2.distilled, t1.distilled) AS distilled
+       FROM t1 LEFT JOIN r2 ON r2.gene_id = t1.gene_id)
+SELECT *, CASE WHEN rounds > 0 AND len(regexp_extract_all(distilled, {TOKRE}, 0)) > {_MX2} THEN 'over_budget' ELSE 'ok' END AS status FROM t2""")
 
 
 def _articles_sql(instr: str, fences: bool) -> str:
@@ -308,11 +342,11 @@ def _articles_sql(instr: str, fences: bool) -> str:
                 f"lambda l: NOT starts_with(l, '```') AND NOT ends_with(l, '```')), chr(10))")
     return q(ART_OK_SQL + f"""
 SELECT l.pmid, l.status, {summ} AS summary
-FROM lookup l LEFT JOIN {distill_sql('art', 'pmid', 'article')} d ON d.pmid = l.pmid""")
+FROM lookup l LEFT JOIN {distill_sql('art', 'pmid', 'article', *ARTICLE)} d ON d.pmid = l.pmid""")
 
 
-ORACLE["summarize_articles"] = _articles_sql(lit(PR.ARTICLE_INSTRUCTION), False)
-ORACLE["article_task"] = _articles_sql(lit(PR.TASKS[P.TASK]), True)
+ORACLE["summarize_articles"] = _articles_sql(lit(ARTICLE_SAYS), False)
+ORACLE["article_task"] = _articles_sql(lit(TASK_SAYS), True)
 
 
 def summaries_sql(members: str, extra: str | None = None) -> str:
@@ -324,7 +358,7 @@ def summaries_sql(members: str, extra: str | None = None) -> str:
 gene_text AS (SELECT gene_id, row_ord, {punct_sql('text')} AS text FROM human WHERE length(text) > 0),
 mtexts AS ({texts}),
 mjoined AS (SELECT gene_id, count(*) AS n_texts, string_agg(text, ' ' ORDER BY row_ord) AS joined FROM mtexts GROUP BY gene_id),
-gdist AS {distill_sql('mjoined', 'gene_id', 'joined')},
+gdist AS {distill_sql('mjoined', 'gene_id', 'joined', *GENE)},
 gsum AS (SELECT d.gene_id, g.symbol AS gene_name, j.n_texts,
            {lead_sql(gene_prompt_sql('coalesce(g.symbol, CAST(d.gene_id AS VARCHAR))', 'd.distilled'))} AS summary
          FROM gdist d JOIN mjoined j ON j.gene_id = d.gene_id LEFT JOIN genes g ON g.gene_id = d.gene_id),
@@ -348,17 +382,20 @@ ORACLE["process_narrative"] = q(summaries_sql("(SELECT symbol AS token FROM gene
                                 + narrative_sql("gene_set,", "mb.gene_set,",
                                                 "(SELECT gene_set, pos, symbol AS token FROM gene_sets)"))
 
-CREATE_SQL = TOPK_SQL + f""", syn_dist AS {distill_sql('(SELECT * FROM gene_abs WHERE gene_id IN (SELECT gene_id FROM ids))', 'gene_id', 'abstracts')},
+CREATE_SQL = TOPK_SQL + f""", syn_dist AS {distill_sql('(SELECT * FROM gene_abs WHERE gene_id IN (SELECT gene_id FROM ids))', 'gene_id', 'abstracts', *GENE)},
 syn AS (SELECT d.gene_id, g.symbol AS gene_name,
           {first_sentence_sql(lead_sql(annotation_prompt_sql('coalesce(g.symbol, CAST(d.gene_id AS VARCHAR))', 'd.distilled')))} AS synthetic
         FROM syn_dist d LEFT JOIN genes g ON g.gene_id = d.gene_id)"""
 
 ORACLE["create_annotations"] = q(", ids AS (SELECT DISTINCT gene_id FROM human)" + CREATE_SQL
-                                 + "\nSELECT gene_id, gene_name, synthetic FROM syn")
+                                 + """
+SELECT i.gene_id, g.symbol AS gene_name, s.synthetic, CASE WHEN s.gene_id IS NULL THEN 'no_abstracts' ELSE 'ok' END AS status
+FROM (SELECT gene_id FROM ids UNION SELECT gene_id FROM genes WHERE gene_id > 1000) i
+LEFT JOIN syn s ON s.gene_id = i.gene_id LEFT JOIN genes g ON g.gene_id = i.gene_id""")
 
-ORACLE["synthetic_pairs"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts')}
+ORACLE["synthetic_pairs"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts', *PAIR)}
 SELECT p.row_ord, p.gene_id, p.gene_name, p.ground_truth,
-  {first_sentence_sql(lead_sql(annotation_prompt_sql('p.gene_name', 'd.distilled')))} AS synthetic
+  {first_sentence_sql(lead_sql(annotation_prompt_sql('p.gene_name', 'd.distilled')))} AS synthetic, 'ok' AS status
 FROM pairs_in p JOIN pd d ON d.row_ord = p.row_ord""")
 
 ORACLE["genes_to_process"] = q(
@@ -394,9 +431,16 @@ FROM human h LEFT JOIN genes g ON g.gene_id = h.gene_id
 LEFT JOIN {vec_checks_sql('(SELECT row_ord, text FROM human)', 'row_ord')} v ON v.row_ord = h.row_ord""")
 
 
+ORACLE["embed_gene"] = q(f"""
+SELECT h.gene_id, CAST(row_number() OVER (ORDER BY h.row_ord) AS BIGINT) AS idx, h.text, coalesce(v.n_nonzero, 0) AS n_nonzero,
+  coalesce(v.idx_sum, 0) AS idx_sum, v.top_bucket, coalesce(v.unit_norm, false) AS unit_norm
+FROM human h LEFT JOIN {vec_checks_sql('(SELECT row_ord, text FROM human)', 'row_ord')} v ON v.row_ord = h.row_ord
+WHERE h.gene_id = {P.GENE_ID} AND length(h.text) > 0""")
+
+
 # --- sinks -------------------------------------------------------------------------
 
-ORACLE["pairs_tsv"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts')}
+ORACLE["pairs_tsv"] = q(PAIRS_SQL + f""", pd AS {distill_sql('pairs_in', 'row_ord', 'abstracts', *PAIR)}
 SELECT p.gene_id,
   regexp_replace(p.gene_name, '[\\t\\r\\n]+', ' ', 'g') AS gene_name,
   regexp_replace(p.ground_truth, '[\\t\\r\\n]+', ' ', 'g') AS ground_truth,
@@ -407,10 +451,8 @@ ORACLE["summaries_checkpoint"] = ORACLE["genes_to_process"]
 
 ORACLE["index_table"] = ORACLE["index_rows"]
 
-# No oracle: DuckDB has no XML parser; checked by tests/test_text_functions.py.
-NO_ORACLE = {"article_segments_strict"}
-
 ORACLE["annotation_tsv_ingest"] = q("""SELECT tax_id, gene_id, pmid_list, CAST(len(pmids) AS BIGINT) AS n_pmids,
-  CAST(row_ord AS VARCHAR) AS source_row, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text FROM annotations""")
+  CAST(row_ord AS VARCHAR) AS source_row, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text,
+  CAST(row_number() OVER (ORDER BY row_ord) AS BIGINT) AS file_row FROM annotations""")
 
 ORACLE["infer_resumable"] = ORACLE["infer_lead"]

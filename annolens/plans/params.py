@@ -4,13 +4,17 @@ HUMAN = 9606
 GENE = "NATION_3"                 # single-gene lookup
 PROCESS = "response to hypoxia"   # biological process of the prompts
 TOP_K_ABSTRACTS = 25            # abstracts per gene (reference default 100; 25 makes the limit bite at sf0.01)
-# Token budgets.  The reference uses 128 000 / 16 000 BPE tokens; the sf0.01
-# texts are short, so the catalogue passes budgets that make both branches occur.
-
-
+# Token budgets (context, chunk).  The reference uses 128 000 / 16 000 BPE tokens; the
+# sf0.01 texts are short, so the catalogue passes budgets of which a good part of the
+# genes, articles and pairs is over.
+GENE_BUDGET = (9000, 2000)
+ARTICLE_BUDGET = (150, 100)
+PAIR_BUDGET = (400, 150)
+TWO_ROUNDS = (600, 300)
 ROW_MAX_TOKENS = 1200
 ROW_CHUNK_TOKENS = 500
 LEAD_SENTENCES = 2
 EMBED_DIM = 384
 TASK = "e3-ligase"
+GENE_ID = "3"                     # single-gene lookup by number
 MODEL = "gpt-3.5-turbo-1106"      # model name: decides the context budget (16 000 tokens)

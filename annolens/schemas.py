@@ -39,6 +39,7 @@ ALIASES = T.StructType([
 ])
 
 SUMMARIES = T.StructType([
+    T.StructField("pos", T.LongType()),
     T.StructField("gene", T.StringType()),
     T.StructField("summary", T.StringType()),
     T.StructField("n_texts", T.LongType()),

@@ -29,13 +29,17 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "annolens", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """A session.  What is not given is left to ``spark-submit`` and the configuration."""
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(DEFAULT_CONF)
-    if master.startswith("local"):
+    if master:
+        builder = builder.master(master)
+    if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("ANNOLENS_DRIVER_MEMORY", "8g")
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -49,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system and is used as is.
-    Only when it is unset (unit tests, a laptop) a private folder is made.
+    Only when it is unset on a local master (unit tests, a laptop) a private
+    folder is made; on a cluster that would be a folder of the driver's machine,
+    so it is an error.
     """
     try:
         sc = spark.sparkContext
@@ -58,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and sc is not None and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="annolens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -71,6 +79,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/annolens/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def data_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("ANNOLENS_SF_DIR", default)

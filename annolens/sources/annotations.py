@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_pmid_list
-from ..operators.broadcast import sized_broadcast
 from ..schemas import ANNOTATION_TSV
 
 
@@ -21,7 +19,7 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     is a (file, byte offset) pair and rows inside a split keep their reading
     order (``monotonically_increasing_id`` increases within a task).  The
     small table of splits (one row per split, ~800k for 100 TB) is ranked in
-    (file, offset) order and broadcast back; ``row_ord = split_rank * 2^32 +
+    (file, offset) order and joined back; ``row_ord = split_rank * 2^32 +
     position inside the split``.
     """
     raw = (spark.read.schema(ANNOTATION_TSV)
@@ -37,7 +35,7 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> DataFrame:
     splits = keyed.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"))
     w = Window.orderBy("_f", "_b")   # one row per input split: a small table
     splits = splits.withColumn("_rank", F.row_number().over(w).cast("bigint") - 1)
-    j = keyed.join(sized_broadcast(splits, 5_000_000), ["_f", "_b"])
+    j = keyed.join(splits, ["_f", "_b"])
     ordered = j.withColumn("row_ord", F.col("_rank") * F.lit(1 << 32) + (F.col("_m") - F.col("_m0")))
     return (ordered
             .withColumn("pmid_list", F.coalesce(F.col("pmid_list"), F.lit("")))
@@ -64,10 +62,17 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def load_annotations(spark: SparkSession, src: str, cache: str) -> DataFrame:
-    """Read-through cache: read ``cache`` if it holds a table, else ingest first."""
-    try:
-        return read_annotations(spark, cache)
-    except AnalysisException:
-        ingest_annotations(spark, src, cache)
+    """Read-through cache: read ``cache`` if a finished table is there, else ingest first.
+
+    A folder without the writer's success mark is an ingest that did not end;
+    it is written anew.  Other errors are not taken for an absent table."""
+    if _finished(spark, cache):
         return read_annotations(spark, cache)
+    ingest_annotations(spark, src, cache)
+    return read_annotations(spark, cache)

@@ -42,7 +42,7 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     return doc.select(
         _tax(F.col("lang")).alias("tax_id"),
-        F.substring(F.col("source"), 4, 1 << 20).try_cast("bigint").alias("gene_id"),
+        F.col("source").substr(F.lit(4), F.length("source")).try_cast("bigint").alias("gene_id"),
         pmid_list_of(F.col("doc_id")).alias("pmid_list"),
         F.col("text"),
         F.col("doc_id").alias("row_ord"),
@@ -51,19 +51,26 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
 
 def genes(spark: SparkSession, d: str) -> DataFrame:
     """Gene dictionary: gene_id, tax_id, symbol."""
-    return table(spark, d, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("gene_id"),
-        F.lit(HUMAN).cast("int").alias("tax_id"),
-        F.col("n_name").alias("symbol"),
-    )
+    return _symbols(spark, d).select("gene_id", F.lit(HUMAN).cast("int").alias("tax_id"), "symbol")
+
+
+# Suppliers are genes, too (without annotations), so that the dictionary grows with the tables.
+SUPPLIER_GENE = 1000
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    """gene_id, symbol, region: the nations, then the suppliers."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    return n.select(F.col("n_nationkey").cast("bigint").alias("gene_id"), F.col("n_name").alias("symbol"), F.col("n_regionkey").alias("region")) \
+        .unionByName(s.select((F.col("s_suppkey") + SUPPLIER_GENE).cast("bigint").alias("gene_id"), F.col("s_name").alias("symbol"), F.col("n_regionkey").alias("region")))
 
 
 def aliases(spark: SparkSession, d: str) -> DataFrame:
     """symbol, gene_id, is_official: official names, lower-case names, and a
     shared group name per region (several genes: the tie-break decides)."""
     n = table(spark, d, "nation")
-    official = n.select(F.col("n_name").alias("symbol"), F.col("n_nationkey").cast("bigint").alias("gene_id"),
-                        F.lit(True).alias("is_official"))
+    official = _symbols(spark, d).select("symbol", "gene_id", F.lit(True).alias("is_official"))
     lower = n.select(F.lower("n_name").alias("symbol"), F.col("n_nationkey").cast("bigint").alias("gene_id"),
                      F.lit(False).alias("is_official"))
     group = n.select(F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")).alias("symbol"),
@@ -75,12 +82,11 @@ def gene_set_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """One JSON document per gene set, in the published collection shape
     ``{"<set>": {"geneSymbols": [...]}}``, built per region."""
     r = table(spark, d, "region")
-    n = table(spark, d, "nation")
-    members = (r.join(n, F.col("n_regionkey") == F.col("r_regionkey"))
+    members = (r.join(_symbols(spark, d), F.col("region") == F.col("r_regionkey"))
                .groupBy("r_name")
-               .agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m")))
+               .agg(F.array_sort(F.collect_list(F.struct("gene_id", "symbol"))).alias("m")))
     return members.select(F.to_json(F.create_map(
-        F.col("r_name"), F.struct(F.transform("m", lambda x: x["n_name"]).alias("geneSymbols")))).alias("value"))
+        F.col("r_name"), F.struct(F.transform("m", lambda x: x["symbol"]).alias("geneSymbols")))).alias("value"))
 
 
 def gene_list_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +103,8 @@ def gene_list_lines(spark: SparkSession, d: str) -> DataFrame:
          .when(k == 3, F.lower("n_name"))
          .otherwise(F.col("n_name")).alias("line"))
     rl = r.select((F.col("r_regionkey") + 100).cast("bigint").alias("line_no"), F.col("r_name").alias("line"))
-    return nl.unionByName(rl)
+    more = _symbols(spark, d).filter(F.col("gene_id") > SUPPLIER_GENE).select(F.col("gene_id").alias("line_no"), F.col("symbol").alias("line"))
+    return nl.unionByName(rl).unionByName(more)
 
 
 def abstracts(spark: SparkSession, d: str) -> DataFrame:
@@ -111,10 +118,13 @@ def gene_pmids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_links(spark: SparkSession, d: str) -> DataFrame:
+    """pmid, pmcid, link_ord; a fifth of the PMIDs has a (second) link to no article."""
     doc = table(spark, d, "documents").select("doc_id")
     pages = table(spark, d, "pages").select("page_id")
-    return doc.join(pages, F.col("page_id") == F.col("doc_id")).select(
+    found = doc.join(pages, F.col("page_id") == F.col("doc_id")).select(
         F.col("doc_id").alias("pmid"), F.col("page_id").alias("pmcid"), F.lit(1).alias("link_ord"))
+    return found.unionByName(doc.filter(F.col("doc_id") % 5 == 4).select(
+        F.col("doc_id").alias("pmid"), (-F.col("doc_id")).alias("pmcid"), F.lit(2).alias("link_ord")))
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +144,3 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit(FENCE_OPEN + "\n"), F.col("text"), F.lit("\nsee above" + FENCE_CLOSE + "\n" + FENCE_CLOSE)).alias("text"),
         F.col("text").alias("raw"),
     )
-
-
-def index_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Precomputed vectors: gene_id (label), row order (vec_id), embedding."""
-    return table(spark, d, "embeddings").select(
-        F.col("label").cast("bigint").alias("gene_id"), F.col("vec_id").alias("row_ord"), "embedding")

@@ -59,3 +59,10 @@ def test_distributed_chunker_equals_naive(spark, rows, max_tokens, size, block):
     plan = {r.k: (r.n_tokens, r.kind, r.n_chunks) for r in budget_plan(df, ["k"], "t", max_tokens, size).collect()}
     for r in got:
         assert plan[r.k] == (r.n_tokens, r.kind, r.n_chunks)
+
+
+def test_leading_white_space_does_not_shift_chunks(spark):
+    rows = [(1, 0, "a b."), (1, 1, "  c d."), (1, 2, "\n e.")]
+    df = spark.createDataFrame(rows, "k int, o bigint, t string")
+    got = [(r.chunk_idx, r.n_tokens, r.chunk_text) for r in chunk_by_key(df, ["k"], "o", "t", 3, 2).orderBy("chunk_idx").collect()]
+    assert got == [(0, 5, "a b. "), (1, 5, "c d. "), (2, 5, "e.")]

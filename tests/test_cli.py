@@ -34,6 +34,11 @@ def setup_tables(spark, tmp):
             "--articles", os.path.join(tmp, "articles"), "--backend", "lead:1"]
 
 
+def test_every_row_is_printed(spark, capsys):
+    cli.emit(spark.range(1500), None)
+    assert len(capsys.readouterr().out.splitlines()) == 1501
+
+
 def test_cli_modes(spark, tmp_path):
     tmp = str(tmp_path)
     base = setup_tables(spark, tmp)
@@ -55,6 +60,15 @@ def test_cli_modes(spark, tmp_path):
                   .withColumnRenamed("gene name", "gene_name").collect()) == ["G1", "G1", "G2"]
     m = cli.main(base + ["-m", "10", "-t", "e3-ligase", "--out", os.path.join(tmp, "m")], spark).first()
     assert m.status == "ok" and m.summary == "Body one."
+    none = os.path.join(tmp, "no_pairs")
+    assert cli.main(base + ["-g", "NOSUCHGENE", "-y", none], spark).count() == 0   # not: all genes
+    a = cli.main(base + ["-s", "SET_A", "-a", "--out", os.path.join(tmp, "a")], spark)
+    assert a.count() == 6                                   # one text from the abstracts of G1 and G2 each
+    with open(os.path.join(tmp, "reversed.txt"), "w") as fh:
+        fh.write("2\nG1\nG1\n")
+    cli.main(base + ["-f", os.path.join(tmp, "reversed.txt"), "-p", "hypoxia", "-d", summ + "2"], spark)
+    n = cli.main(base + ["-p", "hypoxia", "-r", summ + "2", "--out", os.path.join(tmp, "n2")], spark).first()
+    assert n.n_genes == 2 and n.narrative.startswith("Gene G2")  # list order, a repeated gene counts once
     idx = os.path.join(tmp, "idx")
     cli.main(base + ["-i", idx], spark)
     assert sorted(r.key for r in spark.read.parquet(idx).collect()) == ["G1-gt-1", "G1-gt-2", "G2-gt-1"]

@@ -42,10 +42,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    from annolens.plans.oracle import NO_ORACLE
-    assert set(E.queries()) == set(E.oracle_sql()) | NO_ORACLE
+    from annolens.plans.catalog import QUERIES
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_all_queries_run_on_smallest_scale(spark):
-    for name, q in E.queries().items():
+    from annolens.plans.catalog import QUERIES
+    for name, q in QUERIES.items():
         q(spark, SF001).write.format("noop").mode("overwrite").save()

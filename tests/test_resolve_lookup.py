@@ -44,6 +44,14 @@ def test_texts_by_gene_set_keeps_empty_members(spark):
     assert got == [(0, 1, "t1"), (0, 2, "t2"), (1, None, None), (2, 1, "t12")]
 
 
+def test_a_token_given_twice_counts_once(spark):
+    toks = spark.createDataFrame([(0, "1"), (1, "1")], "pos bigint, token string")
+    ann = spark.createDataFrame([(9606, 1, 0, "a."), (9606, 1, 1, "b.")], "tax_id int, gene_id bigint, row_ord bigint, text string")
+    more = spark.createDataFrame([(1, "added.")], "gene_id bigint, text string")
+    got = sorted((r.pos, r.idx, r.text) for r in lookup.texts_by_gene_list(toks, ann, aliases(spark), extra_texts=more).collect())
+    assert got == [(0, 1, "a."), (0, 2, "b."), (0, 3, "added.")]
+
+
 def test_filters(spark):
     a = annotations(spark)
     assert lookup.filter_species(a).count() == 4

@@ -82,9 +82,16 @@ def test_pairs_tsv_round_trip(spark, tmp_path):
     assert back[0]["ground_truth"] == "truth with tab" and back[0]["synthetic"] == "synthetic line"
 
 
+def test_pairs_tsv_keeps_space_empty_and_null(spark, tmp_path):
+    rows = [(1, "G1", "  lead and trail  ", ""), (2, None, "", None), (3, " ", 'with "quotes"', "a\\b")]
+    df = spark.createDataFrame(rows, "gene_id bigint, gene_name string, ground_truth string, synthetic string")
+    K.write_pairs_tsv(df, str(tmp_path / "pairs"))
+    assert sorted(tuple(r) for r in K.read_pairs_tsv(spark, str(tmp_path / "pairs")).collect()) == rows
+
+
 def test_summary_checkpoint_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("G1", "s1", 2, "ok"), ("G2", None, 0, "no_text")],
-                               "gene string, summary string, n_texts bigint, status string")
+    df = spark.createDataFrame([(0, "G1", "s1", 2, "ok"), (1, "G2", None, 0, "no_text")],
+                               "pos bigint, gene string, summary string, n_texts bigint, status string")
     p = str(tmp_path / "summaries")
     K.write_summaries(df, p)
     assert sorted(K.read_summaries(spark, p).collect()) == sorted(df.collect())
