@@ -1,22 +1,26 @@
 """Main text of web pages by composite text density.
 
-A page is read into its block elements; inline markup counts as tags of the
-block around it.  What can never be article text is left out while reading:
-scripts, styles, forms, menus, page headers and footers, asides, adverts,
-notices and reader comments, known by element, role or class words.
-
-Every block then has its characters C, tags T, link characters LC and link
+A page is read into all its elements.  What can never be article text is left
+out while reading: scripts, styles, forms, menus, page headers and footers and
+asides, known by element or role, and small blocks that a whole class or id
+names as an advert, a notice, a menu or reader comments.  A name never takes
+out an element that has an article or main element in it, or as much text as
+all the rest of the page.
+
+Every element then has its characters C, tags T, link characters LC and link
 tags LT, and the link-adjusted characters per tag::
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 with the body's own counts Cb and LCb, zero counts taken as one, and the last
-logarithm as one at least.  A block's score is the sum of its children's
-densities (a leaf's own).  The block of the greatest score is the article's
-core.  The least density on the path from the body to it is the threshold: of
-what stands beside that path, blocks at or over the threshold belong to the
-article too.  If the core stands in an ``article`` (or else ``main``) element,
-the text is that whole element and the threshold is not needed.
+logarithm as one at least.  An element's score is the sum of its children's
+densities (that of a block without blocks in it its own).  The block of the
+greatest score is the article's core.  The least density on the path from the body to it is the threshold: of
+what stands beside that path, elements at or over the threshold belong to the
+article too.  What is under the threshold because it is short, not because of
+links (a heading, a short paragraph), the density cannot tell; in the
+innermost ``article`` (or else ``main``) element around the core it belongs to
+the article if less than half of its characters are links.
 
 Text is cut into blocks at block elements; character references are decoded,
 white space in a block becomes one space, empty blocks go, and blocks are
@@ -45,7 +49,9 @@ BLOCKS = frozenset(
     "menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select noframes xmp".split())
+RAW = frozenset("script style noscript template iframe textarea title svg canvas audio video select noframes xmp".split())
+#: Of these, those whose start tag is taken as an empty element if the end tag is missing.
+MEDIA = frozenset("iframe svg canvas audio video select".split())
 #: Elements that a start tag closes if they are open: by the new element.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: An open element in one of these is not closed by what stands inside.
@@ -64,68 +70,88 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(>|\Z)|</[^>]*(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def _left_out(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is not article text; ``inside`` an article or main element page headers are its own."""
+def _left_out(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is not article text, and whether its name says so; ``inside`` an article or main element page headers are its own."""
+    if tag == "form":  # may be around a whole page
+        return False, True
     if tag in NOT_TEXT or (tag == "header" and not inside):
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in NOT_ROLE:
-        return True
+        return True, False
     if "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for w in _WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-    return bool(words & NOT_CLASS) or (not inside and bool(words & HEADERS))
+        return True, False
+    names = {*given.get("class", "").lower().split(), given.get("id", "").lower()}
+    return False, any(_named(x) or (not inside and x in HEADERS) for x in names)
+
+
+def _named(name: str) -> bool:
+    """Whether a whole class or id is a boilerplate word, or such words joined by hyphens."""
+    return name in NOT_CLASS or ("-" in name and all(x in NOT_CLASS for x in name.replace("_", "-").split("-")))
 
 
 class Page:
-    """Block elements of a page in order, and the text runs that stand in them."""
+    """Elements of a page in order, and the text runs of its blocks: pieces and the elements that they stand in."""
 
     def __init__(self, html: str):
-        self.tag, self.parent = ["body"], [-1]
+        self.tag, self.parent, self.named = ["body"], [-1], [False]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
-        self.runs: list[tuple[int, str]] = []
+        self.runs: list[list[tuple[int, str]]] = []
         self._read(html)
+        self.out = self._named_out()
 
-    def _node(self, tag: str, parent: int) -> int:
-        self.tag.append(tag)
-        self.parent.append(parent)
-        for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
-            counts.append(0)
+    def _node(self, tag: str, parent: int, link: bool, named: bool) -> int:
+        for column, value in zip((self.tag, self.parent, self.named, self.chars, self.tags, self.link_chars, self.link_tags), (tag, parent, named, 0, 1, 0, int(link)), strict=True):
+            column.append(value)
         return len(self.tag) - 1
 
+    def _named_out(self) -> list[bool]:
+        """Elements that their name leaves out, and all in them."""
+        n, chars = len(self.tag), list(self.chars)
+        holds = [x in ("article", "main") for x in self.tag]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            holds[self.parent[i]] |= holds[i]
+        out = [False] * n
+        for i in range(1, n):  # parents come first
+            small = holds[0] or 2 * chars[i] <= chars[0]
+            out[i] = out[self.parent[i]] or (self.named[i] and small and not holds[i])
+        return out
+
     def _read(self, html: str) -> None:
-        # open elements: name, block it belongs to, left out, in a link, inside an article
+        # open elements: name, node, left out, in a link, inside an article
         stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         open_: dict[str, int] = {}
-        run: list[str] = []
+        run: list[tuple[int, str]] = []
+        endless: set[str] = set()
         at = 0
 
-        def end_run(node: int) -> None:
-            text = " ".join("".join(run).split())
-            run.clear()
-            if text:
-                self.runs.append((node, text))
-                self.chars[node] += len(text)
+        def end_run() -> None:
+            if run:
+                self.runs.append(run.copy())
+                run.clear()
 
         def pop() -> None:
-            name, node, *_ = stack.pop()
+            name = stack.pop()[0]
             open_[name] -= 1
             if name in BLOCKS:
-                end_run(node)
+                end_run()
 
         def say(text: str) -> None:
             _, node, out, link, _ = stack[-1]
             if out or not text:
                 return
             text = unescape(text) if "&" in text else text
-            run.append(text)
+            run.append((node, text))
+            n = len(" ".join(text.split()))
+            self.chars[node] += n
             if link:
-                self.link_chars[node] += len(" ".join(text.split()))
+                self.link_chars[node] += n
 
         while (m := _TOKEN.search(html, at)) is not None:
             say(html[at : m.start()])
@@ -139,15 +165,20 @@ class Page:
             name = m[2].lower()
             if m[1]:  # end tag
                 if name == "p" and not open_.get("p"):
-                    end_run(stack[-1][1])
+                    end_run()
                 elif open_.get(name) and name not in ("body", "html"):
                     while stack[-1][0] != name:
                         pop()
                     pop()
                 continue
             if name in RAW:  # nothing in it is text
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-                at = close.end() if not m[3].endswith("/") else at
+                close = None if m[3].endswith("/") or name in endless else _END[name].search(html, at)
+                if close:
+                    at = close.end()
+                elif not m[3].endswith("/"):
+                    endless.add(name)
+                    if name not in MEDIA:  # the rest of the page is in it
+                        at = len(html)
                 continue
             if name in ("html", "body"):
                 continue
@@ -157,17 +188,16 @@ class Page:
                 self._close(stack, CLOSES[name], pop)
             _, node, out, link, inside = stack[-1]
             inside = inside or name in ("article", "main")
-            out = out or _left_out(name, m[3], inside)
+            named = False
+            if not out:
+                out, named = _left_out(name, m[3], inside)
             if name in BLOCKS:
-                end_run(node)
-                if not out:
-                    node = self._node(name, node)
+                end_run()
             link = link or name == "a"
             if not out:
-                self.tags[node] += 1
-                self.link_tags[node] += link
-            if name == "br" and not out:
-                run.append(" ")
+                node = self._node(name, node, link, named)
+                if name == "br":
+                    run.append((node, " "))
             if name not in VOID:
                 stack.append((name, node, out, link, inside))
                 open_[name] = open_.get(name, 0) + 1
@@ -175,7 +205,7 @@ class Page:
             say(html[at:])
         while len(stack) > 1:
             pop()
-        end_run(0)
+        end_run()
 
     @staticmethod
     def _close(stack: list, names: set[str], pop) -> None:
@@ -189,9 +219,9 @@ class Page:
                 return
 
     def densities(self) -> tuple[list[float], list[float]]:
-        """Density of each block, and the sum of its children's."""
+        """Density of each element, and the sum of its children's."""
         n = len(self.tag)
-        c, t, lc, lt = (list(x) for x in (self.chars, self.tags, self.link_chars, self.link_tags))
+        c, t, lc, lt = ([0 if o else k for k, o in zip(x, self.out, strict=True)] for x in (self.chars, self.tags, self.link_chars, self.link_tags))
         for i in range(n - 1, 0, -1):
             for x in (c, t, lc, lt):
                 x[self.parent[i]] += x[i]
@@ -204,8 +234,11 @@ class Page:
                 base = math.log(math.log(c[i] / max(c[i] - links, 1) * links + share * c[i] + math.e))
                 density[i] = c[i] / max(t[i], 1) * plain / max(base, 1.0)
         for i in range(n - 1, 0, -1):
-            leaf[self.parent[i]] = False
-            total[self.parent[i]] += density[i]
+            if not self.out[i]:
+                leaf[self.parent[i]] &= self.tag[i] not in BLOCKS or self.tag[i] in VOID
+                total[self.parent[i]] += density[i]
+        # fewer links than other text: not under the threshold for its links
+        self.plain = [2 * min(lc[i], c[i]) < c[i] for i in range(n)]
         return density, [density[i] if leaf[i] else total[i] for i in range(n)]
 
     def text(self) -> str:
@@ -213,28 +246,27 @@ class Page:
             return ""
         density, total = self.densities()
         n = len(self.tag)
-        core = max(range(n), key=lambda i: (total[i], i))
+        core = max((i for i in range(n) if self.tag[i] in BLOCKS), key=lambda i: (total[i], i))
         path = [core]
         while path[-1]:
             path.append(self.parent[path[-1]])
         for kind in ("article", "main"):
-            whole = [i for i in path if self.tag[i] == kind]
-            if whole:
-                return self._under(whole[-1])
+            core = next((i for i in reversed(path) if self.tag[i] == kind), core)
+            if self.tag[core] == kind:
+                break
+        path = path[path.index(core) :]
         threshold = min(density[i] for i in path)
+        room = next((i for kind in ("article", "main") for i in path if self.tag[i] == kind), None)
+        within = set() if room is None else set(path[: path.index(room) + 1])
         taken, on = [False] * n, set(path)
         taken[core] = True
-        for i in range(n):  # parents come first
+        for i in range(1, n):  # parents come first
             up = self.parent[i]
-            if i != core and i and (taken[up] or (up in on and i not in on and density[i] >= threshold)):
-                taken[i] = True
-        return "\n".join(text for i, text in self.runs if taken[i] or i in on)
-
-    def _under(self, root: int) -> str:
-        taken = [False] * len(self.tag)
-        for i in range(root, len(self.tag)):
-            taken[i] = i == root or (i > root and taken[self.parent[i]])
-        return "\n".join(text for i, text in self.runs if taken[i])
+            if i != core and not self.out[i]:
+                beside = up in on and i not in on
+                taken[i] = taken[up] or (beside and (density[i] >= threshold or (up in within and self.plain[i])))
+        texts = (" ".join("".join(x for i, x in run if taken[i] or i in on or self.tag[i] == "br").split()) for run in self.runs)
+        return "\n".join(x for x in texts if x)
 
 
 def main_text(html: str | None) -> str:
