@@ -250,11 +250,6 @@ class Page:
         path = [core]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        for kind in ("article", "main"):
-            core = next((i for i in reversed(path) if self.tag[i] == kind), core)
-            if self.tag[core] == kind:
-                break
-        path = path[path.index(core) :]
         threshold = min(density[i] for i in path)
         room = next((i for kind in ("article", "main") for i in path if self.tag[i] == kind), None)
         within = set() if room is None else set(path[: path.index(room) + 1])

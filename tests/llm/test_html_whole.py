@@ -7,6 +7,7 @@ from annolens.llm.html import main_text
 LONG = "Some sentence of the article that goes on for a while and then ends."
 PARTS = "".join(f"<p>{LONG}</p>" for _ in range(4))
 TEXT = "\n".join([LONG] * 4)
+LINKS = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(8))
 
 
 @pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "class='no-sidebar'", "class=with-nav", "class=nav-open", "id=page-header-wrap", "class=social-science", "class=no-comments", "class=widget", "class=hiddenGem"])
@@ -24,6 +25,21 @@ def test_small_named_blocks_go(name):
     assert main_text(f"<div><div>{PARTS}<div class='{name} x1'>Some words here.</div></div></div>") == TEXT
 
 
+def test_link_lists_in_main_are_judged_by_density():
+    page = f"<main><ul>{LINKS}</ul><div><h1>Head</h1>{PARTS}</div><div>{LINKS}</div></main>"
+    assert main_text(page) == f"Head\n{TEXT}"
+
+
+def test_sibling_articles_stay():
+    page = f"<nav>{LINKS}</nav><div><article><h1>One</h1>{PARTS}</article><article>{PARTS}</article><ul>{LINKS}</ul></div>"
+    assert main_text(page) == f"One\n{TEXT}\n{TEXT}"
+
+
 def test_math_object_and_unclosed_media():
     page = f"<article><p>Let <math><mi>x</mi></math> be <object data=f>a figure</object>.</p><video src=v><svg><p>{LONG}</p><object><p>{LONG}</p></article>"
     assert main_text(page) == f"Let x be a figure.\n{LONG}\n{LONG}"
+
+
+def test_links_beside_the_core_go_from_inside_a_block():
+    many = "".join(f"<a href=/{i}>Other page number {i}</a> " for i in range(20))
+    assert main_text(f"<div>{many}<div>{PARTS}</div></div>") == TEXT
