@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolens.llm import bpe, chat, decontam, html, linededup, lpf, quality, simhash, topk, toxicity
+from annolens.llm import bpe, chat, decontam, html, linededup, lpf, quality, runs, simhash, topk, toxicity, transducer, variants
 from annolens.llm.common import table
 from annolens.llm.oracle import ORACLE
 
@@ -83,6 +83,41 @@ def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, after a tenth of the documents was made periodic from some word on."""
+    words = F.expr("regexp_extract_all(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    made = docs.where("h % 10 = 0").select("doc_id", "text", words.alias("w"), F.expr("h div 10").alias("g"))
+    made = made.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)")).withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) as int)"))
+    tail = "if(n > 0, array_join(concat(slice(w, 1, a), transform(sequence(0, n - a - 1), i -> w[a + i % p])), ' '), text)"
+    docs = docs.where("h % 10 <> 0 or h is null").select("doc_id", "text").union(made.select("doc_id", F.expr(tail)))
+    found = runs.periodic_runs(docs, least=6, times=4)
+    lines = "concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')))"
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))").alias("best")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(F.expr(lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by the transducers compiled from a tokenizer file."""
+    counted = transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one in 97 runs with a character left out, grouped by spelling."""
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(variants.lowered_runs(F.col("text"))).alias("run"))
+    runs = runs.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run")))
+    cut = "concat(substring(run, 1, cast(h % length(run) as int)), substring(run, cast(h % length(run) as int) + 2))"
+    words = runs.select(F.expr(f"if(h % 97 = 0, {cut}, run)").alias("word"))
+    return variants.group_variants(variants.word_counts(words, least_length=5, least_count=3), factor=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -94,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_lpf": op10_lpf,
+    "op11_runs": op11_runs,
+    "op12_tokens": op12_tokens,
+    "op13_variants": op13_variants,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
