@@ -455,6 +455,17 @@ def q_index_table(spark, d):
                     F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
 
 
+@query("index_topk")
+def q_index_topk(spark, d):
+    """The index filed in cells; for every model answer the nearest annotations."""
+    from ..operators import search
+    embedder = EM.HashEmbedder(P.EMBED_DIM)
+    path = scratch_path(spark, "index-cells")
+    search.write_cells(J.build_index(S.annotations(spark, d), S.genes(spark, d), embedder, P.HUMAN), path)
+    answers = S.model_answers(spark, d).select(F.col("answer_id").alias("query_id"), "raw")
+    return search.top_k(spark, path, EM.embed(answers, "raw", embedder), P.NEAREST)
+
+
 @query("annotation_tsv_ingest")
 def q_annotation_tsv_ingest(spark, d):
     """O01 + O02 + O03 on a real TSV: the stand-in annotations are written in

@@ -456,3 +456,26 @@ ORACLE["annotation_tsv_ingest"] = q("""SELECT tax_id, gene_id, pmid_list, CAST(l
   CAST(row_number() OVER (ORDER BY row_ord) AS BIGINT) AS file_row FROM annotations""")
 
 ORACLE["infer_resumable"] = ORACLE["infer_lead"]
+
+
+def _fixed_sql(src: str, key: str) -> str:
+    """(key, bucket, v): components of the hashed unit vectors, as integers in 1/32768."""
+    return f"""(SELECT {key}, bucket, CAST(floor(CAST(CAST(cnt / sqrt(CAST(sum(cnt * cnt) OVER (PARTITION BY {key}) AS DOUBLE)) AS FLOAT) AS DOUBLE) * 32768) AS BIGINT) AS v
+  FROM (SELECT {key}, bucket, count(*) AS cnt FROM
+          (SELECT {key}, {BUCKET_SQL} AS bucket FROM (SELECT {key}, unnest({WORDS_SQL}) AS w FROM {src})) GROUP BY ALL))"""
+
+
+ORACLE["index_topk"] = q(f""", idx AS (
+  SELECT row_ord, h.gene_id, CAST(row_number() OVER (PARTITION BY h.gene_id ORDER BY h.row_ord) AS BIGINT) AS idx,
+         coalesce(g.symbol, CAST(h.gene_id AS VARCHAR)) || '-gt-' || CAST(row_number() OVER (PARTITION BY h.gene_id ORDER BY h.row_ord) AS VARCHAR) AS key
+  FROM human h LEFT JOIN genes g ON g.gene_id = h.gene_id),
+common AS (
+  SELECT a.answer_id, x.row_ord, CAST(sum(a.v * x.v) AS BIGINT) AS score
+  FROM {_fixed_sql('(SELECT answer_id, raw AS text FROM model_answers)', 'answer_id')} a
+  JOIN {_fixed_sql('(SELECT row_ord, text FROM human)', 'row_ord')} x ON x.bucket = a.bucket GROUP BY ALL),
+every AS (
+  SELECT m.answer_id, i.key, i.gene_id, i.idx, coalesce(c.score, 0) AS score
+  FROM model_answers m CROSS JOIN idx i LEFT JOIN common c ON c.answer_id = m.answer_id AND c.row_ord = i.row_ord)
+SELECT answer_id AS query_id, CAST(n AS INTEGER) AS rank, key, gene_id, idx, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, key, gene_id, idx) AS n FROM every)
+WHERE n <= {P.NEAREST}""")

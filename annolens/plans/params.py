@@ -18,3 +18,4 @@ EMBED_DIM = 384
 TASK = "e3-ligase"
 GENE_ID = "3"                     # single-gene lookup by number
 MODEL = "gpt-3.5-turbo-1106"      # model name: decides the context budget (16 000 tokens)
+NEAREST = 5                       # rows of the index for each query
