@@ -38,6 +38,10 @@ class Backend:
         """A Column expression computing the answer, or None for Python backends."""
         return None
 
+    def frame(self, prompts: DataFrame) -> DataFrame | None:
+        """(prompt_id, response) of distinct (prompt_id, prompt) by DataFrame operations, or None for other backends."""
+        return None
+
     def call_batch(self, prompts: list[str]) -> list[str]:
         raise NotImplementedError
 
@@ -169,8 +173,9 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
     if done is not None:
         todo = todo.join(done.select("prompt_id"), "prompt_id", "left_anti")
     expr = backend.native(F.col("prompt"))
-    if expr is not None:
-        new = todo.select("prompt_id", F.lit(backend.name).alias("backend"), expr.alias("response"),
+    made = todo.select("prompt_id", expr.alias("response")) if expr is not None else backend.frame(todo)
+    if made is not None:
+        new = made.select("prompt_id", F.lit(backend.name).alias("backend"), "response",
                           F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
                           F.lit(1).alias("attempts"))
         if responses_path:

@@ -311,6 +311,15 @@ def q_infer_lead(spark, d):
     return infer(p, "prompt", backend(), "response").select("pmid", "response", F.col("response_status").alias("status"))
 
 
+@query("summarize_freq")
+def q_summarize_freq(spark, d):
+    """The articles summed up by the term weights of all abstracts."""
+    from ..operators.frequency import FreqBackend, term_weights
+    model = FreqBackend(term_weights(S.abstracts(spark, d)), P.FREQ_SENTENCES)
+    p = ok_articles(spark, d).select("pmid", PR.article_prompt(F.col("article")).alias("prompt"))
+    return infer(p, "prompt", model, "response").select("pmid", "response", F.col("response_status").alias("status"))
+
+
 @query("distill")
 def q_distill(spark, d):
     mx, ck = P.GENE_BUDGET

@@ -479,3 +479,24 @@ every AS (
 SELECT answer_id AS query_id, CAST(n AS INTEGER) AS rank, key, gene_id, idx, score FROM (
   SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY score DESC, key, gene_id, idx) AS n FROM every)
 WHERE n <= {P.NEAREST}""")
+
+
+_TERM = r"""regexp_extract_all(lower({0}), '[^\s.,;:!?()"'']+', 0)"""
+ORACLE["summarize_freq"] = q(ART_OK_SQL + rf""", n AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest({_TERM.format('text')}) AS word FROM abstracts) GROUP BY word),
+terms AS (SELECT word, CAST(floor(CAST(n AS DOUBLE) / CAST((SELECT sum(n) FROM n) AS DOUBLE) * 1000000000) AS BIGINT) AS v FROM n),
+cut AS (SELECT pmid, regexp_extract_all(article, '[^.!?]*[.!?]+', 0) AS pieces FROM art),
+sent AS (SELECT pmid, i AS s, pieces[i + 1] AS piece FROM (SELECT pmid, pieces, unnest(range(len(pieces))) AS i FROM cut)),
+w AS (SELECT pmid, s, word, count(*) AS c FROM (SELECT pmid, s, unnest({_TERM.format('piece')}) AS word FROM sent) GROUP BY ALL),
+first AS (SELECT w.pmid, w.s, w.word, w.c, coalesce(t.v, 0) AS v FROM w LEFT JOIN terms t ON t.word = w.word),
+pick1 AS (SELECT pmid, s FROM (SELECT pmid, s, row_number() OVER (PARTITION BY pmid ORDER BY score DESC, s) AS n FROM (
+    SELECT pmid, s, CAST(sum(v * c) AS BIGINT) // CAST(sum(c) AS BIGINT) AS score FROM first GROUP BY ALL)) WHERE n = 1),
+said AS (SELECT f.pmid, f.word FROM first f JOIN pick1 p ON p.pmid = f.pmid AND p.s = f.s),
+second AS (SELECT f.pmid, f.s, f.c, CASE WHEN x.word IS NULL THEN f.v ELSE f.v * f.v // 1000000000 END AS v
+  FROM first f LEFT JOIN said x ON x.pmid = f.pmid AND x.word = f.word),
+pick2 AS (SELECT pmid, s FROM (SELECT pmid, s, row_number() OVER (PARTITION BY pmid ORDER BY score DESC, s) AS n FROM (
+    SELECT k.pmid, k.s, CAST(sum(k.v * k.c) AS BIGINT) // CAST(sum(k.c) AS BIGINT) AS score
+    FROM second k LEFT JOIN pick1 p ON p.pmid = k.pmid AND p.s = k.s WHERE p.s IS NULL GROUP BY ALL)) WHERE n = 1),
+told AS (SELECT s.pmid, string_agg(s.piece, '' ORDER BY s.s) AS told FROM sent s
+  JOIN (SELECT * FROM pick1 UNION ALL SELECT * FROM pick2) p ON p.pmid = s.pmid AND p.s = s.s GROUP BY s.pmid)
+SELECT a.pmid, {strip_sql("coalesce(t.told, a.article)")} AS response, 'ok' AS status FROM art a LEFT JOIN told t ON t.pmid = a.pmid""")

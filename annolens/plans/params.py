@@ -14,6 +14,7 @@ TWO_ROUNDS = (600, 300)
 ROW_MAX_TOKENS = 1200
 ROW_CHUNK_TOKENS = 500
 LEAD_SENTENCES = 2
+FREQ_SENTENCES = 2
 EMBED_DIM = 384
 TASK = "e3-ligase"
 GENE_ID = "3"                     # single-gene lookup by number
