@@ -136,6 +136,56 @@ def links(distinct_fp: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.union(starred).where((F.col("a") != F.col("b")) & near).distinct()
 
 
+def _components_of(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) for the fingerprints of rows: the least fingerprint reachable over links."""
+    distinct_fp = rows.select("fp").distinct()
+    roots = components(links(distinct_fp, max_bits), "simhash")
+    return distinct_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
+    """Of every group of near-duplicate rows exactly one: that of the smallest id (null ids last), then fingerprint.
+
+    Decided row by row: a row of an id goes or stays whatever happens to other
+    rows of that id.  Of rows that agree in id and text the smallest in the
+    other columns stays.
+    """
+    def free(name: str) -> str:
+        while name in df.columns:
+            name += "_"
+        return name
+
+    # 128 bits stand for a text
+    one, two = free("text_hash"), free("text_hash_2")
+    marked = df.withColumn(one, F.xxhash64(text)).withColumn(two, F.xxhash64(F.lit(1), text))
+    source = marked.select(F.col(key).alias("key"), F.col(one).alias("one"), F.col(two).alias("two"), F.col(text).cast("binary").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(x.as_py() or b"", words) for x in b.column("body")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps.view(np.int64))], names=["key", "one", "two", "fp"])
+
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in ("one", "two", "fp"))])
+    rows = written(source.mapInArrow(run, schema), "simhash-rows")
+    rooted = rows.groupBy("key", "one", "two", "fp").agg(F.count("*").alias("n")).join(_components_of(rows, max_bits), "fp")
+    rooted = written(rooted, "simhash-rooted")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "fp", "one", "two")
+    best = rooted.groupBy("root").agg(F.min(place).alias("best"))
+    judged = rooted.join(best, "root").select("key", "one", "two", "n", (place == F.col("best")).alias("stays"))
+    judged = written(judged, "simhash-judged")
+
+    def among(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("key").alias("__key"), F.col("one").alias("__one"), F.col("two").alias("__two"))
+        return left.join(some, left[key].eqNullSafe(some["__key"]) & (left[one] == some["__one"]) & (left[two] == some["__two"]), how)
+
+    stay = among(marked, judged.where("not stays"), "left_anti")
+    repeated = judged.where("stays and n > 1")
+    if not repeated.isEmpty():
+        least = among(stay, repeated, "left_semi").groupBy(key, one, two).agg(F.min(F.struct(*df.columns)).alias("row"))
+        stay = among(stay, repeated, "left_anti").select(df.columns).unionByName(least.select("row.*"))
+    return stay.select(df.columns)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """(key, fingerprint, component_id) for every row: the smallest id reachable over links."""
     rows = written(fingerprints(df, key, text, words), "simhash-fingerprints")

@@ -101,3 +101,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty).count() == 0
     nulls = simhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (None, "z y x w v")], "doc_id long, text string"))
     assert nulls.where(F.col("component_id").isNull()).count() == 2
+
+
+def test_exactly_one_row_of_each_group_stays(spark):
+    """Rows of one id with two texts, repeated rows, rows without an id, extra columns of awkward names."""
+    a, b = "some words that make a text of their own", "quite another text with other words in it"
+    rows = [(1, b, "x"), (2, a, "x"), (2, b, "x"), (3, a, "x"), (None, b, "x"), (None, "only here, and without an id", "y"), (4, "c d e f", "z"), (4, "c d e f", "y"), (4, "c d e f", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("text_hash", F.lit(1))
+    got = sorted(((r["doc_id"], r["text"], r["fp"]) for r in simhash.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(1, b, "x"), (2, a, "x"), (None, "only here, and without an id", "y"), (4, "c d e f", "y")], key=repr)
+    assert simhash.one_of_each(df).columns == df.columns
+    assert simhash.one_of_each(df.limit(0)).count() == 0
