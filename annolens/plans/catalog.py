@@ -464,6 +464,21 @@ def q_index_table(spark, d):
                     F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
 
 
+@query("index_upsert")
+def q_index_upsert(spark, d):
+    """The keyed store after two releases, the first with another wording of some texts."""
+    from ..sources.index_store import read_index_store
+    embedder = EM.HashEmbedder(P.EMBED_DIM)
+    now = S.annotations(spark, d)
+    before = now.withColumn("text", F.when(F.col("row_ord") % 3 == 0, F.concat(F.lit("Formerly: "), "text")).otherwise(F.col("text")))
+    path = scratch_path(spark, "index-store")
+    for release in (before, now):
+        J.update_index(release, S.genes(spark, d), path, embedder, P.HUMAN)
+    t = read_index_store(spark, path)
+    return t.select("key", "gene_id", "gene_name", "idx", "type", "text",
+                    F.size("embedding").cast("bigint").alias("dim"), vector_checks(F.col("embedding"))[0])
+
+
 @query("index_topk")
 def q_index_topk(spark, d):
     """The index filed in cells; for every model answer the nearest annotations."""

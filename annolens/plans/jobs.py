@@ -18,6 +18,7 @@ from ..operators.literature import article_lookup, gene_abstracts_text, pairs_in
 from ..operators.lookup import LAST_ORD, distinct_members, filter_has_text, filter_species
 from ..operators.resolve import resolve_ids, resolve_tokens
 from ..operators.scan import ordinal
+from ..sources.index_store import upsert_index
 
 # Fixed values of the embedding index: key = <gene name> + INDEX_KEY_INFIX + <n>,
 # and the type tag of rows built from existing annotations.
@@ -212,23 +213,33 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
                              max_tokens, chunk_tokens, responses_path, tokenizer, chunk_backend, parallelism).drop("_list")
 
 
-def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
-    """Every annotation text of the species with its gene, 1-based
-    position inside the gene (file order) and vector, clustered by gene.
+def index_entries(annotations: DataFrame, genes: DataFrame, tax_id: int = 9606) -> DataFrame:
+    """O52 without the vectors: every annotation text of the species with its gene and
+    1-based position inside the gene (file order).
 
     key = '<gene name>-gt-<n>' (the gene ID stands in for a missing name);
-    the identity of a row is (gene_id, idx).  The embedder runs after the rows
-    have been dealt out and sorted, so each text is embedded once.
-    """
-    embedder = embedder or HashEmbedder(384)
+    the identity of a row is (gene_id, idx)."""
     a = filter_species(annotations, tax_id).select("gene_id", "row_ord", "text")
     a = ordinal(a, ["gene_id"], "row_ord", "idx")
     a = resolve_ids(a, "gene_id", genes, "gene_name")
     a = a.withColumn("key", F.concat(F.coalesce(F.col("gene_name"), F.col("gene_id").cast("string")),
                                      F.lit(INDEX_KEY_INFIX), F.col("idx").cast("string")))
-    a = a.withColumn("type", F.lit(INDEX_TYPE))
-    a = a.repartitionByRange("gene_id", "idx").sortWithinPartitions("gene_id", "idx")
-    return embed(a, "text", embedder).select("key", "gene_id", "gene_name", "idx", "type", "text", "embedding")
+    return a.select("key", "gene_id", "gene_name", "idx", F.lit(INDEX_TYPE).alias("type"), "text")
+
+
+def build_index(annotations: DataFrame, genes: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:
+    """The entries with their vectors, clustered by gene.
+
+    The embedder runs after the rows have been dealt out and sorted, so each
+    text is embedded once.
+    """
+    a = index_entries(annotations, genes, tax_id).repartitionByRange("gene_id", "idx").sortWithinPartitions("gene_id", "idx")
+    return embed(a, "text", embedder or HashEmbedder(384))
+
+
+def update_index(annotations: DataFrame, genes: DataFrame, path: str, embedder=None, tax_id: int = 9606) -> int:
+    """O52 into the keyed store at ``path``: only new and changed entries are embedded.  Returns their number."""
+    return upsert_index(index_entries(annotations, genes, tax_id), path, embedder or HashEmbedder(384))
 
 
 def embed_gene(token: str, annotations: DataFrame, aliases: DataFrame, embedder=None, tax_id: int = 9606) -> DataFrame:

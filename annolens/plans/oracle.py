@@ -450,6 +450,7 @@ FROM pairs_in p JOIN pd d ON d.row_ord = p.row_ord""")
 ORACLE["summaries_checkpoint"] = ORACLE["genes_to_process"]
 
 ORACLE["index_table"] = ORACLE["index_rows"]
+ORACLE["index_upsert"] = ORACLE["index_rows"]
 
 ORACLE["annotation_tsv_ingest"] = q("""SELECT tax_id, gene_id, pmid_list, CAST(len(pmids) AS BIGINT) AS n_pmids,
   CAST(row_ord AS VARCHAR) AS source_row, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text,
