@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .functions.prompts import TASKS
 from .operators import lookup, resolve
-from .operators.chunking import budget_for_model
+from .operators.chunking import TOKENS_PER_WORD, budget_for_model
 from .operators.infer import CallableBackend, LeadBackend
 from .plans import jobs as J
 from .session import build_session
@@ -70,6 +70,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--responses", help="responses table for resumable model calls")
     p.add_argument("--out", help="write the result as Parquet here instead of printing it")
     p.add_argument("--master", default=os.environ.get("ANNOLENS_MASTER"), help="default: what spark-submit says")
+    p.add_argument("--tokens-per-word", type=float, default=TOKENS_PER_WORD,
+                   help="model tokens per word: budgets are of model tokens, texts are counted in words")
     p.add_argument("--parallelism", type=int, help="concurrent tasks of the model stage")
     return p
 
@@ -130,7 +132,16 @@ class Tables:
         ids = resolve.resolve_tokens(self.tokens().select("token").distinct(), "token", self.aliases(), "gene_id").filter("gene_id is not null")
         syn = J.create_annotations(ids, self.genes(), _read(self.spark, a.gene_pmids, "gene-pmids"), _read(self.spark, a.abstracts, "abstracts"),
                                    backend, a.process or "its biological process", mx, ck, responses_path=a.responses, parallelism=a.parallelism)
-        return syn.select("gene_id", F.col("synthetic").alias("text"))
+        # Model output: materialised once for the texts and for what failed.
+        return syn.checkpoint(eager=True)
+
+    def texts(self, members: DataFrame, by, backend, mx: int, ck: int) -> DataFrame:
+        """Texts of the members; with -a a status and error for each gene whose added text failed."""
+        syn = self.added(backend, mx, ck)
+        if syn is None:
+            return by(members, self.annotations(), self.aliases(), self.a.species)
+        more = syn.select("gene_id", F.col("synthetic").alias("text"))
+        return J.with_failures(by(members, self.annotations(), self.aliases(), self.a.species, more), J.failed_additions(syn))
 
 
 def emit(df: DataFrame, out: str | None) -> DataFrame:
@@ -147,13 +158,13 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
     t = Tables(spark, a)
     backend = make_backend(a.backend)
     chunk_backend = make_backend(a.chunk_backend) if a.chunk_backend else None
-    mx, ck = budget_for_model(a.llm)
+    mx, ck = budget_for_model(a.llm, a.tokens_per_word)
     sp = a.species
 
     if a.process:
         if a.load_dry_run:
             loaded = K.read_summaries(spark, a.load_dry_run)
-            per = loaded.select("pos", "gene", "summary")
+            per = loaded.select("pos", "gene", "summary", *(c for c in ("status", "error") if c in loaded.columns))
             return emit(J.process_narrative(per.withColumn("_list", F.lit("genes")), ["_list"], backend,
                                             a.process, mx, ck, a.responses, chunk_backend=chunk_backend,
                                             parallelism=a.parallelism).drop("_list"), a.out)
@@ -189,11 +200,11 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         result = emit(lookup.texts_for_gene(t.annotations(), gid, sp) if gid is not None else
                       spark.createDataFrame([], "gene_id bigint, idx bigint, row_ord bigint, text string"), a.out)
     if a.geneset_file:
-        result = emit(lookup.texts_by_gene_list(t.tokens(), t.annotations(), t.aliases(), sp, t.added(backend, mx, ck)), a.out)
+        result = emit(t.texts(t.tokens(), lookup.texts_by_gene_list, backend, mx, ck), a.out)
     if a.geneset and not a.gene:
         members = G.gene_set_members(spark, a.gene_sets, a.geneset)
-        result = emit(lookup.texts_by_gene_set(members.withColumn("pos", F.col("pos").cast("bigint")),
-                                               t.annotations(), t.aliases(), sp, t.added(backend, mx, ck)), a.out)
+        members = members.withColumn("pos", F.col("pos").cast("bigint"))
+        result = emit(t.texts(members, lookup.texts_by_gene_set, backend, mx, ck), a.out)
     if a.article:
         pm = spark.createDataFrame([(int(a.article),)], "pmid bigint")
         result = emit(J.summarize_articles(pm, _read(spark, a.article_links, "article-links"),

@@ -21,9 +21,19 @@ DEFAULT_MAX_TOKENS = 16000
 CHUNK_TOKENS = 16000
 
 
-def budget_for_model(model: str) -> tuple[int, int]:
-    """(max_tokens, chunk_tokens) for a model name."""
-    return MODEL_BUDGETS.get(model, DEFAULT_MAX_TOKENS), CHUNK_TOKENS
+# Model tokens that a word of English prose makes on average, for budgets of word tokens.
+TOKENS_PER_WORD = 1.3
+
+
+def budget_for_model(model: str, tokens_per_word: float = 1.0) -> tuple[int, int]:
+    """(max_tokens, chunk_tokens) for a model name.
+
+    The fixed budgets are tokens of the model.  ``tokens_per_word`` turns them
+    into tokens of the tokenizer that counts: 1 for the model's own, some
+    ``TOKENS_PER_WORD`` for word tokens."""
+    if tokens_per_word <= 0:
+        raise ValueError("tokens_per_word has to be positive")
+    return int(MODEL_BUDGETS.get(model, DEFAULT_MAX_TOKENS) / tokens_per_word), int(CHUNK_TOKENS / tokens_per_word)
 
 
 def without_lead(text: Column) -> Column:

@@ -359,7 +359,7 @@ def q_process_narrative(spark, d):
     members = gene_sets(spark, d).withColumnRenamed("symbol", "token")
     s = J.summarize_genes(members, S.annotations(spark, d), S.aliases(spark, d), S.genes(spark, d),
                           backend(), P.PROCESS, mx, ck, tax_id=P.HUMAN)
-    per = members.join(s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary"), "token")
+    per = members.join(s.select("token", F.coalesce("gene_name", "token").alias("gene"), "summary", "status", "error"), "token")
     return plain(J.process_narrative(per, ["gene_set"], backend(), P.PROCESS, mx, ck))
 
 
@@ -449,7 +449,7 @@ def q_summaries_checkpoint(spark, d):
     path = scratch_path(spark, "summaries")
     SK.write_summaries(s.withColumn("gene", F.coalesce("gene_name", "token")), path)
     # The order of the narrative is that of the file's own positions.
-    per = SK.read_summaries(spark, path).select("pos", "gene", "summary").withColumn("_list", F.lit("genes"))
+    per = SK.read_summaries(spark, path).select("pos", "gene", "summary", "status", "error").withColumn("_list", F.lit("genes"))
     return plain(J.process_narrative(per, ["_list"], backend(), P.PROCESS, mx, ck).drop("_list"))
 
 
@@ -508,10 +508,30 @@ def q_annotation_tsv_ingest(spark, d):
         .option("emptyValue", "").option("compression", "gzip").csv(src))
     from ..sources import annotations as AN
     t = AN.load_annotations(spark, src, scratch_path(spark, "annotations-parquet"))
-    # The rows were written in the order of their numbers: row_ord has to keep it.
-    w = Window.orderBy("row_ord")
+    # The rows were written in the order of their numbers: row_ord has to keep it, inside every input split and from one to the next.
+    t = t.withColumn("_split", F.expr("row_ord div 4294967296")).withColumn("_row", F.col("updated_at").cast("bigint"))
+    ends = t.groupBy("_split").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    after = ends.select((F.col("_split") - 1).alias("_split"), F.col("_first").alias("_next"))
+    ordered = ends.join(after, "_split", "left").select("_split", (F.col("_next").isNull() | (F.col("_last") < F.col("_next"))).alias("_ends"))
+    before = F.lag("_row").over(Window.partitionBy("_split").orderBy("row_ord"))
+    t = t.withColumn("_inside", F.coalesce(before < F.col("_row"), F.lit(True))).join(ordered, "_split")
     return t.select("tax_id", "gene_id", "pmid_list", F.size("pmids").cast("bigint").alias("n_pmids"),
-                    F.col("updated_at").alias("source_row"), "text", F.row_number().over(w).cast("bigint").alias("file_row"))
+                    F.col("updated_at").alias("source_row"), "text", (F.col("_inside") & F.col("_ends")).alias("in_order"))
+
+
+@query("annotation_rejects")
+def q_annotation_rejects(spark, d):
+    """Lines of a TSV that are no annotations: too short, or with a gene that is no number."""
+    a = S.annotations(spark, d)
+    safe = F.regexp_replace(F.substring("text", 1, 60), r"[\t\r\n]+", " ")
+    gene = F.when(F.col("row_ord") % 5 == 1, F.concat(F.lit("gene "), F.col("gene_id").cast("string"))).otherwise(F.col("gene_id").cast("string"))
+    fields = [F.col("tax_id").cast("string"), gene, F.col("pmid_list"), F.col("row_ord").cast("string"), safe]
+    line = F.when(F.col("row_ord") % 7 == 2, F.concat_ws("\t", *fields[:4])).otherwise(F.concat_ws("\t", *fields))
+    src = scratch_path(spark, "annotations-tsv")
+    a.select(line.alias("value")).write.option("compression", "gzip").text(src)
+    from ..sources import annotations as AN
+    r = AN.annotation_rejects(spark, src, header=False)
+    return r.select("reason", "line")
 
 
 @query("infer_resumable")

@@ -25,6 +25,22 @@ from ..sources.index_store import upsert_index
 INDEX_KEY_INFIX = "-gt-"
 INDEX_TYPE = "ground_truth"
 
+# What a gene's summary can be without anything having failed.
+SOUND = ("ok", "no_text", "unresolved")
+
+
+def failed_additions(synthetic: DataFrame) -> DataFrame:
+    """(gene_id, added_error) of the genes whose text from abstracts failed (``create_annotations``)."""
+    bad = synthetic.filter(~F.col("status").isin("ok", "no_abstracts"))
+    return bad.select("gene_id", F.concat(F.lit("abstracts: "), F.coalesce("error", "status")).alias("added_error"))
+
+
+def with_failures(df: DataFrame, failed: DataFrame) -> DataFrame:
+    """Adds status and error to rows of genes (gene_id): 'error' where the added text failed."""
+    out = df.join(failed, "gene_id", "left")
+    return out.select(*df.columns, F.when(F.col("added_error").isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+                      F.col("added_error").alias("error"))
+
 
 def _ready():
     return F.col("_distilled") == "ok"
@@ -158,7 +174,7 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
                       max_tokens: int | None = None, chunk_tokens: int | None = None,
                       responses_path: str | None = None,
                       tokenizer=None, chunk_backend: Backend | None = None,
-                       parallelism: int | None = None) -> DataFrame:
+                      parallelism: int | None = None, tokens_per_word: float = 1.0) -> DataFrame:
     """One narrative per group from its genes' summaries.
 
     ``summaries`` has group_cols, pos, gene, summary.  Lines "Gene g: summary"
@@ -167,10 +183,14 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
     bounded chunks first) -> process prompt -> model.  Members without a
     summary are left out; a gene given twice counts once.  Output: group_cols,
     n_genes, narrative, status, error.
+
+    If ``summaries`` has their ``status`` (and ``error``), members whose summary
+    failed show: the narrative of the others is ``partial``, a group without
+    any is ``error``, and the error counts them and tells the first reason.
     """
     from ..operators.chunking import budget_for_model
     if max_tokens is None or chunk_tokens is None:
-        max_tokens, chunk_tokens = budget_for_model("")
+        max_tokens, chunk_tokens = budget_for_model("", tokens_per_word)
     once = summaries.filter(F.col("summary").isNotNull()).groupBy(*group_cols, "gene", "summary").agg(F.min("pos").alias("pos"))
     lines = once.select(
         *group_cols, F.col("pos").cast("bigint").alias("pos"), PR.gene_line(F.col("gene"), F.col("summary")).alias("_line"))
@@ -179,7 +199,18 @@ def process_narrative(summaries: DataFrame, group_cols: list[str], backend: Back
     p = _after_distill(d).withColumnRenamed("n_texts", "n_genes").withColumn(
         "_prompt", F.when(_ready(), PR.process_prompt(F.lit(process), F.col("distilled"))))
     s = infer(p, "_prompt", backend, "narrative", responses_path, parallelism)
-    return s.select(*group_cols, "n_genes", "narrative", _status("narrative").alias("status"), _error("narrative"))
+    s = s.select(*group_cols, "n_genes", "narrative", _status("narrative").alias("status"), _error("narrative"))
+    if "status" not in summaries.columns:
+        return s
+    why = F.col("error") if "error" in summaries.columns else F.lit(None).cast("string")
+    lost = summaries.filter(~F.coalesce("status", F.lit("ok")).isin(*SOUND)).groupBy(*group_cols).agg(
+        F.count_distinct("gene").alias("_lost"), F.min(F.coalesce(why, F.col("status"))).alias("_why"))
+    told = F.concat(F.col("_lost").cast("string"), F.lit(" genes failed: "), F.col("_why"))
+    j = s.withColumn("_told", F.lit(True)).join(lost, group_cols, "full")
+    status = (F.when(F.col("_told").isNull(), F.lit("error"))
+               .when(F.col("_lost").isNotNull() & (F.col("status") == "ok"), F.lit("partial")).otherwise(F.col("status")))
+    return j.select(*group_cols, F.coalesce("n_genes", F.lit(0).cast("bigint")).alias("n_genes"), "narrative",
+                    status.alias("status"), F.coalesce("error", told).alias("error"))
 
 
 def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFrame, genes: DataFrame,
@@ -192,23 +223,32 @@ def genes_to_process(members: DataFrame, annotations: DataFrame, aliases: DataFr
     """Gene list (pos, token) -> per-gene summaries [-> narrative].
 
     With ``add_abstracts`` each gene also gets one synthetic annotation
-    written from its top-k abstracts (O48), added as its last text.
+    written from its top-k abstracts (O48), added as its last text.  If that
+    fails the gene's status says so, and that of the narrative.
     """
-    extra = None
+    extra, failed = None, None
     if add_abstracts:
         ids = resolve_tokens(members.select("token").distinct(), "token", aliases, "gene_id") \
             .filter(F.col("gene_id").isNotNull())
         syn = create_annotations(ids, genes, gene_pmids, abstracts, backend, process, max_tokens, chunk_tokens,
                                  k, responses_path, tokenizer, chunk_backend, parallelism)
         # Model output: materialised once, never re-evaluated.
-        extra = syn.select("gene_id", F.col("synthetic").alias("text")).checkpoint(eager=True)
+        syn = syn.select("gene_id", F.col("synthetic").alias("text"), "status", "error").checkpoint(eager=True)
+        extra, failed = syn.select("gene_id", "text"), failed_additions(syn)
     s = summarize_genes(members, annotations, aliases, genes, backend, process, max_tokens, chunk_tokens,
                         extra, tax_id, responses_path, tokenizer, chunk_backend, parallelism)
+    if failed is not None:
+        # A gene whose own texts were summarised without the added one is 'partial'; with no text at all it is 'error'.
+        f = s.join(failed, "gene_id", "left")
+        worse = F.when(F.col("status") == "ok", F.lit("partial")).when(F.col("status") == "no_text", F.lit("error")).otherwise(F.col("status"))
+        s = f.select(*(c for c in s.columns if c not in ("status", "error")),
+                     F.when(F.col("added_error").isNotNull(), worse).otherwise(F.col("status")).alias("status"),
+                     F.coalesce("error", "added_error").alias("error"))
     # One entry per distinct token, at its first position in the list.
     s = s.join(distinct_members(members, [], "token"), "token")
     if just_summaries:
         return s.select("pos", *(c for c in s.columns if c != "pos"))
-    per_member = s.select("pos", "token", F.coalesce("gene_name", "token").alias("gene"), "summary")
+    per_member = s.select("pos", "token", F.coalesce("gene_name", "token").alias("gene"), "summary", "status", "error")
     return process_narrative(per_member.withColumn("_list", F.lit("genes")), ["_list"], backend, process,
                              max_tokens, chunk_tokens, responses_path, tokenizer, chunk_backend, parallelism).drop("_list")
 

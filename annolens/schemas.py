@@ -21,11 +21,6 @@ ANNOTATIONS = T.StructType([
     T.StructField("row_ord", T.LongType()),
 ])
 
-GENE_SET_JSON = T.MapType(
-    T.StringType(),
-    T.StructType([T.StructField("geneSymbols", T.ArrayType(T.StringType()))]),
-)
-
 GENES = T.StructType([
     T.StructField("gene_id", T.LongType()),
     T.StructField("tax_id", T.IntegerType()),

@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..schemas import GENE_SET_JSON
 
 
-def parse_gene_sets(df: DataFrame, col: str = "value") -> DataFrame:
+def parse_gene_sets(df: DataFrame, col: str = "value", source: str | None = None) -> DataFrame:
     """JSON text ``{"set": {"geneSymbols": [...]}, ...}`` -> (gene_set, pos, symbol).
 
-    ``pos`` is the 0-based position in the set's member list.  Works on one
-    document per row, so a collection stored as JSON Lines spreads over tasks.
+    ``pos`` is the 0-based position in the set's member list.  A document is
+    read as a VARIANT and gives one row for each set, so no schema of all sets
+    is built; on documents in rows (JSON Lines) the work spreads over tasks.
+    A document that is no JSON, or a member list that is none, is an error that
+    names the column ``source`` (a file) or else shows how the text begins.
     """
-    m = df.select(F.explode(F.from_json(F.col(col), GENE_SET_JSON)).alias("gene_set", "v"))
-    return m.select("gene_set", F.posexplode("v.geneSymbols").alias("pos", "symbol"))
+    named = F.col(source) if source else F.concat(F.lit("text beginning "), F.substring(col, 1, 40))
+    v = F.coalesce(F.try_parse_json(col), F.raise_error(F.concat(F.lit("no JSON gene sets: "), named)).cast("variant"))
+    docs = df.filter(F.col(col).isNotNull()).select(v.alias("_v"))
+    sets = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    members = F.variant_get("value", "$.geneSymbols", "array<string>")
+    return sets.select(F.col("key").alias("gene_set"), F.posexplode(members).alias("pos", "symbol"))
 
 
 def read_gene_sets_json(spark: SparkSession, path: str) -> DataFrame:
     """A published collection file holds one JSON object; read it whole
-    (collections are curated files of a few MB), then parse as above."""
-    return parse_gene_sets(spark.read.text(path, wholetext=True), "value")
+    (collections are curated files), then parse as above."""
+    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    return parse_gene_sets(docs, "value", "_file")
 
 
 def gene_set_members(spark: SparkSession, path: str, gene_set: str) -> DataFrame:
