@@ -3,8 +3,8 @@
 * identity of a prompt is ``sha2(prompt, 256)``; equal prompts run once;
 * an append-only ``responses`` table (partitioned by backend) makes a job
   resumable: prompts already answered ``ok`` are removed by an anti join, and
-  the answers of a Python backend are committed bucket by bucket, so that a
-  job that dies loses the answers of one bucket at most;
+  the answers of a Python backend are committed partition by partition as
+  tasks end, so that a job that dies loses those of the running tasks only;
 * a backend is either a native Column expression (stays in the JVM) or a
   Python function over a batch of prompts, run with ``mapInPandas`` in
   Arrow batches, with bounded retries and a status per row instead of an
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ..functions.prompts import payload_of
 from ..functions.text import strip
 from ..schemas import RESPONSES
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir
 
 
 class Backend:
@@ -75,31 +75,42 @@ class CallableBackend(Backend):
     error that advertises a wait, after that wait plus ``rate_limit_extra_s``;
     otherwise with exponential backoff.  A batch that fails (or gives another
     number of answers than prompts) is sent again prompt by prompt, so only the
-    prompts that fail themselves get ``status='error'`` and the message."""
+    prompts that fail themselves get ``status='error'`` and the message.
+
+    ``shared_limit``: all tasks call one service with one limit.  They then run
+    as a barrier stage (``run_together``), and a limit that one of them meets
+    stops all."""
 
     def __init__(self, name: str, fn: Callable[[list[str]], list[str]], max_attempts: int = 3,
-                 backoff_s: float = 5.0, batch_size: int = 16, rate_limit_extra_s: float = RATE_LIMIT_EXTRA_S):
+                 backoff_s: float = 5.0, batch_size: int = 16, rate_limit_extra_s: float = RATE_LIMIT_EXTRA_S,
+                 shared_limit: bool = False, round_s: float = 10.0):
         self.name = name
         self.fn = fn
         self.max_attempts = max_attempts
         self.backoff_s = backoff_s
         self.batch_size = batch_size
         self.rate_limit_extra_s = rate_limit_extra_s
+        self.shared_limit = shared_limit
+        self.round_s = round_s
 
     def wait_seconds(self, exc: Exception, attempt: int) -> float:
         m = RATE_LIMIT_RE.search(str(exc))
         return int(m.group(1)) + self.rate_limit_extra_s if m else self.backoff_s * (2 ** (attempt - 1))
 
+    def checked(self, prompts: list[str]) -> list[str | None]:
+        """One call; as many answers as prompts."""
+        answers = list(self.fn(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+        return [None if a is None else str(a).strip() for a in answers]
+
     def call(self, prompts: list[str]) -> tuple[list[str | None] | None, str | None, int]:
         """(answers or None, error, attempts) of one call with its retries."""
         error, attempts = None, 0
         while attempts < self.max_attempts:
             attempts += 1
             try:
-                answers = list(self.fn(prompts))
-                if len(answers) != len(prompts):
-                    raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
-                return [None if a is None else str(a).strip() for a in answers], None, attempts
+                return self.checked(prompts), None, attempts
             except Exception as exc:  # noqa: BLE001 - reported per row
                 error = f"{type(exc).__name__}: {exc}"
                 if attempts < self.max_attempts:
@@ -119,53 +130,94 @@ class CallableBackend(Backend):
             out.append((response, status, error, attempts + more))
         return out
 
-    def run_batches(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frame_of(self, part: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
+        response, status, error, attempts = zip(*rows, strict=True)
+        return pd.DataFrame({"prompt_id": part["prompt_id"].values, "backend": self.name, "response": response,
+                             "status": status, "error": error, "attempts": attempts})
+
+    def parts(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for start in range(0, len(pdf), self.batch_size):
-                part = pdf.iloc[start:start + self.batch_size]
-                response, status, error, attempts = zip(*self.rows(part["prompt"].tolist()), strict=True)
-                yield pd.DataFrame({
-                    "prompt_id": part["prompt_id"].values,
-                    "backend": self.name,
-                    "response": response,
-                    "status": status,
-                    "error": error,
-                    "attempts": attempts,
-                })
+                yield pdf.iloc[start:start + self.batch_size]
+
+    def run_batches(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in self.parts(it):
+            yield self.frame_of(part, self.rows(part["prompt"].tolist()))
+
+    def run_together(self, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """``run_batches`` for the tasks of a barrier stage, which share one rate limit.
+
+        Every task calls the model until a round ends: after ``round_s``, at a
+        rate limit, or with its last prompt.  Then all tasks tell each other
+        the waits they were given, and all pause for the longest.  A call that
+        met the limit is sent again after the pause; pauses count as attempts.
+        """
+        from pyspark import BarrierTaskContext
+
+        context, parts = BarrierTaskContext.get(), self.parts(it)
+        part, attempts, ended = None, 0, False
+        while True:
+            wait, until = 0.0, time.monotonic() + self.round_s
+            while not ended and not wait and time.monotonic() < until:
+                if part is None:
+                    part, attempts = next(parts, None), 0
+                    ended = part is None
+                    continue
+                try:
+                    answers = self.checked(part["prompt"].tolist())
+                    rows = [(a, "ok", None, attempts + 1) for a in answers]
+                except Exception as exc:  # noqa: BLE001 - reported per row
+                    attempts += 1
+                    if RATE_LIMIT_RE.search(str(exc)) and attempts < self.max_attempts:
+                        wait = self.wait_seconds(exc, attempts)
+                        continue
+                    rows = self.rows(part["prompt"].tolist())
+                yield self.frame_of(part, rows)
+                part = None
+            told = [x.split() for x in context.allGather(f"{wait} {int(ended)}")]
+            longest = max(float(w) for w, _ in told)
+            if not longest and all(int(e) for _, e in told):
+                return
+            time.sleep(longest)
 
 
 PROMPT_BATCH_ROWS = 256
-#: Separate commits of one job to a responses table.
-COMMITS = 8
+#: Moves the files of a task into the table when that task ends, not when all have.
+COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def prompt_id(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 
 
-def read_responses(spark: SparkSession, path: str, backend: str, prompts: DataFrame) -> DataFrame | None:
+def read_responses(spark: SparkSession, path: str, backend: str, prompts: DataFrame, ok_only: bool = True) -> DataFrame | None:
     """The stored ``ok`` answer of each of the prompts that has one (of several, the
-    one with the fewest attempts, then the smallest text); None if there is no table."""
+    one with the fewest attempts, then the smallest text); None if there is no table.
+
+    Without ``ok_only`` also the errors of prompts that have no such answer."""
     try:
         r = spark.read.schema(RESPONSES).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    r = r.filter((F.col("backend") == backend) & (F.col("status") == "ok"))
+    r = r.filter(F.col("backend") == backend)
+    if ok_only:
+        r = r.filter(F.col("status") == "ok")
     r = r.join(prompts.select("prompt_id"), "prompt_id", "left_semi")
-    best = r.groupBy("prompt_id").agg(F.min(F.struct("attempts", "response", "backend", "status", "error")).alias("a"))
+    failed = (F.col("status") != "ok").alias("failed")
+    best = r.groupBy("prompt_id").agg(F.min(F.struct(failed, "attempts", "response", "backend", "status", "error")).alias("a"))
     return best.select("prompt_id", *(F.col(f"a.{c}").alias(c) for c in RESPONSES.fieldNames() if c != "prompt_id"))
 
 
 def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = None,
-           parallelism: int | None = None, commits: int = COMMITS) -> DataFrame:
+           parallelism: int | None = None) -> DataFrame:
     """Distinct (prompt_id, prompt) -> responses (F10 schema) for every prompt.
 
-    With a responses table, a Python backend's prompts are written first, by
-    ``commits`` buckets of their hash; each bucket is then answered and appended
-    on its own.  Prompts whose call failed are in the result with their error,
-    and are sent again by the next run.
+    With a responses table a Python backend's answers are appended in one pass;
+    what a task has answered stays when the job dies later (in a barrier stage
+    the tasks end together).  Prompts whose call failed are in the result with
+    their error, and are sent again by the next run.
     """
     spark = prompts.sparkSession
     todo = prompts.dropDuplicates(["prompt_id"])
@@ -183,9 +235,11 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
             return read_responses(spark, responses_path, backend.name, prompts)
         return new
     n = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def ask(part: DataFrame) -> DataFrame:
-        return part.repartition(n, "prompt_id").mapInPandas(backend.run_batches, RESPONSES)
+    together = getattr(backend, "shared_limit", False)
+    if together:  # all tasks of a barrier stage run at once
+        n = min(n, spark.sparkContext.defaultParallelism)
+    call = backend.run_together if together else backend.run_batches
+    asked = todo.repartition(n, "prompt_id").mapInPandas(call, RESPONSES, barrier=together)
 
     # Prompts can be ~100 KB each: keep Arrow batches to the Python worker
     # small while this stage is materialised (the setting is read at run time).
@@ -195,22 +249,9 @@ def answer(prompts: DataFrame, backend: Backend, responses_path: str | None = No
     try:
         if not responses_path:
             ensure_checkpoint_dir(spark)
-            return ask(todo).checkpoint(eager=True)
-        path = scratch_path(spark, "prompts")
-        bucket = F.pmod(F.crc32("prompt_id"), F.lit(commits)).cast("int")
-        todo.select("prompt_id", "prompt", bucket.alias("bucket")).write.partitionBy("bucket").parquet(path)
-        waiting = spark.read.schema("prompt_id string, prompt string, bucket int").parquet(path)
-        failed = []
-        for b in range(commits):
-            store = scratch_path(spark, "answers")
-            ask(waiting.filter(F.col("bucket") == b).select("prompt_id", "prompt")).write.parquet(store)
-            got = spark.read.schema(RESPONSES).parquet(store)
-            got.write.mode("append").partitionBy("backend").parquet(responses_path)
-            failed.append(got.filter("status != 'ok'"))
-        out = read_responses(spark, responses_path, backend.name, prompts)
-        for f in failed:
-            out = out.unionByName(f)
-        return out
+            return asked.checkpoint(eager=True)
+        asked.write.mode("append").options(**COMMIT_BY_TASK).partitionBy("backend").parquet(responses_path)
+        return read_responses(spark, responses_path, backend.name, prompts, ok_only=False)
     finally:
         if old is None:
             spark.conf.unset(key)

@@ -135,7 +135,7 @@ def test_a_broken_job_keeps_what_was_answered(spark, tmp_path):
                     f.writelines("x\n" for _ in range(len(pdf)))
                 with open(log) as f:
                     n = len(f.readlines())
-                if n > 20 and os.path.exists(stop):
+                if n > 30 and os.path.exists(stop):
                     raise MemoryError("lost")
                 yield from super().run_batches(iter([pdf]))
 
@@ -143,16 +143,52 @@ def test_a_broken_job_keeps_what_was_answered(spark, tmp_path):
     df = spark.createDataFrame([(i, f"prompt {i}") for i in range(60)], "id int, p string")
     b = Dying("d", lambda prompts: [p.upper() for p in prompts], max_attempts=1, backoff_s=0.0)
     with pytest.raises(Exception):  # noqa: B017
-        infer(df, "p", b, "r", responses_path=store).collect()
+        infer(df, "p", b, "r", responses_path=store, parallelism=12).collect()
     kept = spark.read.parquet(store).count()
     assert 0 < kept < 60
     os.rename(log, log + ".first")
     os.rename(stop, stop + ".no")
-    out = infer(df, "p", b, "r", responses_path=store).collect()
+    out = infer(df, "p", b, "r", responses_path=store, parallelism=12).collect()
     assert len(out) == 60 and all(r.r == f"PROMPT {r.id}" for r in out)
     assert calls(log) == 60 - kept
 
 
+def test_a_limit_met_by_one_task_stops_all(spark, tmp_path):
+    """One prompt meets the limit: while its task waits, no other task sends anything."""
+    import time
+
+    log = str(tmp_path / "calls.log")
+
+    def fn(prompts):
+        time.sleep(0.02)
+        limited = "limited" in prompts[0] and not os.path.exists(log + ".met")
+        with open(log, "a") as f:
+            f.write(f"{time.time()} {int(limited)}\n")
+        if limited:
+            open(log + ".met", "w").close()
+            raise RuntimeError("Rate limit. Please try again in 1s.")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(i, f"prompt {i}" if i != 5 else "limited") for i in range(200)], "id int, p string")
+    b = CallableBackend("together", fn, batch_size=1, rate_limit_extra_s=0.5, shared_limit=True, round_s=0.1)
+    out = {r.id: r for r in infer(df, "p", b, "r", parallelism=4).collect()}
+    assert len(out) == 200 and all(r.r_status == "ok" for r in out.values()) and out[5].r == "LIMITED"
+    times = [(float(t), int(x)) for t, x in (line.split() for line in open(log))]
+    met = next(t for t, limited in times if limited)
+    assert not [t for t, _ in times if met + 0.4 < t < met + 1.4]  # 0.4: the others end their round
+    assert len(times) == 201
+
+
+def test_a_limit_that_does_not_end_is_an_error(spark):
+    def fn(prompts):
+        raise RuntimeError("Please try again in 0s.")
+
+    df = spark.createDataFrame([(i, f"prompt {i}") for i in range(3)], "id int, p string")
+    b = CallableBackend("never", fn, max_attempts=2, rate_limit_extra_s=0.05, shared_limit=True, round_s=0.1)
+    rows = infer(df, "p", b, "r", parallelism=2).collect()
+    assert [r.r_status for r in rows] == ["error"] * 3 and "try again" in rows[0].r_error
+
+
 def test_distill_rows_matches_distill(spark):
     from annolens.operators.chunking import prefix_tokens
     size = 6 + prefix_tokens()
