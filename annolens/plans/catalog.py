@@ -166,6 +166,15 @@ def q_article_segments(spark, d):
                       F.array_join("seg", TX.ARTICLE_SEP).alias("article"))
 
 
+@query("article_tree")
+def q_article_tree(spark, d):
+    """O36, strict: segments by nesting and namespaces, parse errors with a status."""
+    from ..functions.xml_tree import article_tree
+    t = S.article_xml(spark, d).select("pmcid", article_tree("body").alias("t"))
+    return t.select("pmcid", F.col("t.status"), F.col("t.error"), F.size("t.segments").cast("bigint").alias("n_segments"),
+                    F.array_join("t.segments", TX.ARTICLE_SEP).alias("article"))
+
+
 # --- M3: literature ----------------------------------------------------------------
 
 @query("article_lookup")

@@ -506,3 +506,71 @@ pick2 AS (SELECT pmid, s FROM (SELECT pmid, s, row_number() OVER (PARTITION BY p
 told AS (SELECT s.pmid, string_agg(s.piece, '' ORDER BY s.s) AS told FROM sent s
   JOIN (SELECT * FROM pick1 UNION ALL SELECT * FROM pick2) p ON p.pmid = s.pmid AND p.s = s.s GROUP BY s.pmid)
 SELECT a.pmid, {strip_sql("coalesce(t.told, a.article)")} AS response, 'ok' AS status FROM art a LEFT JOIN told t ON t.pmid = a.pmid""")
+
+
+# Strict articles: the tokens of the markup folded with a stack of open elements ('name|1 in a default namespace|,prefixes,').
+_XNAME = r"[A-Za-z_:\x{C0}-\x{10FFFF}][A-Za-z0-9_:.\x{B7}\x{C0}-\x{10FFFF}-]*"
+_XATT = rf"""\s+({_XNAME})\s*=\s*(?:"[^<"]*"|''[^<'']*'')"""
+_XTOKEN = (r"<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<\?(?s:.*?)\?>|<!DOCTYPE(?:[^<>\[]|\[[^\]]*\])*>"
+           rf"""|</({_XNAME})\s*>|<{_XNAME}(?:\s+{_XNAME}\s*=\s*(?:"[^<"]*"|''[^<'']*''))*\s*/?>|<|[^<]+""")
+_XREF = "&(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);"
+_XTOP = "coalesce(s.stack[-1], '|0|,xml,')"
+_XKEPT = f"CASE WHEN s.taking AND s.txt <> '' THEN list_append(s.kept, {strip_sql('s.txt')}) ELSE s.kept END"
+
+
+def _xstate(**changed: str) -> str:
+    return "{" + ", ".join(f"'{k}': {changed.get(k, 's.' + k)}" for k in ("stack", "taking", "txt", "kept", "rooted", "bad")) + "}"
+
+
+def _xbad(why: str) -> str:
+    return _xstate(bad=f"CAST('{why}' AS VARCHAR)")
+
+
+_XDECODED = ("array_to_string(list_transform(regexp_extract_all(t, '&[^;]*;|[^&]+', 0), lambda x: CASE x WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' "
+             "WHEN '&amp;' THEN '&' WHEN '&quot;' THEN '\"' WHEN '&apos;' THEN '''' ELSE CASE WHEN starts_with(x, '&#x') THEN chr(CAST('0x' || x[4:-2] AS INTEGER)) "
+             "WHEN starts_with(x, '&#') THEN chr(CAST(x[3:-2] AS INTEGER)) ELSE x END END), '')")
+_XUNKNOWN = "contains(regexp_replace(t, '" + _XREF + "', '', 'g'), '&')"
+_XNAMES = f"regexp_extract_all(t, '{_XATT}', 1)"
+_XOWN = f"regexp_extract(t, '^<({_XNAME})', 1)"
+_XSPACE = rf"""CASE WHEN regexp_matches(t, '\sxmlns\s*=\s*(""|'''')') THEN '0' WHEN regexp_matches(t, '\sxmlns\s*=') THEN '1' ELSE split_part({_XTOP}, '|', 2) END"""
+_XPREFIXES = f"(split_part({_XTOP}, '|', 3) || array_to_string(list_transform(list_filter({_XNAMES}, lambda x: starts_with(x, 'xmlns:')), lambda x: x[7:] || ','), ''))"
+_XSTART = f"""CASE WHEN s.rooted AND len(s.stack) = 0 THEN {_xbad('junk after the root')}
+  WHEN len(list_distinct({_XNAMES})) < len({_XNAMES}) THEN {_xbad('duplicate attribute')}
+  WHEN len(list_filter(list_append({_XNAMES}, {_XOWN}), lambda x: contains(x, ':') AND NOT starts_with(x, 'xmlns:')
+         AND NOT contains({_XPREFIXES}, ',' || split_part(x, ':', 1) || ','))) > 0 THEN {_xbad('unbound prefix')}
+  WHEN {_XUNKNOWN} THEN {_xbad('unknown entity')}
+  ELSE {_xstate(stack=f"CASE WHEN ends_with(t, '/>') THEN s.stack ELSE list_append(s.stack, {_XOWN} || '|' || {_XSPACE} || '|' || {_XPREFIXES}) END",
+                taking=f"(len(s.stack) > 0 AND NOT ends_with(t, '/>') AND ({_XSPACE}) = '0' AND {_XOWN} IN ('title', 'p', 'sec'))",
+                txt="''", kept=_XKEPT, rooted="true")} END"""
+_XSTEP = f"""CASE WHEN s.bad IS NOT NULL THEN s
+  WHEN starts_with(t, '<!--') THEN CASE WHEN contains(t[5:-4], '--') OR ends_with(t[5:-4], '-') THEN {_xbad('-- in a comment')} ELSE s END
+  WHEN starts_with(t, '<![CDATA[') THEN CASE WHEN len(s.stack) = 0 THEN {_xbad('text outside the root')}
+    ELSE {_xstate(txt="CASE WHEN s.taking THEN s.txt || t[10:-4] ELSE s.txt END")} END
+  WHEN starts_with(t, '<?') THEN CASE WHEN regexp_matches(t, '^<.(?i:xml)[^A-Za-z0-9_.:-]') THEN {_xbad('misplaced declaration')} ELSE s END
+  WHEN starts_with(t, '<!DOCTYPE') THEN CASE WHEN s.rooted THEN {_xbad('misplaced document type')} ELSE s END
+  WHEN starts_with(t, '</') THEN CASE WHEN len(s.stack) = 0 OR split_part(s.stack[-1], '|', 1) <> regexp_extract(t, '</({_XNAME})\\s*>', 1) THEN {_xbad('mismatched tag')}
+    ELSE {_xstate(stack="s.stack[1:len(s.stack) - 1]", taking="false", txt="''", kept=_XKEPT)} END
+  WHEN t = '<' THEN {_xbad('not well-formed')}
+  WHEN starts_with(t, '<') THEN {_XSTART}
+  WHEN len(s.stack) = 0 THEN CASE WHEN {strip_sql('t')} = '' THEN s ELSE {_xbad('text outside the root')} END
+  WHEN {_XUNKNOWN} THEN {_xbad('unknown entity')}
+  WHEN contains(t, ']]>') THEN {_xbad('not well-formed')}
+  WHEN s.taking THEN {_xstate(txt=f"s.txt || {_XDECODED}")} ELSE s END"""
+_XINIT = "{'stack': CAST([] AS VARCHAR[]), 'taking': false, 'txt': '', 'kept': CAST([] AS VARCHAR[]), 'rooted': false, 'bad': CAST(NULL AS VARCHAR)}"
+_XBODY = strip_sql(r"regexp_replace(body, '\r(?:\n)?', chr(10), 'g')")
+ORACLE["article_tree"] = q(rf""", x AS (SELECT doc_id, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS t FROM documents),
+y AS (SELECT doc_id, split_part(t, chr(10), 1) AS first, replace(t, chr(10), '</p><p>') AS rest FROM x),
+raw AS (SELECT doc_id AS pmcid, CASE doc_id % 6
+    WHEN 0 THEN '<article><title>' || first || '</title><sec><p>' || rest || '</p></sec></article>'
+    WHEN 1 THEN '<article xmlns:m="u"><m:p>' || first || '</m:p><p>' || rest || '<b>x</b>tail</p></article>'
+    WHEN 2 THEN '<article><p>' || rest || '</article>'
+    WHEN 3 THEN '<article><p><![CDATA[' || first || ']]>' || rest || '</p><p/></article>'
+    WHEN 4 THEN '<article><sec xmlns="u"><p>' || first || '</p></sec><!-- c --><p> ' || rest || ' </p></article>'
+    ELSE '<article><p>' || first || '&#233;&x;</p></article>' END AS body FROM y
+  UNION ALL SELECT -pmcid - 1, body FROM articles),
+bodies AS (SELECT pmcid, body, regexp_replace({_XBODY}, '^<\?xml\s(?s:.*?)\?>', '') AS b FROM raw),
+read AS (SELECT pmcid, CASE WHEN regexp_matches(body, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFE}}\x{{FFFF}}]') THEN 'no character of XML' END AS no,
+  CASE WHEN b = '' THEN {_XINIT} ELSE list_reduce(regexp_extract_all(b, '{_XTOKEN}', 0), lambda s, t: {_XSTEP}, {_XINIT}) END AS r FROM bodies),
+judged AS (SELECT pmcid, r.kept AS kept, coalesce(no, r.bad, CASE WHEN len(r.stack) > 0 THEN 'element not closed' WHEN NOT r.rooted THEN 'no element' END) AS bad FROM read)
+SELECT pmcid, CASE WHEN bad IS NULL THEN 'ok' ELSE 'parse_error' END AS status, bad AS error,
+  CASE WHEN bad IS NULL THEN CAST(len(kept) AS BIGINT) END AS n_segments, CASE WHEN bad IS NULL THEN array_to_string(kept, {NL2}) END AS article FROM judged""")

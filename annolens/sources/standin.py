@@ -131,6 +131,21 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(F.col("page_id").alias("pmcid"), F.col("html").alias("body"))
 
 
+def article_xml(spark: SparkSession, d: str) -> DataFrame:
+    """pmcid, body: every document as an XML article, in six forms of which two are not well-formed, and every page as it is."""
+    doc = table(spark, d, "documents").withColumn("t", F.expr("replace(replace(text, '&', '&amp;'), '<', '&lt;')"))
+    doc = doc.withColumn("first", F.expr("split_part(t, '\\n', 1)")).withColumn("rest", F.expr("replace(t, '\\n', '</p><p>')"))
+    body = F.expr("""case doc_id % 6
+        when 0 then concat('<article><title>', first, '</title><sec><p>', rest, '</p></sec></article>')
+        when 1 then concat('<article xmlns:m="u"><m:p>', first, '</m:p><p>', rest, '<b>x</b>tail</p></article>')
+        when 2 then concat('<article><p>', rest, '</article>')
+        when 3 then concat('<article><p><![CDATA[', first, ']]>', rest, '</p><p/></article>')
+        when 4 then concat('<article><sec xmlns="u"><p>', first, '</p></sec><!-- c --><p> ', rest, ' </p></article>')
+        else concat('<article><p>', first, '&#233;&x;</p></article>') end""")
+    return doc.select(F.col("doc_id").alias("pmcid"), body.alias("body")).unionByName(
+        articles(spark, d).select((-F.col("pmcid") - 1).alias("pmcid"), "body"))
+
+
 FENCE_OPEN = "```json"
 FENCE_CLOSE = "```"
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolens.functions import text as TX
-from annolens.functions.xml_strict import article_segments_strict
+from annolens.functions.xml_tree import article_tree
 
 FENCE = "`" * 3
 
@@ -57,12 +57,12 @@ ARTICLES = [
 @pytest.mark.parametrize("doc,lenient,strict", ARTICLES)
 def test_article_segments(spark, doc, lenient, strict):
     assert one(spark, TX.article_segments, doc) == lenient
-    r = one(spark, article_segments_strict, doc)
+    r = one(spark, lambda _: article_tree("v"), doc)
     assert r["status"] == "ok" and list(r["segments"]) == strict
 
 
 def test_article_strict_parse_error(spark):
-    r = one(spark, article_segments_strict, "<a><p>q</a>")
+    r = one(spark, lambda _: article_tree("v"), "<a><p>q</a>")
     assert r["status"] == "parse_error" and r["segments"] is None and r["error"]
     assert one(spark, TX.article_segments, "<a><p>q</a>") == ["q"]
 
