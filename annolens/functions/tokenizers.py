@@ -4,9 +4,9 @@ A tokenizer turns a text column into ``array<string>`` pieces whose
 concatenation is the text, one piece per token, and counts them.
 
 * ``WordTokenizer`` (default): lossless word tokens, pure JVM expressions.
-* ``OffsetTokenizer``: any subword tokenizer that reports character offsets
-  (a Hugging Face ``tokenizers`` JSON file, or a tiktoken encoding when its
-  rank file is available locally).  The text is cut at each token's start
+* ``SubwordTokenizer``: greedy longest match over a vocabulary table, JVM
+  expressions as well.
+* ``OffsetTokenizer``: any tokenizer that reports character offsets.  The text is cut at each token's start
   offset inside an Arrow-batched pandas UDF; the encoder is loaded once per
   Python worker.  A byte-level token that starts inside a character gets an
   empty piece, so counts stay exact and pieces still join to the text.
@@ -15,10 +15,10 @@ concatenation is the text, one piece per token, and counts them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from .text import WORD_TOKEN, word_tokens
 
 class WordTokenizer:
     name = "word"
+    attach = "before"  # a separator goes with the text before it
 
     def pieces(self, c: Column) -> Column:
         return word_tokens(c)
@@ -56,6 +57,8 @@ class OffsetTokenizer:
     """``load()`` returns ``encode(text) -> list of (start, end)`` character
     offsets; it runs once per Python worker."""
 
+    attach = "before"
+
     def __init__(self, name: str, load: Callable[[], Callable[[str], list[tuple[int, int]]]]):
         self.name = name
         self._load = load
@@ -89,27 +92,75 @@ class OffsetTokenizer:
             self._enc = self._load()
         return len(self._enc(text))
 
-    @staticmethod
-    def huggingface(path: str) -> "OffsetTokenizer":
-        def load():
-            from tokenizers import Tokenizer
-            tok = Tokenizer.from_file(path)
-            return lambda text: tok.encode(text, add_special_tokens=False).offsets
-        return OffsetTokenizer(f"hf:{path}", load)
-
-    @staticmethod
-    def tiktoken(encoding: str) -> "OffsetTokenizer":
-        """Needs the encoding's rank file in the local tiktoken cache."""
-        def load():
-            import tiktoken
-            enc = tiktoken.get_encoding(encoding)
-
-            def offsets(text):
-                ids = enc.encode(text, disallowed_special=())
-                _, starts = enc.decode_with_offsets(ids)
-                return [(s, s) for s in starts]
-            return offsets
-        return OffsetTokenizer(f"tiktoken:{encoding}", load)
+
+#: Most tokens of a vocabulary that ``SubwordTokenizer.from_table`` takes to the driver.
+VOCABULARY_TOKENS = 1 << 16
+
+
+class SubwordTokenizer:
+    """Greedy longest match over a vocabulary, by expressions only.
+
+    From the start of a text the longest token that fits is taken, again and
+    again; a character that begins no token is one by itself.  The vocabulary
+    becomes one regular expression, a trie in which every token is tried at its
+    full length before its beginnings.
+
+    A token may begin with white space and has none elsewhere.  So every white
+    space character begins a token, and a separator that begins with one keeps
+    the tokens of the texts before and after it apart: only where a text meets
+    its separator (``attach``: the separator goes with the text behind it) can
+    the count differ from that of the text alone.
+    """
+
+    attach = "behind"
+
+    def __init__(self, tokens: Iterable[str], name: str = "subword"):
+        self.name = name
+        trie: dict = {}
+        for token in tokens:
+            if not token or re.search(r"\s", token[1:]):
+                raise ValueError(f"a token is not empty and has white space at its start only: {token!r}")
+            node = trie
+            for c in token:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        self.pattern = f"{self._branch(trie)}|(?s:.)" if trie else "(?s:.)"
+
+    @classmethod
+    def from_table(cls, vocabulary: DataFrame, token_col: str = "token", name: str = "subword") -> "SubwordTokenizer":
+        """The tokens of a table of at most ``VOCABULARY_TOKENS`` rows; more are an error."""
+        rows = vocabulary.select(token_col).where(F.length(token_col) > 0).distinct().limit(VOCABULARY_TOKENS + 1).collect()
+        if len(rows) > VOCABULARY_TOKENS:
+            raise ValueError(f"the vocabulary has more than {VOCABULARY_TOKENS} tokens")
+        return cls(sorted(r[0] for r in rows), name)
+
+    @classmethod
+    def _branch(cls, node: dict) -> str:
+        """A pattern of the longest way down from a node."""
+        ways = [c for c in sorted(node) if c]
+        leaves = [c for c in ways if set(node[c]) == {""}]
+        parts = [re.escape(c) + cls._branch(node[c]) for c in ways if c not in leaves]
+        if len(leaves) == 1:
+            parts.append(re.escape(leaves[0]))
+        elif leaves:
+            parts.append("[" + "".join(re.escape(c) for c in leaves) + "]")
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)}){'?' if '' in node else ''}"
+
+    def pieces(self, c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(self.pattern), F.lit(0))
+
+    def count(self, c: Column) -> Column:
+        return F.regexp_count(c, F.lit(self.pattern)).cast("bigint")
+
+    def count_text(self, text: str) -> int:
+        return len(re.findall(self.pattern, text))
+
+    def seam(self, sep: str, text: Column) -> Column:
+        """Tokens of the separator and the text, less those of the text: counted where they meet."""
+        head = F.regexp_extract(text, r"^\S*", 0)
+        return self.count(F.concat(F.lit(sep), head)) - self.count(head)
 
 
 DEFAULT = WordTokenizer()

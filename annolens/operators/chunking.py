@@ -90,6 +90,15 @@ def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,
             .withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
 
+def _attached_behind(tokenizer, sep: str) -> bool:
+    """Does the separator go with the text behind it?"""
+    if tokenizer.attach != "behind":
+        return False
+    if not sep[:1].isspace():
+        raise ValueError("texts are joined by a separator that begins with white space")
+    return True
+
+
 def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
                  max_tokens: int, chunk_tokens: int, prefix: int = 0, sep: str = " ",
                  block_rows: int = DEFAULT_BLOCK_ROWS, tokenizer=None, with_counts: bool = False) -> DataFrame:
@@ -110,12 +119,19 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     ``with_counts``: n_texts, the number of input texts of the key).
     Leading white space of a text is dropped (in the joined form it would merge
     into the previous text's last token).  Texts must have other characters.
+
+    A tokenizer whose tokens begin with white space (``attach = "behind"``)
+    gets the separator before every text but the key's first; the counts are
+    those of the joined text, of which only the seams are counted anew.
     """
     size = chunk_tokens - prefix
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
-    d = df.select(*keys, order_col, F.concat(without_lead(F.col(text_col)), F.lit(sep)).alias("_piece"))
     tk = tokenizer or DEFAULT_TOKENIZER
+    behind = _attached_behind(tk, sep)
+    body = without_lead(F.col(text_col))
+    d = df.select(*keys, order_col, (F.concat(F.lit(sep), body) if behind else F.concat(body, F.lit(sep))).alias("_piece"),
+                  *([tk.seam(sep, body).alias("_less")] if behind else []))
     d = d.withColumn("_n", tk.count(F.col("_piece")))
     over_budget = F.col("n_tokens") > F.lit(max_tokens)
 
@@ -123,10 +139,12 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
         # Keys within budget need no offsets: only over-budget rows are
         # counted again (before the in-block shuffle, so it carries counts,
         # not token arrays).
+        if behind:  # no separator before the key's first text
+            j = j.withColumn("_piece", F.when(F.col("_first"), F.substr("_piece", F.lit(len(sep) + 1))).otherwise(F.col("_piece"))).drop("_first")
         return j.withColumn("_n", F.when(over_budget, tk.count(F.col("_piece"))).otherwise(F.lit(0)))
 
     d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens",
-                             after_join=second_pass, count_col="n_texts")
+                             after_join=second_pass, count_col="n_texts", first_less="_less" if behind else None)
     d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn(
         "_tok", F.when(over_budget, tk.pieces(F.col("_piece"))))
 
@@ -150,7 +168,7 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
     n_chunks = F.when(fits2, F.lit(1)).otherwise(F.ceil(F.col("n_tokens") / L)).cast("bigint")
     chunks = chunks.withColumn("n_chunks", n_chunks)
     is_last = F.col("chunk_idx") == F.col("n_chunks") - 1
-    lsep = len(sep)
+    lsep = 0 if behind else len(sep)
     text = F.when(is_last & F.lit(lsep > 0), F.col("_t").substr(F.lit(1), F.length("_t") - F.lit(lsep))) \
         .otherwise(F.col("_t"))
     extra = [F.col("n_texts").cast("bigint").alias("n_texts")] if with_counts else []
@@ -160,12 +178,20 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
 
 
 def budget_plan(df: DataFrame, keys: list[str], text_col: str, max_tokens: int, chunk_tokens: int,
-                prefix: int = 0, sep: str = " ", tokenizer=None, with_counts: bool = False) -> DataFrame:
+                prefix: int = 0, sep: str = " ", tokenizer=None, with_counts: bool = False,
+                order_col: str | None = None) -> DataFrame:
     """Per key: total tokens of the joined text, pass/chunk decision and the
-    number of chunks.  A plain partial + final aggregate."""
+    number of chunks.  A plain partial + final aggregate.  ``order_col`` is
+    needed where separators go with the text behind them."""
     size = chunk_tokens - prefix
-    n = (tokenizer or DEFAULT_TOKENIZER).count(F.concat(without_lead(F.col(text_col)), F.lit(sep)))
-    g = df.groupBy(*keys).agg(F.sum(n).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
+    tk = tokenizer or DEFAULT_TOKENIZER
+    body = without_lead(F.col(text_col))
+    if _attached_behind(tk, sep):
+        lead = F.min(F.struct(F.col(order_col).alias("at"), tk.seam(sep, body).alias("less")))["less"]
+        total = F.sum(tk.count(F.concat(F.lit(sep), body))) - lead
+    else:
+        total = F.sum(tk.count(F.concat(body, F.lit(sep))))
+    g = df.groupBy(*keys).agg(total.alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     passes = F.col("n_tokens") <= F.lit(max_tokens)
     extra = ["n_texts"] if with_counts else []
     return g.select(*keys, "n_tokens", F.when(passes, F.lit("pass")).otherwise(F.lit("chunk")).alias("kind"),

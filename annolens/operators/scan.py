@@ -56,7 +56,7 @@ def _null_free_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str
 def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_col: str,
                          out_col: str, block_rows: int = DEFAULT_BLOCK_ROWS,
                          total_col: str | None = None, after_join=None,
-                         count_col: str | None = None) -> DataFrame:
+                         count_col: str | None = None, first_less: str | None = None) -> DataFrame:
     """Adds ``out_col`` = sum of ``value_col`` over earlier rows of the same key
     (ordered by ``order_col``, which must be unique within a key).  With
     ``total_col`` also adds the key's grand total.
@@ -64,11 +64,20 @@ def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_c
     ``after_join(df) -> df`` may re-derive ``value_col`` on the second pass
     (it then sees ``total_col``); the first pass's value is not recomputed.
     Only rows whose re-derived value matters need it (others may use 0).
-    ``count_col`` adds the number of rows of the key (from the same block table)."""
+    ``count_col`` adds the number of rows of the key (from the same block table).
+    ``first_less`` names a column by whose value the key's first row counts
+    less; ``_first`` then tells which row that is (also to ``after_join``)."""
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)).cast("bigint"))
     d, kc, added = _null_free_keys(d, keys)
-    blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"), F.count(F.lit(1)).alias("_bcnt"))
+    less = [F.min(F.struct(F.col(order_col).alias("at"), F.col(first_less).alias("less"))).alias("_lead")] if first_less else []
+    blocks = d.groupBy(*kc, "_blk").agg(F.sum(value_col).alias("_bsum"), F.count(F.lit(1)).alias("_bcnt"), *less)
     wk = Window.partitionBy(*kc).orderBy("_blk")
+    if first_less:
+        # The key's first block leads: its first row is the key's, and its sum counts that row less.
+        first = F.row_number().over(wk) == 1
+        blocks = blocks.withColumn("_bsum", F.col("_bsum") - F.when(first, F.col("_lead.less")).otherwise(F.lit(0)))
+        blocks = blocks.withColumn("_lead", F.first("_lead").over(wk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        d = d.drop(first_less)
     offs = blocks.withColumn("_boff", F.coalesce(
         F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total_col:
@@ -80,6 +89,8 @@ def exclusive_prefix_sum(df: DataFrame, keys: list[str], order_col: str, value_c
     offs = offs.drop("_bsum", "_bcnt")
     kb = kc + ["_blk"]
     j = (d if after_join is None else d.drop(value_col)).join(offs, kb)
+    if first_less:
+        j = j.withColumn("_first", F.col(order_col) == F.col("_lead.at")).drop("_lead")
     if after_join is not None:
         j = after_join(j)
     wb = Window.partitionBy(*kb).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)

@@ -292,6 +292,15 @@ def q_chunk_gene(spark, d):
     return CH.chunk_by_key(texts, ["gene_id"], "row_ord", "text", mx, ck, PREFIX)
 
 
+@query("chunk_gene_subword")
+def q_chunk_gene_subword(spark, d):
+    """Genes cut to a budget of subword tokens of a vocabulary table."""
+    from ..functions.tokenizers import SubwordTokenizer
+    tk = SubwordTokenizer.from_table(S.vocabulary(spark, d))
+    mx, ck = P.SUBWORD_BUDGET
+    return CH.chunk_by_key(gene_texts(spark, d), ["gene_id"], "row_ord", "text", mx, ck, 0, tokenizer=tk)
+
+
 # --- M5-M7: model map, distill, jobs, embeddings ----------------------------------
 
 from ..operators import embed as EM  # noqa: E402

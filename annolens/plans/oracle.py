@@ -574,3 +574,19 @@ read AS (SELECT pmcid, CASE WHEN regexp_matches(body, '[\x00-\x08\x0B\x0C\x0E-\x
 judged AS (SELECT pmcid, r.kept AS kept, coalesce(no, r.bad, CASE WHEN len(r.stack) > 0 THEN 'element not closed' WHEN NOT r.rooted THEN 'no element' END) AS bad FROM read)
 SELECT pmcid, CASE WHEN bad IS NULL THEN 'ok' ELSE 'parse_error' END AS status, bad AS error,
   CASE WHEN bad IS NULL THEN CAST(len(kept) AS BIGINT) END AS n_segments, CASE WHEN bad IS NULL THEN array_to_string(kept, {NL2}) END AS article FROM judged""")
+
+# Greedy longest match: alternatives in the order of their length; the text is joined first and cut then.
+_VOCABULARY = """, often AS (SELECT w AS token FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{1,5}', 0)) AS w FROM documents)
+  GROUP BY w ORDER BY count(*) DESC, w LIMIT 1000),
+longest AS (SELECT string_agg(token, '|' ORDER BY length(token) DESC, token) || '|(?s:.)' AS rx
+  FROM (SELECT token FROM often UNION ALL SELECT ' ' || token FROM often))"""
+_SMX, _SSIZE = P.SUBWORD_BUDGET
+ORACLE["chunk_gene_subword"] = q(_VOCABULARY + f""", gene_text AS (
+  SELECT gene_id, row_ord, {punct_sql('text')} AS text FROM human WHERE length(text) > 0),
+joined AS (SELECT gene_id, string_agg(regexp_replace(text, '^\\s+', ''), ' ' ORDER BY row_ord) AS joined FROM gene_text GROUP BY gene_id),
+cut AS (SELECT gene_id, joined, regexp_extract_all(joined, (SELECT rx FROM longest), 0) AS k FROM joined)
+SELECT gene_id, CAST(0 AS BIGINT) AS chunk_idx, CAST(1 AS BIGINT) AS n_chunks, 'pass' AS kind, CAST(len(k) AS BIGINT) AS n_tokens, joined AS chunk_text
+FROM cut WHERE len(k) <= {_SMX}
+UNION ALL
+SELECT gene_id, CAST(i AS BIGINT), CAST(ceil(len(k) / {_SSIZE}) AS BIGINT), 'chunk', CAST(len(k) AS BIGINT), array_to_string(k[i * {_SSIZE} + 1 : i * {_SSIZE} + {_SSIZE}], '')
+FROM (SELECT *, unnest(range(CAST(ceil(len(k) / {_SSIZE}) AS BIGINT))) AS i FROM cut WHERE len(k) > {_SMX})""")

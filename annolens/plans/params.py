@@ -8,6 +8,7 @@ TOP_K_ABSTRACTS = 25            # abstracts per gene (reference default 100; 25
 # sf0.01 texts are short, so the catalogue passes budgets of which a good part of the
 # genes, articles and pairs is over.
 GENE_BUDGET = (9000, 2000)
+SUBWORD_BUDGET = (30000, 7000)
 ARTICLE_BUDGET = (150, 100)
 PAIR_BUDGET = (400, 150)
 TWO_ROUNDS = (600, 300)

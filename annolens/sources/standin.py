@@ -111,6 +111,17 @@ def abstracts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("pmid"), "text")
 
 
+#: Tokens of the stand-in vocabulary, before those with a space are added.
+VOCABULARY_SIZE = 1000
+
+
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """token: the most frequent letter runs of up to five characters in the documents, each also after a space."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{1,5}"), F.lit(0))).alias("token"))
+    often = words.groupBy("token").count().orderBy(F.desc("count"), "token").limit(VOCABULARY_SIZE)
+    return often.select(F.explode(F.array("token", F.concat(F.lit(" "), "token"))).alias("token"))
+
+
 def gene_pmids(spark: SparkSession, d: str) -> DataFrame:
     """gene_id, pmid: every PMID cited by an annotation of the gene."""
     a = annotations(spark, d)
