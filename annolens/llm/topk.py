@@ -84,36 +84,46 @@ def whole_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame
 def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", scale: int = 256, k: int = 5) -> DataFrame:
     """(query_id, rank, key, score): the k best other rows of every query row."""
     rows = whole_vectors(df, key, vector, scale)
-    queries = rows.where(is_query)
+    # equal rows of an id are one query; rows of other vectors are queries of their own
+    queries = rows.where(is_query).distinct().withColumn("ask", F.xxhash64("v"))
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
     # every query block is sent to every shard, every shard to every query block
-    left = queries.select(mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
+    left = queries.select(mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "ask", "v")
     right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("shard"), "id", "v")
 
     def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         out: list[tuple] = []
         a, b = _by_width(ours), _by_width(theirs)
-        for width, (query_ids, vectors) in a.items():
+        asks = ours.column("ask").to_numpy()
+        for width, (pick, query_ids, vectors) in a.items():
             if width in b:
-                ids, candidates = b[width]
+                _, ids, candidates = b[width]
+                if _longest(vectors) * _longest(candidates) >= 2.0**53:
+                    raise ValueError("components are too large for exact scores")
                 order = np.argsort(ids, kind="stable")
                 shard = np.ascontiguousarray(candidates[order].T)
-                for q, (found, score) in zip(query_ids, best(vectors, query_ids, shard, ids[order], k), strict=True):
-                    out += zip([q] * len(found), found, score, strict=True)
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+                for q, ask, (found, score) in zip(query_ids, asks[pick], best(vectors, query_ids, shard, ids[order], k), strict=True):
+                    out += zip([q] * len(found), [ask] * len(found), found, score, strict=True)
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "ask", "id", "score"), cols, strict=True)})
 
-    near = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, id long, score long")
+    near = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(run, "query_id long, ask long, id long, score long")
     # k of each shard at most; the window keeps k rows of each query before the shuffle, too
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.col("score").desc(), "id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
 
 
-def _by_width(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _longest(vectors: np.ndarray) -> float:
+    """The greatest length of a vector: no inner product is above that of two lengths."""
+    return float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+
+
+def _by_width(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By the number of components: places of the rows, ids, vectors."""
     ids = rows.column("id").to_numpy()
     lists = rows.column("v").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -124,5 +134,5 @@ def _by_width(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for w in np.unique(widths).tolist():
         pick = np.flatnonzero(widths == w)
-        out[w] = (ids[pick], flat[at[pick][:, None] + np.arange(w)].reshape(len(pick), w))
+        out[w] = (pick, ids[pick], flat[at[pick][:, None] + np.arange(w)].reshape(len(pick), w))
     return out

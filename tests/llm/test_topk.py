@@ -1,6 +1,7 @@
 """Exact top-k against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from annolens.llm import topk
@@ -35,6 +36,19 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (0, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") == 0).collect())
-    assert [r[2:] for r in got] == [(1, 256 * 128 + 512 * 128)] * 2  # both rows of id 0 ask; neither is the other's candidate
+    assert got == [(0, 1, 1, 256 * 128 + 512 * 128)]  # equal rows of an id are one query; neither is the other's candidate
     assert topk.top_k(df.limit(0), F.col("id") == 0).count() == 0
     assert topk.top_k(df, F.col("id") == 9).count() == 0
+
+
+def test_repeated_query_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [float(i), -float(i)]) for i in range(1, 9)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect())
+    best = [(0, r + 1, 8 - r, (8 - r) * 65536) for r in range(5)] + [(0, r + 1, r + 1, -(r + 1) * 65536) for r in range(5)]
+    assert got == sorted(best)  # each of the two different vectors has its five
+
+
+def test_scores_beyond_exact_numbers_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)too large|overflow"):
+        topk.top_k(df, F.col("id") == 0).collect()
