@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolens.llm.common import byte_column, mix64, ragged
+from annolens.llm.common import byte_column, mix64, ragged, written
 
 #: Bytes of text of a part, about.
 PART_BYTES = 16 << 20
@@ -178,7 +178,7 @@ def _message(part_or_bucket: list, other: list, data: list[bytes], names: tuple[
     return pa.table({names[0]: pa.array(part_or_bucket, pa.int32()), names[1]: pa.array(other, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-_ANCHOR = np.dtype([("rest", "<u4"), ("docs", "<u2")])
+_ANCHOR = np.dtype([("rest", "<u4"), ("docs", "<u4")])
 _OWNED = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("rest", "<u4"), ("hot", "u1")])
 _ASKED = np.dtype([("a", "<u8"), ("b", "<u8"), ("hot", "u1")])
 _FLAG = np.dtype([("a", "<u8"), ("b", "<u8"), ("bits", "<u8")])
@@ -197,10 +197,17 @@ def _anchors(rows: pa.Table, length: int, parts: int) -> pa.Table:
     """Step 1, of a part: its different anchors and in how many documents they are."""
     part = Part(rows, length)
     bucket, rest = part.slots(parts)
-    pairs = np.unique(np.stack([(bucket << 32) | rest, part.seg.row]), axis=1) if len(rest) else np.empty((2, 0), np.int64)
-    slot, docs = np.unique(pairs[0], return_counts=True)
+    # Segments lie in the order of documents, so a stable sort by anchor leaves equal documents side by side.
+    slot = (bucket.astype(np.int64) << 32) | rest.astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot, row = slot[order], part.seg.row[order]
+    first = np.append(True, slot[1:] != slot[:-1])[: len(slot)]
+    fresh = first | np.append(True, row[1:] != row[:-1])[: len(slot)]
+    begins = np.flatnonzero(first)
+    docs = np.add.reduceat(fresh.astype(np.int64), begins) if len(begins) else np.empty(0, np.int64)
+    slot = slot[begins]
     rec = np.empty(len(slot), _ANCHOR)
-    rec["rest"], rec["docs"] = slot & 0xFFFFFFFF, np.minimum(docs, 0xFFFF)
+    rec["rest"], rec["docs"] = slot & 0xFFFFFFFF, docs
     out = [(b, _bytes(x)) for b, x in _split(slot >> 32, rec)]
     me = rows.column("part")[0].as_py()
     return _message([b for b, _ in out], [me] * len(out), [x for _, x in out], ("bucket", "part"))
@@ -220,8 +227,9 @@ def _shared(rows: pa.Table, hot: int) -> pa.Table:
         keep = rec[own >= 2].copy()
         keep["docs"] = own[own >= 2] > hot
         if len(keep):
-            out.append((part, _bytes(keep)))
-    return _message([p for p, _ in out], [me] * len(out), [x for _, x in out], ("part", "bucket"))
+            out.append((part, _bytes(keep), bool(keep["docs"].any())))
+    told = _message([p for p, *_ in out], [me] * len(out), [x for _, x, _ in out], ("part", "bucket"))
+    return told.append_column("hot", pa.array([h for *_, h in out], pa.bool_()))
 
 
 def _candidates(part: Part, told: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -424,16 +432,22 @@ def _removed(rows: pa.Table, told: pa.Table, length: int) -> pa.Table:
                 np.add.at(step, at, 1)
                 np.add.at(step, at + length, -1)
         gone = np.cumsum(step[:-1]) > 0
+        edge = gone.astype(np.int8)
+        edge = np.flatnonzero(np.append(edge, 0) != np.append(0, edge))
+        edge = np.unique(np.concatenate([edge, off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(gone))]]))
+        begins = edge[gone[np.minimum(edge, len(gone) - 1)] & (edge < len(gone))] if len(gone) else edge
+        ends = edge[np.searchsorted(edge, begins) + 1] if len(begins) else begins
+        at = np.searchsorted(begins, off)
+        removed = np.append(0, np.cumsum(ends - begins))
         for i in range(len(off) - 1):
-            lo, hi = off[i], off[i + 1]
-            mine = gone[lo:hi]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
+            lo, hi, a, b = off[i], off[i + 1], at[i], at[i + 1]
+            mine = buf[lo:hi] if a == b else buf[lo:hi][~gone[lo:hi]]
             out["doc"].append(int(part.docs[i]))
             out["n_bytes"].append(int(hi - lo))
-            out["n_removed"].append(int(mine.sum()))
-            out["n_spans"].append(len(edge) // 2)
-            out["kept_sha256"].append(hashlib.sha256(buf[lo:hi][~mine].tobytes()).hexdigest())
-            out["spans"].append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+            out["n_removed"].append(int(removed[b] - removed[a]))
+            out["n_spans"].append(int(b - a))
+            out["kept_sha256"].append(hashlib.sha256(mine.tobytes()).hexdigest())
+            out["spans"].append([{"start": x, "end": y} for x, y in zip((begins[a:b] - lo).tolist(), (ends[a:b] - lo).tolist(), strict=True)])
     return pa.table({c: pa.array(v, names[c]) for c, v in out.items()})
 
 
@@ -452,19 +466,22 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     message, answer = "bucket int, part int, data binary", "part int, kind int, data binary"
 
     anchors = own.applyInArrow(lambda t: _anchors(t, length, parts), message)
-    shared = anchors.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "part int, bucket int, data binary")
+    shared = anchors.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "part int, bucket int, data binary, hot boolean")
+    shared = written(shared, "lpf-shared")
+    any_hot = not shared.where("hot").isEmpty()
     told = own.cogroup(shared.groupBy("part")).applyInArrow(lambda t, s: _segments(t, s, length, parts), message)
     owners = told.groupBy("bucket").applyInArrow(_owners, answer)
     asked, late_parts = owners.where(F.col("kind") == _OWN), owners.where(F.col("kind") == _ALL)
     bodies = own.cogroup(asked.groupBy("part")).applyInArrow(lambda t, s: _bodies(t, s, length), _BODY)
-    # the part decides by ``hot`` alone; both branches read one shuffle
     met = bodies.repartition(parts, F.when(F.col("hot"), F.xxhash64("a", "b")).otherwise(F.col("anchor")))
     usual = met.where(~F.col("hot")).sortWithinPartitions("anchor").mapInArrow(lambda it: _compare(it, length), answer)
-    windows = met.where("hot").mapInArrow(lambda it: _exploded(it, length), "w1 long, w2 long, doc long, part int, a long, b long, number int")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-    late = windows.join(least, ["w1", "w2"]).where("doc > least")
-    flags = late.groupBy("part", "a", "b").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("bits"))
-    reported = late_parts.union(usual).union(flags.mapInArrow(_packed, answer))
+    reported = late_parts.union(usual)
+    if any_hot:  # else the bytes would be asked for a second time, for nothing
+        windows = met.where("hot").mapInArrow(lambda it: _exploded(it, length), "w1 long, w2 long, doc long, part int, a long, b long, number int")
+        least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
+        late = windows.join(least, ["w1", "w2"]).where("doc > least")
+        flags = late.groupBy("part", "a", "b").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("bits"))
+        reported = reported.union(flags.mapInArrow(_packed, answer))
     result = own.cogroup(reported.groupBy("part")).applyInArrow(lambda t, s: _removed(t, s, length), _RESULT)
 
     alone = source.where("doc is null").select(
