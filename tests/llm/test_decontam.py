@@ -66,9 +66,52 @@ def test_matches_and_clean(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, found string")
     b = spark.createDataFrame([(7, item)], "item_id long, text string")
     found = {r["doc_id"]: r["hits"] for r in decontam.find_contamination(d, b, 10, out="hits").collect()}
-    (m,) = found[1]["matches"]
-    assert (m["item"], m["item_word"], m["word_start"], m["n_words"]) == ("7", 0, 2, 12)
+    assert (found[1]["items"], [tuple(r) for r in found[1]["ranges"]], found[1]["n_hit"]) == (["7"], [(2, 12)], 12)
+    (m,) = decontam.locations(d, b, 10).collect()
+    assert (m["doc_id"], m["item"], m["item_word"], m["word_start"], m["n_words"]) == (1, "7", 0, 2, 12)
     assert docs[0][1].encode()[m["byte_start"] : m["byte_end"]].decode().lower() == item
     assert decontam.clean(d, b).collect() == d.where("doc_id > 1").collect()
     assert decontam.clean(d.limit(0), b).count() == 0
     assert decontam.clean(d, b.limit(0)).count() == 3
+
+
+def test_locations_are_all_longest_matches(spark, monkeypatch):
+    """Every window of every item, chained: in one group of items and in many."""
+    docs, items = cases(4)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    k, want = 3, set()
+    for key, text in docs:
+        w = words(text)
+        for item, t in {x for x in items if x[1] is not None}:
+            v = words(t)
+            k_ = min(k, len(v))
+            starts = {(i, j) for i in range(len(v) - k_ + 1) for j in range(len(w) - k_ + 1) if k_ and w[j : j + k_] == v[i : i + k_]}
+            for i, j in starts:
+                if (i - 1, j - 1) not in starts:
+                    n = 0
+                    while (i + n, j + n) in starts:
+                        n += 1
+                    want.add((key, None if item is None else str(item), i, j, n - 1 + k_))
+    for limit in (1 << 20, 3):
+        monkeypatch.setattr(decontam, "MATCHES", limit)
+        assert {tuple(r)[:5] for r in decontam.locations(d, b, k).collect()} == want
+
+
+def test_a_phrase_of_many_items_repeated_in_a_document(spark):
+    """Places times items would be 4 million pairs; memory follows places plus items."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    phrase = "the question is which of these ten words comes next"
+    texts = [f"{phrase} item{i}" for i in range(2000)]
+    bench = decontam.Benchmark([str(i) for i in range(2000)], texts, 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{phrase} " * 2000])], names=["text"])
+    (_, _, rank, doc, *_), = decontam._shards(batch, "text", bench)
+    tracemalloc.start()
+    cover, pairs = decontam.shard_cover(bench, rank, doc)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert cover.all() and np.array_equal(pairs[1], np.arange(2000))
