@@ -6,14 +6,18 @@ chunks of ``2 * HOP`` positions that overlap by half and cover the whole text.
 A hidden layer turns each chunk's maxima into a logit, and the mean of a
 document's chunk logits, scaled on the training rows, is its probability.
 
-The network is fitted in one task on a bounded sample: about ``TRAIN_ROWS``
-labelled rows, picked by a hash of their ids, and of each at most
-``TRAIN_CHUNKS`` chunks.  The weights (a few thousand numbers) go to all tasks;
-every text is then scored whole.  Same rows and labels, same weights.
+The network is fitted in one task on a bounded sample: ``TRAIN_ROWS`` labelled
+rows at most, picked by a hash of their ids, and of these as many as have
+``TRAIN_BYTES`` together.  Their texts are learned whole: the chunks of a long
+text are dealt out over the epochs, and those of one epoch share the weight of
+``CHUNK_SHARE`` chunks, so that a text counts alike whatever its length.  The
+weights (a few thousand numbers) go to all tasks; every text is then scored
+whole.  Same rows and labels, same weights.
 
 Defined results: null and empty texts are scored as a text without bytes;
 repeated rows each get their score; labels that are null are not learned;
-without labels of both kinds the score is the smoothed share of label 1.  A
+an id with several labels has the largest; without labels of both kinds the
+score is the smoothed share of label 1.  A
 null id is never held out.  Labels, ids and other columns are never inputs of
 a score.
 """
@@ -31,10 +35,10 @@ from pyspark.sql import types as T
 
 from annolens.llm.common import byte_column, row_blocks
 
-#: Labelled rows that the fit takes, about; the bound of the sample.
-TRAIN_ROWS = 8000
-#: Chunks of one training text; spread evenly over it.
-TRAIN_CHUNKS = 8
+#: Labelled rows, and bytes of their texts, that the fit takes at most; the bounds of the sample.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
+#: Chunks whose weight a text has in an epoch, at most.
+CHUNK_SHARE = 8
 #: Width of a byte's vector, bytes of a filter, stride, filters, hidden units.
 BYTE_DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 48, 32
 #: Positions of half a chunk, and its bytes.
@@ -119,42 +123,55 @@ def text_logits(net: Network, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.add.reduceat(logits, np.cumsum(chunks) - chunks) / chunks if len(chunks) else np.empty(0)
 
 
-def _chunks(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training chunks as padded bytes, their positions, and their texts' labels.
+def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks of the texts as padded bytes, their positions, their texts, and their numbers there.
 
-    One short cutting of each text goes with them: short texts are rare among
-    the rows, and a chunk that is filled in part must not look odd for that.
+    One short cutting of each text goes with them (number -1): short texts are
+    rare among the rows, and a chunk that is filled in part must not look odd for that.
     """
-    rows, size, of = [], [], []
+    rows, size, of, number = [], [], [], []
     wide = 2 * HOP_BYTES
     rnd = np.random.default_rng(len(texts))
     for i, t in enumerate(texts):
-        most = max(1, -(-len(t) // HOP_BYTES) - 1)
-        for k in np.unique(np.linspace(0, most - 1, min(most, TRAIN_CHUNKS)).astype(int)):
-            part = t[k * HOP_BYTES : k * HOP_BYTES + wide + WIDTH]
-            rows.append(part.ljust(wide + WIDTH, b"\0"))
+        for k in range(max(1, -(-len(t) // HOP_BYTES) - 1)):
+            rows.append(t[k * HOP_BYTES : k * HOP_BYTES + wide + WIDTH].ljust(wide + WIDTH, b"\0"))
             size.append(min(2 * HOP, max(1, -(-(len(t) - k * HOP_BYTES) // STRIDE))))
             of.append(i)
+            number.append(k)
         n = int(rnd.integers(WIDTH, wide))
         at = int(rnd.integers(0, max(1, len(t) - n)))
         part = t[at : at + n]
         rows.append(part.ljust(wide + WIDTH, b"\0"))
         size.append(max(1, -(-len(part) // STRIDE)))
         of.append(i)
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, wide + WIDTH), np.array(size), labels[of].astype(np.float32)
+        number.append(-1)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, wide + WIDTH), np.array(size), np.array(of), np.array(number)
+
+
+def _of_epoch(epoch: int, of: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks that an epoch learns, and their weights; every chunk has its turn in some epoch."""
+    chunks = np.bincount(of[number >= 0])
+    turns = np.clip(-(-chunks // CHUNK_SHARE), 1, EPOCHS)
+    taken = np.flatnonzero((number < 0) | (number % turns[of] == epoch % turns[of]))
+    whole = number[taken] >= 0
+    share = CHUNK_SHARE / np.maximum(np.bincount(of[taken[whole]], minlength=len(chunks)), CHUNK_SHARE)
+    return taken, np.where(whole, share[of[taken]], 1.0).astype(np.float32)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
     """Train on the chunks of the texts, then scale the mean logits to probabilities."""
     net = new_network(seed)
-    data, size, y = _chunks(texts, labels)
-    share = y.mean()
+    data, size, of, number = _chunks(texts)
+    y = labels[of].astype(np.float32)
+    share = labels.mean()
     weight = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     rnd = np.random.default_rng(seed)
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
     step, wide = 0, 2 * HOP
     for epoch in range(EPOCHS):
-        order = rnd.permutation(len(data))
+        taken, part = _of_epoch(epoch, of, number)
+        mixed = rnd.permutation(len(taken))
+        order, part = taken[mixed], part[mixed]
         rate = RATE * (1 - epoch / EPOCHS)
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
@@ -168,7 +185,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
             feat = np.concatenate([np.maximum(pooled, 0), (size[pick] / wide)[:, None]], axis=1).astype(np.float32)
             hidden = np.maximum(feat @ net.hid + net.hid_bias, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_bias[0], -30, 30)))
-            g = ((p - y[pick]) * weight[pick] / n).astype(np.float32)
+            g = ((p - y[pick]) * weight[pick] * part[lo : lo + BATCH] / n).astype(np.float32)
             d_hidden = g[:, None] * net.out * (hidden > 0)
             d_pool = (d_hidden @ net.hid[:FILTERS].T) * (pooled > 0)
             at = cols[np.arange(n)[:, None], best]  # the winning window of each filter
@@ -215,15 +232,26 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, key: str, text: str) -> DataFrame:
-    """About ``rows`` labelled rows outside the held-out fold, by a hash of their ids: (order, body, y)."""
+    """At most ``rows`` labelled rows outside the held-out fold, by a hash of their ids: (order, next, body, y)."""
     usable = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k"), folds, fold))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
     n = usable.count()
     share = min(1.0, rows / max(1, n))
     picked = usable.where((F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    # the sample is bounded by ``rows``
-    return source.join(F.broadcast(picked), "k").select(F.xxhash64("k", F.lit(23)).alias("order"), "body", "y")
+    # ``picked`` is bounded by ``rows``; so is the sample, however many rows an id has
+    sample = source.join(F.broadcast(picked), "k").select(F.xxhash64("k", F.lit(23)).alias("order"), F.xxhash64("body").alias("next"), "body", "y")
+    return sample.orderBy("order", "next").limit(rows)
+
+
+def within(texts: list[bytes], most: int) -> np.ndarray:
+    """The texts, in their order, that have ``most`` bytes together; one that does not fit any more is left out."""
+    taken, used = [], 0
+    for i, t in enumerate(texts):
+        if used + len(t) <= most:
+            taken.append(i)
+            used += len(t)
+    return np.array(taken, np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> tuple[Network | None, float]:
@@ -238,14 +266,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         for b in batches:
             texts += b.column("body").to_pylist()
             y += b.column("y").to_pylist()
-        ys = (np.array(y, np.float64) > 0).astype(np.float64)
+        keep = within(texts, TRAIN_BYTES)
+        texts, ys = [texts[i] for i in keep.tolist()], (np.array(y, np.float64) > 0).astype(np.float64)[keep]
         share = float((ys.sum() + 1) / (len(ys) + 1))
         net = fit(texts, ys) if 0 < ys.sum() < len(ys) else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net, share))], pa.binary())], names=["model"])
 
     import pickle
 
-    got = sample.repartition(1).sortWithinPartitions("order", "body").mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).sortWithinPartitions("order", "next").mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else (None, 1.0)
 
 

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolens.llm.common import byte_column, lower_bytes, mix64, row_blocks, word_hashes, word_spans
-from annolens.llm.quality import training_rows
+from annolens.llm.quality import training_rows, within
 
 #: Labelled rows that the fit takes, about; the bound of the sample.
-TRAIN_ROWS = 12000
+TRAIN_ROWS, TRAIN_BYTES = 12000, 96 << 20
 #: Bits of a feature's index.
 BITS = 20
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 strength, passes over the rows.
@@ -130,11 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         for b in batches:
             texts += b.column("body").to_pylist()
             y += b.column("y").to_pylist()
-        ys = (np.array(y, np.float64) > 0).astype(np.float64)
+        keep = within(texts, TRAIN_BYTES)
+        texts, ys = [texts[i] for i in keep.tolist()], (np.array(y, np.float64) > 0).astype(np.float64)[keep]
         model = fit(texts, ys) if 0 < ys.sum() < len(ys) else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, float(ys.sum() / (len(ys) + 1))))], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).sortWithinPartitions("order", "body").mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).sortWithinPartitions("order", "next").mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else (None, 0.0)
 
 

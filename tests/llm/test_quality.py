@@ -68,3 +68,25 @@ def test_frames(spark):
     assert Q.train(docs.limit(0), labels) == (None, 1.0)
     ids = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("h", Q.held_out(F.col("doc_id"), 4, 2)).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in ids)
+
+
+def test_every_chunk_is_learned_in_some_epoch():
+    texts = [b"x" * n for n in (0, 3, 100, 700, 5000, 60000)]
+    data, size, of, number = Q._chunks(texts)
+    turns, weights = [], []
+    for e in range(Q.EPOCHS):
+        taken, part = Q._of_epoch(e, of, number)
+        turns.append(taken)
+        whole = number[taken] >= 0
+        weights.append(np.bincount(of[taken[whole]], part[whole], minlength=len(texts)))
+    assert set(np.concatenate(turns).tolist()) == set(range(len(data)))
+    assert all((w <= Q.CHUNK_SHARE + 1e-4).all() and (w > 0).all() for w in weights)
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(3000)] + [(2, "other " * 10), (3, "long " * 10**6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    sample = Q.training_rows(docs, labels, "quality", 4, 9, 100, "doc_id", "text")
+    assert sample.count() == 100
+    assert {r["y"] for r in sample.where("length(body) < 9").collect()} <= {1}  # the larger of two labels
+    assert Q.within([b"ab", b"abcdef", b"abc", b""], 5).tolist() == [0, 2, 3]
