@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
 A page is read into all its elements.  What can never be article text is left
-out while reading: scripts, styles, forms, menus, page headers and footers and
-asides, known by element or role, and small blocks that a whole class or id
-names as an advert, a notice, a menu or reader comments.  A name never takes
-out an element that has an article or main element in it, or as much text as
-all the rest of the page.
+out while reading: scripts, styles, forms, menus, footers and asides, known by
+element or role.  Blocks that a class or id names as an advert, a notice, a
+menu or reader comments go where the page has text about as dense outside of
+them, whatever their size; a name never takes out an element that has an
+article or main element in it.  A page header goes, but for one that stands
+right in the core.
 
 Every element then has its characters C, tags T, link characters LC and link
 tags LT, and the link-adjusted characters per tag::
@@ -15,12 +16,15 @@ tags LT, and the link-adjusted characters per tag::
 with the body's own counts Cb and LCb, zero counts taken as one, and the last
 logarithm as one at least.  An element's score is the sum of its children's
 densities (that of a block without blocks in it its own).  The block of the
-greatest score is the article's core.  The least density on the path from the body to it is the threshold: of
-what stands beside that path, elements at or over the threshold belong to the
-article too.  What is under the threshold because it is short, not because of
-links (a heading, a short paragraph), the density cannot tell; in the
-innermost ``article`` (or else ``main``) element around the core it belongs to
-the article if less than half of its characters are links.
+greatest score is the article's core.  The least density on the path from the
+body to it is the threshold: of what stands beside that path, elements at or
+over the threshold belong to the article too.  What is under the threshold
+because it is short, not because of links (a heading, a short paragraph), the
+density cannot tell.  If less than half of its characters are links, it belongs
+to the article in the innermost ``article`` (or else ``main``) element around
+the core; on pages without these, where it is an element like the one of the
+path that it stands beside, and has paragraphs, headings or list items or a
+quarter of the threshold's density.
 
 Text is cut into blocks at block elements; character references are decoded,
 white space in a block becomes one space, empty blocks go, and blocks are
@@ -65,6 +69,16 @@ NOT_CLASS = frozenset(
     "respond reply replies share sharing social related recommended recommendations widget toolbar login pagination pager hidden".split()
 )
 HEADERS = frozenset(["header", "masthead"])
+#: Words that a boilerplate word can stand with in a name, and words of names that tell about the whole page.
+NEUTRAL = frozenset(
+    "list lists area section box bar body container block wrap wrapper group thread item items row inner panel panels link links button buttons icon icons post posts "
+    "article articles story stories form text title header message messages content count slot unit zone top bottom left right small large".split()
+)
+WRAPPER = frozenset("has no with without is not open page layout".split())
+#: What a name can be: nothing, a boilerplate name, a header outside an article.
+PLAIN, BOILERPLATE, HEADER = range(3)
+#: Blocks that hold an article's words; siblings of the core without any are judged by their density alone.
+WORDS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd td figcaption".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(>|\Z)|</[^>]*(?:>|\Z)", re.S
@@ -73,55 +87,94 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def _left_out(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is not article text, and whether its name says so; ``inside`` an article or main element page headers are its own."""
+def _left_out(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element is not article text, and what its name says; ``inside`` an article or main element page headers are its own."""
     if tag == "form":  # may be around a whole page
-        return False, True
-    if tag in NOT_TEXT or (tag == "header" and not inside):
-        return True, False
+        return False, BOILERPLATE
+    if tag in NOT_TEXT:
+        return True, PLAIN
+    kind = HEADER if tag == "header" and not inside else PLAIN
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
+        return False, kind
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in NOT_ROLE:
-        return True, False
+        return True, PLAIN
     if "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True, False
+        return True, PLAIN
     names = {*given.get("class", "").lower().split(), given.get("id", "").lower()}
-    return False, any(_named(x) or (not inside and x in HEADERS) for x in names)
+    if any(map(_named, names)):
+        return False, BOILERPLATE
+    return False, HEADER if not inside and names & HEADERS else kind
 
 
 def _named(name: str) -> bool:
-    """Whether a whole class or id is a boilerplate word, or such words joined by hyphens."""
-    return name in NOT_CLASS or ("-" in name and all(x in NOT_CLASS for x in name.replace("_", "-").split("-")))
+    """Whether a class or id names boilerplate: its last word is one of its words, or one stands beside neutral words.
+
+    A word of a wrapper (``has-sidebar``, ``nav-open``) names something else.
+    """
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if not parts or WRAPPER & set(parts):
+        return False
+    if len(parts) == 1:  # also two words in one: commentlist
+        return name in NOT_CLASS or any(name.startswith(x) and name[len(x) :] in NEUTRAL for x in NOT_CLASS if len(x) > 2)
+    return parts[-1] in NOT_CLASS or (any(x in NOT_CLASS for x in parts) and all(x in NOT_CLASS or x in NEUTRAL for x in parts))
 
 
 class Page:
     """Elements of a page in order, and the text runs of its blocks: pieces and the elements that they stand in."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.named = ["body"], [-1], [False]
+        self.tag, self.parent, self.named = ["body"], [-1], [PLAIN]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.runs: list[list[tuple[int, str]]] = []
         self._read(html)
-        self.out = self._named_out()
+        self.out = [False] * len(self.tag)
 
-    def _node(self, tag: str, parent: int, link: bool, named: bool) -> int:
+    def _node(self, tag: str, parent: int, link: bool, named: int) -> int:
         for column, value in zip((self.tag, self.parent, self.named, self.chars, self.tags, self.link_chars, self.link_tags), (tag, parent, named, 0, 1, 0, int(link)), strict=True):
             column.append(value)
         return len(self.tag) - 1
 
-    def _named_out(self) -> list[bool]:
-        """Elements that their name leaves out, and all in them."""
-        n, chars = len(self.tag), list(self.chars)
+    def _leave(self, left: set[int]) -> list[bool]:
+        """These elements and all in them."""
+        out = [i in left for i in range(len(self.tag))]
+        for i in range(1, len(out)):  # parents come first
+            out[i] |= out[self.parent[i]]
+        return out
+
+    def _path(self, i: int) -> list[int]:
+        path = [i]
+        while path[-1]:
+            path.append(self.parent[path[-1]])
+        return path
+
+    def _core(self, total: list[float]) -> int:
+        return max((i for i in range(len(self.tag)) if self.tag[i] in BLOCKS), key=lambda i: (total[i], i))
+
+    def _named_out(self) -> set[int]:
+        """Elements that their name leaves out.
+
+        Boilerplate names count where the page has text of such density outside
+        of them, a block at least half as dense as the densest of theirs; else
+        they do not count for what holds the core.  They never count for what
+        holds an article or main element.
+        """
+        n = len(self.tag)
         holds = [x in ("article", "main") for x in self.tag]
         for i in range(n - 1, 0, -1):
-            chars[self.parent[i]] += chars[i]
             holds[self.parent[i]] |= holds[i]
-        out = [False] * n
-        for i in range(1, n):  # parents come first
-            small = holds[0] or 2 * chars[i] <= chars[0]
-            out[i] = out[self.parent[i]] or (self.named[i] and small and not holds[i])
-        return out
+        headers = {i for i in range(n) if self.named[i] == HEADER and not holds[i]}
+        names = {i for i in range(n) if self.named[i] == BOILERPLATE and not holds[i]}
+        if not names:
+            return headers
+        self.out = self._leave(headers)
+        density, total = self.densities()
+        gone = self._leave(names)
+        leaves = [i for i in range(n) if not self.out[i] and self.tag[i] in BLOCKS and self.leaf[i]]
+        theirs, others = (max((density[i] for i in leaves if gone[i] == side), default=0.0) for side in (True, False))
+        if 2 * others < theirs:
+            names -= set(self._path(self._core(total)))
+        return headers | names
 
     def _read(self, html: str) -> None:
         # open elements: name, node, left out, in a link, inside an article
@@ -188,7 +241,7 @@ class Page:
                 self._close(stack, CLOSES[name], pop)
             _, node, out, link, inside = stack[-1]
             inside = inside or name in ("article", "main")
-            named = False
+            named = PLAIN
             if not out:
                 out, named = _left_out(name, m[3], inside)
             if name in BLOCKS:
@@ -237,6 +290,7 @@ class Page:
             if not self.out[i]:
                 leaf[self.parent[i]] &= self.tag[i] not in BLOCKS or self.tag[i] in VOID
                 total[self.parent[i]] += density[i]
+        self.leaf = leaf
         # fewer links than other text: not under the threshold for its links
         self.plain = [2 * min(lc[i], c[i]) < c[i] for i in range(n)]
         return density, [density[i] if leaf[i] else total[i] for i in range(n)]
@@ -244,22 +298,30 @@ class Page:
     def text(self) -> str:
         if not self.runs:
             return ""
+        left = self._named_out()
+        self.out = self._leave(left)
         density, total = self.densities()
         n = len(self.tag)
-        core = max((i for i in range(n) if self.tag[i] in BLOCKS), key=lambda i: (total[i], i))
-        path = [core]
-        while path[-1]:
-            path.append(self.parent[path[-1]])
+        core = self._core(total)
+        path = self._path(core)
         threshold = min(density[i] for i in path)
         room = next((i for kind in ("article", "main") for i in path if self.tag[i] == kind), None)
         within = set() if room is None else set(path[: path.index(room) + 1])
+        # A header right in the core is its own.
+        self.out = self._leave({i for i in left if self.named[i] != HEADER or self.parent[i] != core})
+        words = [x in WORDS for x in self.tag]
+        for i in range(n - 1, 0, -1):
+            words[self.parent[i]] |= words[i] and not self.out[i]
         taken, on = [False] * n, set(path)
+        below = {self.parent[i]: self.tag[i] for i in path if i}
         taken[core] = True
         for i in range(1, n):  # parents come first
             up = self.parent[i]
             if i != core and not self.out[i]:
                 beside = up in on and i not in on
-                taken[i] = taken[up] or (beside and (density[i] >= threshold or (up in within and self.plain[i])))
+                # Outside an article a sibling of the same kind as the path's element goes by its own blocks.
+                alike = self.plain[i] and self.tag[i] == below.get(up) and (words[i] or 4 * density[i] >= threshold)
+                taken[i] = taken[up] or (beside and (density[i] >= threshold or (up in within and self.plain[i]) or (room is None and alike)))
         texts = (" ".join("".join(x for i, x in run if taken[i] or i in on or self.tag[i] == "br").split()) for run in self.runs)
         return "\n".join(x for x in texts if x)
 

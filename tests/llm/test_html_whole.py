@@ -43,3 +43,55 @@ def test_math_object_and_unclosed_media():
 def test_links_beside_the_core_go_from_inside_a_block():
     many = "".join(f"<a href=/{i}>Other page number {i}</a> " for i in range(20))
     assert main_text(f"<div>{many}<div>{PARTS}</div></div>") == TEXT
+
+
+NAMES = ["comment-list", "comments-area", "comments-section", "post-comments", "comment-body", "commentlist", "cookie-bar", "site-notice", "ad-container", "related-posts", "share-buttons", "site-footer", "newsletter-box"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_usual_names_of_boilerplate_go(name, tag):
+    block = f"<div class='{name}'><p>Somebody has said a thing or two about it.</p><p>And another one.</p></div>"
+    assert main_text(f"<{tag}>{PARTS}{block}</{tag}>") == TEXT
+
+
+def test_comments_longer_than_the_article_go():
+    many = "".join(f"<div class=comment><p>A reader has written number {i} of these comments, at some length.</p></div>" for i in range(40))
+    for name in ("comments", "comment-list"):
+        assert main_text(f"<div><div><h1>Head</h1>{PARTS}</div><div class={name}>{many}</div></div>") == f"Head\n{TEXT}"
+
+
+def test_a_named_wrapper_of_the_article_stays_beside_other_text():
+    assert main_text(f"<div class=widget><div>{PARTS}</div></div><div>Copyright by me</div>") == TEXT
+
+
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_a_smaller_sibling_keeps_its_heading_and_paragraphs(tag):
+    page = f"<body><{tag}><h2>HEAD1</h2>{PARTS}</{tag}><{tag}><h2>HEAD2</h2><p>BBB</p><p>CCC</p></{tag}></body>"
+    assert main_text(page) == f"HEAD1\n{TEXT}\nHEAD2\nBBB\nCCC"
+
+
+def test_a_header_in_the_core_keeps_its_title():
+    assert main_text(f"<header><h1>Site</h1></header><div class=post><header><h1>Title</h1></header>{PARTS}</div>") == f"Title\n{TEXT}"
+
+
+def plain_density(html_blocks):
+    """Characters outside links for each block: an independent, plain measure for pages of flat blocks."""
+    return [len(text) * (1 - links) for text, links in html_blocks]
+
+
+def test_generated_pages_without_article_elements():
+    """Flat blocks of drawn sizes around an article: what has long plain paragraphs stays, link lists and named blocks go."""
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(60):
+        menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(rnd.randint(3, 30)))
+        paragraphs = [" ".join(rnd.choices(LONG.split(), k=rnd.randint(12, 40))) for _ in range(rnd.randint(3, 9))]
+        named = f"<div class='{rnd.choice(NAMES)}'><p>{' '.join(rnd.choices(LONG.split(), k=rnd.randint(3, 12)))}</p></div>"
+        blocks = [(f"<p>{p}</p>", 0.0) for p in paragraphs]
+        assert min(plain_density(blocks)) > 3 * max(plain_density([(menu, 1.0)]))
+        body = "".join(b for b, _ in blocks)
+        parts = [f"<ul>{menu}</ul>", f"<div>{body}</div>", named]
+        rnd.shuffle(parts)
+        assert main_text(f"<body><div>{''.join(parts)}</div></body>") == "\n".join(paragraphs)
