@@ -56,7 +56,7 @@ GRAM = 16
 #: Documents of an anchor beyond which its windows are grouped one by one.
 HOT = 100_000
 #: Bytes that one numpy pass takes, and the windows that a segment has at most (bits of a flag word).
-STEP, WINDOWS = 1 << 20, 64
+STEP, WINDOWS = 1 << 17, 64
 #: Segments whose windows are sorted together.
 SORTED = 20_000
 
@@ -102,7 +102,8 @@ class Segments:
         if size < wide:
             least = np.minimum(least[: size - wide], least[wide - size :])
         start = np.arange(len(least))
-        row = np.searchsorted(off, lo + start, side="right") - 1
+        r0, r1 = (int(x) for x in np.searchsorted(off, [lo, lo + len(least) - 1], side="right") - 1)
+        row = np.repeat(np.arange(r0, r1 + 1), np.diff(np.clip(off[r0 : r1 + 2], lo, lo + len(least))))
         inside = lo + start + length <= off[row + 1]
         cut = np.ones(len(least) + 1, bool)
         cut[1:-1] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1])
