@@ -23,11 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, but compressed and by column; the files
-    survive the loss of any executor.
+    survive the loss of any executor.  Shuffle files of the steps before are
+    not needed any more then; Spark removes those of plans that the driver has
+    let go, which a collection on the driver makes it notice.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
