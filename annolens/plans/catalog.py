@@ -283,6 +283,18 @@ def q_distill_plan(spark, d):
     return CH.budget_plan(gene_texts(spark, d), ["gene_id"], "text", mx, ck, PREFIX)
 
 
+@query("distill_plan_bucketed")
+def q_distill_plan_bucketed(spark, d):
+    """The budget plan of every gene over a table bucketed by gene; the annotations are not shuffled."""
+    from ..sources import annotations as AN
+    path = scratch_path(spark, "annotations-bucketed")
+    table = "annotations_" + path.rsplit("-", 1)[1]
+    AN.save_bucketed(S.annotations(spark, d).select("tax_id", "gene_id", "row_ord", "text"), table, path)
+    a = lookup.filter_has_text(lookup.filter_species(spark.table(table), P.HUMAN))
+    mx, ck = CH.budget_for_model(P.MODEL)
+    return CH.budget_plan(a.withColumn("text", TX.ensure_terminal_punct("text")), ["gene_id"], "text", mx, ck, PREFIX)
+
+
 @query("chunk_gene")
 def q_chunk_gene(spark, d):
     """Some of the texts begin with white space, which does not count."""

@@ -260,6 +260,8 @@ SELECT gene_id, n_tokens, CASE WHEN n_tokens <= {MAXT} THEN 'pass' ELSE 'chunk'
   CAST(CASE WHEN n_tokens <= {MAXT} THEN 1 ELSE ceil(n_tokens / {CHUNKT - PREFIX}) END AS BIGINT) AS n_chunks
 FROM (SELECT gene_id, CAST(len(regexp_extract_all(joined, {TOKRE}, 0)) AS BIGINT) AS n_tokens FROM gene_joined)""")
 
+ORACLE["distill_plan_bucketed"] = ORACLE["distill_plan"]
+
 ORACLE["chunk_gene"] = q(GENE_TEXT_SQL + f"""
 SELECT gene_id, chunk_idx, n_chunks, kind, n_tokens, chunk_text FROM
   {chunks_sql('gene_joined', 'gene_id', 'joined', *GENE)}""")

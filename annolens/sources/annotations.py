@@ -106,6 +106,23 @@ def ingest_annotations(spark: SparkSession, src: str, dst: str, files_per_range:
     return {k: int(v) for k, v in seen.get.items()}
 
 
+#: Buckets of a bucketed table; about the rows of all genes by a few hundred MB.
+BUCKETS = 64
+
+
+def save_bucketed(annotations: DataFrame, table: str, path: str, buckets: int = BUCKETS) -> None:
+    """Annotations as the table ``table``, bucketed by gene and sorted by (gene_id, row_ord), its files below ``path``.
+
+    Joins and aggregates by gene then move no annotation: the files of a bucket
+    are a partition already.  A gene is in one bucket, whatever its size; where a
+    gene is larger than a task should hold, the ranged files of ``ingest_annotations``
+    spread it, and the operators by gene and block work on those.
+    """
+    dealt = annotations.repartition(buckets, "gene_id").sortWithinPartitions("gene_id", "row_ord")  # a task for each bucket, a file from each task
+    (dealt.write.mode("overwrite").format("parquet").option("path", path)
+          .bucketBy(buckets, "gene_id").sortBy("gene_id", "row_ord").saveAsTable(table))
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
