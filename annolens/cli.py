@@ -35,6 +35,7 @@ from .session import build_session
 from .sources import annotations as A
 from .sources import genesets as G
 from .sources import sinks as K
+from .sources.index_store import read_index_store
 
 # Model names the reference accepts; the first is its default.
 MODELS = ("gpt-4-1106-preview", "gpt-3.5-turbo-1106")
@@ -55,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--tasks", choices=sorted(TASKS), help="run a task over the article (-m)")
     p.add_argument("-y", "--synthetic-generifs", help="write paired ground-truth/synthetic rows as TSV here")
     p.add_argument("-i", "--build-index", help="write the embedding index here")
+    p.add_argument("--update-index", help="assign new and changed entries in the keyed index store here")
     p.add_argument("--annotations", required=True)
     p.add_argument("--cache")
     p.add_argument("--genes")
@@ -215,6 +217,10 @@ def run(a: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         idx = J.build_index(t.annotations(), t.genes(), tax_id=sp)
         K.write_index(idx, a.build_index)
         result = idx
+    if a.update_index:
+        n = J.update_index(t.annotations(), t.genes(), a.update_index, tax_id=sp)
+        print(f"{n} entries embedded")
+        result = read_index_store(spark, a.update_index)
     return result
 
 

@@ -39,7 +39,7 @@ def test_every_row_is_printed(spark, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 1501
 
 
-def test_cli_modes(spark, tmp_path):
+def test_cli_modes(spark, tmp_path, capsys):
     tmp = str(tmp_path)
     base = setup_tables(spark, tmp)
     g = cli.main(base + ["-g", "G1", "--out", os.path.join(tmp, "g")], spark)
@@ -72,3 +72,7 @@ def test_cli_modes(spark, tmp_path):
     idx = os.path.join(tmp, "idx")
     cli.main(base + ["-i", idx], spark)
     assert sorted(r.key for r in spark.read.parquet(idx).collect()) == ["G1-gt-1", "G1-gt-2", "G2-gt-1"]
+    store = os.path.join(tmp, "store")
+    first = cli.main(base + ["--update-index", store], spark).count()
+    assert first == cli.main(base + ["--update-index", store], spark).count() == spark.read.parquet(idx).count()
+    assert "0 entries embedded" in capsys.readouterr().out
