@@ -64,7 +64,8 @@ def chunk_texts(text: Column, chunk_tokens: int, prefix: int = 0, tokenizer=None
     if size <= 0:
         raise ValueError("chunk budget must exceed the prompt prefix")
     tokens = (tokenizer or DEFAULT_TOKENIZER).pieces(text)
-    return _chunk_pieces(tokens, F.size(tokens), size)
+    # Bound to a name: inside the pieces' own function the text would be cut into tokens anew for every chunk.
+    return F.get(F.transform(F.array(tokens), lambda t: _chunk_pieces(t, F.size(t), size)), 0)
 
 
 def chunk_rows(df: DataFrame, text_col: str, max_tokens: int, chunk_tokens: int,

@@ -66,3 +66,18 @@ def test_leading_white_space_does_not_shift_chunks(spark):
     df = spark.createDataFrame(rows, "k int, o bigint, t string")
     got = [(r.chunk_idx, r.n_tokens, r.chunk_text) for r in chunk_by_key(df, ["k"], "o", "t", 3, 2).orderBy("chunk_idx").collect()]
     assert got == [(0, 5, "a b. "), (1, 5, "c d. "), (2, 5, "e.")]
+
+
+def test_text_is_cut_into_tokens_once_not_for_every_chunk(spark):
+    """The tokens are named outside of the pieces' function, in which a Python tokenizer could not stand at all."""
+    from pyspark.sql import functions as F
+
+    from annolens.functions.tokenizers import OffsetTokenizer
+    from annolens.operators.chunking import chunk_texts
+    tk = OffsetTokenizer("by_word", lambda: lambda text: [m.span() for m in re.finditer(r"\S+\s*|^\s+", text)])
+    text = " ".join(f"w{i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, "a b c"), (3, None)], "id int, text string")
+    for tokenizer in (tk, None):
+        got = {r["id"]: r["p"] for r in df.select("id", chunk_texts(F.col("text"), 2, tokenizer=tokenizer).alias("p")).collect()}
+        assert len(got[1]) == 25_000 and "".join(got[1]) == text
+        assert got[2] == ["a b ", "c"] and got[3] is None
