@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import literature as LIT
 from ..operators import lookup, resolve
+from ..operators.scan import ordinal
 from ..sources import genesets, standin as S
 from . import params as P
 
@@ -525,8 +526,8 @@ def q_annotation_tsv_ingest(spark, d):
     """O01 + O02 + O03 on a real TSV: the stand-in annotations are written in
     the published layout (gzip, header, tab, one line per row; tabs and
     newlines inside text become a space; the source row id rides in the
-    timestamp column), scanned back, ingested to partitioned Parquet and read
-    through the cache."""
+    timestamp column), scanned back, ingested to partitioned Parquet, read
+    through the cache and numbered in the order of the file."""
     a = S.annotations(spark, d)
     safe = F.regexp_replace(F.col("text"), r"[\t\r\n]+", " ")
     tsv = a.orderBy("row_ord").select(
@@ -545,8 +546,10 @@ def q_annotation_tsv_ingest(spark, d):
     ordered = ends.join(after, "_split", "left").select("_split", (F.col("_next").isNull() | (F.col("_last") < F.col("_next"))).alias("_ends"))
     before = F.lag("_row").over(Window.partitionBy("_split").orderBy("row_ord"))
     t = t.withColumn("_inside", F.coalesce(before < F.col("_row"), F.lit(True))).join(ordered, "_split")
+    # The place of a row among all: blocks of rows are counted, and only the rows of one block are numbered in one task.
+    t = ordinal(t, [], "row_ord", "file_row")
     return t.select("tax_id", "gene_id", "pmid_list", F.size("pmids").cast("bigint").alias("n_pmids"),
-                    F.col("updated_at").alias("source_row"), "text", (F.col("_inside") & F.col("_ends")).alias("in_order"))
+                    F.col("updated_at").alias("source_row"), "text", "file_row", (F.col("_inside") & F.col("_ends")).alias("in_order"))
 
 
 @query("annotation_rejects")

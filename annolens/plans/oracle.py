@@ -456,7 +456,7 @@ ORACLE["index_upsert"] = ORACLE["index_rows"]
 
 ORACLE["annotation_tsv_ingest"] = q("""SELECT tax_id, gene_id, pmid_list, CAST(len(pmids) AS BIGINT) AS n_pmids,
   CAST(row_ord AS VARCHAR) AS source_row, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g') AS text,
-  true AS in_order FROM annotations""")
+  CAST(row_number() OVER (ORDER BY row_ord) AS BIGINT) AS file_row, true AS in_order FROM annotations""")
 
 ORACLE["annotation_rejects"] = q("""SELECT CASE WHEN row_ord % 7 = 2 THEN 'fields' ELSE 'gene_id' END AS reason,
   CAST(tax_id AS VARCHAR) || chr(9) || CASE WHEN row_ord % 5 = 1 THEN 'gene ' ELSE '' END || CAST(gene_id AS VARCHAR) || chr(9) || pmid_list || chr(9)
