@@ -134,25 +134,32 @@ class SubwordTokenizer:
             raise ValueError(f"the vocabulary has more than {VOCABULARY_TOKENS} tokens")
         return cls(sorted(r[0] for r in rows), name)
 
+    @classmethod
+    def _size(cls, node: dict) -> int:
+        """Tokens below a node."""
+        return sum(cls._size(n) if c else 1 for c, n in node.items())
+
     @classmethod
     def _branch(cls, node: dict) -> str:
-        """A pattern of the longest way down from a node."""
+        """A pattern of the longest way down from a node; ways begin with different characters, those to most tokens are tried first."""
         ways = [c for c in sorted(node) if c]
         leaves = [c for c in ways if set(node[c]) == {""}]
-        parts = [re.escape(c) + cls._branch(node[c]) for c in ways if c not in leaves]
+        parts = [(cls._size(node[c]), re.escape(c) + cls._branch(node[c])) for c in ways if c not in leaves]
         if len(leaves) == 1:
-            parts.append(re.escape(leaves[0]))
+            parts.append((1, re.escape(leaves[0])))
         elif leaves:
-            parts.append("[" + "".join(re.escape(c) for c in leaves) + "]")
+            parts.append((len(leaves), "[" + "".join(re.escape(c) for c in leaves) + "]"))
         if not parts:
             return ""
-        return f"(?:{'|'.join(parts)}){'?' if '' in node else ''}"
+        parts.sort(key=lambda p: -p[0])
+        return f"(?:{'|'.join(p for _, p in parts)}){'?' if '' in node else ''}"
 
     def pieces(self, c: Column) -> Column:
         return F.regexp_extract_all(c, F.lit(self.pattern), F.lit(0))
 
     def count(self, c: Column) -> Column:
-        return F.regexp_count(c, F.lit(self.pattern)).cast("bigint")
+        # Every character is in a token: the tokens are not kept, each leaves one character.
+        return F.length(F.regexp_replace(c, F.lit(self.pattern), F.lit("x"))).cast("bigint")
 
     def count_text(self, text: str) -> int:
         return len(re.findall(self.pattern, text))

@@ -146,19 +146,19 @@ def chunk_by_key(df: DataFrame, keys: list[str], order_col: str, text_col: str,
 
     d = exclusive_prefix_sum(d, keys, order_col, "_n", "_st", block_rows, total_col="n_tokens",
                              after_join=second_pass, count_col="n_texts", first_less="_less" if behind else None)
-    d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn(
-        "_tok", F.when(over_budget, tk.pieces(F.col("_piece"))))
-
     L = F.lit(size).cast("bigint")
     fits = F.col("n_tokens") <= F.lit(max_tokens)
     first_c = F.when(fits, F.lit(0)).otherwise(F.floor(F.col("_st") / L)).cast("bigint")
     last_c = F.when(fits, F.lit(0)).otherwise(F.floor((F.col("_st") + F.col("_n") - 1) / L)).cast("bigint")
+    # Only a text that a cut goes through is split into its tokens.
+    whole = first_c == last_c
+    d = d.filter(~over_budget | (F.col("_n") > 0)).withColumn("_tok", tk.pieces(F.when(~whole, F.col("_piece"))))
 
     def part(c):
         a = F.greatest(c * L - F.col("_st"), F.lit(0).cast("bigint"))
         b = F.least((c + 1) * L - F.col("_st"), F.col("_n"))
         sl = F.array_join(F.slice(F.col("_tok"), (a + 1).cast("int"), (b - a).cast("int")), "")
-        return F.struct(c.alias("c"), F.when(fits, F.col("_piece")).otherwise(sl).alias("t"))
+        return F.struct(c.alias("c"), F.when(whole, F.col("_piece")).otherwise(sl).alias("t"))
 
     parts = d.select(*keys, order_col, "n_tokens", "n_texts",
                      F.explode(F.transform(F.sequence(first_c, last_c), part)).alias("_p"))

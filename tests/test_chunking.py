@@ -81,3 +81,25 @@ def test_text_is_cut_into_tokens_once_not_for_every_chunk(spark):
         got = {r["id"]: r["p"] for r in df.select("id", chunk_texts(F.col("text"), 2, tokenizer=tokenizer).alias("p")).collect()}
         assert len(got[1]) == 25_000 and "".join(got[1]) == text
         assert got[2] == ["a b ", "c"] and got[3] is None
+
+
+def test_only_texts_that_a_cut_goes_through_are_split_into_tokens(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from annolens.functions.tokenizers import WordTokenizer
+    split = spark.sparkContext.accumulator(0)
+
+    class Watched(WordTokenizer):
+        def pieces(self, c):
+            @F.pandas_udf("array<string>")
+            def cut(texts: pd.Series) -> pd.Series:
+                split.add(int(texts.notna().sum()))
+                return pd.Series([None if t is None else re.findall(WORD_TOKEN, t) for t in texts])
+            return cut(c)
+
+    texts = [words(4) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k int, o long, text string")
+    got = chunk_by_key(df, ["k"], "o", "text", 10, 50, tokenizer=Watched()).orderBy("chunk_idx").collect()
+    assert [r.chunk_text for r in got] == naive_chunks(texts, 10, 50)
+    assert split.value == 2  # cuts at 50, 100, 150, 200: of these the second and the fourth are between two texts
