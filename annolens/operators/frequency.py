@@ -46,34 +46,46 @@ def _with_weights(words: DataFrame, terms: DataFrame) -> DataFrame:
     rare = terms.where(F.col("weight") < int(WHOLE * FREQUENT)).select("word", F.col("weight").alias("_rare"))
     out = words.join(F.broadcast(often), "word", "left")
     known = out.where(F.col("_often").isNotNull()).withColumn("_rare", F.lit(None).cast("long"))
-    others = out.where(F.col("_often").isNull()).join(rare, "word", "left")
+    # The terms are unique, so the build side is small; the texts' words stream past and are not sorted.
+    others = out.where(F.col("_often").isNull()).join(rare.hint("shuffle_hash"), "word", "left")
     return known.unionByName(others).withColumn("weight", F.coalesce("_often", "_rare", F.lit(0))).drop("_often", "_rare")
 
 
 #: Sentences chosen one after another: places in ``found``, with the words' weights after each choice.
 _CHOICE = """aggregate(sequence(1, {k}), named_struct('taken', cast(array() as array<int>), 'w', weights), (st, round) ->
   transform(array(array_max(transform(found, (x, i) ->
-      if(array_contains(st.taken, i), null, struct(aggregate(x.words, 0L, (a, y) -> a + st.w[y.id - 1] * y.c) div x.n as score, -i as i))))),
+      if(array_contains(st.taken, i), null, struct(aggregate(x.words, 0L, (a, y) -> a + st.w[y]) div size(x.words) as score, -i as i))))),
     best -> if(best is null, st, named_struct('taken', array_append(st.taken, -best.i),
-      'w', transform(st.w, (v, j) -> if(exists(found[-best.i].words, y -> y.id = j + 1), v * v div {whole}, v)))))[0],
+      'w', transform(st.w, (v, j) -> if(exists(found[-best.i].words, y -> y = j), v * v div {whole}, v)))))[0],
   st -> transform(st.taken, i -> found[i].s))"""
 
 
+def _cut(df: DataFrame, array: str, field: str, begins: str) -> DataFrame:
+    """Adds the places (from 1) where a run of one ``field`` begins in a sorted array of structs."""
+    return df.withColumn(begins, F.expr(f"""if(size({array}) > 0,
+        filter(sequence(1, size({array})), i -> i = 1 or {array}[i - 1].{field} <> {array}[greatest(i - 2, 0)].{field}), cast(array() as array<int>))"""))
+
+
+def _run(array: str, begins: str) -> str:
+    """The run that begins at place b, the j-th."""
+    return f"slice({array}, b, coalesce(get({begins}, j + 1), size({array}) + 1) - b)"
+
+
 def choose_sentences(texts: DataFrame, terms: DataFrame, k: int, key: str = "prompt_id", text_col: str = "text") -> DataFrame:
     """(key, chosen): places (from 0) of the ``k`` sentences of each text, in the order of choice; texts without words are left out.
 
     ``key`` tells the texts apart.
     """
-    pieces = texts.select(key, F.posexplode(sentences(F.col(text_col))).alias("s", "piece"))
-    words = pieces.select(key, "s", F.explode(words_of(F.col("piece"))).alias("word"))
-    counted = words.groupBy(key, "s", "word").agg(F.count(F.lit(1)).alias("c"))
-    weighed = _with_weights(counted, terms).repartition(key)  # what follows groups by the key alone
-    numbered = weighed.selectExpr("*", f"cast(dense_rank() over (partition by `{key}` order by word) as int) as id")
-    said = numbered.groupBy(key, "s").agg(F.sum("c").alias("n"), F.collect_list(F.struct("id", "c", "weight")).alias("words"))
-    by_text = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "n", "words"))).alias("found"))
-    listed = by_text.withColumn("all", F.expr("array_sort(flatten(transform(found, x -> transform(x.words, y -> struct(y.id as id, y.weight as weight)))))"))
-    weights = F.expr("transform(filter(all, (x, i) -> i = 0 or x.id <> all[greatest(i - 1, 0)].id), x -> x.weight)")
-    return listed.withColumn("weights", weights).select(key, F.expr(_CHOICE.format(k=k, whole=WHOLE)).alias("chosen"))
+    said = F.flatten(F.transform(sentences(F.col(text_col)), lambda p, s: F.transform(words_of(p), lambda w: F.struct(w.alias("word"), s.alias("s")))))
+    # One row for a word of a text, made within the text: neither grouping nor sorting of rows, of which a few compressed MB make very many.
+    runs = _cut(texts.select(key, F.sort_array(said).alias("said")), "said", "word", "begins")
+    words = runs.select(key, F.posexplode(F.expr(f"transform(begins, (b, j) -> struct(said[b - 1].word as word, transform({_run('said', 'begins')}, x -> x.s) as at))")).alias("id", "run"))
+    weighed = _with_weights(words.select(key, "id", "run.word", "run.at"), terms).select(key, "id", "weight", "at").repartition(key)
+    by_text = weighed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "weight", "at"))).alias("met"))
+    spread = F.expr("sort_array(flatten(transform(met, (x, i) -> transform(x.at, s -> struct(s as s, i as id)))))")
+    listed = _cut(by_text.select(key, F.expr("transform(met, x -> x.weight)").alias("weights"), spread.alias("spread")), "spread", "s", "begins")
+    found = F.expr(f"transform(begins, (b, j) -> struct(spread[b - 1].s as s, transform({_run('spread', 'begins')}, y -> y.id) as words))")
+    return listed.select(key, "weights", found.alias("found")).select(key, F.expr(_CHOICE.format(k=k, whole=WHOLE)).alias("chosen"))
 
 
 class FreqBackend(Backend):

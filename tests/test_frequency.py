@@ -63,3 +63,16 @@ def test_empty_corpus_and_stored_answers(spark, tmpdir_path):
         rows = infer(df, "prompt", FQ.FreqBackend(terms, 2), responses_path=f"{tmpdir_path}/responses").collect()
         assert sorted((r["response"] or "", r["response_status"]) for r in rows) == [("", "skipped"), ("One. Two.", "ok")]
     assert spark.read.parquet(f"{tmpdir_path}/responses").count() == 1
+
+
+def test_words_of_texts_are_neither_grouped_nor_sorted_as_rows(spark):
+    """A row for every word of a text: the join with the terms streams them, and only the terms are built."""
+    terms = FQ.term_weights(spark.createDataFrame([(t,) for t in drawn(3, 30)], "text string"))
+    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(drawn(4, 20))], "prompt_id string, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FQ.choose_sentences(texts, terms, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
