@@ -1,0 +1,31 @@
+"""Bands tell unlike lines apart, and what lines are compared by is made only where lines are compared."""
+
+import random
+
+import numpy as np
+
+from annolens.llm import linededup as L
+
+
+def test_unlike_lines_of_one_passage_seldom_share_a_band(spark):
+    """Lines that have half of their text in common, a third of the shingles of two: with bands of three minima a fifth of all pairs met."""
+    rnd = random.Random(4)
+    line = lambda n: "".join(rnd.choices("abcdefghijklmnoprstu ", k=n))
+    rows = [(100 * g + i, common + line(150)) for g in range(20) for common in [line(150)] for i in range(16)]
+    bands = {r["doc"]: set(r["bands"]) for r in L.with_bands(L.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc", "bands").collect()}
+    met = sum(bool(bands[100 * g + i] & bands[100 * g + j]) for g in range(20) for i in range(16) for j in range(i))
+    assert met < 0.14 * 20 * 16 * 15 / 2, met
+
+
+def test_minima_are_the_first_hashes_at_or_after_the_points(spark):
+    """The search in arcs against a plain one, for lines of one shingle to many."""
+    rnd = random.Random(9)
+    texts = ["x", "short", "a  b\tc", "aaaaaaaaaaaaaaaa"] + ["".join(rnd.choices("abcdefgh é", k=n)) + "." for n in (7, 12, 40, 300, 4000)]
+    lines = L.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in L._banded(lines, "h").collect():
+        h, points = np.array(r["h"], np.int64), np.array(L._points(), np.int64)
+        x = h[np.searchsorted(h, points) % len(h)]
+        sifted = [int(x[i * len(points) // L.SIFTED]) & 255 for i in range(L.SIFTED)]
+        for k, c in enumerate(L.SIGNED):
+            assert [(r[c] >> (8 * b)) & 255 for b in range(8)] == sifted[8 * k : 8 * k + 8]
+        assert len(set(r["bands"])) == L.BANDS
